@@ -1,0 +1,60 @@
+"""Helpers that the operators of this package share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: ASCII white space (space, tab to carriage return) in the syntax of java.util.regex.
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else (single-machine tests) a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = f"file://{tempfile.mkdtemp(prefix='sheetweave-')}"
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def shelve(df: DataFrame) -> DataFrame:
+    """Write df once into the shared folder and read it back: cuts the lineage, survives lost executors, stays columnar."""
+    path = f"{shared_folder(df.sparkSession)}/sheetweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name starting with `wanted` that df does not have, so that an input's own columns never clash."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A reference by exact name, also where the name holds dots or backticks."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def text_bytes(col: Column) -> Column:
+    """UTF-8 bytes of a text, null as empty. Bytes cross to Python without being decoded."""
+    return F.coalesce(col, F.lit("")).cast("binary")
+
+
+def let(value: Column, body) -> Column:
+    """Bind a column expression once inside an expression; without it the optimizer may inline it into every lambda call."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def words(col: Column) -> Column:
+    """The words `[^\\x20\\x09-\\x0D]+` of a text as an array; null gives none."""
+    return F.array_remove(F.split(F.coalesce(col, F.lit("")), SPACE, -1), "")
+
+
+def n_words(col: Column) -> Column:
+    return F.size(words(col)).cast("long")
