@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetweave.llm import mixing
+from sheetweave.llm import mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_mixing,)}
+    return {f.__name__: f for f in (op5_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op5_quality": quality.SQL, "op10_mixing": mixing.SQL}
