@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetweave.llm import mixing, quality
+from sheetweave.llm import bpe, licenses, mixing, quality, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, c = tokens.count(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return docs.select("doc_id", f"{c}.n_bytes", f"{c}.n_tokens", f"{c}.over_limit")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, c = bpe.transcode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return docs.select("doc_id", *bpe.digest(docs[c]))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, c = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", *licenses.digest(docs[c]))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality, op10_mixing)}
+    return {f.__name__: f for f in (op4_tokens, op5_quality, op7_bpe, op8_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
