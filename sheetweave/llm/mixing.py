@@ -22,7 +22,7 @@ SHARE = 1.5
 EPOCHS = 2
 SEED = "mix"
 #: Rows that one bucket of a source's shuffled order, or one slice of virtual time, is meant to hold.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
