@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetweave.llm import bpe, licenses, mixing, quality, tokens
+from sheetweave.llm import bpe, licenses, mixing, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, c = tokens.count(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return docs.select("doc_id", f"{c}.n_bytes", f"{c}.n_tokens", f"{c}.over_limit")
@@ -36,7 +40,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_tokens, op5_quality, op7_bpe, op8_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op2_simhash, op4_tokens, op5_quality, op7_bpe, op8_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
