@@ -4,18 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheetweave.llm import bpe, licenses, mixing, quality, simhash, tokens
+from sheetweave.llm import bpe, licenses, mixing, pii, quality, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored, c = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(scored["doc_id"]).alias("held_out"), scored[c].alias("score"), (scored[c] >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, c = pii.mask(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_join(F.sort_array(F.array_distinct(docs[c]["kind"])), ",")
+    return docs.select("doc_id", "text", F.size(c).cast("long").alias("n_found"), kinds.alias("kinds"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, c = tokens.count(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return docs.select("doc_id", f"{c}.n_bytes", f"{c}.n_tokens", f"{c}.over_limit")
@@ -40,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op4_tokens, op5_quality, op7_bpe, op8_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_pii, op4_tokens, op5_quality, op7_bpe, op8_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
