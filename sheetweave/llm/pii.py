@@ -10,7 +10,6 @@ validity survive. Without the key the permutation cannot be undone.
 from __future__ import annotations
 
 import datetime
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -208,7 +207,11 @@ def mask(docs: DataFrame, text_col: str = "text", key: bytes = KEY, out: str = "
     appear nor go, other columns stay, repeated rows get equal pseudonyms, an empty table stays empty.
     """
     name = free_name(docs, out)
-    found = F.arrow_udf(functools.partial(_batch, key), "text string, spans array<struct<kind string, start int, end int>>")
+
+    def pseudonyms(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _batch(key, texts)
+
+    found = F.arrow_udf(pseudonyms, "text string, spans array<struct<kind string, start int, end int>>")
     with_found = docs.withColumn(name, found(column(docs, text_col).cast("binary")))
     s = column(with_found, name)
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
