@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetweave.llm import bpe, licenses, mixing, pii, quality, simhash, tokens, toxicity
+from sheetweave.llm import ann, bpe, licenses, mixing, pii, quality, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +49,17 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *licenses.digest(docs[c]))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(_table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_pii, op4_tokens, op5_quality, op7_bpe, op8_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_pii, op4_tokens, op5_quality, op7_bpe, op8_licenses, op9_neighbours, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
