@@ -4,17 +4,16 @@ A word is the mean of the vectors of its character 3- to 6-grams (of "<word>", o
 window is the mean of its words, and a softmax over two classes reads it. Vectors and softmax are trained together. A
 misspelling never seen shares n-grams with what was seen. Texts are read in overlapping windows, so that a few words
 weigh alike in short and in long texts; a text's score is that of its highest window. A toxic document's windows need
-not all be toxic: after a first phase only those that the model holds to be so keep the label, one for each document
-at least.
+not all be toxic: those are taken for training that hold an n-gram much likelier in toxic documents, and half way only
+those that the model holds to be toxic keep the label, one for each document at least.
 
 As averaging and the softmax are linear, a trained model is one number for each bucket and a bias.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +25,18 @@ from sheetweave.llm.shared import column, free_name, text_bytes
 BUCKETS = 1 << 20
 DIM = 4
 GRAMS = (3, 4, 5, 6)
-SPAN = 16
-STEP = 8
+SPAN = 2
+STEP = 1
 #: Bounds of the sample that the model is fitted on: documents of each class, and words of one document.
-TOXIC_DOCS = 800
-CLEAN_DOCS = 1600
+TOXIC_DOCS = 1000
+CLEAN_DOCS = 4000
 DOC_WORDS = 8192
-#: Windows, drawn at random, that one clean document adds to the sample.
-CLEAN_WINDOWS = 16
-#: Times an n-gram must occur, counting a word once for each document, to be trained.
-LEAST_SEEN = 30
+#: Windows that one document adds to the sample at most.
+DOC_WINDOWS = 32
+#: Documents that an n-gram must occur in to be trained.
+LEAST_SEEN = 12
+#: Log odds, toxic to clean documents, of an n-gram that marks a window of a toxic document as a likely carrier.
+SUSPECT = 2.0
 #: Words that a worker remembers.
 REMEMBERED = 500_000
 #: Digits and signs that stand for letters (fixed values); other ASCII signs are left out of words.
@@ -47,7 +48,7 @@ _SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b not in
 class Model:
     """weights: of each bucket, float32 bytes; the logit of a window is bias + the mean of its words' mean weights."""
 
-    weights: bytes
+    weights: bytes = field(repr=False)
     bias: float
 
 
@@ -95,35 +96,40 @@ def windows(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - SPAN, STEP), n - SPAN)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 100, rate: float = 0.05, seed: int = 7) -> Model:
+def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.05, seed: int = 7) -> Model:
     """Train on texts with labels 0 or 1. Without texts of both classes the score is near 0 (or 1) for all."""
     rng = np.random.default_rng(seed)
     ids: dict[bytes, int] = {}
-    seen: list[np.ndarray] = []
+    docs = [np.array([ids.setdefault(x, len(ids)) for x in split(text)[:DOC_WORDS]], np.int64) for text in texts]
+    some = np.array([len(w) > 0 for w in docs], bool)
+    if not some.any() or toxic[some].min() == toxic[some].max():
+        return Model(np.zeros(BUCKETS, np.float32).tobytes(), 8.0 if some.any() and toxic[some].all() else -8.0)
+    g, o = grams(list(ids))
+    gram_n = np.bincount(o)
+    odds, common = _odds(docs, toxic, g, o)
+    suspect = np.full(len(ids), -np.inf)
+    np.maximum.at(suspect, o, odds[g])
     rows, owner = [], []
-    for d, text in enumerate(texts):
-        w = np.array([ids.setdefault(x, len(ids)) for x in split(text)[:DOC_WORDS]], np.int64)
-        if len(w):
-            seen.append(np.unique(w))
-            cut = [w[s : s + SPAN] for s in windows(len(w))[:: 2 if len(w) > SPAN else 1]]
-            if not toxic[d] and len(cut) > CLEAN_WINDOWS:
-                cut = [cut[i] for i in rng.choice(len(cut), CLEAN_WINDOWS, replace=False)]
-            rows += cut
-            owner += [d] * len(cut)
+    for d, w in enumerate(docs):
+        if not len(w):
+            continue
+        cut = [w[s : s + SPAN] for s in windows(len(w))]
+        level = np.array([suspect[c].max() for c in cut])
+        if toxic[d]:
+            pick = np.flatnonzero((level >= SUSPECT) | (level >= level.max()))[:DOC_WINDOWS]
+        else:  # those most like toxic ones, and some at random
+            pick = np.unique(np.concatenate([np.argsort(-level, kind="stable")[: DOC_WINDOWS // 2], rng.choice(len(cut), min(len(cut), DOC_WINDOWS // 2), replace=False)]))
+        rows += [cut[i] for i in pick]
+        owner += [d] * len(pick)
     own = np.array(owner, np.int64)
-    if not len(own) or toxic[own].min() == toxic[own].max():
-        return Model(np.zeros(BUCKETS, np.float32).tobytes(), 8.0 if len(own) and toxic[own].all() else -8.0)
     y = toxic[own].astype(np.float64)
-    doc_freq = np.bincount(np.concatenate(seen), minlength=len(ids))
     flat, sizes = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
     row_of = np.repeat(np.arange(len(rows)), sizes)
-    doc_freq = np.bincount(np.concatenate(seen), minlength=len(ids))
-    g, o = grams(list(ids))
-    gram_n = np.bincount(o)
-    # n-grams too rare to tell anything keep weight 0, and are not trained.
-    common = np.bincount(g, weights=doc_freq[o], minlength=BUCKETS) >= LEAST_SEEN
-    g, o = g[common[g]], o[common[g]]
-    live = np.flatnonzero(common)
+    # n-grams too rare to tell anything keep weight 0, and are not trained; nor are words outside the windows.
+    in_use = np.bincount(flat, minlength=len(ids)) > 0
+    keep = common[g] & in_use[o]
+    g, o = g[keep], o[keep]
+    live = np.unique(g)
     g = np.searchsorted(live, g)
     total = lambda to, values, n: np.stack([np.bincount(to, weights=v, minlength=n) for v in values])
 
@@ -137,7 +143,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 100, rate: float = 0
         mean = total(row_of, word[:, flat], len(rows)) / sizes
         z = soft @ mean + bias
         p1 = 1 / (1 + np.exp(np.clip(z[0] - z[1], -50, 50)))
-        if t in (steps // 3, 2 * steps // 3):
+        if t == steps // 2:
             # Which of a toxic document's windows carry it: those the model calls toxic, and the highest in any case.
             top = np.full(len(texts), -1.0)
             np.maximum.at(top, own, p1)
@@ -159,6 +165,19 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 100, rate: float = 0
     return Model(weights.tobytes(), float(-cut))
 
 
+def _odds(docs: list[np.ndarray], toxic: np.ndarray, g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket: log odds of occurring in toxic rather than clean documents, and whether it occurs in LEAST_SEEN at all."""
+    starts = np.searchsorted(o, np.arange(o[-1] + 2))
+    seen = np.zeros((2, BUCKETS))
+    for w, y in zip(docs, toxic):
+        u = np.unique(w)
+        if len(u):
+            seen[y, np.unique(np.concatenate([g[starts[i] : starts[i + 1]] for i in u]))] += 1
+    n = np.bincount(toxic, minlength=2)
+    common = seen.sum(axis=0) >= LEAST_SEEN
+    return np.where(common, np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1)), -np.inf), common
+
+
 def _between(low: np.ndarray, high: np.ndarray) -> float:
     """The line with the least share of either class on the wrong side; where a gap makes none wrong, its middle."""
     at = np.unique(np.concatenate([low, high]))
@@ -187,17 +206,6 @@ def score_text(text: bytes, weights: np.ndarray, bias: float, known: dict[bytes,
     return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _score(weights: bytes, bias: float, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    table, known = np.frombuffer(weights, np.float32), {}
-    for batch in texts:
-        out = []
-        for x in batch:
-            if len(known) > REMEMBERED:
-                known.clear()
-            out.append(score_text(x.as_py(), table, bias, known))
-        yield pa.array(out, pa.float64())
-
-
 def held_out(id_: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -228,6 +236,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
 
     Null and empty texts score as texts without words. Rows neither appear nor go; an empty table stays empty.
     """
+    weights, bias = model.weights, model.bias
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table, known = np.frombuffer(weights, np.float32), {}
+        for batch in texts:
+            got = []
+            for x in batch:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                got.append(score_text(x.as_py(), table, bias, known))
+            yield pa.array(got, pa.float64())
+
     name = free_name(docs, out)
-    udf = F.arrow_udf(functools.partial(_score, model.weights, model.bias), "double")
-    return docs.withColumn(name, udf(text_bytes(column(docs, text_col)))), name
+    return docs.withColumn(name, scored(text_bytes(column(docs, text_col)))), name
