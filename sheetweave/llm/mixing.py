@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, n_words, shelve
+from sheetweave.llm.shared import column, free_name, n_words, shelve
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -99,6 +99,20 @@ def _cut(queued: DataFrame, rows: int, epochs: int, share: float) -> DataFrame:
     )
 
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs with each row as often as mix() takes it, 0 to epochs times; all columns stay.
+
+    Texts are not shuffled by source: a number for each row carries the decision back to them.
+    """
+    row, copies = free_name(docs, "row"), free_name(docs, "copies")
+    held = shelve(docs.withColumn(row, F.monotonically_increasing_id()))
+    key = F.concat(F.coalesce(column(held, id_col).cast("string"), F.lit("null")), F.lit(":"), F.col(row).cast("string"))
+    taken = mix(held.select(key.alias("id"), column(held, text_col).alias("text"), column(held, source_col).alias("source")), "id", "text", "source", **how)
+    found = taken.where("copies > 0").select(F.substring_index("doc_id", ":", -1).cast("long").alias("of"), F.col("copies").cast("int").alias("n"))
+    out = held.join(found, F.col(row) == F.col("of"))
+    return out.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col("n")))).select(*[column(out, c) for c in docs.columns])
+
+
 #: The same rows as `mix` with its defaults, over a whole source at a time.
 SQL = f"""
 WITH d AS (
