@@ -1,0 +1,74 @@
+"""Training sets: splits, class indices, YOLO, COCO and OCR rows, manifest."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sheetweave.functions import geometry as G
+from sheetweave.functions.text import split_of
+
+
+def assign_splits(images: DataFrame) -> DataFrame:
+    """(image_id, split) by hash; of three or more images, valid and then test get the last train image if they have none
+    and train keeps one. Counts and the two last ids are one row, so nothing is sorted globally."""
+    rows = images.select("image_id").distinct().withColumn("split", split_of(F.col("image_id")))
+    train = F.col("split") == "train"
+    last = rows.where(train).orderBy(F.desc("image_id")).limit(2).agg(F.array_sort(F.collect_list("image_id")).alias("last"))
+    n = rows.agg(F.count("*").alias("n"), F.count_if(train).alias("train"), F.count_if(F.col("split") == "valid").alias("valid"), F.count_if(F.col("split") == "test").alias("test")).crossJoin(last)
+    needs_v, needs_t = (F.col("n") >= 3) & (F.col("valid") == 0) & (F.col("train") > 1), (F.col("n") >= 3) & (F.col("test") == 0)
+    takes_t = needs_t & (F.col("train") - needs_v.cast("int") > 1)
+    plan = n.select(F.when(needs_v, F.element_at("last", -1)).alias("to_valid"), F.when(takes_t & needs_v, F.try_element_at("last", F.lit(-2))).when(takes_t, F.element_at("last", -1)).alias("to_test"))
+    out = rows.crossJoin(F.broadcast(plan))  # one row
+    return out.select("image_id", F.when(F.col("image_id") == F.col("to_valid"), "valid").when(F.col("image_id") == F.col("to_test"), "test").otherwise(F.col("split")).alias("split"))
+
+
+def class_index(labels: DataFrame, first: int = 0) -> DataFrame:
+    """(label, idx): class names in order from `first` (0 for YOLO, 1 for COCO). One row per class."""
+    return labels.select("label").distinct().withColumn("idx", F.row_number().over(Window.orderBy("label")) - 1 + first)
+
+
+def yolo_rows(objects: DataFrame, index: DataFrame) -> DataFrame:
+    """Tile objects g0..g3 (with tw, th) as class index and centre box relative to the tile."""
+    g = G.quad("g")
+    out = objects.join(F.broadcast(index), "label")
+    return out.withColumns({"cx": (g[0] + g[2] / 2) / F.col("tw"), "cy": (g[1] + g[3] / 2) / F.col("th"), "rw": g[2] / F.col("tw"), "rh": g[3] / F.col("th")})
+
+
+def yolo_line() -> F.Column:
+    return F.format_string("%d %.6f %.6f %.6f %.6f", "idx", "cx", "cy", "rw", "rh")
+
+
+def coco_rows(arrows: DataFrame, index: DataFrame) -> DataFrame:
+    """Tile segments as padded boxes: first x and y are raised to 0 (width and height stay), then w and h are cut at the tile."""
+    x, y, w, h = G.segment_to_box(G.quad("g"))
+    out = arrows.join(F.broadcast(index), "label")
+    out = out.withColumns({"x": F.greatest(F.lit(0.0), x), "y": F.greatest(F.lit(0.0), y), "w0": w, "h0": h})
+    out = out.withColumns({"w": F.least("w0", F.col("tw") - F.col("x")), "h": F.least("h0", F.col("th") - F.col("y"))}).drop("w0", "h0")
+    return out.withColumn("area", F.col("w") * F.col("h"))
+
+
+def number_within(rows: DataFrame, part: str, order: list[str], name: str) -> DataFrame:
+    """Running ids from 0 within a split. Splits are few and large, so ids come in two steps: counts of hash-free ranges of
+    the order are added up first, then rows are numbered within their range."""
+    spark = rows.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(n, part, *order).withColumn("_p", F.spark_partition_id())
+    counts = ranged.groupBy(part, "_p").agg(F.count("*").alias("_n"))
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy(part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy(part, "_p").orderBy(*order)))
+    return numbered.join(F.broadcast(ahead), [part, "_p"]).withColumn(name, F.col("_ahead") + F.col("_i") - 1).drop("_p", "_i", "_ahead")
+
+
+def ocr_crops(texts: DataFrame, pad: int = 3) -> DataFrame:
+    """The pixel window x0, y0, x1, y1 of each text crop: whole pixels, padded, within the tile's lower edge; empty ones go."""
+    g = [F.bround(c, 0).cast("long") for c in G.quad("g")]
+    out = texts.withColumns({"x0": F.greatest(F.lit(0), g[0] - pad), "y0": F.greatest(F.lit(0), g[1] - pad), "x1": F.least(g[0] + g[2] + pad, F.col("tw").cast("long")), "y1": F.least(g[1] + g[3] + pad, F.col("th").cast("long"))})
+    return out.where("x1 > x0 AND y1 > y0")
+
+
+def manifest(detections: DataFrame) -> DataFrame:
+    """One row: sorted class lists and counts per kind."""
+    per = detections.groupBy("kind", "label").agg(F.count("*").alias("n"))
+    names = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("label"))))
+    return per.agg(names("object").alias("object_classes"), names("arrow").alias("arrow_classes"), F.sum("n").alias("items"))

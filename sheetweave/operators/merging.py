@@ -1,0 +1,209 @@
+"""Detections of overlapping tiles merged into one list per page.
+
+candidates -> seam pairs -> match edges -> components -> fused rows. `by` names the columns that tell pages apart.
+Detections: by..., tile_idx, tile_id, kind (object, ocr, arrow), item_idx, g0..g3 (tile pixels), label, confidence.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sheetweave.functions import geometry as G
+from sheetweave.functions.text import join_fragments
+from sheetweave.operators.tiling import tile_grid, tile_pairs
+from sheetweave.settings import Settings
+
+BY = ("page",)
+KIND_RANK = {"object": 0, "ocr": 1, "arrow": 2}
+
+
+def apply_thresholds(detections: DataFrame, s: Settings) -> DataFrame:
+    """Keep confidences at or above their kind's threshold; a null confidence (ground truth) passes."""
+    least = F.when(F.col("kind") == "object", s.detector_conf).when(F.col("kind") == "arrow", s.line_conf).otherwise(s.ocr_conf)
+    return detections.where(F.col("confidence").isNull() | (F.col("confidence") >= least))
+
+
+def candidates(detections: DataFrame, s: Settings) -> DataFrame:
+    """Detections in canvas pixels with uid, ord (place in the input) and bounding box b0..b3. tx, ty follow from the grid."""
+    grid = F.broadcast(tile_grid(detections.sparkSession, s).select("tile_id", F.col("idx").alias("_idx"), F.col("tx").cast("double").alias("_x"), F.col("ty").cast("double").alias("_y")))
+    rows = detections.drop("tile_idx").join(grid, "tile_id")
+    g, arrow = G.quad("g"), F.col("kind") == "arrow"
+    moved = (g[0] + F.col("_x"), g[1] + F.col("_y"), F.when(arrow, g[2] + F.col("_x")).otherwise(g[2]), F.when(arrow, g[3] + F.col("_y")).otherwise(g[3]))
+    rank = F.when(arrow, 2).when(F.col("kind") == "ocr", 1).otherwise(0)
+    rows = rows.withColumns({**{f"g{i}": v for i, v in enumerate(moved)}, "uid": F.concat_ws(":", "tile_id", "kind", F.col("item_idx").cast("string")), "ord": (F.col("_idx").cast("long") * 3 + rank) * 1_000_000 + F.col("item_idx"), "tile_idx": F.col("_idx")}).drop("_idx", "_x", "_y")
+    box = G.segment_box(G.quad("g"))
+    return rows.withColumns({f"b{i}": F.when(arrow, v).otherwise(F.col(f"g{i}")) for i, v in enumerate(box)})
+
+
+def seam_candidates(cands: DataFrame, s: Settings, by: tuple = BY) -> DataFrame:
+    """Candidates near the seam of each pair their tile is in: side a or b, pair columns kept. The pairs are a few rows."""
+    pairs = tile_pairs(tile_grid(cands.sparkSession, s), s.seam_margin)
+    sides = pairs.withColumn("tile_id", F.explode(F.array("a", "b"))).withColumn("side", F.when(F.col("tile_id") == F.col("a"), "a").otherwise("b"))
+    b, seam = G.quad("b"), G.quad("s")
+    wide = (b[0] - 1, b[1] - 1, b[2] + 2, b[3] + 2)
+    return cands.join(F.broadcast(sides.withColumnRenamed("b", "_other").drop("a", "_other")), "tile_id").where(G.overlaps(wide, seam))
+
+
+def active_pairs(near: DataFrame, by: tuple = BY) -> DataFrame:
+    """(by, pair_ord) with candidates, of any kind, on both sides."""
+    return near.groupBy(*by, "pair_ord").agg(F.max(F.col("side") == "a").alias("l"), F.max(F.col("side") == "b").alias("r")).where("l AND r").select(*by, "pair_ord")
+
+
+def same_object(a: G.Quad, b: G.Quad, over: G.Quad, s: Settings) -> Column:
+    return (G.clipped_iou(a, b, over) >= s.overlap_iou) | (G.iou(a, b) >= s.overlap_iou)
+
+
+def same_arrow(a: G.Quad, b: G.Quad, s: Settings) -> Column:
+    """The line of a is the measure: near angle, both ends of b near the line, ends not far apart."""
+    return (
+        (G.angle_difference(G.angle(a), G.angle(b)) <= s.angle_tol_deg)
+        & (F.greatest(G.line_distance(b[0], b[1], a), G.line_distance(b[2], b[3], a)) <= s.line_dist_tol)
+        & (G.segment_gap(a, b) <= s.endpoint_tol)
+    )
+
+
+def same_text(a: G.Quad, b: G.Quad, over: G.Quad, orientation: Column, s: Settings) -> Column:
+    level = F.abs((a[1] + a[3] / 2) - (b[1] + b[3] / 2)) <= 0.5 * F.least(a[3], b[3])
+    alike = F.least(a[3], b[3]) / F.greatest(a[3], b[3], F.lit(1e-6)) >= 0.6
+    gap = F.greatest(b[0] - (a[0] + a[2]), a[0] - (b[0] + b[2]))
+    return (G.clipped_iou(a, b, over) >= s.overlap_iou) | ((orientation == "vertical") & level & alike & (gap <= s.endpoint_tol))
+
+
+def match_edges(near: DataFrame, s: Settings, by: tuple = BY) -> DataFrame:
+    """(by, kind, pair_ord, src, dst): candidates of the two sides of a pair that show the same thing. An equi-join on
+    page, pair and kind with the rule as residual; its groups are what one seam of one page shows."""
+    keys = [*by, "pair_ord", "kind"]
+    left = near.where("side = 'a'").select(*keys, "orientation", "o0", "o1", "o2", "o3", F.col("uid").alias("src"), *[F.col(f"g{i}").alias(f"p{i}") for i in range(4)])
+    right = near.where("side = 'b'").select(*keys, F.col("uid").alias("dst"), *[F.col(f"g{i}").alias(f"q{i}") for i in range(4)])
+    p, q, o = G.quad("p"), G.quad("q"), G.quad("o")
+    rule = F.when(F.col("kind") == "object", same_object(p, q, o, s)).when(F.col("kind") == "arrow", same_arrow(p, q, s)).otherwise(same_text(p, q, o, F.col("orientation"), s))
+    return left.join(right, keys).where(rule).select(*by, "kind", "pair_ord", "src", "dst")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share, and read again: cuts the lineage of the rounds below."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = f"file://{tempfile.mkdtemp(prefix='sheetweave-')}"
+        spark.sparkContext.setCheckpointDir(at)
+    path = f"{at.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame, by: tuple = BY) -> DataFrame:
+    """(by, uid, root) of every uid with an edge: the least uid of its component within the page.
+
+    Each round hands every node the least label among its neighbours, then follows that label's own label (pointer
+    jumping), so rounds grow with the logarithm of a chain's length."""
+    both = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"))
+    both = _kept(both.unionByName(both.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = _kept(both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
+    while True:
+        around = both.join(labels.select(*by, F.col("u").alias("v"), F.col("l").alias("n")), [*by, "v"]).groupBy(*by, "u").agg(F.min("n").alias("n"))
+        step = labels.join(around, [*by, "u"]).select(*by, "u", F.least("l", "n").alias("l"), F.col("l").alias("was"))
+        jump = step.select(*by, F.col("u").alias("l"), F.col("l").alias("far"))
+        new = _kept(step.join(jump, [*by, "l"]).select(*by, "u", F.least("l", "far").alias("l"), "was"))
+        changed = new.where("l <> was").limit(1).count()
+        labels = new.drop("was")
+        if not changed:
+            return labels.select(*by, F.col("u").alias("uid"), F.col("l").alias("root"))
+
+
+def grouped(cands: DataFrame, roots: DataFrame, by: tuple = BY) -> DataFrame:
+    """Candidates with root; those without an edge are their own."""
+    return cands.join(roots, [*by, "uid"], "left").withColumn("root", F.coalesce("root", "uid"))
+
+
+def vote(members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label): most summed confidence (0.5 where null), then longest, then first seen. Sums are exact decimals."""
+    each = members.groupBy(*keys, "label").agg(F.sum(F.coalesce(F.col("confidence"), F.lit(0.5)).cast("decimal(18,6)")).alias("score"), F.min("ord").alias("first"))
+    return each.groupBy(*keys).agg(F.max_by("label", F.struct("score", F.length("label"), -F.col("first"))).alias("label"))
+
+
+def _common(by: tuple) -> list[Column]:
+    return [F.min("ord").alias("group_ord"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("tile_id")).alias("source_tiles"), F.count("*").alias("members")]
+
+
+def _boxes(members: DataFrame, keys: list[str], by: tuple, *more: Column) -> DataFrame:
+    x2, y2 = F.max(F.col("g0") + F.col("g2")), F.max(F.col("g1") + F.col("g3"))
+    out = members.groupBy(*keys).agg(F.min("g0").alias("g0"), F.min("g1").alias("g1"), x2.alias("_x2"), y2.alias("_y2"), *_common(by), *more)
+    return out.withColumns({"g2": F.col("_x2") - F.col("g0"), "g3": F.col("_y2") - F.col("g1")}).drop("_x2", "_y2")
+
+
+def fuse_objects(members: DataFrame, by: tuple = BY) -> DataFrame:
+    keys = [*by, "root"]
+    return _boxes(members, keys, by).join(vote(members, keys), keys)
+
+
+def fuse_arrows(members: DataFrame, by: tuple = BY) -> DataFrame:
+    """The first longest member gives the direction; the ends are the members' outermost endpoints along it."""
+    keys = [*by, "root"]
+    ref = members.groupBy(*keys).agg(F.max_by(F.struct(*[f"g{i}" for i in range(4)]), F.struct(G.length(G.quad("g")), -F.col("ord"))).alias("r"))
+    rows = members.join(ref, keys)
+    dx, dy = F.col("r.g2") - F.col("r.g0"), F.col("r.g3") - F.col("r.g1")
+    n = G.distance(dx, dy)
+    n = F.when(n == 0, 1.0).otherwise(n)
+    at = lambda x, y: F.struct(((x - F.col("r.g0")) * (dx / n) + (y - F.col("r.g1")) * (dy / n)).alias("p"), x.alias("x"), y.alias("y"))
+    g = G.quad("g")
+    rows = rows.withColumns({"_a": at(g[0], g[1]), "_b": at(g[2], g[3])})
+    out = rows.groupBy(*keys).agg(F.min(F.least("_a", "_b")).alias("lo"), F.max(F.greatest("_a", "_b")).alias("hi"), F.min_by(F.struct(*[f"g{i}" for i in range(4)]), "ord").alias("one"), *_common(by))
+    single = F.col("members") == 1
+    ends = (F.col("lo.x"), F.col("lo.y"), F.col("hi.x"), F.col("hi.y"))
+    out = out.withColumns({f"g{i}": F.when(single, F.col(f"one.g{i}")).otherwise(e) for i, e in enumerate(ends)}).drop("lo", "hi", "one")
+    return out.join(vote(members, keys), keys)
+
+
+def fuse_texts(members: DataFrame, by: tuple = BY) -> DataFrame:
+    """Fragments folded in reading order; two readings of one region keep the fuller one. Members are those of one text."""
+    keys = [*by, "root"]
+    item = F.struct("g0", "g1", "g2", "g3", "ord", "label")
+    out = _boxes(members, keys, by, F.collect_list(item).alias("m"), F.min(F.col("g3") > 2 * F.col("g2")).alias("upright"))
+    order = lambda a, b: F.transform(F.array_sort(F.transform("m", lambda x: F.struct(x[a].alias("p"), x[b].alias("q"), x["ord"].alias("o"), x.alias("x")))), lambda y: y["x"])
+    out = out.withColumn("m", F.when(F.col("upright"), order("g1", "g0")).otherwise(order("g0", "g1")))
+    box = lambda x: tuple(x[f"g{i}"] for i in range(4))
+
+    def fold(acc: Column, x: Column) -> Column:
+        joined = join_fragments(acc["label"], x["label"])
+        a, b = box(acc), box(x)
+        twice = G.overlaps(a, b) & (G.area(G.intersection(a, b)) >= 0.6 * F.least(G.area(a), G.area(b)))
+        fuller = F.when(F.length(x["label"]) > F.length(acc["label"]), x["label"]).otherwise(acc["label"])
+        label = F.coalesce(joined, F.when(twice, fuller).otherwise(F.concat_ws(" ", acc["label"], x["label"])))
+        x0, y0 = F.least(a[0], b[0]), F.least(a[1], b[1])
+        return F.struct(x0.alias("g0"), y0.alias("g1"), (F.greatest(a[0] + a[2], b[0] + b[2]) - x0).alias("g2"), (F.greatest(a[1] + a[3], b[1] + b[3]) - y0).alias("g3"), label.alias("label"))
+
+    first = F.get("m", F.lit(0))
+    start = F.struct(*[first[f"g{i}"].alias(f"g{i}") for i in range(4)], first["label"].alias("label"))
+    return out.withColumn("label", F.aggregate(F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0))), start, fold)["label"]).drop("m", "upright")
+
+
+def merge(detections: DataFrame, s: Settings, by: tuple = BY) -> DataFrame:
+    """(by, kind, g0..g3, label, confidence, source_tiles, members, group_ord): the merged rows of every page.
+
+    Order within a page and kind is (g1, g0, group_ord). Pages without detections give no rows; items that no rule
+    joins come out as they are; a null confidence stays null where all of a group's are."""
+    cands = candidates(detections, s)
+    near = seam_candidates(cands, s, by)
+    near = near.join(active_pairs(near, by), [*by, "pair_ord"], "left_semi")
+    members = grouped(cands, components(match_edges(near, s, by), by), by)
+    fused = {"object": fuse_objects, "arrow": fuse_arrows, "ocr": fuse_texts}
+    columns = [*by, "kind", "g0", "g1", "g2", "g3", "label", "confidence", "source_tiles", "members", "group_ord"]
+    parts = [f(members.where(F.col("kind") == k), by).withColumn("kind", F.lit(k)).select(*columns) for k, f in fused.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def report(merged: DataFrame, near: DataFrame, by: tuple = BY) -> DataFrame:
+    """(by, pairs, merged_groups): seams compared and groups of more than one member on each page."""
+    pairs = active_pairs(near, by).groupBy(*by).agg(F.count("*").alias("pairs"))
+    groups = merged.groupBy(*by).agg(F.count_if(F.col("members") > 1).alias("merged_groups"))
+    return groups.join(pairs, [*by], "left").select(*by, F.coalesce("pairs", F.lit(0)).alias("pairs"), "merged_groups")
+
+
+def in_order(merged: DataFrame, by: tuple = BY) -> DataFrame:
+    """Merged rows with place, their position within page and kind."""
+    return merged.withColumn("place", F.row_number().over(Window.partitionBy(*by, "kind").orderBy("g1", "g0", "group_ord")))

@@ -1,0 +1,300 @@
+"""The registered queries of the drawing operators, each over its whole input."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheetweave.functions import geometry as G
+from sheetweave.functions import text as T
+from sheetweave.operators import datasets, drift, evaluation, jobs, merging, slicing, tiling
+from sheetweave.plans import fixtures
+from sheetweave.settings import Settings
+
+S = Settings()
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _cands(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return merging.candidates(merging.apply_thresholds(fixtures.detections(spark, d, S, kind), S), S)
+
+
+def _near(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return merging.seam_candidates(_cands(spark, d, kind), S)
+
+
+def _members(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return merging.grouped(_cands(spark, d, kind), merging.components(merging.match_edges(_near(spark, d, kind), S)))
+
+
+def tile_starts(spark, d):
+    rows = spark.createDataFrame([("a", 4096), ("b", 2896), ("c", 512), ("d", 1024), ("e", 1025)], "axis string, n int")
+    return rows.select("axis", F.array_join(tiling.starts_column(F.col("n"), F.lit(1024), F.lit(128)).cast("array<string>"), ",").alias("starts"))
+
+
+def tile_grid(spark, d):
+    return tiling.tile_grid(spark, S).select("idx", "tile_id", "tx", "ty", "tw", "th")
+
+
+def tile_pairs(spark, d):
+    return tiling.tile_pairs(tiling.tile_grid(spark, S), S.seam_margin)
+
+
+def canvas_fit(spark, d):
+    pages = _read(spark, d, "part").selectExpr("p_partkey AS page", "p_size * 97 AS orig_w", "CAST((p_partkey % 90 + 1) * 53 AS INT) AS orig_h")
+    return tiling.canvas_fit(pages, S).select("page", "rotated", "scale", "new_w", "new_h", "pad_x", "pad_y")
+
+
+def coords_round_trip(spark, d):
+    pages = _read(spark, d, "part").selectExpr("p_partkey AS page", "p_size * 97 AS orig_w", "CAST((p_partkey % 90 + 1) * 53 AS INT) AS orig_h", "CAST(p_size AS DOUBLE) AS x", "CAST(p_partkey % 31 AS DOUBLE) AS y")
+    fit = tiling.canvas_fit(pages, S)
+    t = {c: F.col(c) for c in ("rotated", "scale", "pad_x", "pad_y", "orig_h")}
+    x, y = G.to_original(*G.to_canvas(F.col("x"), F.col("y"), t), t)
+    return fit.select("page", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+def box_iou_pairs(spark, d):
+    a = fixtures.truth(spark, d, "object")
+    b = a.select("page", F.col("id").alias("b"), *[F.col(f"g{i}").alias(f"h{i}") for i in range(4)])
+    out = a.select("page", F.col("id").alias("a"), "g0", "g1", "g2", "g3").join(b, "page").where(F.col("a") < F.col("b"))
+    return out.select("a", "b", G.iou(G.quad("g"), G.quad("h")).alias("iou")).where("iou > 0")
+
+
+def segment_box_codec(spark, d):
+    t = fixtures.truth(spark, d, "arrow")
+    box = G.segment_to_box(G.quad("g"))
+    back = G.box_to_segment(box)
+    form = F.when(box[2] >= 3 * box[3], "level").when(box[3] >= 3 * box[2], "upright").otherwise("diagonal")
+    return t.select("id", form.alias("form"), *[v.alias(f"s{i}") for i, v in enumerate(back)])
+
+
+def _slices(kind, digits=None):
+    def run(spark, d):
+        g = [F.round(f"g{i}", digits).alias(f"g{i}") if digits else F.col(f"g{i}") for i in range(4)]
+        return fixtures.detections(spark, d, S, kind).select("page", "id", "tile_id", F.col("item_idx").cast("long").alias("item_idx"), *g, "label")
+    return run
+
+
+def apply_thresholds(spark, d):
+    return merging.apply_thresholds(fixtures.detections(spark, d, S), S).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def seam_candidates(spark, d):
+    return _near(spark, d, "object").groupBy("pair_ord", "side").agg(F.count("*").alias("n"))
+
+
+def active_pairs(spark, d):
+    return merging.active_pairs(_near(spark, d, "object"))
+
+
+def _matches(kind):
+    return lambda spark, d: merging.match_edges(_near(spark, d, kind), S).select("page", "pair_ord", "src", "dst")
+
+
+def components(spark, d):
+    return merging.components(merging.match_edges(_near(spark, d, "object"), S))
+
+
+def _out(df: DataFrame, digits: int | None = None) -> DataFrame:
+    g = [F.round(f"g{i}", digits).alias(f"g{i}") if digits else F.col(f"g{i}") for i in range(4)]
+    return df.select("page", "root", *g, "label", "confidence", F.array_join("source_tiles", ",").alias("source_tiles"), "members")
+
+
+def merge_objects(spark, d):
+    return _out(merging.fuse_objects(_members(spark, d, "object")))
+
+
+def merge_arrows(spark, d):
+    return _out(merging.fuse_arrows(_members(spark, d, "arrow")), 6)
+
+
+def merge_text(spark, d):
+    """Folding of fragments has no SQL form; text_groups checks its groups and boxes, tests its labels."""
+    return _out(merging.fuse_texts(_members(spark, d, "ocr")))
+
+
+def text_groups(spark, d):
+    return merge_text(spark, d).select("page", "root", "g0", "g1", "g2", "g3", "confidence", "members")
+
+
+def merged_pages(spark, d):
+    """All kinds of all pages, in page order, one row per item."""
+    det = merging.apply_thresholds(fixtures.detections(spark, d, S), S)
+    return merging.in_order(merging.merge(det, S)).select("page", "kind", "place", "g0", "g1", "g2", "g3", "label", "confidence", "members")
+
+
+def class_vote(spark, d):
+    return merging.vote(_members(spark, d, "object"), ["page", "root"])
+
+
+def merge_report(spark, d):
+    near = _near(spark, d, "object")
+    fused = merging.fuse_objects(_members(spark, d, "object"))
+    return merging.report(fused, near)
+
+
+def page_counts(spark, d):
+    k = fixtures.detections(spark, d, S).groupBy("page")
+    return k.agg(*[F.count_if(F.col("kind") == a).alias(b) for a, b in (("object", "objects"), ("ocr", "ocr"), ("arrow", "arrows"))])
+
+
+def _profiles(spark, d) -> DataFrame:
+    e = _read(spark, d, "events").selectExpr("user_id % 10 AS job", "CAST(ts AS DATE) AS day", "'object' AS kind", "event_type AS label", "CAST((event_id * 37) % 100 AS DOUBLE) / 100 AS confidence", "hour(ts) AS hr")
+    return drift.profile(e, e.groupBy("job", "day").agg(F.countDistinct("hr").alias("n_tiles")), by=("job", "day"))
+
+
+def drift_profile(spark, d):
+    p = _profiles(spark, d)
+    return p.select("job", "day", "n_tiles", F.explode("object_class_dist").alias("label", "share"), F.round("objects_per_tile", 9).alias("objects_per_tile"), F.round("mean_confidence", 9).alias("mean_confidence")).withColumn("share", F.round("share", 9))
+
+
+def average_profile(spark, d):
+    a = drift.average(_profiles(spark, d), by=("job",))
+    return a.select("job", "n_tiles", F.explode("object_class_dist").alias("label", "share"), F.round("objects_per_tile", 9).alias("objects_per_tile")).withColumn("share", F.round("share", 9))
+
+
+def drift_compare(spark, d):
+    p = _profiles(spark, d)
+    cols = [*drift.DISTS, *drift.RATES, "mean_confidence"]
+    base = drift.average(p, by=("job",)).select("job", F.struct(*cols).alias("baseline"))
+    out = drift.compare(p.select("job", "day", F.struct(*cols).alias("current")).join(base, "job", "left"), S)
+    return out.select("job", "day", *[F.round(c, 7).alias(c) for c in ("object_class_psi", "objects_per_tile_shift", "confidence_drop")], "drift")
+
+
+def rolling_baseline(spark, d):
+    p = drift.rolling(_profiles(spark, d), S, ["objects_per_tile"], order="day", part="job")
+    return p.select("job", "day", F.round("base_objects_per_tile", 9).alias("base"))
+
+
+def recent_profiles(spark, d):
+    p = _profiles(spark, d).withColumn("created_at", F.struct("day", (-F.col("job")).alias("j")))
+    return drift.recent(p, 50).select("job", "day", "n_tiles")
+
+
+def latest_baseline(spark, d):
+    e = _read(spark, d, "events").groupBy(F.col("event_type").alias("name"), F.col("ts").alias("created_at")).agg(F.max("value").alias("profile"))
+    return drift.latest_baseline(e)
+
+
+def split_assignment(spark, d):
+    return datasets.assign_splits(_read(spark, d, "part").select(F.concat_ws("_", "p_name", F.col("p_partkey").cast("string")).alias("image_id")))
+
+
+def class_index(spark, d):
+    labels = _read(spark, d, "part").select(F.col("p_type").alias("label"))
+    return datasets.class_index(labels).select("label", F.col("idx").cast("int").alias("yolo"), (F.col("idx") + 1).cast("int").alias("coco"))
+
+
+def _tiles(df: DataFrame) -> DataFrame:
+    return df.withColumns({"tw": F.lit(float(S.tile_size)), "th": F.lit(float(S.tile_size)), "item_idx": F.col("item_idx").cast("long")})
+
+
+def yolo_labels(spark, d):
+    o = _tiles(fixtures.detections(spark, d, S, "object"))
+    return datasets.yolo_rows(o, datasets.class_index(o)).select("page", "tile_id", "item_idx", F.col("idx").cast("int").alias("idx"), "cx", "cy", "rw", "rh")
+
+
+def coco_annotations(spark, d):
+    a = _tiles(fixtures.detections(spark, d, S, "arrow"))
+    rows = datasets.coco_rows(a, datasets.class_index(a, first=1)).withColumn("split", F.lit("train"))
+    rows = datasets.number_within(rows, "split", ["page", "tile_id", "item_idx"], "n")
+    return rows.select(F.col("n").cast("long").alias("id"), "page", "tile_id", "item_idx", F.col("idx").cast("int").alias("category_id"), *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+def ocr_crops(spark, d):
+    return datasets.ocr_crops(_tiles(fixtures.detections(spark, d, S, "ocr"))).select("page", "tile_id", "item_idx", "x0", "y0", "x1", "y1")
+
+
+def manifest(spark, d):
+    m = datasets.manifest(fixtures.detections(spark, d, S))
+    return m.select(F.array_join("object_classes", ",").alias("object_classes"), F.array_join("arrow_classes", ",").alias("arrow_classes"), "items")
+
+
+def ocr_cer(spark, d):
+    p = _read(spark, d, "part").selectExpr("p_name AS truth", "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(p_type, 'A', 'E') END AS read")
+    return evaluation.character_errors(p).select(F.round("cer", 9).alias("cer"), F.round("exact", 9).alias("exact"), "n")
+
+
+def champion_promotion(spark, d):
+    return evaluation.promotions(_read(spark, d, "customer").selectExpr("c_nationkey AS model", "c_custkey AS version", "c_acctbal AS metric"))
+
+
+def word_lines(spark, d):
+    w = _read(spark, d, "events").selectExpr("event_id % 40 AS page", "0 AS block", "event_id % 3 AS par", "event_id % 11 AS line", "(event_id * 37) % 2000 AS left", "(event_id * 13) % 9 AS top", "20 + event_id % 50 AS width", "12 AS height", "event_id % 101 - 1 AS conf", "event_type AS text")
+    return evaluation.word_lines(w).select("page", "par", "line", "x", "y", "w", "h", "text", F.round("confidence", 9).alias("confidence"))
+
+
+def hough_topk(spark, d):
+    e = _read(spark, d, "events").selectExpr("event_id % 7 AS tile", "event_id AS ord", "CAST((event_id * 7919) % 1400 AS DOUBLE) AS len", "1448.0D AS diag")
+    return evaluation.longest_lines(e, by=("tile",)).select("tile", "ord", F.round("score", 9).alias("score"))
+
+
+def contour_gate(spark, d):
+    e = _read(spark, d, "events").selectExpr("event_id AS id", "CAST(10 + event_id % 700 AS DOUBLE) AS w", "CAST(10 + (event_id * 7) % 700 AS DOUBLE) AS h", "event_id", "1024.0D AS tw", "1024.0D AS th")
+    e = e.withColumn("area", F.col("w") * F.col("h") * ((F.col("event_id") % 100) / F.lit(100.0)))
+    return evaluation.contour_gate(e).select("id", F.round("score", 9).alias("score"))
+
+
+def text_gate(spark, d):
+    return evaluation.text_gate(_read(spark, d, "events").selectExpr("event_id AS id", "event_id % 400 AS w", "event_id % 110 AS h", "(event_id % 100) / 100.0D AS density")).select("id")
+
+
+def recent_jobs(spark, d):
+    j = _read(spark, d, "orders").selectExpr("o_orderkey AS job_id", "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status", "o_orderdate AS created_at")
+    return jobs.recent_jobs(j, "succeeded")
+
+
+def job_state(spark, d):
+    e = _read(spark, d, "events").selectExpr("event_id % 500 AS job_id", "ts", "element_at(array('queued', 'running', 'succeeded', 'failed'), CAST(event_id % 4 AS INT) + 1) AS status", "CAST(null AS STRING) AS error")
+    return jobs.job_state(e).select("job_id", "status", "created_at")
+
+
+def request_log_summary(spark, d):
+    e = _read(spark, d, "events").selectExpr("CASE event_id % 5 WHEN 0 THEN '/healthz' ELSE concat('/v1/', event_type) END AS path", "CASE WHEN event_id % 17 = 0 THEN 500 ELSE 200 END AS status_code", "value AS latency_ms")
+    return jobs.request_summary(e).withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+def feedback_valid(spark, d):
+    f = _read(spark, d, "events").selectExpr("event_id AS id", "event_id % 3000 AS job_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 8 END AS rating", "'' AS comment")
+    return jobs.valid_feedback(f, _read(spark, d, "orders").selectExpr("o_orderkey AS job_id")).select("id")
+
+
+def upload_validation(spark, d):
+    p = _read(spark, d, "pages").selectExpr("page_id", "concat('drawing_', page_id, element_at(array('.PDF', '.png', '.exe', '.tiff'), CAST(page_id % 4 AS INT) + 1)) AS name", "(page_id % 5) * 20000000 AS size")
+    return p.select("page_id", jobs.upload_status(F.col("name"), F.col("size"), S.max_upload_mb).alias("code"))
+
+
+def result_gate(spark, d):
+    asked = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id")).distinct()
+    known = _read(spark, d, "orders").where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS job_id", "CASE WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'running' END AS status")
+    results = asked.where("job_id % 5 <> 0")
+    return jobs.result_status(asked.join(known, "job_id", "left"), results).select("job_id", "code")
+
+
+def text_join(spark, d):
+    e = _read(spark, d, "events").selectExpr("event_id AS id", "concat('M', event_id % 97, ' ', event_type) AS a", "concat(substring(event_type, CAST(event_id % 4 AS INT) + 1), '-', event_id % 7) AS b")
+    return e.select("id", T.merge_text(F.col("a"), F.col("b")).alias("joined"))
+
+
+def ascii_labels(spark, d):
+    return _read(spark, d, "documents").select("doc_id", T.ascii_label(F.substring("text", 1, 40)).alias("label"))
+
+
+def state_upsert(spark, d):
+    table = _read(spark, d, "orders").selectExpr("o_orderkey AS job_id", "o_orderstatus AS status")
+    return jobs.upsert(table, table.where("job_id % 10 = 0").withColumn("status", F.lit("archived")), ["job_id"])
+
+
+QUERIES = {
+    **{f.__name__: f for f in (
+        tile_starts, tile_grid, tile_pairs, canvas_fit, coords_round_trip, box_iou_pairs, segment_box_codec, apply_thresholds, seam_candidates, active_pairs, components,
+        merge_objects, merge_arrows, merge_text, text_groups, merged_pages, class_vote, merge_report, page_counts, drift_profile, average_profile, drift_compare, rolling_baseline,
+        recent_profiles, latest_baseline, split_assignment, class_index, yolo_labels, coco_annotations, ocr_crops, manifest, ocr_cer, champion_promotion, word_lines, hough_topk,
+        contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert,
+    )},
+    "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
+    "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),
+}
