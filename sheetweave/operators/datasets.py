@@ -49,15 +49,14 @@ def coco_rows(arrows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def number_within(rows: DataFrame, part: str, order: list[str], name: str) -> DataFrame:
-    """Running ids from 0 within a split. Splits are few and large, so ids come in two steps: counts of hash-free ranges of
-    the order are added up first, then rows are numbered within their range."""
-    spark = rows.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, part, *order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy(part, "_p").agg(F.count("*").alias("_n"))
-    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy(part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy(part, "_p").orderBy(*order)))
-    return numbered.join(F.broadcast(ahead), [part, "_p"]).withColumn(name, F.col("_ahead") + F.col("_i") - 1).drop("_p", "_i", "_ahead")
+    """Running ids from 0 within a split, in two steps: the counts of each value of the first order column are added up (one
+    small row per value), then rows are numbered among those of their value. No task sees a whole split's rows."""
+    head = order[0]
+    counts = rows.groupBy(part, head).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(part).orderBy(head).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(part, head).orderBy(*order[1:])))
+    return numbered.join(ahead, [part, head]).withColumn(name, F.col("_ahead") + F.col("_i") - 1).drop("_i", "_ahead")
 
 
 def ocr_crops(texts: DataFrame, pad: int = 3) -> DataFrame:
