@@ -1,0 +1,249 @@
+"""Language-model scores by stupid backoff (Brants et al., 2007), with relational count tables.
+
+Words and neighbouring pairs are counted over the whole corpus. S(w | v) = c(v w) / c(v) if other documents hold the
+pair (the document's own occurrences are taken off c(v w), so a text does not vouch for itself), else 0.4 c(w) / N; c(v)
+counts v with a successor. The first word is scored as one backed off. A document's score is the mean of the natural
+logarithms over its words.
+
+How the tables meet: pairs leave each document once, with their number in it, and are hashed by their context (a
+frequent context by the whole pair); counts are taken and joined within the partition, and what a partition knows of a
+document leaves as one sum. Two small tables of fixed size are looked up instead of shuffled: the HEAD most frequent
+words with their exact counts, and the exact counts of pairs of the CORE most frequent words, so that no pair which a
+large share of all documents holds is a key of the shuffle. Backed-off words outside the head are joined to the
+unigram table. Words are numbers: a head word its rank, others 31 bits of their hash, so rare words that collide share
+counts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sheetweave.llm.shared import column, shelve, text_bytes
+
+BACKOFF = 0.4
+HEAD = 1 << 15
+CORE = 512
+#: Rows that one step of the joined counts works on; a pair's rows are held together.
+STEP = 500_000
+#: Words whose hash a worker remembers.
+REMEMBERED = 1_000_000
+
+
+@dataclass(frozen=True, repr=False)
+class Head:
+    """Frequent words by rank: hash, count, count as context; total: all words; core: counts of pairs by rank."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    total: int
+    core: np.ndarray | None = None
+    size: int = HEAD
+    core_size: int = CORE
+
+    @property
+    def rare(self) -> int:
+        """Codes for words outside the head; the code `size` stands for the missing context of a first word."""
+        return (1 << 31) - self.size - 1
+
+
+def hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """32-bit hashes of the words of a text, A-Z lowered; known remembers them."""
+    from xxhash import xxh32_intdigest
+
+    w = text.lower().split()
+    try:
+        return np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+    except KeyError:
+        if len(known) > REMEMBERED:
+            known.clear()
+        for x in set(w).difference(known):
+            known[x] = xxh32_intdigest(x)
+        return np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+
+
+def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[bytes, int] = {}
+    for b in batches:
+        h = [hashes(x.as_py(), known) for x in b.column(0)]
+        w, at, c = np.unique(np.concatenate([np.empty(0, np.int64), *h]), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(x) for x in h]) - 1
+        last = np.bincount(at[ends[[len(x) > 0 for x in h]]] if len(at) else at, minlength=len(w))
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64)), pa.array((c - last).astype(np.int64))], ["w", "c", "cc"])
+
+
+def _codes(h: np.ndarray, head: Head, order: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Ranks of head words; other words above, in 31 bits. order sorts the head's hashes."""
+    other = head.size + 1 + h % head.rare
+    if not len(sorted_):
+        return other
+    at = np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)
+    return np.where(sorted_[at] == h, order[at], other)
+
+
+def _core_pairs(head: Head):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        order, n = np.argsort(head.hashes), head.core_size
+        sorted_, sums = head.hashes[order], np.zeros(n * n, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                k = _codes(hashes(x.as_py(), known), head, order, sorted_)
+                both = (k[:-1] < n) & (k[1:] < n)
+                np.add.at(sums, k[:-1][both] * n + k[1:][both], 1)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
+
+    return run
+
+
+def _backed_off(c: np.ndarray, total: int) -> np.ndarray:
+    return np.log(BACKOFF) + np.log(c) - np.log(total)
+
+
+def _exploded(head: Head, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of each document as (key, doc, tf > 0); and one row (tf = -words) with what the tables above settle."""
+        from pyspark import TaskContext
+
+        known: dict[bytes, int] = {}
+        order = np.argsort(head.hashes)
+        sorted_ = head.hashes[order]
+        doc = TaskContext.get().partitionId() << 33
+        for b in batches:
+            keys, docs, tfs, vals, founds, ids = [], [], [], [], [], []
+            for i, x in enumerate(b.column(0)):
+                k = _codes(hashes(x.as_py(), known), head, order, sorted_)
+                doc += 1
+                val, found = 0.0, 0
+                if len(k) and k[0] < head.size:
+                    val += float(_backed_off(head.counts[k[0]], head.total))
+                pairs, tf = np.unique(k[:-1] << 32 | k[1:], return_counts=True)
+                if len(k) and k[0] > head.size:
+                    pairs, tf = np.append(pairs, head.size << 32 | k[0]), np.append(tf, 1)
+                v, w = pairs >> 32, pairs & 0xFFFFFFFF
+                core = (v < head.core_size) & (w < head.core_size)
+                if core.any():
+                    cv, cw, ct = v[core], w[core], tf[core]
+                    others = head.core[cv * head.core_size + cw] - ct
+                    seen = others > 0
+                    val += float((ct[seen] * (np.log(others[seen]) - np.log(head.contexts[cv[seen]]))).sum() + (ct[~seen] * _backed_off(head.counts[cw[~seen]], head.total)).sum())
+                    found += int(ct[seen].sum())
+                    pairs, tf = pairs[~core], tf[~core]
+                keys.append(np.append(pairs, (doc * 0x9E3779B97F4A7C15 & (1 << 63) - 1)))
+                docs.append(np.full(len(pairs) + 1, doc))
+                tfs.append(np.append(tf, -len(k)))
+                vals.append(np.append(np.zeros(len(pairs)), val))
+                founds.append(np.append(np.zeros(len(pairs), np.int64), found))
+                ids += [None] * len(pairs) + [i]
+            if not keys:
+                continue
+            own = b.column(1).take(pa.array(ids, pa.int64()))
+            out = [np.concatenate(x) for x in (keys, docs, tfs, vals, founds)]
+            for lo in range(0, len(ids), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in out] + [own[lo : lo + 100_000]], ["key", "doc", "tf", "val", "found", "id"])
+
+    return run
+
+
+def _joined(head: Head, id_type: pa.DataType, step: int):
+    names = ["doc", "val", "found", "words", "w", "tf", "id"]
+
+    def settle(key: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+        """Pairs sorted by key, all rows of each pair (of a rare context: of the context) at once."""
+        v, w = key >> 32, key & 0xFFFFFFFF
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        pair = np.repeat(np.add.reduceat(tf, start), np.diff(start, append=len(key)))
+        start = np.flatnonzero(np.diff(v, prepend=-1))
+        context = np.repeat(np.add.reduceat(tf, start), np.diff(start, append=len(key)))
+        if len(head.contexts):
+            context = np.where(v < head.size, head.contexts[np.minimum(v, len(head.contexts) - 1)], context)
+        others = np.where(v != head.size, pair - tf, 0)
+        seen = others > 0
+        val = np.zeros(len(key))
+        val[seen] = tf[seen] * (np.log(others[seen]) - np.log(context[seen]))
+        frequent = ~seen & (w < head.size)
+        val[frequent] = tf[frequent] * _backed_off(head.counts[w[frequent]], head.total)
+        rest = ~seen & ~frequent
+        docs, at = np.unique(doc, return_inverse=True)
+        n, m = len(docs), int(rest.sum())
+        columns = [
+            np.append(docs, doc[rest]), np.append(np.bincount(at, weights=val), np.zeros(m)), np.append(np.bincount(at, weights=tf * seen).astype(np.int64), np.zeros(m, np.int64)),
+            np.zeros(n + m, np.int64), np.append(np.full(n, -1), w[rest]), np.append(np.zeros(n, np.int64), tf[rest]),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.nulls(n + m, id_type)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            key, doc, tf = (b.column(i).to_numpy() for i in range(3))
+            direct = tf <= 0
+            if direct.any():
+                take = pa.array(np.flatnonzero(direct))
+                k = int(direct.sum())
+                yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(3).take(take), b.column(4).take(take), pa.array(-tf[direct]), pa.array(np.full(k, -1)), pa.array(np.zeros(k, np.int64)), b.column(5).take(take)], names)
+                key, doc, tf = key[~direct], doc[~direct], tf[~direct]
+            held.append((key, doc, tf))
+            n += len(key)
+            if n >= step:
+                key, doc, tf = (np.concatenate(x) for x in zip(*held))
+                # Up to the last change of context (of a frequent one: of pair); the rest may go on in the next batch.
+                v = key >> 32
+                cut = np.flatnonzero((np.diff(v) != 0) | ((np.diff(key) != 0) & (v[1:] <= head.size)))
+                at = cut[-1] + 1 if len(cut) else 0
+                if at:
+                    yield settle(key[:at], doc[:at], tf[:at])
+                held, n = [(key[at:], doc[at:], tf[at:])], len(key) - at
+        if n:
+            yield settle(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD, core_size: int = CORE, step: int = STEP) -> DataFrame:
+    """(id_col, n_words, n_found, log_score) for each row of docs.
+
+    n_found: words whose pair with the word before them other documents hold. log_score: the mean described above, null
+    for a text without words (empty or null). Rows stand for themselves, also where ids are null or repeat; repeated
+    rows count as other documents to each other. Other columns are ignored; an empty table gives an empty result.
+    """
+    text = docs.select(text_bytes(column(docs, text_col)).alias("text"))
+    uni = shelve(text.mapInArrow(_unigrams, "w bigint, c bigint, cc bigint").groupBy("w").agg(F.sum("c").alias("c"), F.sum("cc").alias("cc")))
+    # At most head_size rows reach the driver, and at most core_size squared sums.
+    top = uni.orderBy(F.desc("c"), "w").limit(head_size).toPandas()
+    total = int(uni.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    head = Head(top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64), top["cc"].to_numpy(np.int64), total, None, head_size, core_size)
+    sums = text.mapInArrow(_core_pairs(head), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    core = np.zeros(core_size**2, np.int64)
+    core[sums["pair"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    head = Head(head.hashes, head.counts, head.contexts, total, core, head_size, core_size)
+
+    body = docs.select(text_bytes(column(docs, text_col)).alias("text"), column(docs, id_col).alias("id"))
+    kind = body.schema["id"].dataType
+    arrow = pa.field("id", _arrow_type(kind)).type
+    rows = body.mapInArrow(_exploded(head, arrow), f"key bigint, doc bigint, tf bigint, val double, found bigint, id {kind.simpleString()}")
+    context = F.shiftrightunsigned("key", 32)
+    by = F.when(context <= head_size, F.col("key")).otherwise(context)
+    counted = rows.repartition(by).sortWithinPartitions("key").mapInArrow(_joined(head, arrow, step), f"doc bigint, val double, found bigint, words bigint, w bigint, tf bigint, id {kind.simpleString()}")
+    counted = shelve(counted)
+    rare = counted.where("w >= 0").select("doc", F.col("w").alias("code"), "tf")
+    frequent = docs.sparkSession.createDataFrame([(int(w),) for w in head.hashes], "w bigint")
+    tail = uni.join(F.broadcast(frequent), "w", "left_anti")  # at most head_size rows
+    codes = tail.select((F.col("w") % head.rare + head_size + 1).alias("of"), "c").groupBy("of").agg(F.sum("c").alias("c"))
+    late = rare.join(codes, F.col("code") == F.col("of")).select("doc", (F.col("tf") * (F.lit(float(np.log(BACKOFF))) + F.log("c") - F.lit(float(np.log(max(total, 1)))))).alias("val"))
+    none = F.lit(0).cast("long")
+    every = counted.where("w < 0").select("doc", "val", "found", "words", "id").unionByName(late.select("doc", "val", none.alias("found"), none.alias("words"), F.lit(None).cast(kind).alias("id")))
+    out = every.groupBy("doc").agg(F.sum("val").alias("val"), F.sum("found").alias("n_found"), F.sum("words").alias("n_words"), F.max("id").alias("id"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("val") / F.col("n_words")).alias("log_score"))
+
+
+def _arrow_type(kind):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)

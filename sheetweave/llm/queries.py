@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetweave.llm import ann, bpe, licenses, mixing, pii, quality, simhash, tokens, toxicity
+from sheetweave.llm import ann, bpe, licenses, lm, mixing, pii, quality, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, c = bpe.transcode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return docs.select("doc_id", *bpe.digest(docs[c]))
@@ -59,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_pii, op4_tokens, op5_quality, op7_bpe, op8_licenses, op9_neighbours, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_pii, op4_tokens, op5_quality, op6_lm, op7_bpe, op8_licenses, op9_neighbours, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
