@@ -29,7 +29,7 @@ SPAN = 2
 STEP = 1
 #: Bounds of the sample that the model is fitted on: documents of each class, and words of one document.
 TOXIC_DOCS = 1000
-CLEAN_DOCS = 4000
+CLEAN_DOCS = 3000
 DOC_WORDS = 8192
 #: Windows that one document adds to the sample at most.
 DOC_WINDOWS = 32
@@ -59,9 +59,13 @@ def split(text: bytes) -> list[bytes]:
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each n-gram, index of its word), sorted by word; each word has one at least."""
+    part = 1 << 14
+    if len(words) > part:  # piece by piece: the arrays below are many times the text
+        pieces = [grams(words[i : i + part]) for i in range(0, len(words), part)]
+        return np.concatenate([b for b, _ in pieces]), np.concatenate([o + np.int32(i * part) for i, (_, o) in enumerate(pieces)])
     joined = b"".join([b"<" + w + b">" for w in words])
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    of = np.repeat(np.arange(len(words)), sizes)
+    of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     text = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
     buckets, owners = [], []
     ends = np.cumsum(sizes)
@@ -74,9 +78,10 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         inside = np.arange(len(h)) + n <= ends[of[: len(h)]]
-        buckets.append((h >> np.uint64(40))[inside] % np.uint64(BUCKETS))
+        buckets.append(((h >> np.uint64(40))[inside] % np.uint64(BUCKETS)).astype(np.int32))
         owners.append(of[: len(h)][inside])
-    b, o = np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
+    b, o = np.concatenate(buckets), np.concatenate(owners)
+    del joined, text, of, buckets, owners
     order = np.argsort(o, kind="stable")
     return b[order], o[order]
 
@@ -107,7 +112,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.
     g, o = grams(list(ids))
     gram_n = np.bincount(o)
     odds, common = _odds(docs, toxic, g, o)
-    suspect = np.full(len(ids), -np.inf)
+    suspect = np.full(len(ids), -np.inf, np.float32)
     np.maximum.at(suspect, o, odds[g])
     rows, owner = [], []
     for d, w in enumerate(docs):
@@ -130,8 +135,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.
     keep = common[g] & in_use[o]
     g, o = g[keep], o[keep]
     live = np.unique(g)
-    g = np.searchsorted(live, g)
-    total = lambda to, values, n: np.stack([np.bincount(to, weights=v, minlength=n) for v in values])
+    g = np.searchsorted(live, g).astype(np.int32)
+    # One dimension at a time, so that no array of all n-grams times all dimensions is ever held.
+    total = lambda to, values, at, n: np.stack([np.bincount(to, weights=v[at], minlength=n) for v in values])
 
     table = rng.normal(0, 0.1, (DIM, len(live)))
     soft, bias = rng.normal(0, 0.1, (2, DIM)), np.zeros((2, 1))
@@ -139,8 +145,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.
     params = [table, soft, bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
-        word = total(o, table[:, g], len(ids)) / gram_n
-        mean = total(row_of, word[:, flat], len(rows)) / sizes
+        word = total(o, table, g, len(ids)) / gram_n
+        mean = total(row_of, word, flat, len(rows)) / sizes
         z = soft @ mean + bias
         p1 = 1 / (1 + np.exp(np.clip(z[0] - z[1], -50, 50)))
         if t == steps // 2:
@@ -151,8 +157,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.
             weight = np.where(keep, np.where(y == 1, 0.5 / (keep & (y == 1)).sum(), 0.5 / (1 - y).sum()), 0.0)
         d1 = weight * (p1 - y)
         dz = np.stack([-d1, d1])
-        dword = total(flat, ((soft.T @ dz) / sizes)[:, row_of], len(ids)) / gram_n
-        dtable = total(g, dword[:, o], len(live))
+        dword = total(flat, (soft.T @ dz) / sizes, row_of, len(ids)) / gram_n
+        dtable = total(g, dword, o, len(live))
         for k, grad in enumerate((dtable, dz @ mean.T, dz.sum(axis=1, keepdims=True))):
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad**2
@@ -175,7 +181,7 @@ def _odds(docs: list[np.ndarray], toxic: np.ndarray, g: np.ndarray, o: np.ndarra
             seen[y, np.unique(np.concatenate([g[starts[i] : starts[i + 1]] for i in u]))] += 1
     n = np.bincount(toxic, minlength=2)
     common = seen.sum(axis=0) >= LEAST_SEEN
-    return np.where(common, np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1)), -np.inf), common
+    return np.where(common, np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1)), -np.inf).astype(np.float32), common
 
 
 def _between(low: np.ndarray, high: np.ndarray) -> float:
@@ -227,8 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     body = docs.select(column(docs, id_col).alias("doc"), text_bytes(column(docs, text_col)).alias("text"))
     # No word spans more of a text than this, so the bound on words below is one on bytes that leave the executors.
     cut = body.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "y", F.substring("text", 1, 16 * DOC_WORDS).alias("text"))
-    rows = cut.dropDuplicates(["id"]).orderBy("id").collect()
-    return fit([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows], np.int64))
+    rows = cut.dropDuplicates(["id"]).orderBy("id").toArrow()
+    texts, toxic = rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.int64)
+    del rows
+    return fit(texts, toxic)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> tuple[DataFrame, str]:
