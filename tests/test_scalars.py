@@ -1,0 +1,87 @@
+import hashlib
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from sheetweave.functions import geometry as G
+from sheetweave.functions.text import ascii_label, md5_mod_1000
+from sheetweave.operators import datasets, drift
+from sheetweave.operators.tiling import canvas_fit
+from sheetweave.settings import Settings
+
+
+def quads(spark, rows):
+    names = [f"{p}{i}" for p in "ab" for i in range(4)]
+    return spark.createDataFrame([tuple(map(float, a + b)) for a, b in rows], ", ".join(f"{n} double" for n in names))
+
+
+def test_iou_and_clip(spark):
+    df = quads(spark, [((0, 0, 10, 10), (0, 0, 10, 10)), ((0, 0, 10, 10), (10, 0, 5, 5))])
+    got = [r[0] for r in df.select(G.iou(G.quad("a"), G.quad("b"))).collect()]
+    assert abs(got[0] - 1) < 1e-9 and got[1] == 0
+    df = quads(spark, [((-10, 5, 30, 5), (0, 0, 20, 20)), ((30, 30, 40, 40), (0, 0, 20, 20)), ((5, -3, 5, 50), (0, 0, 20, 20))])
+    ok, part = G.clip(G.quad("a"), G.quad("b"))
+    rows = df.select(ok, *part).collect()
+    assert [r[0] for r in rows] == [True, False, True] and list(rows[0])[1:] == [0, 5, 20, 5] and list(rows[2])[1:] == [5, 0, 5, 20]
+
+
+def test_random_geometry_against_plain_python(spark):
+    rng = random.Random(3)
+    rows = [(tuple(rng.randint(0, 50) for _ in range(4)), tuple(rng.randint(0, 50) for _ in range(4))) for _ in range(200)]
+    df = quads(spark, rows)
+    got = df.select(G.angle(G.quad("a")), G.segment_gap(G.quad("a"), G.quad("b")), G.line_distance(F.col("b0"), F.col("b1"), G.quad("a"))).collect()
+
+    def to_segment(px, py, s):
+        steps = [i / 2000 for i in range(2001)]
+        return min(math.dist((px, py), (s[0] + t * (s[2] - s[0]), s[1] + t * (s[3] - s[1]))) for t in steps)
+
+    for (a, b), r in zip(rows, got):
+        assert 0 <= r[0] <= 180
+        gap = min(to_segment(*b[:2], a), to_segment(*b[2:], a), to_segment(*a[:2], b), to_segment(*a[2:], b))
+        assert abs(r[1] - gap) < 0.05
+
+
+def test_segment_codec(spark):
+    rows = [((10, 50, 200, 50), False), ((30, 10, 30, 300), False), ((0, 100, 100, 0), True)]
+    df = spark.createDataFrame([(*map(float, s), up) for s, up in rows], "g0 double, g1 double, g2 double, g3 double, up boolean")
+    back = df.select(*G.box_to_segment(G.segment_to_box(G.quad("g")), up=F.col("up"))).collect()
+    assert [tuple(r) for r in back] == [tuple(map(float, s)) for s, _ in rows]
+
+
+def test_canvas_round_trip(spark):
+    pages = spark.createDataFrame([(1, 300, 600), (2, 500, 500), (3, 4096, 2896)], "page int, orig_w int, orig_h int")
+    fit = canvas_fit(pages, Settings(canvas_width=960, canvas_height=960))
+    t = {c: F.col(c) for c in ("rotated", "scale", "pad_x", "pad_y", "orig_h")}
+    for x, y in ((0, 0), (299, 599), (120, 40)):
+        for r in fit.select("rotated", "page", *G.to_original(*G.to_canvas(F.lit(float(x)), F.lit(float(y)), t), t)).collect():
+            assert r.rotated == (r.page == 1) and abs(r[2] - x) < 1e-6 and abs(r[3] - y) < 1e-6
+
+
+def test_md5_and_labels(spark):
+    ids = [f"IMG_{i:03d}" for i in range(50)]
+    df = spark.createDataFrame([(i,) for i in ids], "i string")
+    assert [r[0] for r in df.select(md5_mod_1000(F.col("i"))).collect()] == [int(hashlib.md5(i.encode()).hexdigest(), 16) % 1000 for i in ids]
+    assert spark.createDataFrame([("Ø25 ±0.1° é",)], "s string").select(ascii_label(F.col("s"))).first()[0] == "D25 +-0.1deg ?"
+
+
+def test_split_repair(spark):
+    ids = [i for i in (f"x{n}" for n in range(200)) if int(hashlib.md5(i.encode()).hexdigest(), 16) % 1000 < 800][:4]
+    got = {r.image_id: r.split for r in datasets.assign_splits(spark.createDataFrame([(i,) for i in ids], "image_id string")).collect()}
+    want = sorted(ids)
+    assert got[want[-1]] == "valid" and got[want[-2]] == "test" and got[want[0]] == got[want[1]] == "train"
+
+
+def test_drift(spark):
+    rows = [("p", "A", "object")] * 10 + [("p", "B", "object")] * 10 + [("q", "A", "object")] * 5 + [("q", "B", "object")] * 5 + [("r", "C", "object")] * 20
+    det = spark.createDataFrame([(p, k, c, 0.9) for p, c, k in rows], "page string, kind string, label string, confidence double")
+    tiles = spark.createDataFrame([("p", 10), ("q", 5), ("r", 5)], "page string, n_tiles long")
+    prof = {r.page: r for r in drift.profile(det, tiles).collect()}
+    assert prof["p"].object_class_dist == {"A": 0.5, "B": 0.5} and prof["p"].objects_per_tile == 2
+    cols = [*drift.DISTS, *drift.RATES, "mean_confidence"]
+    p = drift.profile(det, tiles)
+    base = p.where("page = 'p'").select(F.struct(*cols).alias("baseline"))
+    got = {r.page: r for r in drift.compare(p.select("page", F.struct(*cols).alias("current")).crossJoin(base), Settings()).collect()}
+    assert not got["q"].drift and "object_class_psi" in got["r"].flags and abs(got["p"].object_class_psi) < 1e-12
+    none = p.select("page", F.struct(*cols).alias("current")).withColumn("baseline", F.lit(None).cast(base.schema["baseline"].dataType))
+    assert {r.status for r in drift.compare(none, Settings()).collect()} == {"no_baseline"}
