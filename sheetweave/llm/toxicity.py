@@ -28,8 +28,8 @@ GRAMS = (3, 4, 5, 6)
 SPAN = 2
 STEP = 1
 #: Bounds of the sample that the model is fitted on: documents of each class, and words of one document.
-TOXIC_DOCS = 1000
-CLEAN_DOCS = 3000
+TOXIC_DOCS = 800
+CLEAN_DOCS = 2400
 DOC_WORDS = 8192
 #: Windows that one document adds to the sample at most.
 DOC_WINDOWS = 32
@@ -101,7 +101,7 @@ def windows(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - SPAN, STEP), n - SPAN)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.05, seed: int = 7) -> Model:
+def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 40, rate: float = 0.05, seed: int = 7) -> Model:
     """Train on texts with labels 0 or 1. Without texts of both classes the score is near 0 (or 1) for all."""
     rng = np.random.default_rng(seed)
     ids: dict[bytes, int] = {}
