@@ -156,7 +156,7 @@ KINDS = (
     ("iban", r"[A-Z]{2}\d\d", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     ("ip", r"\d\.\d", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
     ("date", r"\d[/.-]\d", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])", _date),
-    ("card", r"\d", r"(?<![\d+])\d(?:[ -]?\d){12,18}(?![ -]?\d)", _card),
+    ("card", r"\d", r"(?<![\d+.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\d-])", _card),
     ("ssn", r"\d[- ]\d", r"(?<![\d-])\d{3}([- ])\d{2}\1\d{4}(?![\d-])", _ssn),
     ("phone", r"\d", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{8,15}(?!\d)", _phone),
 )
@@ -168,17 +168,20 @@ _ANY = re.compile(rb"[0-9@=:]")
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in the given text. Earlier kinds win where values overlap."""
     spans: list[tuple[int, int, str, str]] = []
+    rest = text  # values found are blanked out here, so that none runs into a later kind's
     for kind, need, pattern, make in _PATTERNS:
-        if not need.search(text):
+        if not need.search(rest):
             continue
-        for m in pattern.finditer(text):
+        found = []
+        for m in pattern.finditer(rest):
             a, b = m.span(1) if kind == "secret" and m.re.groups else m.span()
-            if any(a < y and x < b for x, y, _, _ in spans):
-                continue
             new = make(key, text[a:b])
             if new is not None:
-                spans.append((a, b, kind, new))
-        spans.sort()
+                found.append((a, b, kind, new))
+        for a, b, _, _ in found:
+            rest = f"{rest[:a]}{chr(0) * (b - a)}{rest[b:]}"
+        spans += found
+    spans.sort()
     out, at = [], 0
     for a, b, _, new in spans:
         out += [text[at:a], new]
