@@ -51,16 +51,18 @@ def _spread(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, keep: str | None = None) -> DataFrame:
     """One row per row of docs: (doc_id, source, size, source_size, target, copies, taken).
 
     size: words of the text (null text: 0). copies: times the mix takes the document, 0 to epochs; taken = copies * size.
     The order of a source is that of md5(seed, id), so reruns and other partitionings agree. A null source is a source
     of its own, the last; a null id is an id like any other; repeated rows each count; documents without words take no
-    budget; an empty table gives an empty result. Other columns of docs are ignored, whatever their names.
+    budget; an empty table gives an empty result. Other columns of docs are ignored, whatever their names, but for the one named
+    `keep`, which comes out as the column keep.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(docs, id_col).cast("string"), F.lit("null"))))
-    sizes = shelve(docs.select(column(docs, id_col).alias("doc_id"), column(docs, source_col).alias("source"), n_words(column(docs, text_col)).alias("size"), key.alias("key")))
+    sizes = shelve(docs.select(column(docs, id_col).alias("doc_id"), column(docs, source_col).alias("source"), n_words(column(docs, text_col)).alias("size"), key.alias("key"), *([column(docs, keep).alias("keep")] if keep else [])))
+    kept = ["keep"] if keep else []
     rows = sizes.count()
     buckets = max(1, rows // BUCKET_ROWS)
     share_of = targets(sizes, share, weights, epochs)
@@ -73,11 +75,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = queued.withColumn("queued", F.col("ahead") + F.sum("size").over(within))
     finish = [F.when(F.col("target") > 0, (F.col("source_size") * e + F.col("queued")) / F.col("target")).alias(f"finish{e}") for e in range(epochs)]
-    queued = shelve(queued.select("doc_id", "source", "size", "source_size", "target", *finish))
+    queued = shelve(queued.select("doc_id", "source", "size", "source_size", "target", *kept, *finish))
     end = _cut(queued, rows, epochs, share)
     copies = sum((F.coalesce(F.col(f"finish{e}") <= F.col("end"), F.lit(False)).cast("long") for e in range(1, epochs)), F.coalesce(F.col("finish0") <= F.col("end"), F.lit(False)).cast("long"))
     out = queued.crossJoin(F.broadcast(end)).withColumn("copies", copies)  # the cut is one row
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *kept)
 
 
 def _cut(queued: DataFrame, rows: int, epochs: int, share: float) -> DataFrame:
@@ -104,13 +106,12 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Texts are not shuffled by source: a number for each row carries the decision back to them.
     """
-    row, copies = free_name(docs, "row"), free_name(docs, "copies")
+    row, copies, of, number = (free_name(docs, x) for x in ("row", "copies", "of", "times"))
     held = shelve(docs.withColumn(row, F.monotonically_increasing_id()))
-    key = F.concat(F.coalesce(column(held, id_col).cast("string"), F.lit("null")), F.lit(":"), F.col(row).cast("string"))
-    taken = mix(held.select(key.alias("id"), column(held, text_col).alias("text"), column(held, source_col).alias("source")), "id", "text", "source", **how)
-    found = taken.where("copies > 0").select(F.substring_index("doc_id", ":", -1).cast("long").alias("of"), F.col("copies").cast("int").alias("n"))
-    out = held.join(found, F.col(row) == F.col("of"))
-    return out.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col("n")))).select(*[column(out, c) for c in docs.columns])
+    taken = mix(held, id_col, text_col, source_col, keep=row, **how)
+    found = taken.where("copies > 0").select(F.col("keep").alias(of), F.col("copies").cast("int").alias(number))
+    out = held.join(found, F.col(row) == F.col(of))
+    return out.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(number)))).select(*[column(out, c) for c in docs.columns])
 
 
 #: The same rows as `mix` with its defaults, over a whole source at a time.

@@ -220,10 +220,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Only ids, fingerprints and a number for each row are shuffled to choose; the rows chosen are then looked up by that
     number, so texts move at most once. Equal rows are told apart by it too, so one of them stays.
     """
-    row = free_name(docs, "row")
+    row, of = free_name(docs, "row"), free_name(docs, "of")
     # The number must be the same in both reads, so it is fixed in the written copy.
     held = shelve(docs.withColumn(row, F.monotonically_increasing_id()))
     roots = dedup(held.select(F.col(row).alias("row"), column(held, text_col).alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
     keys = held.select(F.col(row).alias("r"), column(held, id_col).alias("id"))
     chosen = roots.join(keys, F.col("row") == F.col("r")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
-    return held.join(chosen.select(F.col("best.row").alias("of")), F.col(row) == F.col("of"), "left_semi").drop(row)
+    return held.join(chosen.select(F.col("best.row").alias(of)), F.col(row) == F.col(of), "left_semi").drop(row)
