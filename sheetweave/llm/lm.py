@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ CORE = 512
 #: Rows that one step of the joined counts works on; a pair's rows are held together.
 STEP = 500_000
 #: Words whose hash a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Texts that are worked on at once.
+GROUP = 64
 
 
 @dataclass(frozen=True, repr=False)
@@ -53,29 +56,35 @@ class Head:
         return (1 << 31) - self.size - 1
 
 
-def hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
-    """32-bit hashes of the words of a text, A-Z lowered; known remembers them."""
+def hashes(texts: pa.Array, known: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the first, words of each, hashes of all words) for GROUP texts at a time; known remembers hashes.
+
+    Words are those between ASCII white space, with A-Z lowered."""
     from xxhash import xxh32_intdigest
 
-    w = text.lower().split()
-    try:
-        return np.fromiter(map(known.__getitem__, w), np.int64, len(w))
-    except KeyError:
-        if len(known) > REMEMBERED:
+    for lo in range(0, len(texts), GROUP):
+        split = [x.as_py().lower().split() for x in texts[lo : lo + GROUP]]
+        words = list(chain.from_iterable(split))
+        new = set(words).difference(known)
+        if len(known) + len(new) > REMEMBERED:
             known.clear()
-        for x in set(w).difference(known):
-            known[x] = xxh32_intdigest(x)
-        return np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+            new = set(words)
+        known.update(zip(new, map(xxh32_intdigest, new)))
+        yield lo, np.fromiter(map(len, split), np.int64, len(split)), np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     for b in batches:
-        h = [hashes(x.as_py(), known) for x in b.column(0)]
-        w, at, c = np.unique(np.concatenate([np.empty(0, np.int64), *h]), return_inverse=True, return_counts=True)
-        ends = np.cumsum([len(x) for x in h]) - 1
-        last = np.bincount(at[ends[[len(x) > 0 for x in h]]] if len(at) else at, minlength=len(w))
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64)), pa.array((c - last).astype(np.int64))], ["w", "c", "cc"])
+        parts, lasts = [], []
+        for _, sizes, h in hashes(b.column(0), known):
+            parts.append(h)
+            lasts.append(h[(np.cumsum(sizes) - 1)[sizes > 0]])
+        w, c = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
+        last, n = np.unique(np.concatenate([np.empty(0, np.int64), *lasts]), return_counts=True)
+        context = c.astype(np.int64)
+        context[np.searchsorted(w, last)] -= n
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64)), pa.array(context)], ["w", "c", "cc"])
 
 
 def _codes(h: np.ndarray, head: Head, order: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -93,10 +102,11 @@ def _core_pairs(head: Head):
         order, n = np.argsort(head.hashes), head.core_size
         sorted_, sums = head.hashes[order], np.zeros(n * n, np.int64)
         for b in batches:
-            for x in b.column(0):
-                k = _codes(hashes(x.as_py(), known), head, order, sorted_)
-                both = (k[:-1] < n) & (k[1:] < n)
-                np.add.at(sums, k[:-1][both] * n + k[1:][both], 1)
+            for _, sizes, h in hashes(b.column(0), known):
+                k = _codes(h, head, order, sorted_)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                both = (k[:-1] < n) & (k[1:] < n) & (doc[:-1] == doc[1:])
+                sums += np.bincount(k[:-1][both] * n + k[1:][both], minlength=n * n)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
 
@@ -115,39 +125,42 @@ def _exploded(head: Head, id_type: pa.DataType):
         known: dict[bytes, int] = {}
         order = np.argsort(head.hashes)
         sorted_ = head.hashes[order]
-        doc = TaskContext.get().partitionId() << 33
+        first = TaskContext.get().partitionId() << 33
+        n = head.core_size
         for b in batches:
-            keys, docs, tfs, vals, founds, ids = [], [], [], [], [], []
-            for i, x in enumerate(b.column(0)):
-                k = _codes(hashes(x.as_py(), known), head, order, sorted_)
-                doc += 1
-                val, found = 0.0, 0
-                if len(k) and k[0] < head.size:
-                    val += float(_backed_off(head.counts[k[0]], head.total))
-                pairs, tf = np.unique(k[:-1] << 32 | k[1:], return_counts=True)
-                if len(k) and k[0] > head.size:
-                    pairs, tf = np.append(pairs, head.size << 32 | k[0]), np.append(tf, 1)
-                v, w = pairs >> 32, pairs & 0xFFFFFFFF
-                core = (v < head.core_size) & (w < head.core_size)
+            for lo, sizes, h in hashes(b.column(0), known):
+                k, m = _codes(h, head, order, sorted_), len(sizes)
+                doc = np.repeat(np.arange(m), sizes)
+                starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+                val, found = np.zeros(m), np.zeros(m, np.int64)
+                begin = np.flatnonzero(sizes)
+                common = k[starts] < head.size
+                val[begin[common]] = _backed_off(head.counts[k[starts][common]], head.total)
+                inside = doc[:-1] == doc[1:]
+                # A rare first word is a pair with the missing context.
+                key = np.concatenate([k[:-1][inside] << 32 | k[1:][inside], head.size << 32 | k[starts][~common]])
+                own = np.concatenate([doc[1:][inside], begin[~common]])
+                by = np.lexsort((key, own))
+                key, own = key[by], own[by]
+                new = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
+                tf = np.diff(new, append=len(key))
+                key, own = key[new], own[new]
+                v, w = key >> 32, key & 0xFFFFFFFF
+                core = (v < n) & (w < n)
                 if core.any():
-                    cv, cw, ct = v[core], w[core], tf[core]
-                    others = head.core[cv * head.core_size + cw] - ct
+                    cv, cw, ct, at = v[core], w[core], tf[core], own[core]
+                    others = head.core[cv * n + cw] - ct
                     seen = others > 0
-                    val += float((ct[seen] * (np.log(others[seen]) - np.log(head.contexts[cv[seen]]))).sum() + (ct[~seen] * _backed_off(head.counts[cw[~seen]], head.total)).sum())
-                    found += int(ct[seen].sum())
-                    pairs, tf = pairs[~core], tf[~core]
-                keys.append(np.append(pairs, (doc * 0x9E3779B97F4A7C15 & (1 << 63) - 1)))
-                docs.append(np.full(len(pairs) + 1, doc))
-                tfs.append(np.append(tf, -len(k)))
-                vals.append(np.append(np.zeros(len(pairs)), val))
-                founds.append(np.append(np.zeros(len(pairs), np.int64), found))
-                ids += [None] * len(pairs) + [i]
-            if not keys:
-                continue
-            own = b.column(1).take(pa.array(ids, pa.int64()))
-            out = [np.concatenate(x) for x in (keys, docs, tfs, vals, founds)]
-            for lo in range(0, len(ids), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in out] + [own[lo : lo + 100_000]], ["key", "doc", "tf", "val", "found", "id"])
+                    each = ct * np.where(seen, np.log(np.maximum(others, 1)) - np.log(np.maximum(head.contexts[cv], 1)), _backed_off(head.counts[cw], head.total))
+                    val += np.bincount(at, weights=each, minlength=m)
+                    found += np.bincount(at, weights=ct * seen, minlength=m).astype(np.int64)
+                    key, own, tf = key[~core], own[~core], tf[~core]
+                docs = first + np.arange(m)
+                first += m
+                spread = (docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64)
+                ids = pa.concat_arrays([pa.nulls(len(key), id_type), b.column(1)[lo : lo + m]])
+                columns = (np.append(key, spread), np.append(docs[own], docs), np.append(tf, -sizes), np.append(np.zeros(len(key)), val), np.append(np.zeros(len(key), np.int64), found))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns] + [ids], ["key", "doc", "tf", "val", "found", "id"])
 
     return run
 
