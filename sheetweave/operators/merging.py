@@ -182,19 +182,31 @@ def fuse_texts(members: DataFrame, by: tuple = BY) -> DataFrame:
     return out.withColumn("label", F.aggregate(F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0))), start, fold)["label"]).drop("m", "upright")
 
 
-def merge(detections: DataFrame, s: Settings, by: tuple = BY) -> DataFrame:
+def merge(detections: DataFrame, s: Settings, by: tuple = BY, decisions: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """(by, kind, g0..g3, label, confidence, source_tiles, members, group_ord): the merged rows of every page.
 
+    Edges are those of geometry, or of decisions (by, pair_ord, src, dst; src = dst relabels an item) with labels
+    (by, uid, label): a group of several takes the label of its first member that has one.
     Order within a page and kind is (g1, g0, group_ord). Pages without detections give no rows; items that no rule
     joins come out as they are; a null confidence stays null where all of a group's are."""
     cands = candidates(detections, s)
-    near = seam_candidates(cands, s, by)
-    near = near.join(active_pairs(near, by), [*by, "pair_ord"], "left_semi")
-    members = grouped(cands, components(match_edges(near, s, by), by), by)
+    if decisions is None:
+        near = seam_candidates(cands, s, by)
+        near = near.join(active_pairs(near, by), [*by, "pair_ord"], "left_semi")
+        edges = match_edges(near, s, by)
+    else:
+        edges = decisions.where("src <> dst").select(*by, "src", "dst")
+        alone = decisions.where("src = dst").groupBy(*by, F.col("src").alias("uid")).agg(F.max_by("label", "pair_ord").alias("relabel"))
+        cands = cands.join(alone, [*by, "uid"], "left").withColumn("label", F.coalesce("relabel", "label")).drop("relabel")
+    members = grouped(cands, components(edges, by), by)
     fused = {"object": fuse_objects, "arrow": fuse_arrows, "ocr": fuse_texts}
     columns = [*by, "kind", "g0", "g1", "g2", "g3", "label", "confidence", "source_tiles", "members", "group_ord"]
-    parts = [f(members.where(F.col("kind") == k), by).withColumn("kind", F.lit(k)).select(*columns) for k, f in fused.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [f(members.where(F.col("kind") == k), by).withColumn("kind", F.lit(k)).select("root", *columns) for k, f in fused.items()]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if labels is not None:
+        named = members.join(labels.withColumnRenamed("label", "given"), [*by, "uid"]).groupBy(*by, "root").agg(F.min_by("given", "ord").alias("given"))
+        out = out.join(named, [*by, "root"], "left").withColumn("label", F.when((F.col("members") > 1) & F.col("given").isNotNull(), F.col("given")).otherwise(F.col("label")))
+    return out.select(*columns)
 
 
 def report(merged: DataFrame, near: DataFrame, by: tuple = BY) -> DataFrame:
