@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
-from sheetweave.functions.text import split_of
+from sheetweave.functions.text import md5_mod_1000, split_of
 
 
 def assign_splits(images: DataFrame) -> DataFrame:
@@ -71,3 +71,15 @@ def manifest(detections: DataFrame) -> DataFrame:
     per = detections.groupBy("kind", "label").agg(F.count("*").alias("n"))
     names = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("label"))))
     return per.agg(names("object").alias("object_classes"), names("arrow").alias("arrow_classes"), F.sum("n").alias("items"))
+
+
+def with_missing_tiles(annotated: DataFrame, grid: DataFrame, images: DataFrame) -> DataFrame:
+    """Every tile of every image, with its annotations where it has any. The grid is a few rows."""
+    every = images.select("image_id").crossJoin(F.broadcast(grid.select("tile_id")))
+    return every.join(annotated, ["image_id", "tile_id"], "left")
+
+
+def sample_empty(tiles: DataFrame, ratio: float = 0.2) -> DataFrame:
+    """All tiles with items (n_items > 0) and about `ratio` of the others, chosen by a hash of image and tile."""
+    draw = md5_mod_1000(F.concat_ws("/", "image_id", "tile_id"))
+    return tiles.where((F.coalesce(F.col("n_items"), F.lit(0)) > 0) | (draw < int(ratio * 1000)))

@@ -51,3 +51,15 @@ def text_gate(regions: DataFrame) -> DataFrame:
 def readable(texts: DataFrame, least: float = 0.3) -> DataFrame:
     """Texts with a letter or digit and enough confidence."""
     return texts.where(F.col("text").rlike(r"[\p{L}\p{N}]") & (F.col("conf") >= least))
+
+
+def resolve_models(registry: DataFrame) -> DataFrame:
+    """(model, alias, version): the newest complete version of each alias."""
+    return registry.where("complete").groupBy("model", "alias").agg(F.max("version").alias("version"))
+
+
+def last_metrics(log: DataFrame, key: str) -> DataFrame:
+    """(run, value): of each run's log lines (line, text), the number under `key` in the last line that is JSON."""
+    rows = log.where(F.try_parse_json("text").isNotNull())
+    last = rows.groupBy("run").agg(F.max_by("text", "line").alias("text"))
+    return last.select("run", F.get_json_object("text", f"$.{key}").try_cast("double").alias("value"))

@@ -123,6 +123,14 @@ d AS (SELECT user_id % 10 AS job, CAST(ts AS DATE) AS day, event_type AS label,
 k AS (SELECT job, day, label, count(*) AS n FROM d GROUP BY ALL),
 p AS (SELECT job, day, count(DISTINCT hr) AS n_tiles, count(*) AS n, avg(confidence) AS mean_confidence FROM d GROUP BY ALL)"""
 
+
+
+def _md5(text: str) -> str:
+    """The md5 of a text, as a 128-bit number, modulo 1000."""
+    half = lambda at: f"('0x' || substr(md5({text}), {at}, 16))::UBIGINT % 1000"
+    return f"CAST((({half(1)}) * 616 + {half(17)}) % 1000 AS BIGINT)"
+
+
 ORACLES: dict[str, str] = {
     "tile_starts": "SELECT axis, list_distinct(list_append(range(0, greatest(n - 1024, 0), 896), greatest(n - 1024, 0))).list_sort().array_to_string(',') AS starts FROM (VALUES ('a', 4096), ('b', 2896), ('c', 512), ('d', 1024), ('e', 1025)) t(axis, n)",
     "tile_grid": f"WITH {GRID} SELECT CAST(idx AS INTEGER) AS idx, tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, 1024 AS tw, 1024 AS th FROM grid",
@@ -192,5 +200,14 @@ ORACLES: dict[str, str] = {
       k AS (SELECT *, list_max(list_filter(range(2, least(length(a), length(b))), lambda k: right(a, k) = left(b, k))) AS k FROM p)
       SELECT id, CASE WHEN contains(a, b) THEN a WHEN contains(b, a) THEN b WHEN k IS NOT NULL THEN a || substr(b, k + 1) ELSE a || ' ' || b END AS joined FROM k""",
     "ascii_labels": "SELECT doc_id, regexp_replace(replace(replace(replace(left(text, 40), 'Ø', 'D'), '±', '+-'), '°', 'deg'), '[^\\x00-\\x7F]', '?', 'g') AS label FROM documents",
+    "synthetic_drawings": f"""WITH n AS (SELECT drawing, 6 + {_md5("'7-n-' || drawing || '--1'")} % 7 AS k FROM range(200) t(drawing)), i AS (SELECT drawing, CAST(unnest(range(0, k)) AS INTEGER) AS item FROM n),
+      v AS (SELECT drawing, item, {", ".join(f"""{_md5(f"'7-{c}-' || drawing || '-' || item")} AS r{c}""" for c in "xywhcld")} FROM i),
+      b AS (SELECT drawing, item, CAST(120 + (item % 4)*840 + rx % 300 AS DOUBLE) AS x, CAST(160 + (item // 4)*760 + ry % 250 AS DOUBLE) AS y, CAST(120 + rw % 200 AS DOUBLE) AS w, CAST(100 + rh % 180 AS DOUBLE) AS h, CAST(rc % 3 AS INTEGER) AS c, CAST(rl % 3 AS INTEGER) AS l, rd FROM v)
+      SELECT drawing, item, 'object' AS kind, x AS g0, y AS g1, w AS g2, h AS g3, 'Ctype_' || (c + 1) AS label FROM b
+      UNION ALL SELECT drawing, item, 'ocr', x, y - 40, 110, 28, 'Ø' || rd FROM b
+      UNION ALL SELECT drawing, item, 'arrow', x + w, y + h/2, x + w + 150, y + h/2 + (l - 1)*20, ['dimension_line', 'leader_line', 'section_arrow'][l + 1] FROM b""",
+    "empty_tiles": f"WITH {GRID}, t AS (SELECT CAST(p_partkey AS VARCHAR) AS image_id, tile_id FROM part, grid) SELECT image_id, tile_id FROM t WHERE {_md5("image_id || '/' || tile_id")} < 200",
+    "resolve_models": "SELECT c_nationkey AS model, c_mktsegment AS alias, max(c_custkey) AS version FROM customer WHERE c_acctbal > 0 GROUP BY ALL",
+    "last_metrics": "SELECT user_id AS run, CAST(regexp_extract(arg_max(props, event_id), '[0-9]+') AS DOUBLE) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY user_id",
     "state_upsert": "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 10 = 0 THEN 'archived' ELSE o_orderstatus END AS status FROM orders",
 }

@@ -10,6 +10,7 @@ from sheetweave.functions import text as T
 from sheetweave.operators import datasets, drift, evaluation, jobs, merging, slicing, tiling
 from sheetweave.plans import fixtures
 from sheetweave.settings import Settings
+from sheetweave.sources import synthetic
 
 S = Settings()
 
@@ -288,12 +289,32 @@ def state_upsert(spark, d):
     return jobs.upsert(table, table.where("job_id % 10 = 0").withColumn("status", F.lit("archived")), ["job_id"])
 
 
+def synthetic_drawings(spark, d):
+    return synthetic.drawings(spark, 200)
+
+
+def empty_tiles(spark, d):
+    images = _read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("image_id"))
+    tiles = datasets.with_missing_tiles(spark.createDataFrame([], "image_id string, tile_id string, n_items int"), tiling.tile_grid(spark, S), images)
+    return datasets.sample_empty(tiles).select("image_id", "tile_id")
+
+
+def resolve_models(spark, d):
+    r = _read(spark, d, "customer").selectExpr("c_nationkey AS model", "c_mktsegment AS alias", "c_custkey AS version", "c_acctbal > 0 AS complete")
+    return evaluation.resolve_models(r)
+
+
+def last_metrics(spark, d):
+    log = _read(spark, d, "events").selectExpr("user_id AS run", "event_id AS line", "CASE WHEN event_id % 3 = 0 THEN concat('epoch ', event_id) ELSE props END AS text")
+    return evaluation.last_metrics(log, "k")
+
+
 QUERIES = {
     **{f.__name__: f for f in (
         tile_starts, tile_grid, tile_pairs, canvas_fit, coords_round_trip, box_iou_pairs, segment_box_codec, apply_thresholds, seam_candidates, active_pairs, components,
         merge_objects, merge_arrows, merge_text, text_groups, merged_pages, class_vote, merge_report, page_counts, drift_profile, average_profile, drift_compare, rolling_baseline,
         recent_profiles, latest_baseline, split_assignment, class_index, yolo_labels, coco_annotations, ocr_crops, manifest, ocr_cer, champion_promotion, word_lines, hough_topk,
-        contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert,
+        contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, empty_tiles, resolve_models, last_metrics,
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),
