@@ -22,6 +22,7 @@ from sheetweave.llm.shared import column, free_name
 
 ROUNDS = 8
 KEY = b"replace this key"
+_HEX = "0123456789abcdef"
 _DAY0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY0
 
@@ -52,7 +53,8 @@ def luhn(digits: str) -> int:
 
 def _classes(key: bytes, kind: str, value: str) -> str:
     """Letters and ASCII digits permuted together, place by place within their class; other characters stay."""
-    alphabets = [next((a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a), None) for c in value]
+    sets = (_HEX,) if kind == "hex" else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    alphabets = [next((a for a in sets if c in a), None) for c in value]
     x, size = 0, 1
     for c, a in zip(value, alphabets):
         if a:
@@ -143,6 +145,8 @@ def _mail(key: bytes, value: str) -> str:
 
 
 def _secret(key: bytes, value: str) -> str:
+    if not value.strip(_HEX) and not value.isalpha() and not value.isdigit():
+        return _classes(key, "hex", value)  # hexadecimal numbers stay such
     at = 4 if re.match(r"A[KS]IA", value) else 0
     return value[:at] + _classes(key, "secret", value[at:])
 
