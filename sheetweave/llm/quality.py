@@ -21,7 +21,7 @@ MIN_WORDS = 20
 #: Documents that a group's sketch must hold to speak for the group.
 MIN_GROUP = 200
 #: metric: (lower fence wanted, times the spread, least spread). Fences: quartile -/+ times * max(spread, least).
-FENCES = {"symbols": (False, 3, 10), "dup_lines": (False, 4, 100), "repeats": (False, 3, 50), "word_length": (True, 4, 30)}
+FENCES = {"symbols": (False, 3, 15), "dup_lines": (False, 4, 100), "repeats": (False, 3, 100), "word_length": (True, 4, 30)}
 
 
 def _repeated(w: Column) -> Column:
