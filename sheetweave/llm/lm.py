@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,12 +65,18 @@ def hashes(texts: pa.Array, known: dict[bytes, int]) -> Iterator[tuple[int, np.n
     for lo in range(0, len(texts), GROUP):
         split = [x.as_py().lower().split() for x in texts[lo : lo + GROUP]]
         words = list(chain.from_iterable(split))
-        new = set(words).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set(words)
-        known.update(zip(new, map(xxh32_intdigest, new)))
-        yield lo, np.fromiter(map(len, split), np.int64, len(split)), np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        h = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(h < 0)
+        if len(missing):
+            if len(known) > REMEMBERED:
+                known.clear()
+            for i in missing.tolist():
+                w = words[i]
+                x = known.get(w)
+                if x is None:
+                    x = known[w] = xxh32_intdigest(w)
+                h[i] = x
+        yield lo, np.fromiter(map(len, split), np.int64, len(split)), h
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
