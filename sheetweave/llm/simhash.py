@@ -13,7 +13,7 @@ least, so a group of n near copies makes n - 1 edges.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -214,8 +214,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of dedup(), with all its columns: that of least id (a null id last), then of least text hash.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: Callable[[DataFrame, str, str], DataFrame] = dedup) -> DataFrame:
+    """One row of each component of dedup(), with all its columns: that of least id (a null id last), then of least row number.
+
+    `group` names the components instead of dedup(): from rows, an id and a text column to (doc_id, component_id).
 
     Only ids, fingerprints and a number for each row are shuffled to choose; the rows chosen are then looked up by that
     number, so texts move at most once. Equal rows are told apart by it too, so one of them stays.
@@ -223,7 +225,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     row, of = free_name(docs, "row"), free_name(docs, "of")
     # The number must be the same in both reads, so it is fixed in the written copy.
     held = shelve(docs.withColumn(row, F.monotonically_increasing_id()))
-    roots = dedup(held.select(F.col(row).alias("row"), column(held, text_col).alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+    roots = group(held.select(F.col(row).alias("row"), column(held, text_col).alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
     keys = held.select(F.col(row).alias("r"), column(held, id_col).alias("id"))
     chosen = roots.join(keys, F.col("row") == F.col("r")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
     return held.join(chosen.select(F.col("best.row").alias(of)), F.col(row) == F.col(of), "left_semi").drop(row)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sheetweave.llm import ann, bpe, licenses, lm, mixing, pii, quality, simhash, tokens, toxicity
+from sheetweave.llm import ann, bpe, jaccard, licenses, lm, mixing, pii, quality, simhash, tokens, toxicity
 from tests.conftest import data
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, fingerprint string, license string, tokens string, row string, copies int"
@@ -90,6 +90,36 @@ def test_simhash_odd(odd):
     assert simhash.dedup(empty(odd)).count() == 0 and simhash.keep_one(empty(odd)).count() == 0
 
 
+def test_near_duplicate_stage_finds_every_pair_at_0_8(spark):
+    import corpus_pipeline
+
+    rng, line = random.Random(3), [f"common{i}" for i in range(12)]
+    rows = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((3, 20, 60, 200)))]
+        for _ in range(rng.choice((1, 2, 5))):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 25))):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(w + line * rng.randint(0, 1))))
+    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, rows[0][1].upper())]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)})
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.dedup(df).collect()} == dict(enumerate(label))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == sorted(set(label))
+    near = {r.component_id for r in simhash.dedup(df).collect()}
+    assert len(set(label)) < len(near)  # two bits of a fingerprint miss some of these pairs
+
+
 # --- PII
 
 
