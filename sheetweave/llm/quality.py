@@ -21,7 +21,8 @@ MIN_WORDS = 20
 #: Documents that a group's sketch must hold to speak for the group.
 MIN_GROUP = 200
 #: metric: (lower fence wanted, times the spread, least spread). Fences: quartile -/+ times * max(spread, least).
-FENCES = {"symbols": (False, 3, 15), "dup_lines": (False, 4, 100), "repeats": (False, 3, 100), "word_length": (True, 4, 30)}
+#: Where a group's norm is 0, the fence for repeats is 225 per mille: below the base rule's 300, above a line repeated once in 80 words.
+FENCES = {"symbols": (False, 3, 15), "dup_lines": (False, 4, 100), "repeats": (False, 3, 75), "word_length": (True, 4, 30)}
 
 
 def _repeated(w: Column) -> Column:

@@ -235,6 +235,22 @@ def test_quality_odd(odd):
     assert quality.judge(empty(odd)).count() == 0
 
 
+def test_each_quality_fence_rejects(spark):
+    rng = random.Random(13)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 6))) + str(rng.randrange(10)) for _ in range(n)]
+    rows = [(i, " ".join(fresh(200))) for i in range(300)]
+    passage = fresh(25)
+    rows += [
+        (1000, " ".join(fresh(200) + ["#" * 60])),
+        (1001, "\n".join(" ".join(w) for _ in range(10) for w in (["same", "line"], fresh(4)))),
+        (1002, " ".join(fresh(75) + passage + fresh(75) + passage)),
+        (1003, " ".join(w * 6 for w in fresh(200))),
+    ]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1002].n_repeat_words * 4 == got[1002].n_words
+    assert not any(r.base_failed for r in got.values()) and [i for i, r in sorted(got.items()) if not r.kept] == [1000, 1001, 1002, 1003]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(8)
     rows = [(i, "w " * rng.randint(1, 40), "abcd"[min(3, int(rng.random() ** 2 * 5))]) for i in range(6000)]
