@@ -92,10 +92,12 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each q: largest score, then smallest id; an id counts once."""
-    order = np.lexsort((ids, -scores, q))
-    twice = (np.diff(q[order], prepend=-1) == 0) & (np.diff(ids[order], prepend=-1) == 0)
+    """Places of the k best of each q: largest score, then smallest id; an id counts once, with its best score."""
+    order = np.lexsort((-scores, ids, q))
+    twice = np.zeros(len(order), bool)
+    twice[1:] = (np.diff(q[order]) == 0) & (np.diff(ids[order]) == 0)
     order = order[~twice]
+    order = order[np.lexsort((ids[order], -scores[order], q[order]))]
     start = np.flatnonzero(np.diff(q[order], prepend=-1))
     rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
     return order[rank < k]

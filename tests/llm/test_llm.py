@@ -351,6 +351,12 @@ def test_search_equals_brute_force(spark):
     assert len(got) == 600 and ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_an_id_with_different_vectors_counts_once():
+    q, ids = np.array([0, 0, 0, 0, 1, 1, 1]), np.array([5, 7, 5, 8, 5, -1, 5])
+    top = ann.best(q, ids, np.array([9.0, 8.0, 7.0, 6.0, 1.0, 2.0, 3.0]), 3)
+    assert [(q[i], ids[i]) for i in top] == [(0, 5), (0, 7), (0, 8), (1, 5), (1, -1)] and top[3] == 6
+
+
 # --- the pipeline
 
 
