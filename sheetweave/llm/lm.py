@@ -3,22 +3,23 @@
 Words and neighbouring pairs are counted over the whole corpus. S(w | v) = c(v w) / c(v) if other documents hold the
 pair (the document's own occurrences are taken off c(v w), so a text does not vouch for itself), else 0.4 c(w) / N; c(v)
 counts v with a successor. The first word is scored as one backed off. A document's score is the mean of the natural
-logarithms over its words.
-
-How the tables meet: pairs leave each document once, with their number in it, and are hashed by their context (a
-frequent context by the whole pair); counts are taken and joined within the partition, and what a partition knows of a
-document leaves as one sum. Two small tables of fixed size are looked up instead of shuffled: the HEAD most frequent
-words with their exact counts, and the exact counts of pairs of the CORE most frequent words, so that no pair which a
-large share of all documents holds is a key of the shuffle. Backed-off words outside the head are joined to the
-unigram table. Words are numbers: a head word its rank, others 31 bits of their hash, so rare words that collide share
-counts.
+logarithms over its words. The order is two: a third order would double the rows that are shuffled.
+
+Words are numbers: the HEAD most frequent their rank, all others 62 bits of their hash. Which words are frequent is read
+from a bounded sample of documents; it decides where a count is kept, never what it is.
+
+How the tables meet. One pass counts words, and pairs of the CORE most frequent words, over all texts. The counts of
+ranked words and core pairs have a fixed size and are looked up; the table of the other words stays distributed. A
+second pass explodes each document into its pairs, which leave it once, with their number in it, partitioned by hash:
+pairs of ranked words by the pair, a pair with an unranked word by that word, where it meets the word's row of the count
+table. A pair of two unranked words goes to both: one adds the pair's or the word's count, the other the context's. So
+counts are joined where the pairs are counted, and what a partition knows of a document leaves as one sum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain, repeat
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,93 +29,117 @@ from pyspark.sql import functions as F
 from sheetweave.llm.shared import column, shelve, text_bytes
 
 BACKOFF = 0.4
-HEAD = 1 << 15
+HEAD = 1 << 16
+#: A pair outside this square is a key with at most 1 / CORE of all rows, as its rarer word has no larger share.
 CORE = 512
+#: Documents (on average) of the sample that ranks words.
+SAMPLE = 20_000
 #: Rows that one step of the joined counts works on; a pair's rows are held together.
-STEP = 500_000
-#: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+STEP = 1_000_000
+#: Words whose code a worker remembers, and unranked words that a counting task adds up before it passes them on.
+REMEMBERED, ADDED = 400_000, 1_000_000
 #: Texts that are worked on at once.
 GROUP = 64
+_LOW = (1 << 24) - 1
 
 
-@dataclass(frozen=True, repr=False)
+@dataclass(frozen=True)
 class Head:
-    """Frequent words by rank: hash, count, count as context; total: all words; core: counts of pairs by rank."""
+    """Ranked words: code, count, count as context; total: all words; core: counts of pairs by rank."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    contexts: np.ndarray
-    total: int
-    core: np.ndarray | None = None
+    codes: np.ndarray = field(repr=False, default_factory=lambda: np.empty(0, np.int64))
+    counts: np.ndarray = field(repr=False, default_factory=lambda: np.empty(0, np.int64))
+    contexts: np.ndarray = field(repr=False, default_factory=lambda: np.empty(0, np.int64))
+    total: int = 0
+    core: np.ndarray | None = field(repr=False, default=None)
     size: int = HEAD
     core_size: int = CORE
 
-    @property
-    def rare(self) -> int:
-        """Codes for words outside the head; the code `size` stands for the missing context of a first word."""
-        return (1 << 31) - self.size - 1
-
-
-def hashes(texts: pa.Array, known: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of the first, words of each, hashes of all words) for GROUP texts at a time; known remembers hashes.
-
-    Words are those between ASCII white space, with A-Z lowered."""
-    from xxhash import xxh32_intdigest
-
-    for lo in range(0, len(texts), GROUP):
-        split = [x.as_py().lower().split() for x in texts[lo : lo + GROUP]]
-        words = list(chain.from_iterable(split))
-        h = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(h < 0)
-        if len(missing):
-            if len(known) > REMEMBERED:
-                known.clear()
-            for i in missing.tolist():
-                w = words[i]
-                x = known.get(w)
-                if x is None:
-                    x = known[w] = xxh32_intdigest(w)
-                h[i] = x
-        yield lo, np.fromiter(map(len, split), np.int64, len(split)), h
-
-
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
-    for b in batches:
-        parts, lasts = [], []
-        for _, sizes, h in hashes(b.column(0), known):
-            parts.append(h)
-            lasts.append(h[(np.cumsum(sizes) - 1)[sizes > 0]])
-        w, c = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
-        last, n = np.unique(np.concatenate([np.empty(0, np.int64), *lasts]), return_counts=True)
-        context = c.astype(np.int64)
-        context[np.searchsorted(w, last)] -= n
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64)), pa.array(context)], ["w", "c", "cc"])
-
-
-def _codes(h: np.ndarray, head: Head, order: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    """Ranks of head words; other words above, in 31 bits. order sorts the head's hashes."""
-    other = head.size + 1 + h % head.rare
-    if not len(sorted_):
-        return other
-    at = np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)
-    return np.where(sorted_[at] == h, order[at], other)
-
-
-def _core_pairs(head: Head):
+
+class Coder:
+    """Texts as numbered words. Numbers are local to the worker; codes[number] is the rank or, negative and even, the hash."""
+
+    def __init__(self, head: Head):
+        self.rank = dict(zip(head.codes.tolist(), range(len(head.codes))))
+        self.known: dict[bytes, int] = {}
+        self.codes = np.empty(1024, np.int64)
+
+    def groups(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the first, words of each, numbers of all words) for GROUP texts at a time.
+
+        Words are those between ASCII white space, with A-Z lowered."""
+        for lo in range(0, len(texts), GROUP):
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            split = [x.as_py().lower().split() for x in texts[lo : lo + GROUP]]
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            for words in split:
+                self._learn(set(words).difference(self.known))
+            numbers = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in split]
+            yield lo, sizes, np.concatenate([np.empty(0, np.int64), *numbers])
+
+    def _learn(self, words: set[bytes]) -> None:
+        from xxhash import xxh64_intdigest
+
+        if not words:
+            return
+        at = len(self.known)
+        while at + len(words) > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.empty(len(self.codes), np.int64)])
+        for w in words:
+            code = (xxh64_intdigest(w) & ~1 | 1 << 63) - (1 << 64)
+            self.codes[at] = self.rank.get(code, code)
+            self.known[w] = at
+            at += 1
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(key, count, count) added up by key."""
+    key, *counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] - 1)) if len(key) else np.empty(0, np.int64)
+    return key[order][start], *(np.add.reduceat(c[order], start) if len(key) else c for c in counts)
+
+
+def _counted(head: Head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        order, n = np.argsort(head.hashes), head.core_size
-        sorted_, sums = head.hashes[order], np.zeros(n * n, np.int64)
+        """(code, c, cc) of words; core pairs follow the ranks, as head.size + v * core_size + w."""
+        coder, h, n = Coder(head), len(head.codes), head.core_size
+        ranked, context, core = np.zeros(h + 1, np.int64), np.zeros(h + 1, np.int64), np.zeros(n * n, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def row(code: np.ndarray, c: np.ndarray, cc: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c), pa.array(cc)], ["code", "c", "cc"])
+
         for b in batches:
-            for _, sizes, h in hashes(b.column(0), known):
-                k = _codes(h, head, order, sorted_)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                both = (k[:-1] < n) & (k[1:] < n) & (doc[:-1] == doc[1:])
-                sums += np.bincount(k[:-1][both] * n + k[1:][both], minlength=n * n)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
+            for _, sizes, numbers in coder.groups(b.column(0)):
+                code = coder.codes[numbers]
+                inner = np.ones(len(code), bool)
+                inner[(np.cumsum(sizes) - 1)[sizes > 0]] = False  # all but last words
+                at = np.where(code >= 0, code, h)
+                ranked += np.bincount(at, minlength=h + 1)
+                context += np.bincount(at[inner], minlength=h + 1)
+                if h:
+                    both = inner[:-1] & (at[:-1] < min(n, h)) & (at[1:] < min(n, h))
+                    pair, times = np.unique(at[:-1][both] * n + at[1:][both], return_counts=True)
+                    core[pair] += times
+                rare = code < 0
+                word, place, c = np.unique(code[rare], return_inverse=True, return_counts=True)
+                held.append((word, c, np.bincount(place, weights=inner[rare], minlength=len(word)).astype(np.int64)))
+                size += len(word)
+                if size > 2 * ADDED:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > ADDED:
+                        yield row(*held.pop())
+                        size = 0
+        if held:
+            yield row(*_merged(held))
+        some = np.flatnonzero(ranked[:h])
+        yield row(some, ranked[some], context[some])
+        some = np.flatnonzero(core)
+        yield row(head.size + some, core[some], np.zeros(len(some), np.int64))
 
     return run
 
@@ -123,142 +148,174 @@ def _backed_off(c: np.ndarray, total: int) -> np.ndarray:
     return np.log(BACKOFF) + np.log(c) - np.log(total)
 
 
-def _exploded(head: Head, id_type: pa.DataType):
+def _exploded(head: Head, own_type: pa.DataType):
+    """Rows (g, o, doc, tf, own). Pairs of ranked words: g = v << 32 | w, o = 0. An unranked w: g = w + 1, o = v, the
+    rank head.size standing for the missing context of a first word. An unranked v: g = v, o = w. And one row for each
+    document, with own: its id, words, and what ranks and core pairs settle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each document as (key, doc, tf > 0); and one row (tf = -words) with what the tables above settle."""
         from pyspark import TaskContext
 
-        known: dict[bytes, int] = {}
-        order = np.argsort(head.hashes)
-        sorted_ = head.hashes[order]
+        coder, n = Coder(head), head.core_size
         first = TaskContext.get().partitionId() << 33
-        n = head.core_size
         for b in batches:
-            for lo, sizes, h in hashes(b.column(0), known):
-                k, m = _codes(h, head, order, sorted_), len(sizes)
+            for lo, sizes, numbers in coder.groups(b.column(0)):
+                m, codes = len(sizes), coder.codes
                 doc = np.repeat(np.arange(m), sizes)
-                starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-                val, found = np.zeros(m), np.zeros(m, np.int64)
-                begin = np.flatnonzero(sizes)
-                common = k[starts] < head.size
-                val[begin[common]] = _backed_off(head.counts[k[starts][common]], head.total)
+                bits = len(codes).bit_length()
                 inside = doc[:-1] == doc[1:]
-                # A rare first word is a pair with the missing context.
-                key = np.concatenate([k[:-1][inside] << 32 | k[1:][inside], head.size << 32 | k[starts][~common]])
-                own = np.concatenate([doc[1:][inside], begin[~common]])
-                by = np.lexsort((key, own))
-                key, own = key[by], own[by]
-                new = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
-                tf = np.diff(new, append=len(key))
-                key, own = key[new], own[new]
-                v, w = key >> 32, key & 0xFFFFFFFF
-                core = (v < n) & (w < n)
+                packed = (doc[:-1] << 2 * bits | numbers[:-1] << bits | numbers[1:])[inside]
+                packed, tf = np.unique(packed, return_counts=True)
+                own, v, w = packed >> 2 * bits, codes[packed >> bits & (1 << bits) - 1], codes[packed & (1 << bits) - 1]
+                begin = np.flatnonzero(sizes)
+                opening = codes[numbers[(np.cumsum(sizes) - sizes)[begin]]]
+                val, found = np.zeros(m), np.zeros(m, np.int64)
+                common = opening >= 0
+                val[begin[common]] = _backed_off(head.counts[opening[common]], head.total)
+                core = (v >= 0) & (v < n) & (w >= 0) & (w < n)
                 if core.any():
                     cv, cw, ct, at = v[core], w[core], tf[core], own[core]
                     others = head.core[cv * n + cw] - ct
                     seen = others > 0
-                    each = ct * np.where(seen, np.log(np.maximum(others, 1)) - np.log(np.maximum(head.contexts[cv], 1)), _backed_off(head.counts[cw], head.total))
+                    near = np.log(np.maximum(others, 1)) - np.log(np.maximum(head.contexts[cv], 1))
+                    each = ct * np.where(seen, near, _backed_off(head.counts[cw], head.total))
                     val += np.bincount(at, weights=each, minlength=m)
                     found += np.bincount(at, weights=ct * seen, minlength=m).astype(np.int64)
-                    key, own, tf = key[~core], own[~core], tf[~core]
+                ranked, by_w, by_v = (v >= 0) & (w >= 0) & ~core, w < 0, v < 0
                 docs = first + np.arange(m)
                 first += m
                 spread = (docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64)
-                ids = pa.concat_arrays([pa.nulls(len(key), id_type), b.column(1)[lo : lo + m]])
-                columns = (np.append(key, spread), np.append(docs[own], docs), np.append(tf, -sizes), np.append(np.zeros(len(key)), val), np.append(np.zeros(len(key), np.int64), found))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns] + [ids], ["key", "doc", "tf", "val", "found", "id"])
+                g = np.concatenate([v[ranked] << 32 | w[ranked], w[by_w] + 1, v[by_v], opening[~common] + 1, spread])
+                o = np.concatenate([np.zeros(ranked.sum(), np.int64), v[by_w], w[by_v], np.full((~common).sum(), head.size), np.zeros(m, np.int64)])
+                at = np.concatenate([own[ranked], own[by_w], own[by_v], begin[~common], np.arange(m)])
+                times = np.concatenate([tf[ranked], tf[by_w], tf[by_v], np.ones((~common).sum(), np.int64), np.zeros(m, np.int64)])
+                struct = pa.StructArray.from_arrays([b.column(1)[lo : lo + m], pa.array(sizes), pa.array(found), pa.array(val)], fields=list(own_type))
+                owns = pa.concat_arrays([pa.nulls(len(g) - m, own_type), struct])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(o), pa.array(docs[at]), pa.array(times), owns], ["g", "o", "doc", "tf", "own"])
 
     return run
 
 
-def _joined(head: Head, id_type: pa.DataType, step: int):
-    names = ["doc", "val", "found", "words", "w", "tf", "id"]
-
-    def settle(key: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
-        """Pairs sorted by key, all rows of each pair (of a rare context: of the context) at once."""
-        v, w = key >> 32, key & 0xFFFFFFFF
-        start = np.flatnonzero(np.diff(key, prepend=-1))
-        pair = np.repeat(np.add.reduceat(tf, start), np.diff(start, append=len(key)))
-        start = np.flatnonzero(np.diff(v, prepend=-1))
-        context = np.repeat(np.add.reduceat(tf, start), np.diff(start, append=len(key)))
-        if len(head.contexts):
-            context = np.where(v < head.size, head.contexts[np.minimum(v, len(head.contexts) - 1)], context)
-        others = np.where(v != head.size, pair - tf, 0)
+def order_of(g: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """The number that rows are sorted by; _ORDER is the same as a Column. Rows of a pair have the same number, those of
+    an unranked word follow each other, and its count (o = 0) is among the first of them."""
+    u = o.view(np.uint64)
+    low = ((u ^ u >> np.uint64(21) ^ u >> np.uint64(43)) & np.uint64(_LOW)).astype(np.int64)
+    return np.where(g < 0, g >> 24 << 24 | low, g)
+
+
+_ORDER = f"CASE WHEN g < 0 THEN shiftleft(shiftright(g, 24), 24) | ((o ^ shiftrightunsigned(o, 21) ^ shiftrightunsigned(o, 43)) & {_LOW}L) ELSE g END"
+
+
+def _joined(head: Head, own_type: pa.DataType, step: int):
+    names = ["doc", "val", "found", "words", "id"]
+
+    def settle(g: np.ndarray, o: np.ndarray, doc: np.ndarray, tf: np.ndarray, table: tuple) -> tuple[pa.RecordBatch, tuple]:
+        """Pairs that are here whole, with the counts of their unranked words among them or in table (code, count)."""
+        by = np.lexsort((o, g))
+        g, o, doc, tf = g[by], o[by], doc[by], tf[by]
+        counts = doc < 0
+        code, c = np.append(table[0], g[counts]), np.append(table[1], tf[counts])
+        by = np.argsort(code)
+        code, c = code[by], c[by]
+        last = int(g[-1]) >> 24 if len(g) else 0
+        g, o, doc, tf = g[~counts], o[~counts], doc[~counts], tf[~counts]
+        start = np.flatnonzero((np.diff(g, prepend=0) != 0) | (np.diff(o, prepend=0) != 0) | (np.arange(len(g)) == 0))
+        pair = np.repeat(np.add.reduceat(tf, start), np.diff(start, append=len(g))) if len(g) else tf
+        rare = g < 0
+        by_w, by_v = rare & (g & 1 == 1), rare & (g & 1 == 0)
+        count = np.zeros(len(g), np.int64)
+        count[rare] = c[np.searchsorted(code, g[rare])]
+        v, w = np.where(rare, np.where(by_w, o, -1), g >> 32), np.where(rare, np.where(by_v, o, -1), g & 0xFFFFFFFF)
+        others = np.where(by_w & (o == head.size), 0, pair - tf)
         seen = others > 0
-        val = np.zeros(len(key))
-        val[seen] = tf[seen] * (np.log(others[seen]) - np.log(context[seen]))
-        frequent = ~seen & (w < head.size)
-        val[frequent] = tf[frequent] * _backed_off(head.counts[w[frequent]], head.total)
-        rest = ~seen & ~frequent
+        val = np.zeros(len(g))
+        # The pair's count and the backed-off word are added once: not where a pair of unranked words is at its context.
+        once = ~(by_v & (o < 0))
+        at = seen & once
+        val[at] += tf[at] * np.log(others[at])
+        at = seen & (v >= 0)
+        val[at] -= tf[at] * np.log(head.contexts[v[at]])
+        at = seen & by_v
+        val[at] -= tf[at] * np.log(count[at])
+        at = ~seen & (w >= 0)
+        val[at] += tf[at] * _backed_off(head.counts[w[at]], head.total)
+        at = ~seen & by_w
+        val[at] += tf[at] * _backed_off(count[at], head.total)
         docs, at = np.unique(doc, return_inverse=True)
-        n, m = len(docs), int(rest.sum())
-        columns = [
-            np.append(docs, doc[rest]), np.append(np.bincount(at, weights=val), np.zeros(m)), np.append(np.bincount(at, weights=tf * seen).astype(np.int64), np.zeros(m, np.int64)),
-            np.zeros(n + m, np.int64), np.append(np.full(n, -1), w[rest]), np.append(np.zeros(n, np.int64), tf[rest]),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.nulls(n + m, id_type)], names)
+        found = np.bincount(at, weights=tf * (seen & once), minlength=len(docs)).astype(np.int64)
+        columns = [pa.array(docs), pa.array(np.bincount(at, weights=val, minlength=len(docs))), pa.array(found)]
+        keep = code >> 24 == last  # the next rows may be of the same words
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), own_type[0].type)], names), (code[keep], c[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, table = [], 0, (np.empty(0, np.int64), np.empty(0, np.int64))
         for b in batches:
-            key, doc, tf = (b.column(i).to_numpy() for i in range(3))
-            direct = tf <= 0
-            if direct.any():
-                take = pa.array(np.flatnonzero(direct))
-                k = int(direct.sum())
-                yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(3).take(take), b.column(4).take(take), pa.array(-tf[direct]), pa.array(np.full(k, -1)), pa.array(np.zeros(k, np.int64)), b.column(5).take(take)], names)
-                key, doc, tf = key[~direct], doc[~direct], tf[~direct]
-            held.append((key, doc, tf))
-            n += len(key)
+            rows = [b.column(i).to_numpy() for i in range(4)]
+            own = b.column(4)
+            if own.null_count < len(own):
+                of_doc = own.is_valid().to_numpy(zero_copy_only=False)
+                id_, words, found, val = own.filter(pa.array(of_doc)).flatten()
+                yield pa.RecordBatch.from_arrays([pa.array(rows[2][of_doc]), val, found, words, id_], names)
+                rows = [x[~of_doc] for x in rows]
+            held.append(rows)
+            n += len(rows[0])
             if n >= step:
-                key, doc, tf = (np.concatenate(x) for x in zip(*held))
-                # Up to the last change of context (of a frequent one: of pair); the rest may go on in the next batch.
-                v = key >> 32
-                cut = np.flatnonzero((np.diff(v) != 0) | ((np.diff(key) != 0) & (v[1:] <= head.size)))
+                rows = [np.concatenate(x) for x in zip(*held)]
+                cut = np.flatnonzero(np.diff(order_of(rows[0], rows[1])))
                 at = cut[-1] + 1 if len(cut) else 0
                 if at:
-                    yield settle(key[:at], doc[:at], tf[:at])
-                held, n = [(key[at:], doc[at:], tf[at:])], len(key) - at
+                    out, table = settle(*(x[:at] for x in rows), table)
+                    yield out
+                held, n = [[x[at:] for x in rows]], len(rows[0]) - at
         if n:
-            yield settle(*(np.concatenate(x) for x in zip(*held)))
+            yield settle(*(np.concatenate(x) for x in zip(*held)), table)[0]
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD, core_size: int = CORE, step: int = STEP) -> DataFrame:
+def _head(docs: DataFrame, text: DataFrame, head_size: int, core_size: int, sample: int) -> tuple[Head, DataFrame]:
+    """The ranked words with all counts, and the count table (code, c, cc) of the others."""
+    counts = "code bigint, c bigint, cc bigint"
+    share = min(1.0, sample / max(1, docs.count()))
+    some = text if share == 1 else text.sample(share, seed=1)
+    often = some.mapInArrow(_counted(Head(size=head_size, core_size=core_size)), counts).groupBy("code").agg(F.sum("c").alias("c"))
+    # What reaches the driver is bounded: head_size words, later their counts and core_size squared sums.
+    codes = often.where("code < 0").orderBy(F.desc("c"), "code").limit(head_size).toPandas()["code"].to_numpy(np.int64)
+    first = Head(codes, size=head_size, core_size=core_size)
+    every = shelve(text.mapInArrow(_counted(first), counts).groupBy("code").agg(F.sum("c").alias("c"), F.sum("cc").alias("cc")))
+    fixed = every.where("code >= 0").toPandas()
+    code, c, cc = (fixed[x].to_numpy(np.int64) for x in ("code", "c", "cc"))
+    is_word = code < head_size
+    words, contexts, core = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64), np.zeros(core_size**2, np.int64)
+    words[code[is_word]], contexts[code[is_word]] = c[is_word], cc[is_word]
+    core[code[~is_word] - head_size] = c[~is_word]
+    total = int(words.sum()) + int(every.where("code < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    return Head(codes, words, contexts, total, core, head_size, core_size), every.where("code < 0")
+
+
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD, core_size: int = CORE, step: int = STEP, sample: int = SAMPLE
+) -> DataFrame:
     """(id_col, n_words, n_found, log_score) for each row of docs.
 
     n_found: words whose pair with the word before them other documents hold. log_score: the mean described above, null
     for a text without words (empty or null). Rows stand for themselves, also where ids are null or repeat; repeated
-    rows count as other documents to each other. Other columns are ignored; an empty table gives an empty result.
+    rows count as other documents to each other. Texts of any length are counted and scored whole, in memory that grows
+    with the longest one. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     text = docs.select(text_bytes(column(docs, text_col)).alias("text"))
-    uni = shelve(text.mapInArrow(_unigrams, "w bigint, c bigint, cc bigint").groupBy("w").agg(F.sum("c").alias("c"), F.sum("cc").alias("cc")))
-    # At most head_size rows reach the driver, and at most core_size squared sums.
-    top = uni.orderBy(F.desc("c"), "w").limit(head_size).toPandas()
-    total = int(uni.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    head = Head(top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64), top["cc"].to_numpy(np.int64), total, None, head_size, core_size)
-    sums = text.mapInArrow(_core_pairs(head), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    core = np.zeros(core_size**2, np.int64)
-    core[sums["pair"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
-    head = Head(head.hashes, head.counts, head.contexts, total, core, head_size, core_size)
-
+    head, rest = _head(docs, text, head_size, core_size, sample)
     body = docs.select(text_bytes(column(docs, text_col)).alias("text"), column(docs, id_col).alias("id"))
     kind = body.schema["id"].dataType
-    arrow = pa.field("id", _arrow_type(kind)).type
-    rows = body.mapInArrow(_exploded(head, arrow), f"key bigint, doc bigint, tf bigint, val double, found bigint, id {kind.simpleString()}")
-    context = F.shiftrightunsigned("key", 32)
-    by = F.when(context <= head_size, F.col("key")).otherwise(context)
-    counted = rows.repartition(by).sortWithinPartitions("key").mapInArrow(_joined(head, arrow, step), f"doc bigint, val double, found bigint, words bigint, w bigint, tf bigint, id {kind.simpleString()}")
-    counted = shelve(counted)
-    rare = counted.where("w >= 0").select("doc", F.col("w").alias("code"), "tf")
-    frequent = docs.sparkSession.createDataFrame([(int(w),) for w in head.hashes], "w bigint")
-    tail = uni.join(F.broadcast(frequent), "w", "left_anti")  # at most head_size rows
-    codes = tail.select((F.col("w") % head.rare + head_size + 1).alias("of"), "c").groupBy("of").agg(F.sum("c").alias("c"))
-    late = rare.join(codes, F.col("code") == F.col("of")).select("doc", (F.col("tf") * (F.lit(float(np.log(BACKOFF))) + F.log("c") - F.lit(float(np.log(max(total, 1)))))).alias("val"))
-    none = F.lit(0).cast("long")
-    every = counted.where("w < 0").select("doc", "val", "found", "words", "id").unionByName(late.select("doc", "val", none.alias("found"), none.alias("words"), F.lit(None).cast(kind).alias("id")))
-    out = every.groupBy("doc").agg(F.sum("val").alias("val"), F.sum("found").alias("n_found"), F.sum("words").alias("n_words"), F.max("id").alias("id"))
+    own = pa.struct([("id", _arrow_type(kind)), ("words", pa.int64()), ("found", pa.int64()), ("val", pa.float64())])
+    own_sql = f"struct<id:{kind.simpleString()},words:bigint,found:bigint,val:double>"
+    pairs = body.mapInArrow(_exploded(head, own), f"g bigint, o bigint, doc bigint, tf bigint, own {own_sql}")
+    roles = F.explode(F.array(F.struct((F.col("code") + 1).alias("g"), F.col("c").alias("tf")), F.struct(F.col("code").alias("g"), F.col("cc").alias("tf")))).alias("r")
+    table = rest.select(roles).selectExpr("r.g AS g", "0L AS o", "-1L AS doc", "r.tf AS tf", f"CAST(NULL AS {own_sql}) AS own")
+    rows = pairs.unionByName(table).repartition("g").sortWithinPartitions(F.expr(_ORDER))
+    sums = rows.mapInArrow(_joined(head, own, step), f"doc bigint, val double, found bigint, words bigint, id {kind.simpleString()}")
+    out = sums.groupBy("doc").agg(F.sum("val").alias("val"), F.sum("found").alias("n_found"), F.max("words").alias("n_words"), F.max("id").alias("id"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("val") / F.col("n_words")).alias("log_score"))
 
 

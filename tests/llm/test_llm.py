@@ -294,6 +294,35 @@ def test_scores_equal_brute_force(spark):
             assert (r.n_words, r.n_found) == (len(w), found) and (r.log_score is None if not w else abs(r.log_score - s / len(w)) < 1e-9)
 
 
+def test_words_with_equal_short_hashes_keep_their_counts(spark):
+    """Rare words whose 31 low bits of a hash agree; with a head of 4 words nearly all are unranked."""
+    import xxhash
+
+    by: dict[int, list[str]] = {}
+    for i in range(150_000):
+        by.setdefault(xxhash.xxh64_intdigest(f"v{i}") & 0x7FFFFFFF, []).append(f"v{i}")
+    clash = [w for ws in by.values() if len(ws) > 1 for w in ws][:12]
+    assert len(clash) >= 4
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(clash + ["a", "b"]) for _ in range(rng.randint(2, 12)))) for i in range(40)]
+    texts = [t.split() for _, t in rows]
+    c, cc, p = Counter(), Counter(), Counter()
+    for w in texts:
+        c.update(w), cc.update(w[:-1]), p.update(zip(w, w[1:]))
+    for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), head_size=4, core_size=2, step=30).collect():
+        w, own = texts[r.doc_id], Counter(zip(texts[r.doc_id], texts[r.doc_id][1:]))
+        rest = [p[a, b] - own[a, b] for a, b in zip(w, w[1:])]
+        s = math.log(0.4 * c[w[0]] / sum(c.values())) + sum(math.log(n / cc[a]) if n else math.log(0.4 * c[b] / sum(c.values())) for n, a, b in zip(rest, w, w[1:]))
+        assert abs(r.log_score - s / len(w)) < 1e-9 and r.n_found == sum(n > 0 for n in rest)
+
+
+def test_order_of_rows_is_the_same_in_sql(spark):
+    rng = np.random.default_rng(15)
+    g, o = rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(-(2**63), 2**63 - 1, 500)
+    got = spark.createDataFrame(list(zip(g.tolist(), o.tolist())), "g long, o long").selectExpr(f"{lm._ORDER} AS s").collect()
+    assert [r.s for r in got] == lm.order_of(g, o).tolist()
+
+
 def test_lm_odd(odd):
     rows = lm.score(odd).collect()
     assert len(rows) == 7 and sorted(r.n_words for r in rows)[:2] == [0, 0] and lm.score(empty(odd)).count() == 0
