@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sheetweave.llm.shared import column, shelve, text_bytes
 
@@ -35,7 +36,7 @@ CORE = 512
 #: Documents (on average) of the sample that ranks words.
 SAMPLE = 20_000
 #: Rows that one step of the joined counts works on; a pair's rows are held together.
-STEP = 1_000_000
+STEP = 150_000
 #: Words whose code a worker remembers, and unranked words that a counting task adds up before it passes them on.
 REMEMBERED, ADDED = 400_000, 1_000_000
 #: Texts that are worked on at once.
@@ -148,10 +149,14 @@ def _backed_off(c: np.ndarray, total: int) -> np.ndarray:
     return np.log(BACKOFF) + np.log(c) - np.log(total)
 
 
-def _exploded(head: Head, own_type: pa.DataType):
-    """Rows (g, o, doc, tf, own). Pairs of ranked words: g = v << 32 | w, o = 0. An unranked w: g = w + 1, o = v, the
-    rank head.size standing for the missing context of a first word. An unranked v: g = v, o = w. And one row for each
-    document, with own: its id, words, and what ranks and core pairs settle."""
+#: What a row about a document itself holds in o: kinds in place of tf. Four columns of numbers are all that is sorted.
+_WORDS, _FOUND, _VALUE, _ID = -1, -2, -3, -4
+
+
+def _exploded(head: Head):
+    """Rows (g, o, doc, tf). Pairs of ranked words: g = v << 32 | w, o = 0. An unranked w: g = w + 1, o = v, the rank
+    head.size standing for the missing context of a first word. An unranked v: g = v, o = w. And rows for each document:
+    its words, what ranks and core pairs settle (the value bit by bit), and its id unless that is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -181,17 +186,19 @@ def _exploded(head: Head, own_type: pa.DataType):
                     each = ct * np.where(seen, near, _backed_off(head.counts[cw], head.total))
                     val += np.bincount(at, weights=each, minlength=m)
                     found += np.bincount(at, weights=ct * seen, minlength=m).astype(np.int64)
-                ranked, by_w, by_v = (v >= 0) & (w >= 0) & ~core, w < 0, v < 0
+                ranked, by_w, by_v, rare = np.flatnonzero((v >= 0) & (w >= 0) & ~core), np.flatnonzero(w < 0), np.flatnonzero(v < 0), ~common
                 docs = first + np.arange(m)
                 first += m
+                ids = b.column(1)[lo : lo + m]
+                known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
                 spread = (docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64)
-                g = np.concatenate([v[ranked] << 32 | w[ranked], w[by_w] + 1, v[by_v], opening[~common] + 1, spread])
-                o = np.concatenate([np.zeros(ranked.sum(), np.int64), v[by_w], w[by_v], np.full((~common).sum(), head.size), np.zeros(m, np.int64)])
-                at = np.concatenate([own[ranked], own[by_w], own[by_v], begin[~common], np.arange(m)])
-                times = np.concatenate([tf[ranked], tf[by_w], tf[by_v], np.ones((~common).sum(), np.int64), np.zeros(m, np.int64)])
-                struct = pa.StructArray.from_arrays([b.column(1)[lo : lo + m], pa.array(sizes), pa.array(found), pa.array(val)], fields=list(own_type))
-                owns = pa.concat_arrays([pa.nulls(len(g) - m, own_type), struct])
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(o), pa.array(docs[at]), pa.array(times), owns], ["g", "o", "doc", "tf", "own"])
+                each = np.arange(m)
+                g = [v[ranked] << 32 | w[ranked], w[by_w] + 1, v[by_v], opening[rare] + 1, spread, spread, spread, spread[known]]
+                o = [np.zeros(len(ranked), np.int64), v[by_w], w[by_v], np.full(rare.sum(), head.size), sizes, found, val.view(np.int64), ids.drop_null().to_numpy()]
+                at = [own[ranked], own[by_w], own[by_v], begin[rare], each, each, each, known]
+                times = [tf[ranked], tf[by_w], tf[by_v], np.ones(rare.sum(), np.int64)]
+                times += [np.full(len(x), kind) for x, kind in zip(at[4:], (_WORDS, _FOUND, _VALUE, _ID))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (g, o)] + [pa.array(docs[np.concatenate(at)]), pa.array(np.concatenate(times))], ["g", "o", "doc", "tf"])
 
     return run
 
@@ -207,7 +214,7 @@ def order_of(g: np.ndarray, o: np.ndarray) -> np.ndarray:
 _ORDER = f"CASE WHEN g < 0 THEN shiftleft(shiftright(g, 24), 24) | ((o ^ shiftrightunsigned(o, 21) ^ shiftrightunsigned(o, 43)) & {_LOW}L) ELSE g END"
 
 
-def _joined(head: Head, own_type: pa.DataType, step: int):
+def _joined(head: Head, step: int):
     names = ["doc", "val", "found", "words", "id"]
 
     def settle(g: np.ndarray, o: np.ndarray, doc: np.ndarray, tf: np.ndarray, table: tuple) -> tuple[pa.RecordBatch, tuple]:
@@ -246,18 +253,20 @@ def _joined(head: Head, own_type: pa.DataType, step: int):
         found = np.bincount(at, weights=tf * (seen & once), minlength=len(docs)).astype(np.int64)
         columns = [pa.array(docs), pa.array(np.bincount(at, weights=val, minlength=len(docs))), pa.array(found)]
         keep = code >> 24 == last  # the next rows may be of the same words
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), own_type[0].type)], names), (code[keep], c[keep])
+        return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(docs), pa.int64())] * 2], names), (code[keep], c[keep])
+
+    def of_documents(o: np.ndarray, doc: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        found, val = np.where(kind == _FOUND, o, 0), np.where(kind == _VALUE, o, 0).view(np.float64)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(val), pa.array(found), *(pa.array(o, mask=kind != k) for k in (_WORDS, _ID))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, table = [], 0, (np.empty(0, np.int64), np.empty(0, np.int64))
         for b in batches:
             rows = [b.column(i).to_numpy() for i in range(4)]
-            own = b.column(4)
-            if own.null_count < len(own):
-                of_doc = own.is_valid().to_numpy(zero_copy_only=False)
-                id_, words, found, val = own.filter(pa.array(of_doc)).flatten()
-                yield pa.RecordBatch.from_arrays([pa.array(rows[2][of_doc]), val, found, words, id_], names)
-                rows = [x[~of_doc] for x in rows]
+            about = rows[3] < 0
+            if about.any():
+                yield of_documents(*(x[about] for x in rows[1:]))
+                rows = [x[~about] for x in rows]
             held.append(rows)
             n += len(rows[0])
             if n >= step:
@@ -304,22 +313,19 @@ def score(
     rows count as other documents to each other. Texts of any length are counted and scored whole, in memory that grows
     with the longest one. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    kind = docs.select(column(docs, id_col)).schema[0].dataType
+    if not isinstance(kind, IntegralType):  # other ids are numbered, and found again by their number
+        ids = shelve(docs.select(column(docs, id_col).alias("of")).distinct().select("of", F.monotonically_increasing_id().alias("number")))
+        numbered = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("of"))).select("number", "text")
+        scored = score(numbered, "number", "text", head_size, core_size, step, sample).join(ids, "number")
+        return scored.select(F.col("of").alias(id_col), "n_words", "n_found", "log_score")
     text = docs.select(text_bytes(column(docs, text_col)).alias("text"))
     head, rest = _head(docs, text, head_size, core_size, sample)
-    body = docs.select(text_bytes(column(docs, text_col)).alias("text"), column(docs, id_col).alias("id"))
-    kind = body.schema["id"].dataType
-    own = pa.struct([("id", _arrow_type(kind)), ("words", pa.int64()), ("found", pa.int64()), ("val", pa.float64())])
-    own_sql = f"struct<id:{kind.simpleString()},words:bigint,found:bigint,val:double>"
-    pairs = body.mapInArrow(_exploded(head, own), f"g bigint, o bigint, doc bigint, tf bigint, own {own_sql}")
+    body = docs.select(text_bytes(column(docs, text_col)).alias("text"), column(docs, id_col).cast("long").alias("id"))
+    pairs = body.mapInArrow(_exploded(head), "g bigint, o bigint, doc bigint, tf bigint")
     roles = F.explode(F.array(F.struct((F.col("code") + 1).alias("g"), F.col("c").alias("tf")), F.struct(F.col("code").alias("g"), F.col("cc").alias("tf")))).alias("r")
-    table = rest.select(roles).selectExpr("r.g AS g", "0L AS o", "-1L AS doc", "r.tf AS tf", f"CAST(NULL AS {own_sql}) AS own")
+    table = rest.select(roles).selectExpr("r.g AS g", "0L AS o", "-1L AS doc", "r.tf AS tf")
     rows = pairs.unionByName(table).repartition("g").sortWithinPartitions(F.expr(_ORDER))
-    sums = rows.mapInArrow(_joined(head, own, step), f"doc bigint, val double, found bigint, words bigint, id {kind.simpleString()}")
+    sums = rows.mapInArrow(_joined(head, step), "doc bigint, val double, found bigint, words bigint, id bigint")
     out = sums.groupBy("doc").agg(F.sum("val").alias("val"), F.sum("found").alias("n_found"), F.max("words").alias("n_words"), F.max("id").alias("id"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("val") / F.col("n_words")).alias("log_score"))
-
-
-def _arrow_type(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("val") / F.col("n_words")).alias("log_score"))

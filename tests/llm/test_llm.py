@@ -326,6 +326,9 @@ def test_order_of_rows_is_the_same_in_sql(spark):
 def test_lm_odd(odd):
     rows = lm.score(odd).collect()
     assert len(rows) == 7 and sorted(r.n_words for r in rows)[:2] == [0, 0] and lm.score(empty(odd)).count() == 0
+    named = lm.score(odd.withColumn("doc_id", F.concat(F.lit("no "), "doc_id"))).collect()
+    plain = sorted((r.doc_id is None, f"no {r.doc_id}", r.n_words, r.log_score or 0) for r in rows)
+    assert sorted((r.doc_id is None, f"{r.doc_id or 'no None'}", r.n_words, r.log_score or 0) for r in named) == plain
 
 
 # --- toxicity
