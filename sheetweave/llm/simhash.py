@@ -219,13 +219,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
 
     `group` names the components instead of dedup(): from rows, an id and a text column to (doc_id, component_id).
 
-    Only ids, fingerprints and a number for each row are shuffled to choose; the rows chosen are then looked up by that
-    number, so texts move at most once. Equal rows are told apart by it too, so one of them stays.
+    Only ids, fingerprints and a number for each row are shuffled to choose; the rows that go are then looked up by that
+    number, so texts move at most once, and not at all where the list of those rows is small enough for Spark to send it
+    to them. Equal rows are told apart by the number too, so one of them stays.
     """
     row, of = free_name(docs, "row"), free_name(docs, "of")
     # The number must be the same in both reads, so it is fixed in the written copy.
     held = shelve(docs.withColumn(row, F.monotonically_increasing_id()))
     roots = group(held.select(F.col(row).alias("row"), column(held, text_col).alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
     keys = held.select(F.col(row).alias("r"), column(held, id_col).alias("id"))
-    chosen = roots.join(keys, F.col("row") == F.col("r")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
-    return held.join(chosen.select(F.col("best.row").alias(of)), F.col(row) == F.col(of), "left_semi").drop(row)
+    named = shelve(roots.join(keys, F.col("row") == F.col("r")).select("row", "component_id", "id"))
+    best = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")
+    several = named.groupBy("component_id").agg(best, F.count("*").alias("n")).where("n > 1").select(F.col("component_id").alias("c"), F.col("best.row").alias("stays"))
+    same = F.col("component_id").eqNullSafe(F.col("c"))
+    gone = shelve(named.join(several, same).where("row <> stays").select(F.col("row").alias(of)))
+    return held.join(gone, F.col(row) == F.col(of), "left_anti").drop(row)
