@@ -1,37 +1,43 @@
 """Nearest neighbours by largest inner product over shifted Hilbert curves.
 
-Each of CURVES orderings projects the directions of the vectors to a few dimensions (a random rotation of its own),
-shifts the grid at random and sorts by Hilbert key; Spark range-partitions the keys. A query's neighbours in a window
-of keys are scored exactly, and the windows of all curves are merged. That gives each query a list, and with it a
-lower bound for its k-th best score.
-
-Vectors without low-dimensional structure (equally spread in all directions) have no neighbours in key order; there
-windows alone can't reach a recall worth having. So the curve's order serves once more: it cuts the table into blocks
-with centre and radius, queries into blocks likewise, and a pair of blocks is rescored unless its bound on the inner
-product shows that it can't beat the windows' lists. Nothing else is left out, so the result is exact.
+Equal vectors are one node, so a vector that a large share of all rows holds is searched for, and found, once.
+
+Largest inner products become nearest points by one more coordinate (Bachrach et al., 2014): a vector x is placed at
+(x, sqrt(M^2 - |x|^2)), a query q at (M q / |q|, 0). Each of CURVES orderings turns the principal directions of these
+points at random, keeps DIMS of them, shifts the grid at random and sorts by Hilbert key; Spark range-partitions the
+keys, and every row has its place in each order. A query is scored against the blocks of a curve that its window of
+REACH places to either side meets; the windows of all curves merge, and the best are ranked by their exact scores.
+
+Directions, curves and reach are fitted on bounded samples: directions on SAMPLE vectors, curves and reach on ASKED
+queries, whose true neighbours are found among all rows. Of the reaches for one curve, two, and so on, that would have
+found TARGET of these neighbours, the cheapest is taken. So structure in the vectors makes windows small; vectors spread
+evenly in all directions have no neighbours in any order, and there windows grow to a large part of the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetweave.llm.shared import column, shelve
 
-CURVES = 4
+CURVES = 8
 DIMS = 8
 BITS = 8
-REACH = 64
 K = 20
 EVERY = 20
 SEED = 11
-BLOCK = 1024
-#: Tasks that share the blocks which one block of queries still needs.
-GROUPS = 8
+#: Places of one curve that a task scores against the queries whose windows meet them.
+BLOCK = 2048
+#: Bounds of the samples: vectors (and numbers in them) for directions, queries for curves and reach.
+SAMPLE, SAMPLE_NUMBERS, ASKED = 20_000, 4_000_000, 256
+#: Share of the sampled queries' true neighbours that windows must hold.
+TARGET = 0.95
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -63,27 +69,49 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(vectors: np.ndarray, curve: int, seed: int = SEED) -> np.ndarray:
-    """Keys of one curve, as int64 in key order. Depends on the vectors alone, so nothing has to be fitted."""
-    rng = np.random.default_rng([seed, curve])
-    d = vectors.shape[1]
-    m = min(DIMS, d)
-    basis = np.linalg.qr(rng.normal(size=(d, m)))[0]
-    shift = rng.random(m) / 2
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    # Three standard deviations of a random direction fill half the grid; the shift places it.
-    place = np.clip(unit @ basis * np.sqrt(d) / 6 + 0.5, 0, 1) / 2 + shift
-    cells = np.clip((place * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
-    return (hilbert(cells) ^ np.uint64(1 << 63)).view(np.int64)
+@dataclass(frozen=True)
+class Curves:
+    """Where points fall on each curve's grid. top: M of the module's first lines."""
+
+    mean: np.ndarray = field(repr=False)
+    bases: tuple[np.ndarray, ...] = field(repr=False)
+    spreads: tuple[np.ndarray, ...] = field(repr=False)
+    shifts: tuple[np.ndarray, ...] = field(repr=False)
+    top: float
+
+    def keys(self, vectors: np.ndarray, curve: int, asked: bool = False) -> np.ndarray:
+        """Keys of one curve, as int64 in key order, of vectors or of the queries that they ask."""
+        at = (self._points(vectors, asked) - self.mean) @ self.bases[curve]
+        # Three standard deviations to either side fill half the grid; the shift places it.
+        place = np.clip(at / (6 * self.spreads[curve]) + 0.5, 0, 1) / 2 + self.shifts[curve]
+        cells = np.clip((place * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+        return (hilbert(cells) ^ np.uint64(1 << 63)).view(np.int64)
+
+    def _points(self, v: np.ndarray, asked: bool) -> np.ndarray:
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        if asked:
+            return np.hstack([v * (self.top / norm), np.zeros_like(norm)])
+        return np.hstack([v, np.sqrt(np.maximum(self.top**2 - norm**2, 0))])
+
+
+def fit_curves(sample: np.ndarray, curves: int = CURVES, seed: int = SEED) -> Curves:
+    """Principal directions of a sample of vectors (n, d); the first curve takes the largest, each other a turn of them."""
+    top = float(np.linalg.norm(sample, axis=1).max()) if len(sample) else 1.0
+    one = Curves(np.zeros(sample.shape[1] + 1), (), (), (), top)
+    points = one._points(sample, False) if len(sample) else np.zeros((1, sample.shape[1] + 1))
+    mean = points.mean(axis=0)
+    values, vectors = np.linalg.eigh(np.cov((points - mean).T, bias=True).reshape(points.shape[1], -1))
+    order = np.argsort(-values)[: 2 * DIMS]
+    wide, rng = vectors[:, order], np.random.default_rng(seed)
+    m = min(DIMS, wide.shape[1])
+    bases = [wide[:, :m]] + [wide @ np.linalg.qr(rng.normal(size=(wide.shape[1],) * 2))[0][:, :m] for _ in range(curves - 1)]
+    spreads = [np.maximum(((points - mean) @ b).std(axis=0), 1e-12 * max(1.0, top)) for b in bases]
+    return Curves(mean, tuple(bases), tuple(spreads), tuple(rng.random(m) / 2 for _ in bases), top)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(col), -1)
-
-
-def _lists(m: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.int32()), pa.array(m.reshape(-1)))
+    return flat.astype(np.float64).reshape(len(col), -1)
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,199 +119,194 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.multiply(a, b).sum(axis=1)
 
 
-def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each q: largest score, then smallest id; an id counts once, with its best score."""
-    order = np.lexsort((-scores, ids, q))
-    twice = np.zeros(len(order), bool)
-    twice[1:] = (np.diff(q[order]) == 0) & (np.diff(ids[order]) == 0)
-    order = order[~twice]
-    order = order[np.lexsort((ids[order], -scores[order], q[order]))]
+def best(q: np.ndarray, ids: np.ndarray, nodes: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each q: largest score, then smallest id, then smallest node."""
+    order = np.lexsort((nodes, ids, -scores, q))
     start = np.flatnonzero(np.diff(q[order], prepend=-1))
     rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
     return order[rank < k]
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        v = _matrix(b.column(1))
-        for c in range(CURVES):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(curve_keys(v, c)), b.column(0), b.column(1)], ["curve", "key", "id", "vec"])
+def top_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of the k largest inner products of each row of q, in double precision."""
+    rough = q @ x.T
+    least = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
+    a, c = np.nonzero(rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+    s = dots(q[a], x[c])
+    top = best(a, ids[c], nodes[c], s, k)
+    return a[top], c[top], s[top]
 
 
-def _windows(every: int, reach: int, k: int):
+def _keyed(curves: Curves):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (curve, key, id). Held: the rows not yet passed by a window, at most a batch and two windows."""
-        curve, ids, vec, done = np.empty(0, np.int32), np.empty(0, np.int64), None, 0
-
-        def passed(upto: int):
-            at = np.flatnonzero(ids[done:upto] % every == 0) + done
-            for lo in range(0, len(at), 256):
-                own = at[lo : lo + 256]
-                near = own[:, None] + np.arange(-reach, reach + 1)[None, :]
-                ok = (near >= 0) & (near < len(ids))
-                near = np.clip(near, 0, len(ids) - 1)
-                ok &= (curve[near] == curve[own][:, None]) & (ids[near] != ids[own][:, None])
-                a, b = np.nonzero(ok)
-                b = near[a, b]
-                s = dots(vec[own[a]], vec[b])
-                top = best(a, ids[b], s, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own[a[top]]]), pa.array(ids[b[top]]), pa.array(s[top])], ["query_id", "vec_id", "score"])
-
+        """(node, vec, asked) to (curve, key, q, node): each node once in each curve, and once more as a query."""
         for b in batches:
             if not b.num_rows:
                 continue
-            new = _matrix(b.column(3))
-            curve, ids = np.concatenate([curve, b.column(0).to_numpy()]), np.concatenate([ids, b.column(2).to_numpy()])
-            vec = new if vec is None else np.concatenate([vec, new])
-            upto = max(done, len(ids) - reach)
-            yield from passed(upto)
-            drop = max(0, upto - reach)
-            curve, ids, vec, done = curve[drop:], ids[drop:], vec[drop:], upto - drop
-        if vec is not None:
-            yield from passed(len(ids))
+            v, asked = _matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for c in range(len(curves.bases)):
+                for q, some in ((False, np.ones(len(v), bool)), (True, asked)):
+                    if some.any():
+                        n = int(some.sum())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, c, np.int32)), pa.array(curves.keys(v[some], c, q)), pa.array(np.full(n, q)), b.column(0).filter(pa.array(some))],
+                            ["curve", "key", "q", "node"],
+                        )
 
     return run
 
 
-_PACKED = "block bigint, n int, ids binary, vecs binary, floors binary, floor double, centre array<double>, radius double, largest double"
-
-
-def _pack(size: int, floors: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of up to `size` neighbours in key order, numbered by task and place."""
-        from pyspark import TaskContext
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (curve, q, node) to (curve, q, node, part, at): vectors of the task before this row."""
+    from pyspark import TaskContext
 
-        first, n = TaskContext.get().partitionId() << 32, 0
-        ids, vec, low = np.empty(0, np.int64), None, np.empty(0)
+    part, n = TaskContext.get().partitionId(), 0
+    for b in batches:
+        data = (~b.column(1).to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64)
+        at = n + np.cumsum(data) - data
+        n += int(data.sum())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(at), part, np.int32)), pa.array(at)], ["curve", "q", "node", "part", "at"])
 
-        def block(i: np.ndarray, v: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            centre = v.mean(axis=0)
-            radius = np.linalg.norm(v - centre, axis=1).max()
-            row = [first + n, len(i), i.tobytes(), v.tobytes(), f.tobytes(), float(f.min()) if len(f) else 0.0, centre, float(radius), float(np.linalg.norm(v, axis=1).max())]
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
-            names = [x.split()[0] for x in _PACKED.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
+def _against(asked: np.ndarray, vectors: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of each given query among the nodes (node, id, vec) of each batch."""
         for b in batches:
-            if not b.num_rows:
-                continue
-            new = _matrix(b.column(1))
-            ids = np.concatenate([ids, b.column(0).to_numpy()])
-            vec = new if vec is None else np.concatenate([vec, new])
-            if floors:
-                low = np.concatenate([low, b.column(2).to_numpy()])
-            while len(ids) >= size:
-                yield block(ids[:size], vec[:size], low[:size])
-                n += 1
-                ids, vec, low = ids[size:], vec[size:], low[size:]
-        if len(ids):
-            yield block(ids, vec, low)
+            if b.num_rows:
+                nodes, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+                a, c, s = top_of(vectors, _matrix(b.column(2)), ids, nodes, k)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[a]), pa.array(nodes[c]), pa.array(ids[c]), pa.array(s)], ["asked", "node", "id", "score"])
 
     return run
 
 
-def _rescore(k: int):
+def _windows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (queries, part, block): first the queries (block -1), then the blocks to compare them with."""
-        current, q_ids, q, floor, top_q, top_id, top_s = None, None, None, None, None, None, None
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(q_ids[top_q]), pa.array(top_id), pa.array(top_s)], ["query_id", "vec_id", "score"])
-
+        """Rows (curve, block, q, node, id, vec) come sorted by the first three: a block's vectors, then its queries."""
+        at, parts, x = None, [], None
         for b in batches:
-            for queries, part, at, i, v, f in zip(*(c.to_pylist() for c in b.columns)):
-                if at < 0:
-                    if current is not None and len(top_q):
-                        yield out()
-                    current, q_ids = (queries, part), np.frombuffer(i, np.int64)
-                    q, floor = np.frombuffer(v).reshape(len(q_ids), -1), np.frombuffer(f).copy()
-                    top_q, top_id, top_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            if not b.num_rows:
+                continue
+            curve, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            q, nodes, ids = b.column(2).to_numpy(zero_copy_only=False).astype(bool), b.column(3).to_numpy(), b.column(4).to_numpy()
+            v = _matrix(b.column(5))
+            starts = np.flatnonzero((np.diff(curve, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0) | (np.diff(q.astype(np.int8), prepend=-1) != 0))
+            for lo, hi in zip(starts, np.append(starts[1:], len(q))):
+                if at != (curve[lo], block[lo]):
+                    at, parts, x = (curve[lo], block[lo]), [], None
+                if not q[lo]:
+                    parts.append((nodes[lo:hi], ids[lo:hi], v[lo:hi]))
                     continue
-                ids = np.frombuffer(i, np.int64)
-                x = np.frombuffer(v).reshape(len(ids), -1)
-                rough = q @ x.T
-                with np.errstate(invalid="ignore"):
-                    near_floor = floor - 1e-9 * (1 + np.abs(floor))
-                a, c = np.nonzero(rough >= np.where(np.isneginf(floor), floor, near_floor)[:, None])
-                other = q_ids[a] != ids[c]
-                a, c = a[other], c[other]
-                if not len(a):
+                if not parts:
                     continue
-                cq, ci, cs = np.concatenate([top_q, a]), np.concatenate([top_id, ids[c]]), np.concatenate([top_s, dots(q[a], x[c])])
-                keep = best(cq, ci, cs, k)
-                top_q, top_id, top_s = cq[keep], ci[keep], cs[keep]
-                full = np.bincount(top_q, minlength=len(q_ids)) >= k
-                least = np.full(len(q_ids), np.inf)
-                np.minimum.at(least, top_q, top_s)
-                floor = np.where(full, np.maximum(floor, least), floor)
-        if current is not None and len(top_q):
-            yield out()
+                if x is None:
+                    x = [np.concatenate(p) for p in zip(*parts)]
+                for i in range(lo, hi, 256):
+                    a, c, s = top_of(v[i : min(hi, i + 256)], x[2], x[1], x[0], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i + a]), pa.array(x[0][c]), pa.array(x[1][c]), pa.array(s)], ["asked", "node", "id", "score"])
 
     return run
 
 
-def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, vec: array<double>) of rows that take part: an id; a vector that is not null, not zero, without null or
-    non-finite components, and as long as most such vectors are (of equally many, the shorter)."""
-    v = column(vectors, vec_col).cast("array<double>")
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(column(vectors, id_col).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    rows = shelve(rows)
-    length = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), "length").limit(1)
-    return rows.join(F.broadcast(length.select("length")), F.size("vec") == F.col("length"), "left_semi")  # one row
+_FOUND = "asked bigint, node bigint, id bigint, score double"
 
 
-def _ranked(rows: DataFrame, k: int) -> DataFrame:
-    rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def _first(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The k rows of each `by` with the largest score, then the smallest id, then the smallest node."""
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "id", "node")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def window_neighbours(rows: DataFrame, every: int = EVERY, reach: int = REACH, k: int = K) -> DataFrame:
-    """(query_id, vec_id, score, rank): the merged windows of all curves, without the exact completion. rows: (id, vec)."""
-    keyed = rows.mapInArrow(_keyed, "curve int, key bigint, id bigint, vec array<double>")
-    ordered = keyed.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    return _ranked(ordered.mapInArrow(_windows(every, reach, k), "query_id bigint, vec_id bigint, score double"), k)
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, reach: int = REACH, k: int = K, exact: bool = True) -> DataFrame:
+def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(row, id, vec) of rows that take part: an id; a vector that is not null, not zero, without null or non-finite
+    components. row numbers them. Vectors of different lengths are compared as if the shorter ended in zeros."""
+    kind = vectors.select(column(vectors, vec_col)).schema[0].dataType.elementType.simpleString()
+    number = "float" if kind == "float" else "double"
+    v = column(vectors, vec_col).cast(f"array<{number}>")
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(column(vectors, id_col).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
+    rows = shelve(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vec"))
+    longest, shortest = rows.agg(F.max(F.size("vec")), F.min(F.size("vec"))).first()
+    if longest == shortest:
+        return rows
+    return rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0).cast(number), F.lit(longest) - F.size("vec"))))
+
+
+def reach_of(distances: np.ndarray, block: int, target: float) -> tuple[int, int]:
+    """(curves, reach) of least cost that hold the target share. distances: (pairs, curves), in places."""
+    if not len(distances):
+        return 1, 0
+    least = np.minimum.accumulate(distances, axis=1)
+    reach = np.sort(least, axis=0)[max(0, int(np.ceil(target * len(least))) - 1)]
+    curves = int(np.argmin((np.arange(least.shape[1]) + 1) * (2 * reach + block)))
+    return curves + 1, int(reach[curves])
+
+
+def search(
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = EVERY, k: int = K, exact: bool = False, block: int = BLOCK, target: float = TARGET
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product for each row whose id is divisible by `every`.
 
-    Nearest first, ties to the smaller id; a query is never its own neighbour, and rows that repeat an id count once,
-    with their best score. Which rows take part: valid_vectors(). Fewer candidates than k: all of them; an empty table
-    or no query: no rows. exact=False stops after the windows.
+    Nearest first, ties to the smaller id, then to the earlier row; every row but the query's own is a candidate, also
+    where ids repeat: rows that share an id stand for themselves, as queries too. Which rows take part: valid_vectors().
+    Other columns are ignored. Fewer candidates than k: all of them; an empty table or no query: no rows. exact=True
+    makes the windows as large as the table, which finds everything at the cost of all queries times all rows.
     """
     rows = valid_vectors(vectors, id_col, vec_col)
-    found = window_neighbours(rows, every, reach, k)
-    if not exact:
-        return found.select("query_id", "rank", "vec_id", "score")
-    found = shelve(found)
-    floors = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    keyed = rows.mapInArrow(_first_curve, "key bigint, id bigint, vec array<double>")
-    blocks = shelve(keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("id", "vec").mapInArrow(_pack(BLOCK, False), _PACKED))
-    asked = keyed.where(F.col("id") % every == 0).join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    queries = shelve(asked.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("id", "vec", "floor").mapInArrow(_pack(BLOCK, True), _PACKED))
-    # Which pairs of blocks can still hold a better neighbour: centres and radii only.
-    slots = 64
-    q = queries.select(F.col("block").alias("queries"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), F.col("largest").alias("ql"), "floor", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    d = blocks.select("block", "centre", "radius", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("of"))
-    bound = _dot(F.col("qc"), F.col("centre")) + F.col("qr") * F.sqrt(_dot(F.col("centre"), F.col("centre"))) + F.col("ql") * F.col("radius")
-    pairs = q.join(d, F.col("slot") == F.col("of")).where(bound * (1 + 1e-9) + 1e-9 >= F.col("floor")).select("queries", F.col("block").alias("b"))
-    parts = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(GROUPS)).cast("int"))
-    work = parts.join(blocks, F.col("b") == F.col("block")).select("queries", "part", "block", "ids", "vecs", "floors")
-    own = queries.select(F.col("block").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("part"), F.lit(-1).cast("long").alias("block"), "ids", "vecs", "floors")
-    work = own.unionByName(work).repartition("queries", "part").sortWithinPartitions("queries", "part", "block")
-    more = work.mapInArrow(_rescore(k), "query_id bigint, vec_id bigint, score double")
-    return _ranked(found.select("query_id", "vec_id", "score").unionByName(more), k).select("query_id", "rank", "vec_id", "score")
-
-
-def _first_curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(_matrix(b.column(1)), 0)), b.column(0), b.column(1)], ["key", "id", "vec"])
+    same = ["h1", "h2"]
+    rows = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(SEED), "vec")})
+    order = Window.partitionBy(*same).orderBy("id", "row")
+    # Of equal vectors the first k + 1 rows can be answers. Spark limits each group before it is shuffled.
+    members = rows.withColumns({"place": F.row_number().over(order), "node": F.first("row").over(order)}).where(F.col("place") <= k + 1)
+    members = shelve(members.select("node", "id", "row", *same, F.when(F.col("place") == 1, F.col("vec")).alias("vec")))
+    heads = members.where("vec IS NOT NULL").select("node", "id", "vec", *same)
+    queries = shelve(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("row").alias("query"), *same).join(heads.select(*same, F.col("node").alias("asks")), same).select("query_id", "query", "asks"))
+    asked = queries.select(F.col("asks").alias("of")).distinct()
+    nodes = shelve(heads.join(asked, F.col("node") == F.col("of"), "left").select("node", "id", "vec", F.col("of").isNotNull().alias("asked")))
+    found = _first(_found(nodes, k + 1, exact, block, target), "asked", k + 1)
+    near = found.select("asked", F.col("node").alias("of"), "score").join(members.select(F.col("node").alias("of"), "id", F.col("row").alias("node")), "of")
+    near = _first(near, "asked", k + 1).select(F.col("asked").alias("of"), "id", "node", "score")
+    out = queries.join(near, F.col("asks") == F.col("of")).where("query <> node").select("query_id", "query", "id", "node", "score")
+    return _first(out, "query", k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def _found(nodes: DataFrame, k: int, exact: bool, block: int, target: float) -> DataFrame:
+    """(asked, node, id, score) from the windows of all curves, each node once; k of each query at least, if there are."""
+    spark, n = nodes.sparkSession, nodes.count()
+    some = nodes.select("vec").limit(1).collect()
+    dims = len(some[0].vec) if some else 1
+    share = min(1.0, min(SAMPLE, SAMPLE_NUMBERS // dims) / max(1, n))
+    sample = nodes.select("vec") if share == 1 else nodes.select("vec").sample(share, seed=SEED)
+    sample = sample.toArrow()["vec"].combine_chunks() if n else None
+    curves = fit_curves(_matrix(sample) if n and len(sample) else np.zeros((0, dims)))
+    ordered = nodes.select("node", "vec", "asked").mapInArrow(_keyed(curves), "curve int, key bigint, q boolean, node bigint")
+    ordered = ordered.repartitionByRange("curve", "key", "q", "node").sortWithinPartitions("curve", "key", "q", "node").select("curve", "q", "node")
+    placed = shelve(ordered.mapInArrow(_numbered, "curve int, q boolean, node bigint, part int, at bigint"))
+    # One row for each partition of the sort.
+    sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count_if(~F.col("q")).alias("n")).collect())
+    before = np.cumsum([0, *(x for _, x in sizes)]).tolist()
+    offsets = spark.createDataFrame([(p, before[i]) for i, (p, _) in enumerate(sizes)], "part int, before bigint")
+    placed = placed.join(F.broadcast(offsets), "part").select("curve", "q", "node", (F.col("before") + F.col("at") - F.col("curve") * F.lit(n)).alias("place"))
+    use, reach = (1, n) if exact else reach_of(_distances(nodes, placed, k), block, target)
+    last = F.lit(max(0, (n - 1) // block))
+    of = F.col("place") / F.lit(block)
+    placed = placed.where(F.col("curve") < use).join(nodes.select("node", "id", "vec"), "node")
+    low, high = (F.greatest(F.lit(0), F.least(last, F.floor((F.col("place") + F.lit(r)) / F.lit(block)))) for r in (-reach, reach))
+    data = placed.where(~F.col("q")).select("curve", F.floor(of).alias("block"), "q", "node", "id", "vec")
+    ask = placed.where("q").select("curve", F.explode(F.sequence(low, high)).alias("block"), "q", "node", "id", "vec")
+    work = data.unionByName(ask).repartition("curve", "block").sortWithinPartitions("curve", "block", "q", "node")
+    found = work.mapInArrow(_windows(k), _FOUND)
+    return found if use == 1 else found.groupBy("asked", "node").agg(F.first("id").alias("id"), F.first("score").alias("score"))
+
+
+def _distances(nodes: DataFrame, placed: DataFrame, k: int) -> np.ndarray:
+    """(pairs, curves): places between sampled queries and each of their true k neighbours; ASKED times k pairs at most."""
+    some = nodes.where("asked").orderBy(F.xxhash64("node"), "node").limit(ASKED).select("node", "vec").toArrow()
+    if not len(some):
+        return np.empty((0, CURVES))
+    asked, v = some["node"].to_numpy(), _matrix(some["vec"].combine_chunks())
+    true = _first(nodes.select("node", "id", "vec").mapInArrow(_against(asked, v, k), _FOUND), "asked", k).select("asked", "node").toPandas()
+    wanted = nodes.sparkSession.createDataFrame([(int(x), True) for x in asked] + [(int(x), False) for x in true["node"].unique()], "node bigint, q boolean")
+    at = placed.join(F.broadcast(wanted), ["node", "q"]).toPandas()
+    place = {q: part.pivot(index="node", columns="curve", values="place") for q, part in at.groupby("q")}
+    return np.abs(place[True].loc[true["asked"]].to_numpy() - place[False].loc[true["node"]].to_numpy())

@@ -368,25 +368,61 @@ def test_hilbert_steps_to_neighbours():
     assert np.abs(np.diff(cells[order], axis=0)).sum(axis=1).max() == 1
 
 
+def true_neighbours(ids, x, every=20, k=20):
+    """{row of the query: [(id, score)]}: every row but the query's own, ties to the smaller id."""
+    out = {}
+    for q in np.flatnonzero(np.array(ids) % every == 0):
+        s = (x[q] * x).sum(axis=1)
+        out[q] = [(ids[i], s[i]) for i in sorted((i for i in range(len(ids)) if i != q), key=lambda i: (-s[i], ids[i]))[:k]]
+    return out
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, (600, 1))
     x[100:160] = x[40]
     rows = [(i, [float(v) for v in x[i]]) for i in range(600)]
-    bad = [(601, None), (620, [0.0] * 16), (640, [float("nan")] * 16), (None, rows[0][1]), (660, [1.0] * 3), (680, [None] + [1.0] * 15)]
-    got = ann.search(spark.createDataFrame(rows + bad + rows[:2], "vec_id long, embedding array<double>")).collect()
-    for q in range(0, 600, 20):
-        s = (x[q] * x).sum(axis=1)
-        want = sorted((i for i in range(600) if i != q), key=lambda i: (-s[i], i))[:20]
+    bad = [(601, None), (620, [0.0] * 16), (640, [float("nan")] * 16), (None, rows[0][1]), (680, [None] + [1.0] * 15), (700, [])]
+    got = ann.search(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>"), exact=True, block=128).collect()
+    want = true_neighbours(list(range(600)), x)
+    for q in want:
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
-        assert [r.vec_id for r in mine] == want and all(r.score == s[r.vec_id] for r in mine)
+        assert [(r.vec_id, r.score) for r in mine] == want[q] and [r["rank"] for r in mine] == list(range(1, 21))
     assert len(got) == 600 and ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_an_id_with_different_vectors_counts_once():
-    q, ids = np.array([0, 0, 0, 0, 1, 1, 1]), np.array([5, 7, 5, 8, 5, -1, 5])
-    top = ann.best(q, ids, np.array([9.0, 8.0, 7.0, 6.0, 1.0, 2.0, 3.0]), 3)
-    assert [(q[i], ids[i]) for i in top] == [(0, 5), (0, 7), (0, 8), (1, 5), (1, -1)] and top[3] == 6
+def test_rows_that_share_an_id_and_odd_lengths(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(30, 4))
+    x[20:, 2:] = 0
+    ids = [*range(20), 0, 0, 3, 3, 20, 21, 40, 5, 5, 7]
+    x[25] = x[24]
+    rows = [(i, v.tolist() if n < 20 else v[:2].tolist(), "a", 1, 2) for n, (i, v) in enumerate(zip(ids, x))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, row int, score int")
+    want = sorted((ids[q], n + 1, *r) for q, found in true_neighbours(ids, x[:, :]).items() for n, r in enumerate(found))
+    for exact in (True, False):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, exact=exact).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
+@pytest.mark.parametrize("kind", ["clusters", "even", "lengths"])
+def test_recall_of_windows(spark, kind):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(4000, 32))
+    if kind != "even":
+        x = rng.normal(size=(80, 32))[rng.integers(0, 80, 4000)] + 0.2 * x
+    if kind == "lengths":
+        x *= rng.lognormal(0, 0.5, (4000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, block=128).groupBy("query_id").agg(F.collect_set("vec_id").alias("found")).collect()
+    want = true_neighbours(list(range(4000)), x)
+    recall = sum(len({i for i, _ in want[r.query_id]} & set(r.found)) for r in got) / sum(map(len, want.values()))
+    assert len(got) == 200 and recall >= 0.9
+
+
+def test_reach_of_least_cost():
+    one_near = np.array([[5, 900], [7, 900], [900, 4], [6, 900]])
+    assert ann.reach_of(one_near, 1, 0.7) == (1, 7) and ann.reach_of(one_near, 1, 1.0) == (2, 7) and ann.reach_of(np.empty((0, 3)), 1, 0.9) == (1, 0)
 
 
 # --- the pipeline
