@@ -18,6 +18,7 @@ counts are joined where the pairs are counted, and what a partition knows of a d
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,10 +38,10 @@ CORE = 512
 SAMPLE = 20_000
 #: Rows that one step of the joined counts works on; a pair's rows are held together.
 STEP = 150_000
-#: Words whose code a worker remembers, and unranked words that a counting task adds up before it passes them on.
-REMEMBERED, ADDED = 400_000, 1_000_000
-#: Texts that are worked on at once.
-GROUP = 64
+#: Unranked words that a counting task adds up before it passes them on.
+ADDED = 1_000_000
+#: Texts, and bytes of them, that are worked on at once.
+GROUP, PIECE = 64, 1 << 18
 _LOW = (1 << 24) - 1
 
 
@@ -57,41 +58,87 @@ class Head:
     core_size: int = CORE
 
 
+#: A number for each byte, the same for capital and small ASCII letters, and the base of the polynomial over a word's bytes.
+_OF_BYTE = np.random.default_rng(20).integers(1, 2**64, 256, dtype=np.uint64)
+_OF_BYTE[ord("A") : ord("Z") + 1] = _OF_BYTE[ord("a") : ord("z") + 1]
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+@functools.lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE ** i and its inverse modulo 2 ** 64 for i < n."""
+    return tuple(np.cumprod(np.array([1] + [x] * (n - 1), np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end], from running sums over the bytes of PIECE or, if one is longer, one word."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + PIECE, side="right")))
+        n = int(ends[j - 1]) - lo
+        power, inverse = _powers(max(PIECE, 1 << n.bit_length()))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_OF_BYTE[data[lo : lo + n]] * power[:n])])
+        s = starts[i:j] - lo
+        out[i:j] = (total[ends[i:j] - lo] - total[s]) * inverse[s]
+        i = j
+    return _mixed(out)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
 class Coder:
-    """Texts as numbered words. Numbers are local to the worker; codes[number] is the rank or, negative and even, the hash."""
+    """Texts as word codes: the rank of a ranked word, else 62 bits of the hash, negative and even."""
 
     def __init__(self, head: Head):
-        self.rank = dict(zip(head.codes.tolist(), range(len(head.codes))))
-        self.known: dict[bytes, int] = {}
-        self.codes = np.empty(1024, np.int64)
+        self.bits = max(10, (8 * len(head.codes)).bit_length())
+        self.keys, self.ranks = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
+        rank, at = np.arange(len(head.codes), dtype=np.int32), self._slot(head.codes)
+        while len(rank):  # open addressing: of those that want a free slot one gets it, the others look further
+            free = np.flatnonzero(self.keys[at] == 0)
+            self.keys[at[free]], self.ranks[at[free]] = head.codes[rank[free]], rank[free]
+            rest = self.ranks[at] != rank
+            rest |= self.keys[at] != head.codes[rank]
+            rank, at = rank[rest], (at[rest] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return codes >> 1 & (1 << self.bits) - 1
+
+    def _ranked(self, codes: np.ndarray) -> np.ndarray:
+        at, open_ = self._slot(codes), np.arange(len(codes))
+        out = codes.copy()
+        while len(open_):
+            key = self.keys[at]
+            hit = key == codes[open_]
+            out[open_[hit]] = self.ranks[at[hit]]
+            on = ~hit & (key != 0)
+            at, open_ = (at[on] + 1) & (len(self.keys) - 1), open_[on]
+        return out
 
     def groups(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(place of the first, words of each, numbers of all words) for GROUP texts at a time.
+        """(place of the first, words of each, codes of all words) for GROUP texts (binary, no nulls) at a time.
 
         Words are those between ASCII white space, with A-Z lowered."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        every = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         for lo in range(0, len(texts), GROUP):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            split = [x.as_py().lower().split() for x in texts[lo : lo + GROUP]]
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            for words in split:
-                self._learn(set(words).difference(self.known))
-            numbers = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in split]
-            yield lo, sizes, np.concatenate([np.empty(0, np.int64), *numbers])
-
-    def _learn(self, words: set[bytes]) -> None:
-        from xxhash import xxh64_intdigest
-
-        if not words:
-            return
-        at = len(self.known)
-        while at + len(words) > len(self.codes):
-            self.codes = np.concatenate([self.codes, np.empty(len(self.codes), np.int64)])
-        for w in words:
-            code = (xxh64_intdigest(w) & ~1 | 1 << 63) - (1 << 64)
-            self.codes[at] = self.rank.get(code, code)
-            self.known[w] = at
-            at += 1
+            at = offsets[lo : min(len(texts), lo + GROUP) + 1]
+            data, at = every[at[0] : at[-1]], at - at[0]
+            word = ~_SPACE[data]
+            edge = np.ones(len(data) + 1, bool)  # before a byte: white space or the start of a text
+            edge[1:] = ~np.append(word, False)[:-1] if len(word) else True
+            edge[at] = True
+            starts = np.flatnonzero(word & edge[:-1])
+            after = np.append(~word[1:], True) if len(word) else word
+            after[at[1:][at[1:] > 0] - 1] = True
+            ends = np.flatnonzero(word & after) + 1
+            codes = ((hashes(data, starts, ends) | np.uint64(1 << 63)) & np.uint64(2**64 - 2)).view(np.int64)
+            yield lo, np.diff(np.searchsorted(starts, at)), self._ranked(codes)
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -114,8 +161,7 @@ def _counted(head: Head):
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c), pa.array(cc)], ["code", "c", "cc"])
 
         for b in batches:
-            for _, sizes, numbers in coder.groups(b.column(0)):
-                code = coder.codes[numbers]
+            for _, sizes, code in coder.groups(b.column(0)):
                 inner = np.ones(len(code), bool)
                 inner[(np.cumsum(sizes) - 1)[sizes > 0]] = False  # all but last words
                 at = np.where(code >= 0, code, h)
@@ -164,16 +210,19 @@ def _exploded(head: Head):
         coder, n = Coder(head), head.core_size
         first = TaskContext.get().partitionId() << 33
         for b in batches:
-            for lo, sizes, numbers in coder.groups(b.column(0)):
-                m, codes = len(sizes), coder.codes
+            for lo, sizes, codes in coder.groups(b.column(0)):
+                m = len(sizes)
                 doc = np.repeat(np.arange(m), sizes)
-                bits = len(codes).bit_length()
                 inside = doc[:-1] == doc[1:]
-                packed = (doc[:-1] << 2 * bits | numbers[:-1] << bits | numbers[1:])[inside]
-                packed, tf = np.unique(packed, return_counts=True)
-                own, v, w = packed >> 2 * bits, codes[packed >> bits & (1 << bits) - 1], codes[packed & (1 << bits) - 1]
+                own, v, w = doc[1:][inside], codes[:-1][inside], codes[1:][inside]
+                # Pairs of one document that are alike: the document in the upper bits, 57 bits of the pair's hash below.
+                pair = own.astype(np.uint64) << np.uint64(57) | _mixed(v.view(np.uint64) * np.uint64(_BASE) + w.view(np.uint64)) >> np.uint64(7)
+                order = np.argsort(pair)
+                start = np.flatnonzero(np.diff(pair[order], prepend=~pair[order[:1]]))
+                tf = np.diff(start, append=len(order))
+                own, v, w = (x[order[start]] for x in (own, v, w))
                 begin = np.flatnonzero(sizes)
-                opening = codes[numbers[(np.cumsum(sizes) - sizes)[begin]]]
+                opening = codes[(np.cumsum(sizes) - sizes)[begin]]
                 val, found = np.zeros(m), np.zeros(m, np.int64)
                 common = opening >= 0
                 val[begin[common]] = _backed_off(head.counts[opening[common]], head.total)
