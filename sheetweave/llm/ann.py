@@ -5,8 +5,9 @@ Equal vectors are one node, so a vector that a large share of all rows holds is
 Largest inner products become nearest points by one more coordinate (Bachrach et al., 2014): a vector x is placed at
 (x, sqrt(M^2 - |x|^2)), a query q at (M q / |q|, 0). Each of CURVES orderings turns the principal directions of these
 points at random, keeps DIMS of them, shifts the grid at random and sorts by Hilbert key; Spark range-partitions the
-keys, and every row has its place in each order. A query is scored against the blocks of a curve that its window of
-REACH places to either side meets; the windows of all curves merge, and the best are ranked by their exact scores.
+keys, and every row has its place in each order. The queries of a span of places are scored together against all that
+their windows meet, `reach` places to either side; the windows of all curves merge, and the best are ranked by their
+exact scores. Large windows are cut into segments, so no task sees more than its part of them.
 
 Directions, curves and reach are fitted on bounded samples: directions on SAMPLE vectors, curves and reach on ASKED
 queries, whose true neighbours are found among all rows. Of the reaches for one curve, two, and so on, that would have
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetweave.llm.shared import column, shelve
@@ -32,8 +33,8 @@ BITS = 8
 K = 20
 EVERY = 20
 SEED = 11
-#: Places of one curve that a task scores against the queries whose windows meet them.
-BLOCK = 2048
+#: Vectors that are scored at a time, and blocks of them that one task scores against the queries of a span at most.
+BLOCK, SEGMENT = 2048, 32
 #: Bounds of the samples: vectors (and numbers in them) for directions, queries for curves and reach.
 SAMPLE, SAMPLE_NUMBERS, ASKED = 20_000, 4_000_000, 256
 #: Share of the sampled queries' true neighbours that windows must hold.
@@ -182,32 +183,63 @@ def _against(asked: np.ndarray, vectors: np.ndarray, k: int):
 
 def _windows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (curve, block, q, node, id, vec) come sorted by the first three: a block's vectors, then its queries."""
-        at, parts, x = None, [], None
+        """Rows (curve, span, segment, q, node, id, vec) come sorted by the first four: the queries of a span, then the
+        vectors of a segment that their windows meet. Held are the queries and the k best of each so far."""
+        at, asked, best_of, floor = None, [], None, None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if best_of is not None and len(best_of[0]):
+                a, nodes, ids, s = best_of
+                yield pa.RecordBatch.from_arrays([pa.array(asked[0][a]), pa.array(nodes), pa.array(ids), pa.array(s)], ["asked", "node", "id", "score"])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            curve, block = b.column(0).to_numpy(), b.column(1).to_numpy()
-            q, nodes, ids = b.column(2).to_numpy(zero_copy_only=False).astype(bool), b.column(3).to_numpy(), b.column(4).to_numpy()
-            v = _matrix(b.column(5))
-            starts = np.flatnonzero((np.diff(curve, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0) | (np.diff(q.astype(np.int8), prepend=-1) != 0))
+            key = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            q, nodes, ids = b.column(3).to_numpy(zero_copy_only=False).astype(bool), b.column(4).to_numpy(), b.column(5).to_numpy()
+            v = _matrix(b.column(6))
+            starts = np.flatnonzero((np.diff(key, axis=1, prepend=-1) != 0).any(axis=0) | (np.diff(q.astype(np.int8), prepend=-1) != 0))
             for lo, hi in zip(starts, np.append(starts[1:], len(q))):
-                if at != (curve[lo], block[lo]):
-                    at, parts, x = (curve[lo], block[lo]), [], None
-                if not q[lo]:
-                    parts.append((nodes[lo:hi], ids[lo:hi], v[lo:hi]))
+                if at != tuple(key[:, lo]):
+                    yield from found()
+                    at, asked, best_of = tuple(key[:, lo]), [], None
+                if q[lo]:
+                    asked.append((nodes[lo:hi], v[lo:hi]))
                     continue
-                if not parts:
+                if not asked:
                     continue
-                if x is None:
-                    x = [np.concatenate(p) for p in zip(*parts)]
-                for i in range(lo, hi, 256):
-                    a, c, s = top_of(v[i : min(hi, i + 256)], x[2], x[1], x[0], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i + a]), pa.array(x[0][c]), pa.array(x[1][c]), pa.array(s)], ["asked", "node", "id", "score"])
+                if best_of is None:
+                    asked = [np.concatenate(x) for x in zip(*asked)]
+                    best_of, floor = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, float)], np.full(len(asked[0]), -np.inf)
+                for i in range(lo, hi, BLOCK):
+                    part = slice(i, min(hi, i + BLOCK))
+                    best_of, floor = _better(asked[1], v[part], nodes[part], ids[part], best_of, floor, k)
+        yield from found()
 
     return run
 
 
+def _better(q: np.ndarray, x: np.ndarray, nodes: np.ndarray, ids: np.ndarray, best_of: list, floor: np.ndarray, k: int) -> tuple[list, np.ndarray]:
+    """The k best (query, node, id, score) of each query so far and among x, and the k-th score of each (-inf before k)."""
+    new = [[], [], [], []]
+    for lo in range(0, len(q), 512):
+        rough = q[lo : lo + 512] @ x.T
+        least = floor[lo : lo + 512]
+        if x.shape[0] > k:
+            least = np.maximum(least, np.partition(rough, -k, axis=1)[:, -k])
+        with np.errstate(invalid="ignore"):
+            a, c = np.nonzero(rough >= np.where(np.isneginf(least), least, least - 1e-9 * (1 + np.abs(least)))[:, None])
+        for to, part in zip(new, (a + lo, nodes[c], ids[c], dots(q[a + lo], x[c]))):
+            to.append(part)
+    rows = [np.concatenate([old, *parts]) for old, parts in zip(best_of, new)]
+    top = best(rows[0], rows[2], rows[1], rows[3], k)
+    rows = [x[top] for x in rows]
+    full = np.bincount(rows[0], minlength=len(q)) >= k
+    last = np.full(len(q), np.inf)
+    np.minimum.at(last, rows[0], rows[3])
+    return rows, np.where(full, last, -np.inf)
+
+
 _FOUND = "asked bigint, node bigint, id bigint, score double"
 
 
@@ -288,14 +320,21 @@ def _found(nodes: DataFrame, k: int, exact: bool, block: int, target: float) ->
     offsets = spark.createDataFrame([(p, before[i]) for i, (p, _) in enumerate(sizes)], "part int, before bigint")
     placed = placed.join(F.broadcast(offsets), "part").select("curve", "q", "node", (F.col("before") + F.col("at") - F.col("curve") * F.lit(n)).alias("place"))
     use, reach = (1, n) if exact else reach_of(_distances(nodes, placed, k), block, target)
-    last = F.lit(max(0, (n - 1) // block))
-    of = F.col("place") / F.lit(block)
+    span = min(max(block, 4 * reach), 20 * block)
     placed = placed.where(F.col("curve") < use).join(nodes.select("node", "id", "vec"), "node")
-    low, high = (F.greatest(F.lit(0), F.least(last, F.floor((F.col("place") + F.lit(r)) / F.lit(block)))) for r in (-reach, reach))
-    data = placed.where(~F.col("q")).select("curve", F.floor(of).alias("block"), "q", "node", "id", "vec")
-    ask = placed.where("q").select("curve", F.explode(F.sequence(low, high)).alias("block"), "q", "node", "id", "vec")
-    work = data.unionByName(ask).repartition("curve", "block").sortWithinPartitions("curve", "block", "q", "node")
-    found = work.mapInArrow(_windows(k), _FOUND)
+
+    def every(low: Column, high: Column, size: int) -> Column:
+        """The numbers of the parts of `size` places that low to high meets."""
+        ends = [F.greatest(F.lit(0), F.least(F.lit(max(0, n - 1) // size), F.floor(x / F.lit(size)))) for x in (low, high)]
+        return F.explode(F.sequence(*ends))
+
+    place, segment = F.col("place"), SEGMENT * block
+    of = F.least(F.floor(place / F.lit(span)), F.lit(max(0, n - 1) // span))
+    data = placed.where(~F.col("q")).withColumns({"segment": F.floor(place / F.lit(segment)), "span": every(place - reach, place + reach, span)})
+    ask = placed.where("q").withColumn("span", of).withColumn("segment", every(F.col("span") * span - reach, (F.col("span") + 1) * span - 1 + reach, segment))
+    names = ["curve", "span", "segment", (~F.col("q")).alias("data"), "node", "id", "vec"]
+    work = data.select(*names).unionByName(ask.select(*names)).repartition("curve", "span", "segment").sortWithinPartitions("curve", "span", "segment", "data", "node")
+    found = work.select("curve", "span", "segment", (~F.col("data")).alias("q"), "node", "id", "vec").mapInArrow(_windows(k), _FOUND)
     return found if use == 1 else found.groupBy("asked", "node").agg(F.first("id").alias("id"), F.first("score").alias("score"))
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,12 +296,11 @@ def test_scores_equal_brute_force(spark):
 
 
 def test_words_with_equal_short_hashes_keep_their_counts(spark):
-    """Rare words whose 31 low bits of a hash agree; with a head of 4 words nearly all are unranked."""
-    import xxhash
-
+    """Rare words with 31 bits of their hash in common; with a head of 4 words nearly all are unranked."""
     by: dict[int, list[str]] = {}
-    for i in range(150_000):
-        by.setdefault(xxhash.xxh64_intdigest(f"v{i}") & 0x7FFFFFFF, []).append(f"v{i}")
+    ((_, _, codes),) = lm.Coder(lm.Head()).groups(pa.array([" ".join(f"v{i}" for i in range(150_000)).encode()], pa.binary()))
+    for i, code in enumerate(codes.tolist()):
+        by.setdefault(code >> 1 & 0x7FFFFFFF, []).append(f"v{i}")
     clash = [w for ws in by.values() if len(ws) > 1 for w in ws][:12]
     assert len(clash) >= 4
     rng = random.Random(14)
@@ -316,6 +316,21 @@ def test_words_with_equal_short_hashes_keep_their_counts(spark):
         assert abs(r.log_score - s / len(w)) < 1e-9 and r.n_found == sum(n > 0 for n in rest)
 
 
+@pytest.mark.parametrize("piece", [1 << 18, 16])
+def test_codes_are_one_for_each_word(monkeypatch, piece):
+    monkeypatch.setattr(lm, "PIECE", piece)
+    texts = ["", " \t", "One two  one\nTWO\x0b", "two", *noise(150, 3), "é É a" * 30, "last"]
+    some = pa.array(["cut", *(t.encode() for t in texts)], pa.binary())[1:]
+    plain = lm.Coder(lm.Head())
+    codes = np.concatenate([c for _, _, c in plain.groups(some)])
+    words = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())]
+    assert np.concatenate([n for _, n, _ in plain.groups(some)]).tolist() == [len(t.encode().split()) for t in texts]
+    assert len(codes) == len(words) and len(set(codes.tolist())) == len(set(words)) == len(set(zip(codes.tolist(), words)))
+    head = np.unique(codes)[::2]
+    ranked = np.concatenate([c for _, _, c in lm.Coder(lm.Head(head)).groups(some)])
+    assert all(r == c if r < 0 else head[r] == c for r, c in zip(ranked.tolist(), codes.tolist())) and set(ranked[ranked >= 0].tolist()) == set(range(len(head)))
+
+
 def test_order_of_rows_is_the_same_in_sql(spark):
     rng = np.random.default_rng(15)
     g, o = rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(-(2**63), 2**63 - 1, 500)
@@ -406,7 +421,8 @@ def test_rows_that_share_an_id_and_odd_lengths(spark):
 
 
 @pytest.mark.parametrize("kind", ["clusters", "even", "lengths"])
-def test_recall_of_windows(spark, kind):
+def test_recall_of_windows(spark, kind, monkeypatch):
+    monkeypatch.setattr(ann, "SEGMENT", 4)
     rng = np.random.default_rng(17)
     x = rng.normal(size=(4000, 32))
     if kind != "even":
