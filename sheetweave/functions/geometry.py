@@ -51,14 +51,6 @@ def clipped_iou(a: Quad, b: Quad, region: Quad) -> Column:
     return F.when(overlaps(a, wide) & overlaps(b, wide), iou(intersection(a, wide), intersection(b, wide))).otherwise(F.lit(0.0))
 
 
-def shift_box(b: Quad, dx: Column, dy: Column) -> Quad:
-    return b[0] + dx, b[1] + dy, b[2], b[3]
-
-
-def shift_segment(s: Quad, dx: Column, dy: Column) -> Quad:
-    return s[0] + dx, s[1] + dy, s[2] + dx, s[3] + dy
-
-
 def segment_box(s: Quad) -> Quad:
     return from_corners((F.least(s[0], s[2]), F.least(s[1], s[3]), F.greatest(s[0], s[2]), F.greatest(s[1], s[3])))
 
@@ -82,9 +74,9 @@ def angle_difference(a: Column, b: Column) -> Column:
 
 
 def line_distance(px: Column, py: Column, s: Quad) -> Column:
-    """Distance to the infinite line through s; to its start where s has no length."""
-    dx, dy, n = s[2] - s[0], s[3] - s[1], length(s)
-    return F.when(n < EPS, distance(px - s[0], py - s[1])).otherwise(F.abs(dy * px - dx * py + s[2] * s[1] - s[3] * s[0]) / n)
+    """Distance to the infinite line through s, by the cross product from its start; to that start where s has no length."""
+    qx, qy, n = px - s[0], py - s[1], length(s)
+    return F.when(n < EPS, distance(qx, qy)).otherwise(F.abs((s[2] - s[0]) * qy - (s[3] - s[1]) * qx) / n)
 
 
 def point_segment_distance(px: Column, py: Column, s: Quad) -> Column:

@@ -31,7 +31,7 @@ def class_index(labels: DataFrame, first: int = 0) -> DataFrame:
 def yolo_rows(objects: DataFrame, index: DataFrame) -> DataFrame:
     """Tile objects g0..g3 (with tw, th) as class index and centre box relative to the tile."""
     g = G.quad("g")
-    out = objects.join(F.broadcast(index), "label")
+    out = objects.join(index, "label")
     return out.withColumns({"cx": (g[0] + g[2] / 2) / F.col("tw"), "cy": (g[1] + g[3] / 2) / F.col("th"), "rw": g[2] / F.col("tw"), "rh": g[3] / F.col("th")})
 
 
@@ -42,7 +42,7 @@ def yolo_line() -> F.Column:
 def coco_rows(arrows: DataFrame, index: DataFrame) -> DataFrame:
     """Tile segments as padded boxes: first x and y are raised to 0 (width and height stay), then w and h are cut at the tile."""
     x, y, w, h = G.segment_to_box(G.quad("g"))
-    out = arrows.join(F.broadcast(index), "label")
+    out = arrows.join(index, "label")
     out = out.withColumns({"x": F.greatest(F.lit(0.0), x), "y": F.greatest(F.lit(0.0), y), "w0": w, "h0": h})
     out = out.withColumns({"w": F.least("w0", F.col("tw") - F.col("x")), "h": F.least("h0", F.col("th") - F.col("y"))}).drop("w0", "h0")
     return out.withColumn("area", F.col("w") * F.col("h"))

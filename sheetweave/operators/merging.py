@@ -6,19 +6,25 @@ Detections: by..., tile_idx, tile_id, kind (object, ocr, arrow), item_idx, g0..g
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
 from sheetweave.functions.text import join_fragments
 from sheetweave.operators.tiling import tile_grid, tile_pairs
+from sheetweave.scratch import kept, kept_at, remove
 from sheetweave.settings import Settings
 
 BY = ("page",)
-KIND_RANK = {"object": 0, "ocr": 1, "arrow": 2}
+KINDS = ("object", "ocr", "arrow")
+#: Pixels along a seam that share a key of the matching join.
+BAND = 256
+#: Edges of one page whose components one task finds; larger pages take rounds over the cluster.
+PAGE_EDGES = 200_000
 
 
 def apply_thresholds(detections: DataFrame, s: Settings) -> DataFrame:
@@ -29,12 +35,19 @@ def apply_thresholds(detections: DataFrame, s: Settings) -> DataFrame:
 
 def candidates(detections: DataFrame, s: Settings) -> DataFrame:
     """Detections in canvas pixels with uid, ord (place in the input) and bounding box b0..b3. tx, ty follow from the grid."""
-    grid = F.broadcast(tile_grid(detections.sparkSession, s).select("tile_id", F.col("idx").alias("_idx"), F.col("tx").cast("double").alias("_x"), F.col("ty").cast("double").alias("_y")))
-    rows = detections.drop("tile_idx").join(grid, "tile_id")
+    grid = tile_grid(detections.sparkSession, s)
+    at = grid.select("tile_id", F.col("idx").alias("_idx"), F.col("tx").cast("double").alias("_x"), F.col("ty").cast("double").alias("_y"))
+    rows = detections.drop("tile_idx").join(F.broadcast(at), "tile_id")  # as many rows as the grid has tiles
     g, arrow = G.quad("g"), F.col("kind") == "arrow"
-    moved = (g[0] + F.col("_x"), g[1] + F.col("_y"), F.when(arrow, g[2] + F.col("_x")).otherwise(g[2]), F.when(arrow, g[3] + F.col("_y")).otherwise(g[3]))
+    start = (g[0] + F.col("_x"), g[1] + F.col("_y"))
+    end = [F.when(arrow, v + F.col(c)).otherwise(v) for v, c in ((g[2], "_x"), (g[3], "_y"))]
     rank = F.when(arrow, 2).when(F.col("kind") == "ocr", 1).otherwise(0)
-    rows = rows.withColumns({**{f"g{i}": v for i, v in enumerate(moved)}, "uid": F.concat_ws(":", "tile_id", "kind", F.col("item_idx").cast("string")), "ord": (F.col("_idx").cast("long") * 3 + rank) * 1_000_000 + F.col("item_idx"), "tile_idx": F.col("_idx")}).drop("_idx", "_x", "_y")
+    rows = rows.withColumns({
+        **{f"g{i}": v for i, v in enumerate((*start, *end))},
+        "uid": F.concat_ws(":", "tile_id", "kind", F.col("item_idx").cast("string")),
+        "ord": (F.col("_idx").cast("long") * 3 + rank) * 1_000_000 + F.col("item_idx"),
+        "tile_idx": F.col("_idx"),
+    }).drop("_idx", "_x", "_y")
     box = G.segment_box(G.quad("g"))
     return rows.withColumns({f"b{i}": F.when(arrow, v).otherwise(F.col(f"g{i}")) for i, v in enumerate(box)})
 
@@ -53,65 +66,123 @@ def active_pairs(near: DataFrame, by: tuple = BY) -> DataFrame:
     return near.groupBy(*by, "pair_ord").agg(F.max(F.col("side") == "a").alias("l"), F.max(F.col("side") == "b").alias("r")).where("l AND r").select(*by, "pair_ord")
 
 
-def same_object(a: G.Quad, b: G.Quad, over: G.Quad, s: Settings) -> Column:
-    return (G.clipped_iou(a, b, over) >= s.overlap_iou) | (G.iou(a, b) >= s.overlap_iou)
+def _cut(over: G.Quad) -> dict[str, Column]:
+    """Corners and area of a box, of it within the overlap widened by 2 px, and whether anything is left there."""
+    b = G.quad("g")
+    x, y, x2, y2 = G.corners(b)
+    wide = G.corners((over[0] - 2, over[1] - 2, over[2] + 4, over[3] + 4))
+    c = (F.greatest(x, wide[0]), F.greatest(y, wide[1]), F.least(x2, wide[2]), F.least(y2, wide[3]))
+    return {
+        **dict(zip(("x", "y", "x2", "y2"), (x, y, x2, y2))), "area": G.area(b),
+        **dict(zip(("cx", "cy", "cx2", "cy2"), c)), "left": (c[2] > c[0]) & (c[3] > c[1]), "cut_area": (c[2] - c[0]) * (c[3] - c[1]),
+    }
 
 
-def same_arrow(a: G.Quad, b: G.Quad, s: Settings) -> Column:
+def _shares(a: dict, b: dict, names: tuple[str, ...], area: str, least: float) -> Column:
+    """Intersection over union of two boxes, given by the names of their corners and area, of `least` or more."""
+    x, y, x2, y2 = names
+    w, h = F.least(a[x2], b[x2]) - F.greatest(a[x], b[x]), F.least(a[y2], b[y2]) - F.greatest(a[y], b[y])
+    shared = w * h
+    return (w > 0) & (h > 0) & (shared / (a[area] + b[area] - shared + F.lit(G.EPS)) >= least)
+
+
+def _same_object(a: dict, b: dict, s: Settings) -> Column:
+    cut = a["left"] & b["left"] & _shares(a, b, ("cx", "cy", "cx2", "cy2"), "cut_area", s.overlap_iou)
+    return cut | _shares(a, b, ("x", "y", "x2", "y2"), "area", s.overlap_iou)
+
+
+def _same_text(a: dict, b: dict, s: Settings) -> Column:
+    cut = a["left"] & b["left"] & _shares(a, b, ("cx", "cy", "cx2", "cy2"), "cut_area", s.overlap_iou)
+    low, high = F.least(a["h"], b["h"]), F.greatest(a["h"], b["h"], F.lit(1e-6))
+    level = F.abs((a["y"] + a["h"] / 2) - (b["y"] + b["h"] / 2)) <= 0.5 * low
+    gap = F.greatest(b["x"] - a["x2"], a["x"] - b["x2"])
+    return cut | ((a["orientation"] == "vertical") & level & (low / high >= 0.6) & (gap <= s.endpoint_tol))
+
+
+def _same_arrow(a: dict, b: dict, s: Settings) -> Column:
     """The line of a is the measure: near angle, both ends of b near the line, ends not far apart."""
-    return (
-        (G.angle_difference(G.angle(a), G.angle(b)) <= s.angle_tol_deg)
-        & (F.greatest(G.line_distance(b[0], b[1], a), G.line_distance(b[2], b[3], a)) <= s.line_dist_tol)
-        & (G.segment_gap(a, b) <= s.endpoint_tol)
-    )
-
-
-def same_text(a: G.Quad, b: G.Quad, over: G.Quad, orientation: Column, s: Settings) -> Column:
-    level = F.abs((a[1] + a[3] / 2) - (b[1] + b[3] / 2)) <= 0.5 * F.least(a[3], b[3])
-    alike = F.least(a[3], b[3]) / F.greatest(a[3], b[3], F.lit(1e-6)) >= 0.6
-    gap = F.greatest(b[0] - (a[0] + a[2]), a[0] - (b[0] + b[2]))
-    return (G.clipped_iou(a, b, over) >= s.overlap_iou) | ((orientation == "vertical") & level & alike & (gap <= s.endpoint_tol))
-
-
-def match_edges(near: DataFrame, s: Settings, by: tuple = BY) -> DataFrame:
-    """(by, kind, pair_ord, src, dst): candidates of the two sides of a pair that show the same thing. An equi-join on
-    page, pair and kind with the rule as residual; its groups are what one seam of one page shows."""
-    keys = [*by, "pair_ord", "kind"]
-    left = near.where("side = 'a'").select(*keys, "orientation", "o0", "o1", "o2", "o3", F.col("uid").alias("src"), *[F.col(f"g{i}").alias(f"p{i}") for i in range(4)])
-    right = near.where("side = 'b'").select(*keys, F.col("uid").alias("dst"), *[F.col(f"g{i}").alias(f"q{i}") for i in range(4)])
-    p, q, o = G.quad("p"), G.quad("q"), G.quad("o")
-    rule = F.when(F.col("kind") == "object", same_object(p, q, o, s)).when(F.col("kind") == "arrow", same_arrow(p, q, s)).otherwise(same_text(p, q, o, F.col("orientation"), s))
-    return left.join(right, keys).where(rule).select(*by, "kind", "pair_ord", "src", "dst")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read again: cuts the lineage of the rounds below."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='sheetweave-')}"
-        spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, by: tuple = BY) -> DataFrame:
+    p, q = ([e[f"g{i}"] for i in range(4)] for e in (a, b))
+    near_line = F.greatest(G.line_distance(q[0], q[1], p), G.line_distance(q[2], q[3], p)) <= s.line_dist_tol
+    return (G.angle_difference(a["angle"], b["angle"]) <= s.angle_tol_deg) & near_line & (G.segment_gap(p, q) <= s.endpoint_tol)
+
+
+def _matched(near: DataFrame, kind: str, s: Settings, by: tuple) -> DataFrame:
+    """match_edges() of one kind. What a rule needs of one side is a column before the join."""
+    rows = near.where(F.col("kind") == kind)
+    g, b, over = G.quad("g"), G.quad("b"), G.quad("o")
+    if kind == "arrow":
+        known, rule, reach = {**{f"g{i}": v for i, v in enumerate(g)}, "angle": G.angle(g)}, _same_arrow, s.endpoint_tol
+    else:
+        known, rule, reach = _cut(over), _same_object if kind == "object" else _same_text, 0.0
+        known["h"] = g[3]
+    known["orientation"] = F.col("orientation")
+    # Two items that match come within reach of each other along the seam, so they share the band in which the later begins.
+    along = F.when(F.col("orientation") == "vertical", F.struct(b[1].alias("lo"), (b[1] + b[3]).alias("hi"))).otherwise(F.struct(b[0].alias("lo"), (b[0] + b[2]).alias("hi")))
+    known |= {"lo": along["lo"] - reach, "hi": along["hi"] + reach}
+    keys = [*by, "pair_ord"]
+    ends = rows.select(*keys, "side", "uid", F.struct(*[v.alias(k) for k, v in known.items()]).alias("k"))
+    band = lambda v: F.floor(v / F.lit(float(BAND)))
+    ends = ends.withColumn("band", F.explode(F.sequence(band(F.col("k.lo")), band(F.col("k.hi")))))
+    left, right = (ends.where(F.col("side") == side).select(*keys, "band", F.col("uid").alias(uid), F.col("k").alias(side)) for side, uid in (("a", "src"), ("b", "dst")))
+    a, b_ = ({k: F.col(f"{side}.{k}") for k in known} for side in "ab")
+    first = F.col("band") == band(F.greatest(a["lo"], b_["lo"]))
+    return left.join(right, [*keys, "band"]).where(first & rule(a, b_, s)).select(*by, F.lit(kind).alias("kind"), "pair_ord", "src", "dst")
+
+
+def match_edges(near: DataFrame, s: Settings, by: tuple = BY, kinds: tuple = KINDS) -> DataFrame:
+    """(by, kind, pair_ord, src, dst): candidates of the two sides of a pair that show the same thing.
+
+    For each kind an equi-join on page, pair and band along the seam, with the rule as residual; its groups are what one
+    stretch of a seam shows, so a crowded page is many keys. Rules suppose overlap_iou above 0."""
+    return reduce(DataFrame.unionByName, [_matched(near, k, s, by) for k in kinds])
+
+
+def components(edges: DataFrame, by: tuple = BY, most: int = PAGE_EDGES) -> DataFrame:
     """(by, uid, root) of every uid with an edge: the least uid of its component within the page.
 
-    Each round hands every node the least label among its neighbours, then follows that label's own label (pointer
-    jumping), so rounds grow with the logarithm of a chain's length."""
+    Components never cross pages, so one shuffle by page brings each together; a page of more than `most` edges is not
+    brought to one task but goes through rounds over the cluster."""
+    edges = kept(edges.select(*by, "src", "dst"))
+    sizes = edges.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*by)
+    large = kept(sizes)
+    types = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in by)
+
+    def page(t: pa.Table) -> pa.Table:
+        uids, place = np.unique(np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst")]), return_inverse=True)
+        u, v = np.split(place, 2)
+        label = np.arange(len(uids))
+        while True:  # each round takes over the least label around, then that label's label
+            new = label.copy()
+            np.minimum.at(new, u, label[v])
+            np.minimum.at(new, v, label[u])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        key = [pa.chunked_array([pa.repeat(t.column(c)[0], len(uids))]) for c in by]
+        return pa.table([*key, pa.array(uids, pa.string()), pa.array(uids[label], pa.string())], [*by, "uid", "root"])
+
+    small = edges if large.isEmpty() else edges.join(large, [*by], "left_anti")
+    out = small.groupBy(*by).applyInArrow(page, f"{types}, uid string, root string")
+    return kept(out if small is edges else out.unionByName(_rounds(edges.join(large, [*by], "left_semi"), by)))
+
+
+def _rounds(edges: DataFrame, by: tuple) -> DataFrame:
+    """components() by minimum labels with pointer jumping: rounds grow with the logarithm of a chain's length."""
+    spark = edges.sparkSession
     both = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v"))
-    both = _kept(both.unionByName(both.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = _kept(both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
+    both, at = kept_at(both.unionByName(both.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels, old = kept_at(both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
     while True:
         around = both.join(labels.select(*by, F.col("u").alias("v"), F.col("l").alias("n")), [*by, "v"]).groupBy(*by, "u").agg(F.min("n").alias("n"))
         step = labels.join(around, [*by, "u"]).select(*by, "u", F.least("l", "n").alias("l"), F.col("l").alias("was"))
         jump = step.select(*by, F.col("u").alias("l"), F.col("l").alias("far"))
-        new = _kept(step.join(jump, [*by, "l"]).select(*by, "u", F.least("l", "far").alias("l"), "was"))
-        changed = new.where("l <> was").limit(1).count()
-        labels = new.drop("was")
+        new, path = kept_at(step.join(jump, [*by, "l"]).select(*by, "u", F.least("l", "far").alias("l"), "was"))
+        changed = not new.where("l <> was").isEmpty()
+        remove(spark, old)
+        labels, old = new.drop("was"), path
         if not changed:
+            remove(spark, at)
             return labels.select(*by, F.col("u").alias("uid"), F.col("l").alias("root"))
 
 
@@ -126,33 +197,49 @@ def vote(members: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(F.max_by("label", F.struct("score", F.length("label"), -F.col("first"))).alias("label"))
 
 
-def _common(by: tuple) -> list[Column]:
+def _seen() -> list[Column]:
     return [F.min("ord").alias("group_ord"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("tile_id")).alias("source_tiles"), F.count("*").alias("members")]
 
 
-def _boxes(members: DataFrame, keys: list[str], by: tuple, *more: Column) -> DataFrame:
-    x2, y2 = F.max(F.col("g0") + F.col("g2")), F.max(F.col("g1") + F.col("g3"))
-    out = members.groupBy(*keys).agg(F.min("g0").alias("g0"), F.min("g1").alias("g1"), x2.alias("_x2"), y2.alias("_y2"), *_common(by), *more)
-    return out.withColumns({"g2": F.col("_x2") - F.col("g0"), "g3": F.col("_y2") - F.col("g1")}).drop("_x2", "_y2")
+def _around() -> list[Column]:
+    """The box around all members."""
+    return [F.min("g0").alias("g0"), F.min("g1").alias("g1"), F.max(F.col("g0") + F.col("g2")).alias("_x2"), F.max(F.col("g1") + F.col("g3")).alias("_y2")]
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return df.withColumns({"g2": F.col("_x2") - F.col("g0"), "g3": F.col("_y2") - F.col("g1")}).drop("_x2", "_y2")
 
 
 def fuse_objects(members: DataFrame, by: tuple = BY) -> DataFrame:
+    """One row per group: the box around it and the label voted. Labels of a group are summed first, then compared."""
     keys = [*by, "root"]
-    return _boxes(members, keys, by).join(vote(members, keys), keys)
+    score = F.sum(F.coalesce(F.col("confidence"), F.lit(0.5)).cast("decimal(18,6)")).alias("score")
+    each = members.groupBy(*keys, "label").agg(*_around(), *_seen(), score)
+    over = [F.min("g0").alias("g0"), F.min("g1").alias("g1"), F.max("_x2").alias("_x2"), F.max("_y2").alias("_y2")]
+    seen = [F.min("group_ord").alias("group_ord"), F.max("confidence").alias("confidence"), F.sum("members").alias("members")]
+    tiles = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_tiles")))).alias("source_tiles")
+    voted = F.max_by("label", F.struct("score", F.length("label"), -F.col("group_ord"))).alias("label")
+    return _sized(each.groupBy(*keys).agg(*over, *seen, tiles, voted))
 
 
 def fuse_arrows(members: DataFrame, by: tuple = BY) -> DataFrame:
     """The first longest member gives the direction; the ends are the members' outermost endpoints along it."""
     keys = [*by, "root"]
-    ref = members.groupBy(*keys).agg(F.max_by(F.struct(*[f"g{i}" for i in range(4)]), F.struct(G.length(G.quad("g")), -F.col("ord"))).alias("r"))
+    line = F.struct(*[f"g{i}" for i in range(4)])
+    ref = members.groupBy(*keys).agg(F.max_by(line, F.struct(G.length(G.quad("g")), -F.col("ord"))).alias("r"))
     rows = members.join(ref, keys)
     dx, dy = F.col("r.g2") - F.col("r.g0"), F.col("r.g3") - F.col("r.g1")
     n = G.distance(dx, dy)
     n = F.when(n == 0, 1.0).otherwise(n)
-    at = lambda x, y: F.struct(((x - F.col("r.g0")) * (dx / n) + (y - F.col("r.g1")) * (dy / n)).alias("p"), x.alias("x"), y.alias("y"))
+    rows = rows.withColumns({"ux": dx / n, "uy": dy / n})
+
+    def at(x: Column, y: Column) -> Column:
+        along = (x - F.col("r.g0")) * F.col("ux") + (y - F.col("r.g1")) * F.col("uy")
+        return F.struct(along.alias("p"), x.alias("x"), y.alias("y"))
+
     g = G.quad("g")
     rows = rows.withColumns({"_a": at(g[0], g[1]), "_b": at(g[2], g[3])})
-    out = rows.groupBy(*keys).agg(F.min(F.least("_a", "_b")).alias("lo"), F.max(F.greatest("_a", "_b")).alias("hi"), F.min_by(F.struct(*[f"g{i}" for i in range(4)]), "ord").alias("one"), *_common(by))
+    out = rows.groupBy(*keys).agg(F.min(F.least("_a", "_b")).alias("lo"), F.max(F.greatest("_a", "_b")).alias("hi"), F.min_by(line, "ord").alias("one"), *_seen())
     single = F.col("members") == 1
     ends = (F.col("lo.x"), F.col("lo.y"), F.col("hi.x"), F.col("hi.y"))
     out = out.withColumns({f"g{i}": F.when(single, F.col(f"one.g{i}")).otherwise(e) for i, e in enumerate(ends)}).drop("lo", "hi", "one")
@@ -161,10 +248,14 @@ def fuse_arrows(members: DataFrame, by: tuple = BY) -> DataFrame:
 
 def fuse_texts(members: DataFrame, by: tuple = BY) -> DataFrame:
     """Fragments folded in reading order; two readings of one region keep the fuller one. Members are those of one text."""
-    keys = [*by, "root"]
     item = F.struct("g0", "g1", "g2", "g3", "ord", "label")
-    out = _boxes(members, keys, by, F.collect_list(item).alias("m"), F.min(F.col("g3") > 2 * F.col("g2")).alias("upright"))
-    order = lambda a, b: F.transform(F.array_sort(F.transform("m", lambda x: F.struct(x[a].alias("p"), x[b].alias("q"), x["ord"].alias("o"), x.alias("x")))), lambda y: y["x"])
+    upright = F.min(F.col("g3") > 2 * F.col("g2")).alias("upright")
+    out = _sized(members.groupBy(*by, "root").agg(*_around(), *_seen(), F.collect_list(item).alias("m"), upright))
+
+    def order(first: str, second: str) -> Column:
+        placed = F.transform("m", lambda x: F.struct(x[first].alias("p"), x[second].alias("q"), x["ord"].alias("o"), x.alias("x")))
+        return F.transform(F.array_sort(placed), lambda y: y["x"])
+
     out = out.withColumn("m", F.when(F.col("upright"), order("g1", "g0")).otherwise(order("g0", "g1")))
     box = lambda x: tuple(x[f"g{i}"] for i in range(4))
 
@@ -175,11 +266,16 @@ def fuse_texts(members: DataFrame, by: tuple = BY) -> DataFrame:
         fuller = F.when(F.length(x["label"]) > F.length(acc["label"]), x["label"]).otherwise(acc["label"])
         label = F.coalesce(joined, F.when(twice, fuller).otherwise(F.concat_ws(" ", acc["label"], x["label"])))
         x0, y0 = F.least(a[0], b[0]), F.least(a[1], b[1])
-        return F.struct(x0.alias("g0"), y0.alias("g1"), (F.greatest(a[0] + a[2], b[0] + b[2]) - x0).alias("g2"), (F.greatest(a[1] + a[3], b[1] + b[3]) - y0).alias("g3"), label.alias("label"))
+        w, h = F.greatest(a[0] + a[2], b[0] + b[2]) - x0, F.greatest(a[1] + a[3], b[1] + b[3]) - y0
+        return F.struct(x0.alias("g0"), y0.alias("g1"), w.alias("g2"), h.alias("g3"), label.alias("label"))
 
     first = F.get("m", F.lit(0))
     start = F.struct(*[first[f"g{i}"].alias(f"g{i}") for i in range(4)], first["label"].alias("label"))
-    return out.withColumn("label", F.aggregate(F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0))), start, fold)["label"]).drop("m", "upright")
+    rest = F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0)))
+    return out.withColumn("label", F.aggregate(rest, start, fold)["label"]).drop("m", "upright")
+
+
+FUSERS = {"object": fuse_objects, "arrow": fuse_arrows, "ocr": fuse_texts}
 
 
 def merge(detections: DataFrame, s: Settings, by: tuple = BY, decisions: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
@@ -189,23 +285,21 @@ def merge(detections: DataFrame, s: Settings, by: tuple = BY, decisions: DataFra
     (by, uid, label): a group of several takes the label of its first member that has one.
     Order within a page and kind is (g1, g0, group_ord). Pages without detections give no rows; items that no rule
     joins come out as they are; a null confidence stays null where all of a group's are."""
-    cands = candidates(detections, s)
+    cands = kept(candidates(detections, s))
     if decisions is None:
-        near = seam_candidates(cands, s, by)
-        near = near.join(active_pairs(near, by), [*by, "pair_ord"], "left_semi")
-        edges = match_edges(near, s, by)
+        edges = match_edges(seam_candidates(cands, s, by), s, by)
     else:
         edges = decisions.where("src <> dst").select(*by, "src", "dst")
         alone = decisions.where("src = dst").groupBy(*by, F.col("src").alias("uid")).agg(F.max_by("label", "pair_ord").alias("relabel"))
         cands = cands.join(alone, [*by, "uid"], "left").withColumn("label", F.coalesce("relabel", "label")).drop("relabel")
     members = grouped(cands, components(edges, by), by)
-    fused = {"object": fuse_objects, "arrow": fuse_arrows, "ocr": fuse_texts}
     columns = [*by, "kind", "g0", "g1", "g2", "g3", "label", "confidence", "source_tiles", "members", "group_ord"]
-    parts = [f(members.where(F.col("kind") == k), by).withColumn("kind", F.lit(k)).select("root", *columns) for k, f in fused.items()]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [f(members.where(F.col("kind") == k), by).withColumn("kind", F.lit(k)).select("root", *columns) for k, f in FUSERS.items()]
+    out = reduce(DataFrame.unionByName, parts)
     if labels is not None:
         named = members.join(labels.withColumnRenamed("label", "given"), [*by, "uid"]).groupBy(*by, "root").agg(F.min_by("given", "ord").alias("given"))
-        out = out.join(named, [*by, "root"], "left").withColumn("label", F.when((F.col("members") > 1) & F.col("given").isNotNull(), F.col("given")).otherwise(F.col("label")))
+        given = (F.col("members") > 1) & F.col("given").isNotNull()
+        out = out.join(named, [*by, "root"], "left").withColumn("label", F.when(given, F.col("given")).otherwise(F.col("label")))
     return out.select(*columns)
 
 

@@ -1,18 +1,25 @@
-"""Detections derived from the driver's events table; every expression has the same value in DuckDB."""
+"""Detections derived from the driver's events table; every expression has the same value in DuckDB.
+
+Every event gives an object, a text and an arrow. 25 consecutive events share a page, so pages grow with the table; the
+dense variant puts a fortieth of all users' events on each page, whatever the table's size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetweave.operators.slicing import slice_boxes, slice_segments
 from sheetweave.settings import Settings
 
-PAGES = 400
-_E = {"object": "", "ocr": "AND event_id % 3 = 0", "arrow": "AND event_id % 2 = 0"}
+PAGE = "event_id DIV 25"
+DENSE = "user_id % 40"
+KINDS = ("object", "ocr", "arrow")
 
 
-def truth(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def truth(spark: SparkSession, sf_dir: str, kind: str, page: str = PAGE) -> DataFrame:
     """(page, id, kind, g0..g3, label, confidence) on the canvas."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     conf = "CAST((event_id * 37) % 100 AS DOUBLE) / 100"
@@ -25,21 +32,17 @@ def truth(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     else:
         g = ("(event_id * 7901) % 3000", "(event_id * 5981 + user_id * 89) % 2800", "(event_id * 7901) % 3000 + 200 + (event_id * 29) % 880", "(event_id * 5981 + user_id * 89) % 2800 + event_id % 3")
         label = "CASE WHEN event_id % 4 = 0 THEN 'leader_line' ELSE 'dimension_line' END"
-    rows = e.where(f"true {_E[kind]}")
-    return rows.selectExpr(f"event_id % {PAGES} AS page", "event_id AS id", f"'{kind}' AS kind", *[f"CAST({x} AS DOUBLE) AS g{i}" for i, x in enumerate(g)], f"{label} AS label", f"{conf} AS confidence")
+    geometry = [f"CAST({x} AS DOUBLE) AS g{i}" for i, x in enumerate(g)]
+    return e.selectExpr(f"{page} AS page", "event_id AS id", f"'{kind}' AS kind", *geometry, f"{label} AS label", f"{conf} AS confidence")
 
 
-def detections(spark: SparkSession, sf_dir: str, s: Settings, kind: str | None = None) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, s: Settings, kind: str | None = None, page: str = PAGE) -> DataFrame:
     """Truth seen through tiles, as a model would report it: item_idx counts within page, tile and kind by id."""
-    from pyspark.sql import Window
-
     parts = []
-    for k in (kind,) if kind else _E:
-        rows = truth(spark, sf_dir, k)
-        rows = slice_segments(rows, s) if k == "arrow" else slice_boxes(rows, s, s.min_text_visible if k == "ocr" else s.min_visible)
-        parts.append(rows)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    for k in (kind,) if kind else KINDS:
+        rows = truth(spark, sf_dir, k, page)
+        parts.append(slice_segments(rows, s) if k == "arrow" else slice_boxes(rows, s, s.min_text_visible if k == "ocr" else s.min_visible))
+    out = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("page", "tile_id", "kind").orderBy("id")
-    return out.withColumn("item_idx", F.row_number().over(w) - 1).select("page", "id", "tile_idx", "tile_id", "kind", "item_idx", "g0", "g1", "g2", "g3", "label", "confidence")
+    numbered = out.withColumn("item_idx", F.row_number().over(w) - 1)
+    return numbered.select("page", "id", "tile_idx", "tile_id", "kind", "item_idx", "g0", "g1", "g2", "g3", "label", "confidence")

@@ -13,15 +13,26 @@ pairs AS (
   FROM grid a JOIN grid b ON a.idx < b.idx AND (a.tx = b.tx OR a.ty = b.ty) AND abs(a.tx - b.tx) < 1024 AND abs(a.ty - b.ty) < 1024)"""
 
 
-def truth(kind: str) -> str:
+PAGE = "event_id // 25"
+DENSE = "user_id % 40"
+
+
+def truth(kind: str, page: str = PAGE) -> str:
+    number = lambda **c: ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in c.items())
     if kind == "object":
-        return "tru AS (SELECT event_id % 400 AS page, event_id AS id, CAST((event_id*7919)%3700 AS DOUBLE) AS x, CAST((event_id*6007+user_id*211)%2500 AS DOUBLE) AS y, CAST(40+(event_id*31)%350 AS DOUBLE) AS w, CAST(30+(event_id*17)%320 AS DOUBLE) AS h, event_type AS label, CAST((event_id*37)%100 AS DOUBLE)/100 AS confidence FROM events)"
-    if kind == "ocr":
-        return "tru AS (SELECT event_id % 400 AS page, event_id AS id, CAST((event_id*7907)%3800 AS DOUBLE) AS x, CAST((event_id*5987+user_id*97)%2700 AS DOUBLE) AS y, CAST(60+(event_id*13)%200 AS DOUBLE) AS w, CAST(16+(event_id*7)%30 AS DOUBLE) AS h, 'M' || (event_id % 97) || ' ' || upper(event_type) AS label, CAST((event_id*37)%100 AS DOUBLE)/100 AS confidence FROM events WHERE event_id % 3 = 0)"
-    return "tru AS (SELECT event_id % 400 AS page, event_id AS id, CAST((event_id*7901)%3000 AS DOUBLE) AS x1, CAST((event_id*5981+user_id*89)%2800 AS DOUBLE) AS y1, CAST((event_id*7901)%3000+200+(event_id*29)%880 AS DOUBLE) AS x2, CAST((event_id*5981+user_id*89)%2800+event_id%3 AS DOUBLE) AS y2, CASE WHEN event_id % 4 = 0 THEN 'leader_line' ELSE 'dimension_line' END AS label, CAST((event_id*37)%100 AS DOUBLE)/100 AS confidence FROM events WHERE event_id % 2 = 0)"
+        geometry = number(x="(event_id*7919)%3700", y="(event_id*6007+user_id*211)%2500", w="40+(event_id*31)%350", h="30+(event_id*17)%320")
+        label = "event_type"
+    elif kind == "ocr":
+        geometry = number(x="(event_id*7907)%3800", y="(event_id*5987+user_id*97)%2700", w="60+(event_id*13)%200", h="16+(event_id*7)%30")
+        label = "'M' || (event_id % 97) || ' ' || upper(event_type)"
+    else:
+        x, y = "(event_id*7901)%3000", "(event_id*5981+user_id*89)%2800"
+        geometry = number(x1=x, y1=y, x2=f"{x}+200+(event_id*29)%880", y2=f"{y}+event_id%3")
+        label = "CASE WHEN event_id % 4 = 0 THEN 'leader_line' ELSE 'dimension_line' END"
+    return f"tru AS (SELECT {page} AS page, event_id AS id, {geometry}, {label} AS label, CAST((event_id*37)%100 AS DOUBLE)/100 AS confidence FROM events)"
 
 
-def sliced(kind: str) -> str:
+def sliced(kind: str, page: str = PAGE) -> str:
     """sl: page, id, idx, tile_id, tx, ty, g0..g3 (tile pixels), label, confidence, item_idx"""
     if kind == "arrow":
         body = """
@@ -35,20 +46,20 @@ s0 AS (SELECT page, id, idx, tile_id, tx, ty, cx1-tx AS g0, cy1-ty AS g1, cx2-tx
         body = f"""
 q AS (SELECT tru.*, grid.*, greatest(x, tx) AS vx, greatest(y, ty) AS vy, least(x+w, tx+1024) - greatest(x, tx) AS vw, least(y+h, ty+1024) - greatest(y, ty) AS vh FROM tru, grid),
 s0 AS (SELECT page, id, idx, tile_id, tx, ty, vx-tx AS g0, vy-ty AS g1, vw AS g2, vh AS g3, label, confidence FROM q WHERE vw > 0 AND vh > 0 AND vw*vh >= {seen}::DOUBLE*(w*h))"""
-    return f"{GRID}, {truth(kind)}, {body}, sl AS (SELECT *, row_number() OVER (PARTITION BY page, tile_id ORDER BY id) - 1 AS item_idx FROM s0)"
+    return f"{GRID}, {truth(kind, page)}, {body}, sl AS (SELECT *, row_number() OVER (PARTITION BY page, tile_id ORDER BY id) - 1 AS item_idx FROM s0)"
 
 
 RANK = {"object": 0, "ocr": 1, "arrow": 2}
 LEAST = {"object": 0.25, "ocr": 0.30, "arrow": 0.30}
 
 
-def near(kind: str) -> str:
+def near(kind: str, page: str = PAGE) -> str:
     """c: thresholded candidates on the canvas; n: those near a seam."""
     if kind == "arrow":
         geom, box = "g0+tx AS g0, g1+ty AS g1, g2+tx AS g2, g3+ty AS g3", "least(g0,g2) AS b0, least(g1,g3) AS b1, greatest(g0,g2)-least(g0,g2) AS b2, greatest(g1,g3)-least(g1,g3) AS b3"
     else:
         geom, box = "g0+tx AS g0, g1+ty AS g1, g2, g3", "g0 AS b0, g1 AS b1, g2 AS b2, g3 AS b3"
-    return f"""{sliced(kind)}, {PAIRS},
+    return f"""{sliced(kind, page)}, {PAIRS},
 c0 AS (SELECT page, tile_id, tile_id || ':{kind}:' || item_idx AS uid, (idx*3+{RANK[kind]})*1000000+item_idx AS ord, {geom}, label, confidence FROM sl WHERE confidence >= {LEAST[kind]}::DOUBLE),
 c AS (SELECT *, {box} FROM c0),
 n AS (SELECT c.*, p.pair_ord, p.orientation, p.o0, p.o1, p.o2, p.o3, CASE WHEN c.tile_id = p.a THEN 'a' ELSE 'b' END AS side FROM c JOIN pairs p ON c.tile_id IN (p.a, p.b)
@@ -64,7 +75,7 @@ def _cut(p: str, out: str) -> str:
     return f"greatest({p}.g0,o0-2) AS {out}0, greatest({p}.g1,o1-2) AS {out}1, least({p}.g0+{p}.g2,o0+o2+2)-greatest({p}.g0,o0-2) AS {out}2, least({p}.g1+{p}.g3,o1+o3+2)-greatest({p}.g1,o1-2) AS {out}3"
 
 
-def edges(kind: str) -> str:
+def edges(kind: str, page: str = PAGE) -> str:
     """e: page, pair_ord, src, dst"""
     pairs = f"""ab AS (SELECT a.page, a.pair_ord, a.orientation, a.uid AS src, b.uid AS dst, a.g0 AS p0, a.g1 AS p1, a.g2 AS p2, a.g3 AS p3, b.g0 AS q0, b.g1 AS q1, b.g2 AS q2, b.g3 AS q3{', ' + _cut('a', 'u') + ', ' + _cut('b', 'v') if kind != 'arrow' else ''}
       FROM (SELECT * FROM n WHERE side = 'a') a JOIN (SELECT page, pair_ord, uid, g0, g1, g2, g3 FROM n WHERE side = 'b') b ON a.page = b.page AND a.pair_ord = b.pair_ord)"""
@@ -83,12 +94,12 @@ def edges(kind: str) -> str:
             return f"sqrt(({x}-({s}0+{t}*({s}2-{s}0)))*({x}-({s}0+{t}*({s}2-{s}0)))+({y}-({s}1+{t}*({s}3-{s}1)))*({y}-({s}1+{t}*({s}3-{s}1))))"
 
         rule = f"least({d}, 180-{d}) <= 5 AND greatest({line('q0', 'q1')}, {line('q2', 'q3')}) <= 6 AND least({gap('p0', 'p1', 'q')}, {gap('p2', 'p3', 'q')}, {gap('q0', 'q1', 'p')}, {gap('q2', 'q3', 'p')}) <= 24"
-    return f"{near(kind)}, {pairs}, e AS (SELECT page, pair_ord, src, dst FROM ab WHERE {rule})"
+    return f"{near(kind, page)}, {pairs}, e AS (SELECT page, pair_ord, src, dst FROM ab WHERE {rule})"
 
 
-def members(kind: str) -> str:
+def members(kind: str, page: str = PAGE) -> str:
     """m: candidates with root. Needs WITH RECURSIVE."""
-    return f"""{edges(kind)},
+    return f"""{edges(kind, page)},
 b AS (SELECT page, src AS u, dst AS v FROM e UNION SELECT page, dst, src FROM e),
 r(page, u, l) AS (SELECT page, u, u FROM b UNION SELECT b.page, b.v, r.l FROM r JOIN b ON r.page = b.page AND r.u = b.u WHERE r.l < b.v),
 lab AS (SELECT page, u, min(l) AS root FROM r GROUP BY page, u),
@@ -150,6 +161,7 @@ ORACLES: dict[str, str] = {
     "active_pairs": f"WITH {near('object')} SELECT page, CAST(pair_ord AS INTEGER) AS pair_ord FROM n GROUP BY ALL HAVING count(DISTINCT side) = 2",
     "match_objects": f"WITH {edges('object')} SELECT page, CAST(pair_ord AS INTEGER) AS pair_ord, src, dst FROM e",
     "match_arrows": f"WITH {edges('arrow')} SELECT page, CAST(pair_ord AS INTEGER) AS pair_ord, src, dst FROM e",
+    "match_objects_dense": f"WITH {edges('object', DENSE)} SELECT page, CAST(pair_ord AS INTEGER) AS pair_ord, src, dst FROM e",
     "match_text": f"WITH {edges('ocr')} SELECT page, CAST(pair_ord AS INTEGER) AS pair_ord, src, dst FROM e",
     "components": f"WITH RECURSIVE {members('object')} SELECT page, u AS uid, root FROM lab",
     "merge_objects": MERGE_OBJECTS,
@@ -199,7 +211,7 @@ ORACLES: dict[str, str] = {
     "text_join": """WITH p AS (SELECT event_id AS id, 'M' || (event_id % 97) || ' ' || event_type AS a, substr(event_type, CAST(event_id % 4 AS INTEGER) + 1) || '-' || (event_id % 7) AS b FROM events),
       k AS (SELECT *, list_max(list_filter(range(2, least(length(a), length(b))), lambda k: right(a, k) = left(b, k))) AS k FROM p)
       SELECT id, CASE WHEN contains(a, b) THEN a WHEN contains(b, a) THEN b WHEN k IS NOT NULL THEN a || substr(b, k + 1) ELSE a || ' ' || b END AS joined FROM k""",
-    "ascii_labels": "SELECT doc_id, regexp_replace(replace(replace(replace(left(text, 40), 'Ø', 'D'), '±', '+-'), '°', 'deg'), '[^\\x00-\\x7F]', '?', 'g') AS label FROM documents",
+    "ascii_labels": "SELECT doc_id, regexp_replace(replace(replace(replace(text, 'Ø', 'D'), '±', '+-'), '°', 'deg'), '[^\\x00-\\x7F]', '?', 'g') AS label FROM documents",
     "synthetic_drawings": f"""WITH n AS (SELECT drawing, 6 + {_md5("'7-n-' || drawing || '--1'")} % 7 AS k FROM range(200) t(drawing)), i AS (SELECT drawing, CAST(unnest(range(0, k)) AS INTEGER) AS item FROM n),
       v AS (SELECT drawing, item, {", ".join(f"""{_md5(f"'7-{c}-' || drawing || '-' || item")} AS r{c}""" for c in "xywhcld")} FROM i),
       b AS (SELECT drawing, item, CAST(120 + (item % 4)*840 + rx % 300 AS DOUBLE) AS x, CAST(160 + (item // 4)*760 + ry % 250 AS DOUBLE) AS y, CAST(120 + rw % 200 AS DOUBLE) AS w, CAST(100 + rh % 180 AS DOUBLE) AS h, CAST(rc % 3 AS INTEGER) AS c, CAST(rl % 3 AS INTEGER) AS l, rd FROM v)

@@ -9,6 +9,7 @@ from sheetweave.functions import geometry as G
 from sheetweave.functions import text as T
 from sheetweave.operators import datasets, drift, evaluation, jobs, merging, slicing, tiling
 from sheetweave.plans import fixtures
+from sheetweave.scratch import kept
 from sheetweave.settings import Settings
 from sheetweave.sources import synthetic
 
@@ -19,16 +20,24 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _cands(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return merging.candidates(merging.apply_thresholds(fixtures.detections(spark, d, S, kind), S), S)
+def _cands(spark: SparkSession, d: str, kind: str, page: str = fixtures.PAGE) -> DataFrame:
+    """Written once: pairs, edges and members are all taken from them."""
+    found = fixtures.detections(spark, d, S, kind, page)
+    return kept(merging.candidates(merging.apply_thresholds(found, S), S))
+
+
+def _edges(cands: DataFrame, kind: str) -> DataFrame:
+    return merging.match_edges(merging.seam_candidates(cands, S), S, kinds=(kind,))
 
 
 def _near(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return merging.seam_candidates(_cands(spark, d, kind), S)
+    found = fixtures.detections(spark, d, S, kind)
+    return merging.seam_candidates(merging.candidates(merging.apply_thresholds(found, S), S), S)
 
 
 def _members(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return merging.grouped(_cands(spark, d, kind), merging.components(merging.match_edges(_near(spark, d, kind), S)))
+    cands = _cands(spark, d, kind)
+    return merging.grouped(cands, merging.components(_edges(cands, kind)))
 
 
 def tile_starts(spark, d):
@@ -91,12 +100,12 @@ def active_pairs(spark, d):
     return merging.active_pairs(_near(spark, d, "object"))
 
 
-def _matches(kind):
-    return lambda spark, d: merging.match_edges(_near(spark, d, kind), S).select("page", "pair_ord", "src", "dst")
+def _matches(kind, page=fixtures.PAGE):
+    return lambda spark, d: _edges(_cands(spark, d, kind, page), kind).select("page", "pair_ord", "src", "dst")
 
 
 def components(spark, d):
-    return merging.components(merging.match_edges(_near(spark, d, "object"), S))
+    return merging.components(_edges(_cands(spark, d, "object"), "object"))
 
 
 def _out(df: DataFrame, digits: int | None = None) -> DataFrame:
@@ -132,9 +141,10 @@ def class_vote(spark, d):
 
 
 def merge_report(spark, d):
-    near = _near(spark, d, "object")
-    fused = merging.fuse_objects(_members(spark, d, "object"))
-    return merging.report(fused, near)
+    cands = _cands(spark, d, "object")
+    near = merging.seam_candidates(cands, S)
+    members = merging.grouped(cands, merging.components(merging.match_edges(near, S, kinds=("object",))))
+    return merging.report(merging.fuse_objects(members), near)
 
 
 def page_counts(spark, d):
@@ -194,12 +204,12 @@ def _tiles(df: DataFrame) -> DataFrame:
 
 
 def yolo_labels(spark, d):
-    o = _tiles(fixtures.detections(spark, d, S, "object"))
+    o = kept(_tiles(fixtures.detections(spark, d, S, "object")))
     return datasets.yolo_rows(o, datasets.class_index(o)).select("page", "tile_id", "item_idx", F.col("idx").cast("int").alias("idx"), "cx", "cy", "rw", "rh")
 
 
 def coco_annotations(spark, d):
-    a = _tiles(fixtures.detections(spark, d, S, "arrow"))
+    a = kept(_tiles(fixtures.detections(spark, d, S, "arrow")))
     rows = datasets.coco_rows(a, datasets.class_index(a, first=1)).withColumn("split", F.lit("train"))
     rows = datasets.number_within(rows, "split", ["page", "tile_id", "item_idx"], "n")
     return rows.select(F.col("n").cast("long").alias("id"), "page", "tile_id", "item_idx", F.col("idx").cast("int").alias("category_id"), *[F.round(c, 6).alias(c) for c in "xywh"])
@@ -281,7 +291,7 @@ def text_join(spark, d):
 
 
 def ascii_labels(spark, d):
-    return _read(spark, d, "documents").select("doc_id", T.ascii_label(F.substring("text", 1, 40)).alias("label"))
+    return _read(spark, d, "documents").select("doc_id", T.ascii_label(F.col("text")).alias("label"))
 
 
 def state_upsert(spark, d):
@@ -318,4 +328,5 @@ QUERIES = {
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),
+    "match_objects_dense": _matches("object", fixtures.DENSE),
 }

@@ -1,0 +1,56 @@
+"""Tables written once and read again: they cut lineage, survive lost executors and stay columnar."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where everything runs on one machine (tests)
+    a temporary one stands in for it; a cluster without the setting is an error, as executors could not see each other's files."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='sheetweave-')}"
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as written to the shared folder, and its path."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/sheetweave-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_all)
+    _WRITTEN.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder. It stays until remove() or the end of the program, as results are read lazily."""
+    return kept_at(df)[0]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete what kept_at() wrote and nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if p != path]
+
+
+def _remove_all() -> None:
+    for spark, path in list(_WRITTEN):
+        try:
+            remove(spark, path)
+        except Exception:  # the session has ended: its folder is the cluster's to clear
+            return
