@@ -5,9 +5,9 @@ the source's target. Each document can be queued twice (a second epoch follows t
 the order of finish time until the total budget is spent.
 
 No window spans a whole source: a source's shuffled order is cut into hash buckets whose number grows with the
-table, the buckets' sums are accumulated first (one small row per bucket), and rows are accumulated within their
-bucket only. The budget's cut is found likewise: sums by slices of virtual time, then rows of the one slice in
-which the budget runs out. All of it is DataFrame code.
+table, the buckets' sums are accumulated first, and rows are accumulated within their bucket only. Sums of buckets are
+accumulated in two levels, so no task sees all of them either. The budget's cut is found likewise: sums by slices of
+virtual time, then rows of the one slice in which the budget runs out. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ EPOCHS = 2
 SEED = "mix"
 #: Rows that one bucket of a source's shuffled order, or one slice of virtual time, is meant to hold.
 BUCKET_ROWS = 2_000
+#: Buckets or slices whose sums are accumulated in one group.
+LEVEL = 4_096
 
 
 def targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -51,13 +53,30 @@ def _spread(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def running(sums: DataFrame, by: list[str], order: str) -> DataFrame:
+    """sums (by, order: whole number from 0, sum) with upto, the sum of this and all lower numbers, and paid, upto without
+    its own. First the sums of LEVEL numbers each are accumulated (few rows), then the numbers within each."""
+    level = sums.withColumn("level", F.floor(F.col(order) / F.lit(LEVEL)))
+    totals = level.groupBy(*by, "level").agg(F.sum("sum").alias("total"))
+    lower = Window.partitionBy(*by).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("lower", F.coalesce(F.sum("total").over(lower), F.lit(0))).drop("total")
+    totals = totals.withColumnsRenamed({c: f"of_{c}" for c in (*by, "level")})
+    same = F.col("level") == F.col("of_level")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    within = Window.partitionBy(*by, "level").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = level.withColumn("within", F.sum("sum").over(within)).join(totals, same).withColumn("upto", F.col("lower") + F.col("within"))
+    return out.select(*by, order, "sum", "upto", (F.col("upto") - F.col("sum")).alias("paid"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, keep: str | None = None) -> DataFrame:
     """One row per row of docs: (doc_id, source, size, source_size, target, copies, taken).
 
     size: words of the text (null text: 0). copies: times the mix takes the document, 0 to epochs; taken = copies * size.
     The order of a source is that of md5(seed, id), so reruns and other partitionings agree. A null source is a source
     of its own, the last; a null id is an id like any other; repeated rows each count; documents without words take no
-    budget; an empty table gives an empty result. Other columns of docs are ignored, whatever their names, but for the one named
+    budget; texts of any length count whole; rows that finish at the same virtual time are taken together or not at all,
+    so the mix may end below its budget by them; an empty table gives an empty result. Other columns of docs are ignored, whatever their names, but for the one named
     `keep`, which comes out as the column keep.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(docs, id_col).cast("string"), F.lit("null"))))
@@ -68,8 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     share_of = targets(sizes, share, weights, epochs)
     placed = sizes.withColumn("bucket", F.floor(_spread(F.col("key")) * buckets).cast("int"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(ahead), F.lit(0)))
+    sums = running(sums, ["source"], "bucket").withColumnRenamed("paid", "ahead")
     base = sums.join(share_of.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "target")
     queued = placed.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -88,10 +106,10 @@ def _cut(queued: DataFrame, rows: int, epochs: int, share: float) -> DataFrame:
     each = queued.select("size", F.explode(F.array(*[F.col(f"finish{e}") for e in range(epochs)])).alias("finish")).where("finish IS NOT NULL")
     each = each.withColumn("slice", F.floor(F.least(F.col("finish"), F.lit(4.0)) * slices).cast("long"))
     per = each.groupBy("slice").agg(F.sum("size").alias("sum"))
-    upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # at most 4 * slices + 1 rows
     budget = queued.agg((F.lit(share) * F.sum("size")).alias("budget"))
-    per = per.withColumn("upto", F.sum("sum").over(upto)).crossJoin(F.broadcast(budget))  # one row
-    last = per.where(F.col("upto") > F.col("budget")).agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("sum")).alias("paid"), "budget"), "slice").alias("x")).select("x.slice", "x.paid", "x.budget")
+    per = running(per, [], "slice").crossJoin(F.broadcast(budget))  # one row
+    over = F.min_by(F.struct("slice", "paid", "budget"), "slice").alias("x")
+    last = per.where(F.col("upto") > F.col("budget")).agg(over).select("x.slice", "x.paid", "x.budget")
     edge = each.withColumnRenamed("slice", "of").join(F.broadcast(last), F.col("of") == F.col("slice"))  # one row
     edge = edge.withColumn("paid", F.col("paid") + F.sum("size").over(Window.partitionBy("of").orderBy("finish", "size").rowsBetween(Window.unboundedPreceding, 0)))
     inside = edge.where(F.col("paid") <= F.col("budget")).agg(F.max("finish").alias("inside"))
