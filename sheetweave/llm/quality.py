@@ -3,8 +3,9 @@
 The sketch of a metric is a histogram over relative-error buckets: a whole number keeps its five leading binary
 digits, so a bucket is at most 1/16 of its value wide. Such sketches merge by adding counts (a groupBy with map-side
 partial sums), merge again upwards from (language, source) to language to everything, and give the same quantiles
-whatever the partitioning. A group too small for quantiles of its own uses its language's, then the corpus's.
-Everything is DataFrame code.
+whatever the partitioning. A group's quantiles are drawn towards its language's, and a language's towards the corpus's,
+as if PRIOR documents of the wider group had been seen besides its own: a small group leans on the wider one, a large
+one stands for itself, and no size changes the rule. Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from sheetweave.llm.shared import SPACE, column, let, shelve, words
 
 WINDOW = 8
 MIN_WORDS = 20
-#: Documents that a group's sketch must hold to speak for the group.
-MIN_GROUP = 200
+#: Documents of the wider group that a group's own quantiles are weighed against.
+PRIOR = 200
 #: metric: (lower fence wanted, times the spread, least spread). Fences: quartile -/+ times * max(spread, least).
 #: Where a group's norm is 0, the fence for repeats is 225 per mille: below the base rule's 300, above a line repeated once in 80 words.
 FENCES = {"symbols": (False, 3, 15), "dup_lines": (False, 4, 100), "repeats": (False, 3, 75), "word_length": (True, 4, 30)}
@@ -84,12 +85,18 @@ def fences(measured: DataFrame) -> DataFrame:
     ).crossJoin(F.broadcast(_quartiles(overall, [], "o")))  # one row
     out = [F.col("lang"), F.col("source")]
     for m, (lower, times, least) in FENCES.items():
-        q = F.coalesce(*[F.when(F.col(f"{m}_{k}.n") >= MIN_GROUP, F.col(f"{m}_{k}")) for k in ("s", "l")], F.col(f"{m}_o"))
-        reach = times * F.greatest(q["q75"] - q["q25"], F.lit(least))
-        out += [(q["q75"] + reach).alias(f"{m}_high")] + ([(q["q25"] - reach).alias(f"{m}_low")] if lower else [])
+        q25, q75 = (_drawn(_drawn(F.col(f"{m}_o.{q}").cast("double"), F.col(f"{m}_l"), q), F.col(f"{m}_s"), q) for q in ("q25", "q75"))
+        reach = times * F.greatest(q75 - q25, F.lit(float(least)))
+        out += [(q75 + reach).alias(f"{m}_high")] + ([(q25 - reach).alias(f"{m}_low")] if lower else [])
     return best.select(*out)
 
 
+def _drawn(wider: Column, own: Column, q: str) -> Column:
+    """A quantile of a group's own, weighed against the wider group's by its number of documents; without any, the wider one."""
+    n = own["n"].cast("double")
+    return F.coalesce((n * own[q] + PRIOR * wider) / (n + PRIOR), wider)
+
+
 def _quartiles(sketch: DataFrame, by: list[str], tag: str) -> DataFrame:
     """One row per group with a struct <metric>_<tag> (n, q25, q75) for each metric. Windows see buckets, not documents."""
     w = Window.partitionBy(*by, "metric")
@@ -103,8 +110,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """measures() of each row and kept: it passes the base rules and lies within its group's fences.
 
     A null text has no words and fails the base rules, as an empty one does. Null languages and sources are groups of
-    their own. Repeated rows count each. An empty table gives an empty result; where no row passes the base rules no
-    fence exists and nothing is kept.
+    their own. Texts of any length are measured whole. Repeated rows count each; other columns are ignored, whatever their
+    names. An empty table gives an empty result; where no row passes the base rules no fence exists and nothing is kept.
     """
     measured = shelve(measures(docs, id_col, text_col, lang_col, source_col))
     limits = fences(measured).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
@@ -143,13 +150,15 @@ stacked AS (SELECT r, lang, source, base_failed, unnest(['symbols', 'dup_lines',
 sketch AS (SELECT lang, source, metric, (x >> greatest(length(bin(x)) - 5, 0)) << greatest(length(bin(x)) - 5, 0) AS x, count(*) AS n FROM stacked WHERE NOT base_failed GROUP BY ALL),
 {_sql_quartiles("qs", "lang, source")}, {_sql_quartiles("ql", "lang")}, {_sql_quartiles("qo", "")},
 f(metric, lower, times, least) AS (VALUES {", ".join(f"('{m}', {str(a).lower()}, {b}, {c})" for m, (a, b, c) in FENCES.items())}),
-v AS (SELECT s.r, bool_and(s.x <= q.q75 + f.times * greatest(q.q75 - q.q25, f.least) AND (NOT f.lower OR s.x >= q.q25 - f.times * greatest(q.q75 - q.q25, f.least))) AS within
-      FROM (SELECT s.r, s.x, s.metric,
-              CASE WHEN qs.n >= {MIN_GROUP} THEN qs.q25 WHEN ql.n >= {MIN_GROUP} THEN ql.q25 ELSE qo.q25 END AS q25,
-              CASE WHEN qs.n >= {MIN_GROUP} THEN qs.q75 WHEN ql.n >= {MIN_GROUP} THEN ql.q75 ELSE qo.q75 END AS q75
-            FROM stacked s LEFT JOIN qs ON s.lang IS NOT DISTINCT FROM qs.lang AND s.source IS NOT DISTINCT FROM qs.source AND s.metric = qs.metric
-              LEFT JOIN ql ON s.lang IS NOT DISTINCT FROM ql.lang AND s.metric = ql.metric LEFT JOIN qo ON s.metric = qo.metric WHERE NOT s.base_failed) q
-      JOIN stacked s ON s.r = q.r AND s.metric = q.metric JOIN f ON f.metric = s.metric GROUP BY s.r)
+p AS (SELECT s.r, s.metric, s.x, {", ".join(f"coalesce((CAST(qs.n AS DOUBLE) * qs.{q} + {PRIOR}.0::DOUBLE * l.{q}) / (CAST(qs.n AS DOUBLE) + {PRIOR}.0::DOUBLE), l.{q}) AS {q}" for q in ("q25", "q75"))}
+      FROM stacked s
+        JOIN (SELECT g.lang, g.metric, {", ".join(f"coalesce((CAST(ql.n AS DOUBLE) * ql.{q} + {PRIOR}.0::DOUBLE * CAST(qo.{q} AS DOUBLE)) / (CAST(ql.n AS DOUBLE) + {PRIOR}.0::DOUBLE), CAST(qo.{q} AS DOUBLE)) AS {q}" for q in ("q25", "q75"))}
+              FROM (SELECT DISTINCT lang, metric FROM stacked) g LEFT JOIN ql ON g.lang IS NOT DISTINCT FROM ql.lang AND g.metric = ql.metric LEFT JOIN qo ON g.metric = qo.metric) l
+          ON s.lang IS NOT DISTINCT FROM l.lang AND s.metric = l.metric
+        LEFT JOIN qs ON s.lang IS NOT DISTINCT FROM qs.lang AND s.source IS NOT DISTINCT FROM qs.source AND s.metric = qs.metric
+      WHERE NOT s.base_failed),
+v AS (SELECT p.r, bool_and(p.x <= q75 + f.times * greatest(q75 - q25, CAST(f.least AS DOUBLE)) AND (NOT f.lower OR p.x >= q25 - f.times * greatest(q75 - q25, CAST(f.least AS DOUBLE)))) AS within
+      FROM p JOIN f ON f.metric = p.metric GROUP BY p.r)
 SELECT x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed, NOT x.base_failed AND coalesce(v.within, false) AS kept
 FROM x LEFT JOIN v USING (r)
 """
