@@ -4,29 +4,42 @@ A validated value is read as a number within the set of all values of its format
 digit, days of a calendar, letters and digits of a mail address place by place), that set is permuted by a keyed
 Feistel network with cycle walking, and the result is written back in the same format, with check digits made anew. So
 equal values get equal pseudonyms in every document, different values stay different, and lengths, punctuation and
-validity survive. Without the key the permutation cannot be undone.
+validity survive. A value written in several ways is one value: of a phone number the national digits are permuted and
+the country stays, a date is a day whatever the order of its parts. Without the key the permutation cannot be undone.
+
+The key is the session's spark.sheetweave.pii.key or the environment's SHEETWEAVE_PII_KEY. Where neither is set a key is
+drawn for this program and forgotten with it: pseudonyms then link within its results only.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetweave.llm.shared import column, free_name
 
 ROUNDS = 8
-KEY = b"replace this key"
+#: Where the key is looked up.
+KEY_CONF, KEY_ENV = "spark.sheetweave.pii.key", "SHEETWEAVE_PII_KEY"
+_DRAWN = os.urandom(32)
 _HEX = "0123456789abcdef"
 _DAY0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY0
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The configured key, else the one drawn for this program."""
+    given = spark.conf.get(KEY_CONF, None) or os.environ.get(KEY_ENV)
+    return hashlib.blake2b(given.encode(), digest_size=32).digest() if given else _DRAWN
+
+
 def permute(key: bytes, tweak: str, x: int, size: int) -> int:
     """A keyed permutation of 0 .. size - 1: a balanced Feistel network on the next even number of bits, walked until inside."""
     if size < 2:
@@ -112,30 +125,59 @@ def _iban(key: bytes, value: str) -> str | None:
     return "".join(c if c == " " else next(new) for c in value)
 
 
+#: Country codes of one and of two digits (fixed values); all others have three.
+_COUNTRY_1 = ("1", "7")
+_COUNTRY_2 = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
+
+def _north_american(national: str) -> bool:
+    """Ten digits whose area and exchange can be dialled."""
+    return len(national) == 10 and national[0] in "23456789" and national[3] in "23456789"
+
+
 def _phone(key: bytes, value: str) -> str | None:
+    """The country and leading zeros stay; the national digits are permuted among those of the same length and plan."""
     d = re.sub(r"\D", "", value)
     if not 8 <= len(d) <= 15:
         return None
-    keep = len(re.match(r"\+?(\d{0,3})", value)[1]) if value.startswith("+") and not value[1:].isdigit() else 0  # the country
-    return _refill(value, d[:keep] + f"{permute(key, f'phone{d[:keep]}/{len(d)}', int(d[keep:]), 10 ** (len(d) - keep)):0{len(d) - keep}d}")
+    country = (1 if d[0] in _COUNTRY_1 else 2 if d[:2] in _COUNTRY_2 else 3) if value.startswith("+") else 0
+    national = d[country:].lstrip("0")
+    if not national:
+        return None
+    low = 10 ** (len(national) - 1)
+    plan, x = _north_american(national), int(national) - low
+    while True:
+        x = permute(key, f"phone{len(national)}", x, 9 * low)
+        if _north_american(str(low + x)) == plan:
+            return _refill(value, d[: len(d) - len(national)] + str(low + x))
 
 
 def _date(key: bytes, value: str) -> str | None:
+    """A day stays before or after the twelfth, so that one written day first stays readable as such only. Parts written
+    without zeros may grow or lose a digit."""
     sep = re.search(r"\D", value)[0]
     p = value.split(sep)
     order = (0, 1, 2) if len(p[0]) == 4 else (2, 0, 1) if sep == "/" else (2, 1, 0)
     n = [int(x) for x in p]
-    for o in (order, (2, 1, 0)):
+    for o in dict.fromkeys((order, (2, 1, 0))):
         try:
-            at = datetime.date(*(n[i] for i in o)).toordinal() - _DAY0
+            day = datetime.date(*(n[i] for i in o))
         except ValueError:
             continue
-        if 0 <= at < _DAYS:
-            new = datetime.date.fromordinal(_DAY0 + permute(key, "date", at, _DAYS))
-            out = [""] * 3
-            for i, x in zip(o, (new.year, new.month, new.day)):
-                out[i] = f"{x:0{len(p[i])}d}"
-            return sep.join(out)
+        at = day.toordinal() - _DAY0
+        if not 0 <= at < _DAYS:
+            continue
+        while True:
+            at = permute(key, "date", at, _DAYS)
+            new = datetime.date.fromordinal(_DAY0 + at)
+            if (new.day > 12) == (day.day > 12):
+                break
+        out = [""] * 3
+        for i, x in zip(o, (new.year, new.month, new.day)):
+            out[i] = f"{x:0{len(p[i])}d}"
+        return sep.join(out)
     return None
 
 
@@ -169,7 +211,7 @@ _PATTERNS = [(kind, re.compile(need), re.compile(p), make) for kind, need, p, ma
 _ANY = re.compile(rb"[0-9@=:]")
 
 
-def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
+def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in the given text. Earlier kinds win where values overlap."""
     spans: list[tuple[int, int, str, str]] = []
     rest = text  # values found are blanked out here, so that none runs into a later kind's
@@ -182,15 +224,20 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int,
             new = make(key, text[a:b])
             if new is not None:
                 found.append((a, b, kind, new))
-        for a, b, _, _ in found:
-            rest = f"{rest[:a]}{chr(0) * (b - a)}{rest[b:]}"
-        spans += found
+        if found:
+            rest = _filled(rest, [(a, b, chr(0) * (b - a)) for a, b, _, _ in found])
+            spans += found
     spans.sort()
+    return _filled(text, [(a, b, new) for a, b, _, new in spans]), [(k, a, b) for a, b, k, _ in spans]
+
+
+def _filled(text: str, parts: list[tuple[int, int, str]]) -> str:
+    """text with each stretch (start, end), in order, replaced."""
     out, at = [], 0
-    for a, b, _, new in spans:
+    for a, b, new in parts:
         out += [text[at:a], new]
         at = b
-    return "".join(out) + text[at:], [(k, a, b) for a, b, k, _ in spans]
+    return "".join(out) + text[at:]
 
 
 def _batch(key: bytes, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -207,13 +254,15 @@ def _batch(key: bytes, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(out, type=kind)
 
 
-def mask(docs: DataFrame, text_col: str = "text", key: bytes = KEY, out: str = "pii") -> tuple[DataFrame, str]:
+def mask(docs: DataFrame, text_col: str = "text", key: bytes | None = None, out: str = "pii") -> tuple[DataFrame, str]:
     """docs with text_col pseudonymised and one more column, spans (kind, start, end in the text given), named `out` or longer.
 
-    Null texts stay null with no spans; empty texts and texts without personal data stay as they are. Rows neither
-    appear nor go, other columns stay, repeated rows get equal pseudonyms, an empty table stays empty.
+    key: key_of(session) if none is given. Null texts stay null with no spans; empty texts and texts without personal
+    data stay as they are. Texts of any length are read whole, in time that grows with the length. Rows neither appear
+    nor go, other columns stay whatever their names, repeated rows get equal pseudonyms, an empty table stays empty.
     """
     name = free_name(docs, out)
+    key = key or key_of(docs.sparkSession)
 
     def pseudonyms(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return _batch(key, texts)
