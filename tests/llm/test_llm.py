@@ -91,9 +91,16 @@ def test_simhash_odd(odd):
     assert simhash.dedup(empty(odd)).count() == 0 and simhash.keep_one(empty(odd)).count() == 0
 
 
-def test_near_duplicate_stage_finds_every_pair_at_0_8(spark):
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_duplicate_stage_finds_every_pair_at_0_8(spark, monkeypatch, small):
+    """With small = 2 nearly all keys go through chunks of 3 rows; no first links are proposed then."""
     import corpus_pipeline
 
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    if small == 2:
+        monkeypatch.setattr(jaccard, "CHUNK", 3)
+        monkeypatch.setattr(jaccard, "_proposed", lambda nodes, percent: nodes.limit(0).selectExpr("row AS a", "row AS b", "n AS na", "n AS nb", "bits AS x", "bits AS y"))
+
     rng, line = random.Random(3), [f"common{i}" for i in range(12)]
     rows = []
     for _ in range(60):
@@ -116,11 +123,22 @@ def test_near_duplicate_stage_finds_every_pair_at_0_8(spark):
                 label = [a if x == b else x for x in label]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard.dedup(df).collect()} == dict(enumerate(label))
+    if small == 2:
+        return
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == sorted(set(label))
     near = {r.component_id for r in simhash.dedup(df).collect()}
     assert len(set(label)) < len(near)  # two bits of a fingerprint miss some of these pairs
 
 
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(24)
+    for n, m, shared in ((5, 5, 3), (64, 65, 60), (300, 140, 100), (1000, 1100, 900), (0, 3, 0)):
+        every = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+        a, b = np.sort(every[:n]), np.sort(every[n - shared :])
+        assert jaccard.parity_difference(jaccard.parity(a), jaccard.parity(b)) <= n + m - 2 * shared
+        assert jaccard.parity_difference(jaccard.parity(a), jaccard.parity(a)) == 0
+
+
 # --- PII
 
 
