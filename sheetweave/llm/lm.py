@@ -33,7 +33,7 @@ from sheetweave.llm.shared import column, shelve, text_bytes
 BACKOFF = 0.4
 HEAD = 1 << 16
 #: A pair outside this square is a key with at most 1 / CORE of all rows, as its rarer word has no larger share.
-CORE = 512
+CORE = 1_024
 #: Documents (on average) of the sample that ranks words.
 SAMPLE = 20_000
 #: Rows that one step of the joined counts works on; a pair's rows are held together.
