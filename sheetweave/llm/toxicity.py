@@ -1,6 +1,6 @@
 """Toxicity: bags of subword embeddings, averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of its character 3- to 6-grams (of "<word>", over bytes, hashed into BUCKETS), a
+A word is the mean of the vectors of its character 3- to 8-grams (of "<word>", over bytes, hashed into BUCKETS), a
 window is the mean of its words, and a softmax over two classes reads it. Vectors and softmax are trained together. A
 misspelling never seen shares n-grams with what was seen. Texts are read in overlapping windows, so that a few words
 weigh alike in short and in long texts; a text's score is that of its highest window. A toxic document's windows need
@@ -20,23 +20,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, free_name, text_bytes
+from sheetweave.llm.shared import column, free_name, shelve, text_bytes
 
 BUCKETS = 1 << 20
 DIM = 4
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 5, 6, 7, 8)
 SPAN = 2
 STEP = 1
-#: Bounds of the sample that the model is fitted on: documents of each class, and words of one document.
+#: Bounds of the sample that the model is fitted on: documents of each class, and bytes of all of them. Texts are taken whole.
 TOXIC_DOCS = 800
 CLEAN_DOCS = 2400
-DOC_WORDS = 8192
-#: Windows that one document adds to the sample at most.
+SAMPLE_BYTES = 32 << 20
+#: Windows that one document adds to the training at most: those most likely toxic, and for clean ones as many at random.
 DOC_WINDOWS = 32
-#: Documents that an n-gram must occur in to be trained.
-LEAST_SEEN = 12
+#: Share of the toxic documents of the sample that an n-gram must occur in (of all documents as many) to be trained, and the least number.
+LEAST_SHARE, LEAST_SEEN = 0.025, 3
 #: Log odds, toxic to clean documents, of an n-gram that marks a window of a toxic document as a likely carrier.
-SUSPECT = 2.0
+SUSPECT = 2.5
 #: Words that a worker remembers.
 REMEMBERED = 500_000
 #: Digits and signs that stand for letters (fixed values); other ASCII signs are left out of words.
@@ -101,11 +101,11 @@ def windows(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - SPAN, STEP), n - SPAN)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 40, rate: float = 0.05, seed: int = 7) -> Model:
+def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.1, seed: int = 7) -> Model:
     """Train on texts with labels 0 or 1. Without texts of both classes the score is near 0 (or 1) for all."""
     rng = np.random.default_rng(seed)
     ids: dict[bytes, int] = {}
-    docs = [np.array([ids.setdefault(x, len(ids)) for x in split(text)[:DOC_WORDS]], np.int64) for text in texts]
+    docs = [np.array([ids.setdefault(x, len(ids)) for x in split(text)], np.int64) for text in texts]
     some = np.array([len(w) > 0 for w in docs], bool)
     if not some.any() or toxic[some].min() == toxic[some].max():
         return Model(np.zeros(BUCKETS, np.float32).tobytes(), 8.0 if some.any() and toxic[some].all() else -8.0)
@@ -121,7 +121,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 40, rate: float = 0.
         cut = [w[s : s + SPAN] for s in windows(len(w))]
         level = np.array([suspect[c].max() for c in cut])
         if toxic[d]:
-            pick = np.flatnonzero((level >= SUSPECT) | (level >= level.max()))[:DOC_WINDOWS]
+            likely = np.argsort(-level, kind="stable")[:DOC_WINDOWS]
+            pick = np.sort(likely[(level[likely] >= SUSPECT) | (level[likely] >= level.max())])
         else:  # those most like toxic ones, and some at random
             pick = np.unique(np.concatenate([np.argsort(-level, kind="stable")[: DOC_WINDOWS // 2], rng.choice(len(cut), min(len(cut), DOC_WINDOWS // 2), replace=False)]))
         rows += [cut[i] for i in pick]
@@ -166,13 +167,13 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 40, rate: float = 0.
     weights = np.zeros(BUCKETS, np.float32)
     weights[live] = (soft[1] - soft[0]) @ table
     # The highest of many windows tends upwards: the bias puts the line between both classes' highest windows.
-    tops = np.array([max(_window_means(split(x)[:DOC_WORDS], weights, {}), default=0.0) for x in texts])
+    tops = np.array([max(_window_means(split(x), weights, {}), default=0.0) for x in texts])
     cut = _between(tops[toxic == 0], tops[toxic == 1])
     return Model(weights.tobytes(), float(-cut))
 
 
 def _odds(docs: list[np.ndarray], toxic: np.ndarray, g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By bucket: log odds of occurring in toxic rather than clean documents, and whether it occurs in LEAST_SEEN at all."""
+    """By bucket: log odds of occurring in toxic rather than clean documents, and whether it occurs often enough."""
     starts = np.searchsorted(o, np.arange(o[-1] + 2))
     seen = np.zeros((2, BUCKETS))
     for w, y in zip(docs, toxic):
@@ -180,7 +181,7 @@ def _odds(docs: list[np.ndarray], toxic: np.ndarray, g: np.ndarray, o: np.ndarra
         if len(u):
             seen[y, np.unique(np.concatenate([g[starts[i] : starts[i + 1]] for i in u]))] += 1
     n = np.bincount(toxic, minlength=2)
-    common = seen.sum(axis=0) >= LEAST_SEEN
+    common = seen.sum(axis=0) >= max(LEAST_SEEN, round(LEAST_SHARE * n[1]))
     return np.where(common, np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1)), -np.inf).astype(np.float32), common
 
 
@@ -220,20 +221,30 @@ def held_out(id_: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled rows that are not held out.
 
-    The sample is bounded: for each class the ids of least hash, TOXIC_DOCS and CLEAN_DOCS at most, and the first
-    DOC_WORDS words of a text. An id with both labels counts as toxic; labels other than 0 and 1, and null ids, are
-    left out. What is broadcast and brought to the driver is bounded by that sample.
+    The sample is bounded: for each class the ids of least hash, TOXIC_DOCS and CLEAN_DOCS at most, and of these, in the
+    same order, whole texts while they fit SAMPLE_BYTES / 2 (a text that does not fit is passed over). An id with both
+    labels counts as toxic; of rows that share an id the text of least hash counts, whatever the partitioning; labels
+    other than 0 and 1, and null ids, are left out; a null text is empty. Without rows of both classes (also in an empty
+    table) every text scores alike. What is broadcast and brought to the driver is bounded by that sample.
     """
     marks = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     marks = marks.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    chosen = None
-    for y, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS)):
-        part = marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    classes = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
+    chosen = classes[0].unionByName(classes[1])
     body = docs.select(column(docs, id_col).alias("doc"), text_bytes(column(docs, text_col)).alias("text"))
-    # No word spans more of a text than this, so the bound on words below is one on bytes that leave the executors.
-    cut = body.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "y", F.substring("text", 1, 16 * DOC_WORDS).alias("text"))
-    rows = cut.dropDuplicates(["id"]).orderBy("id").toArrow()
+    found = body.join(F.broadcast(chosen), F.col("doc") == F.col("id"))  # TOXIC_DOCS + CLEAN_DOCS rows
+    by_value = F.min_by(F.struct("y", "text"), F.struct(F.xxhash64("text"), "text")).alias("r")
+    held = shelve(found.groupBy("id").agg(by_value).select("id", "r.y", "r.text"))
+    sizes = held.select("id", "y", F.octet_length("text").alias("n"), F.xxhash64("id").alias("h")).toPandas().sort_values(["h", "id"])
+    fits = []
+    for _, part in sizes.groupby("y"):
+        room = SAMPLE_BYTES // 2
+        for i, n in zip(part["id"].tolist(), part["n"].tolist()):
+            if n <= room:
+                room -= n
+                fits.append((i,))
+    wanted = docs.sparkSession.createDataFrame(fits, held.select("id").schema)
+    rows = held.join(F.broadcast(wanted), "id").orderBy(F.xxhash64("id"), "id").toArrow()
     texts, toxic = rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.int64)
     del rows
     return fit(texts, toxic)
@@ -242,7 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> tuple[DataFrame, str]:
     """docs with a score from 0 to 1 of each whole text in a column named `out`, or longer if docs has that; the name too.
 
-    Null and empty texts score as texts without words. Rows neither appear nor go; an empty table stays empty.
+    Null and empty texts score as texts without words; texts of any length are read whole. Equal texts score alike; rows
+    neither appear nor go, other columns stay whatever their names; an empty table stays empty.
     """
     weights, bias = model.weights, model.bias
 
