@@ -89,7 +89,8 @@ def transcode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "t
 
     ids are those that the tiktoken library gives for the whole text, without special tokens; decoded are the bytes
     that they stand for. A null text is encoded as an empty one: no ids, no bytes. Bytes that are no UTF-8 are replaced
-    before encoding. Rows neither appear nor go. ranks_path is read on the workers.
+    before encoding. Texts of any length are encoded whole, by the tree. Rows, also repeated ones, neither appear nor go;
+    other columns stay whatever their names; an empty table stays empty. ranks_path is read on the workers.
     """
 
     @F.arrow_udf("ids array<int>, decoded binary")

@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetweave.scratch import kept as shelve  # noqa: F401  written once to the folder that driver and executors share
+
 #: ASCII white space (space, tab to carriage return) in the syntax of java.util.regex.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (single-machine tests) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='sheetweave-')}"
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def shelve(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts the lineage, survives lost executors, stays columnar."""
-    path = f"{shared_folder(df.sparkSession)}/sheetweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name starting with `wanted` that df does not have, so that an input's own columns never clash."""
     taken = {c.lower() for c in df.columns}

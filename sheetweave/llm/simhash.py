@@ -200,8 +200,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     component_id is the least id reachable through fingerprints that differ in RADIUS bits or fewer, the document's own
     included; texts without words (empty, null) share fingerprint 0 and are linked like any other. A null id takes no
-    part in the least; a component without any id has a null one. Repeated rows come out repeated. Other columns of docs
-    are ignored. An empty table gives an empty result.
+    part in the least; a component without any id has a null one. Repeated rows come out repeated. Texts of any length
+    are read whole. Other columns of docs are ignored, whatever their names. An empty table gives an empty result.
     """
     body = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
     marked, fp = fingerprints(body, "text", "fp")

@@ -102,7 +102,8 @@ def count(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: i
     """docs with one more column (struct: n_bytes, n_tokens, over_limit), named `out` or a longer name if docs has that.
 
     Counts are the tokenizers library's own for the whole text, without special tokens added. A null text counts as an
-    empty one, 0 bytes and 0 tokens. Rows neither appear nor go. tokenizer_path is read on the workers. The splices hold
+    empty one, 0 bytes and 0 tokens. Texts of any length are counted whole. Rows, also repeated ones, neither appear nor
+    go; other columns stay whatever their names; an empty table stays empty. tokenizer_path is read on the workers. The splices hold
     for tokenizers that drop white space before merging, like word_bpe_49k.json.
     """
 

@@ -505,6 +505,39 @@ def test_toxicity_learns_and_generalises():
     assert score(b"ala vexgrrob snarkfiid ala") > score(b"ala ole ola ala")
 
 
+def test_scores_against_plain_windows():
+    rng = np.random.default_rng(25)
+    table = rng.normal(size=toxicity.BUCKETS).astype(np.float32)
+
+    def word(w):
+        w, found = b"<" + w + b">", []
+        for n in toxicity.GRAMS:
+            for i in range(len(w) - n + 1):
+                h = 0
+                for c in w[i : i + n]:
+                    h = (h * 0x100000001B3 & 2**64 - 1) ^ (c + 1)
+                h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+                found.append(table[(h >> 40) % toxicity.BUCKETS])
+        return np.mean(np.array(found, float))
+
+    for text in ["", "one", "Two w0rds", "a b c d e", *noise(20, 6)]:
+        words = [w for w in text.encode().translate(toxicity._LIKE, toxicity._SIGNS).split()]
+        means = [word(w) for w in words]
+        spans = [np.mean(means[i : i + toxicity.SPAN]) for i in range(max(1, len(means) - toxicity.SPAN + 1))] if means else []
+        want = 1 / (1 + np.exp(-np.clip(0.2 + max(spans), -50, 50))) if means else 0.5
+        assert abs(toxicity.score_text(text.encode(), table, 0.2, {}) - want) < 1e-5
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    rng = random.Random(26)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(6))
+    rows = [(i % 60, " ".join([word() for _ in range(20)] + ["vexgrob snarkfid"] * (i % 3 == 0))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [toxicity.train(df.repartition(n), labels) for n in (3, 7)]
+    assert models[0].weights == models[1].weights and models[0].bias == models[1].bias and any(models[0].weights)
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, None), (None, 1), (7, 5)], "doc_id long, toxic int")
     scored, c = toxicity.score(odd, toxicity.train(odd, labels), out="score")
@@ -592,3 +625,41 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     last = corpus_pipeline.run(spark, data())
     assert last.where("NOT intact").count() == 0 and last.count() > 0
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_on_odd_and_empty_tables(spark, odd, at):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[at]
+    got = stage(spark, odd, data())
+    rows = got.collect()
+    if name != "tokens":
+        assert got.schema.names == odd.schema.names
+    if name in ("toxicity", "personal_data"):
+        texts = sorted(map(str, (r.text for r in odd.collect())))
+        assert sorted(map(str, (r.text for r in rows))) == texts
+    elif name == "near_duplicates":
+        assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 3, 4, 5]
+    elif name == "mixing":
+        assert len(rows) == sum(r.copies for r in mixing.mix(odd).collect())
+    else:
+        assert len(rows) == 7 and all(r.intact for r in rows) and sorted(r.n_tokens for r in rows)[:2] == [0, 0]
+    assert stage(spark, empty(odd), data()).count() == 0
+
+
+def test_stages_against_plain_versions(spark, docs):
+    """Each stage that keeps or drops rows, or changes texts, as the operators' plain forms would."""
+    import corpus_pipeline
+
+    rows = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    model = toxicity.train(docs, spark.read.parquet(f"{data()}/labels.parquet"))
+    table = np.frombuffer(model.weights, np.float32)
+    clean = corpus_pipeline.reject_toxic(spark, docs, data())
+    assert {r.doc_id for r in clean.collect()} == {i for i, t in rows.items() if toxicity.score_text(t.encode(), table, model.bias, {}) < 0.5}
+    masked = corpus_pipeline.mask_personal_data(spark, docs, data()).collect()
+    key = pii.key_of(spark)
+    assert {r.doc_id: r.text for r in masked} == {i: pii.pseudonymise(t, key)[0] for i, t in rows.items()}
+    codec = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for r in corpus_pipeline.encode(spark, docs, data()).collect():
+        assert list(r.ids) == codec.library.encode_ordinary(rows[r.doc_id])
