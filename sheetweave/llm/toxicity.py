@@ -12,6 +12,7 @@ As averaging and the softmax are linear, a trained model is one number for each
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -114,23 +115,25 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.
     odds, common = _odds(docs, toxic, g, o)
     suspect = np.full(len(ids), -np.inf, np.float32)
     np.maximum.at(suspect, o, odds[g])
-    rows, owner = [], []
+    rows, sizes, owner = [], [], []
     for d, w in enumerate(docs):
         if not len(w):
             continue
-        cut = [w[s : s + SPAN] for s in windows(len(w))]
-        level = np.array([suspect[c].max() for c in cut])
+        cut = np.lib.stride_tricks.sliding_window_view(w, min(SPAN, len(w)))[windows(len(w))]
+        level = suspect[cut].max(axis=1)
         if toxic[d]:
             likely = np.argsort(-level, kind="stable")[:DOC_WINDOWS]
             pick = np.sort(likely[(level[likely] >= SUSPECT) | (level[likely] >= level.max())])
         else:  # those most like toxic ones, and some at random
-            pick = np.unique(np.concatenate([np.argsort(-level, kind="stable")[: DOC_WINDOWS // 2], rng.choice(len(cut), min(len(cut), DOC_WINDOWS // 2), replace=False)]))
-        rows += [cut[i] for i in pick]
-        owner += [d] * len(pick)
-    own = np.array(owner, np.int64)
+            most, chance = np.argsort(-level, kind="stable")[: DOC_WINDOWS // 2], rng.choice(len(cut), min(len(cut), DOC_WINDOWS // 2), replace=False)
+            pick = np.unique(np.concatenate([most, chance]))
+        rows.append(cut[pick].ravel())
+        sizes.append(np.full(len(pick), cut.shape[1]))
+        owner.append(np.full(len(pick), d))
+    own, flat, sizes = np.concatenate(owner), np.concatenate(rows), np.concatenate(sizes)
+    del docs, rows, owner
     y = toxic[own].astype(np.float64)
-    flat, sizes = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
-    row_of = np.repeat(np.arange(len(rows)), sizes)
+    row_of = np.repeat(np.arange(len(own)), sizes)
     # n-grams too rare to tell anything keep weight 0, and are not trained; nor are words outside the windows.
     in_use = np.bincount(flat, minlength=len(ids)) > 0
     keep = common[g] & in_use[o]
@@ -147,7 +150,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
         word = total(o, table, g, len(ids)) / gram_n
-        mean = total(row_of, word, flat, len(rows)) / sizes
+        mean = total(row_of, word, flat, len(own)) / sizes
         z = soft @ mean + bias
         p1 = 1 / (1 + np.exp(np.clip(z[0] - z[1], -50, 50)))
         if t == steps // 2:
@@ -175,7 +178,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.
 def _odds(docs: list[np.ndarray], toxic: np.ndarray, g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By bucket: log odds of occurring in toxic rather than clean documents, and whether it occurs often enough."""
     starts = np.searchsorted(o, np.arange(o[-1] + 2))
-    seen = np.zeros((2, BUCKETS))
+    seen = np.zeros((2, BUCKETS), np.float32)
     for w, y in zip(docs, toxic):
         u = np.unique(w)
         if len(u):
@@ -247,7 +250,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = held.join(F.broadcast(wanted), "id").orderBy(F.xxhash64("id"), "id").toArrow()
     texts, toxic = rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.int64)
     del rows
-    return fit(texts, toxic)
+    model = fit(texts, toxic)
+    del texts
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Memory that training has freed goes back to the system, where the C library offers that: a driver lives on for long."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> tuple[DataFrame, str]:
