@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
 from sheetweave.functions.text import md5_mod_1000, split_of
+from sheetweave.scratch import kept
 
 
 def assign_splits(images: DataFrame) -> DataFrame:
@@ -35,8 +38,13 @@ def yolo_rows(objects: DataFrame, index: DataFrame) -> DataFrame:
     return out.withColumns({"cx": (g[0] + g[2] / 2) / F.col("tw"), "cy": (g[1] + g[3] / 2) / F.col("th"), "rw": g[2] / F.col("tw"), "rh": g[3] / F.col("th")})
 
 
-def yolo_line() -> F.Column:
-    return F.format_string("%d %.6f %.6f %.6f %.6f", "idx", "cx", "cy", "rw", "rh")
+def yolo_files(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(split, name, lines): the label file of each tile of tiles (split, name), its rows of yolo_rows() in item order; a
+    tile without objects has an empty file."""
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", "idx", "cx", "cy", "rw", "rh")
+    texts = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("item_idx", line.alias("line")))).alias("l"))
+    found = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return tiles.select("split", "name").join(texts, "name", "left").select("split", "name", F.coalesce(found, F.lit("")).alias("lines"))
 
 
 def coco_rows(arrows: DataFrame, index: DataFrame) -> DataFrame:
@@ -67,10 +75,16 @@ def ocr_crops(texts: DataFrame, pad: int = 3) -> DataFrame:
 
 
 def manifest(detections: DataFrame) -> DataFrame:
-    """One row: sorted class lists and counts per kind."""
+    """One row: sorted class lists, items of each class of objects and arrows, and of each kind and in all."""
     per = detections.groupBy("kind", "label").agg(F.count("*").alias("n"))
-    names = lambda k: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("label"))))
-    return per.agg(names("object").alias("object_classes"), names("arrow").alias("arrow_classes"), F.sum("n").alias("items"))
+    of = lambda k: F.col("kind") == k
+    names = lambda k: F.array_sort(F.collect_set(F.when(of(k), F.col("label"))))
+    counts = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(of(k), F.struct("label", "n")))))
+    kinds = [F.coalesce(F.sum(F.when(of(k), F.col("n"))), F.lit(0)).alias(n) for k, n in (("object", "objects"), ("ocr", "texts"), ("arrow", "arrows"))]
+    return per.agg(
+        names("object").alias("object_classes"), names("arrow").alias("arrow_classes"),
+        counts("object").alias("object_class_counts"), counts("arrow").alias("arrow_class_counts"), *kinds, F.coalesce(F.sum("n"), F.lit(0)).alias("items"),
+    )
 
 
 def with_missing_tiles(annotated: DataFrame, grid: DataFrame, images: DataFrame) -> DataFrame:
@@ -83,3 +97,70 @@ def sample_empty(tiles: DataFrame, ratio: float = 0.2) -> DataFrame:
     """All tiles with items (n_items > 0) and about `ratio` of the others, chosen by a hash of image and tile."""
     draw = md5_mod_1000(F.concat_ws("/", "image_id", "tile_id"))
     return tiles.where((F.coalesce(F.col("n_items"), F.lit(0)) > 0) | (draw < int(ratio * 1000)))
+
+
+@dataclass(frozen=True)
+class TrainingSet:
+    """The tables of a training set; all but the manifest carry split."""
+
+    tiles: DataFrame  # split, image_id, tile_id, name
+    annotations: DataFrame  # split, name, kind, item_idx, g0..g3, label
+    yolo: DataFrame  # split, name, lines
+    coco_images: DataFrame  # split, id, file_name, width, height
+    coco_annotations: DataFrame  # split, id, image_id, category_id, bbox, area
+    coco_categories: DataFrame  # id, name, supercategory
+    ocr: DataFrame  # split, crop, text, tile, x0..y1
+    manifest: DataFrame
+
+
+def build(images: DataFrame, detections: DataFrame, grid: DataFrame, ratio: float = 0.2) -> TrainingSet:
+    """A training set from images (image_id) and their ground truth cut into tiles (image_id, tile_id, kind, item_idx,
+    g0..g3, label). Splits are dealt over all images, images without any annotation are then left out; of tiles without
+    items about `ratio` stay. COCO ids count from 0 within a split, category 0 is the placeholder that its readers expect."""
+    items = kept(detections.select("image_id", "tile_id", "kind", "item_idx", *[f"g{i}" for i in range(4)], "label"))
+    splits = assign_splits(images)
+    found = items.groupBy("image_id", "tile_id").agg(F.count("*").alias("n_items"))
+    known = images.select("image_id").distinct().join(items.select("image_id").distinct(), "image_id", "left_semi")
+    chosen = sample_empty(with_missing_tiles(found, grid, known), ratio).join(splits, "image_id")
+    tiles = kept(chosen.select("split", "image_id", "tile_id", F.concat_ws("_", "image_id", "tile_id").alias("name")))
+    sizes = grid.select("tile_id", F.col("tw").cast("double").alias("tw"), F.col("th").cast("double").alias("th"))
+    rows = items.join(tiles, ["image_id", "tile_id"]).join(F.broadcast(sizes), "tile_id")  # as many rows as the grid has tiles
+    objects, arrows, texts = (rows.where(F.col("kind") == k) for k in ("object", "arrow", "ocr"))
+    names = class_index(arrows, first=1)
+    numbered = number_within(tiles, "split", ["image_id", "tile_id"], "id")
+    coco = coco_rows(arrows, names).join(numbered.select("name", F.col("id").alias("image")), "name")
+    coco = number_within(coco, "split", ["image_id", "tile_id", "item_idx"], "id")
+    placeholder = rows.sparkSession.createDataFrame([(0, "annotation-lines", "none")], "id long, name string, supercategory string")
+    categories = placeholder.unionByName(names.select(F.col("idx").cast("long").alias("id"), F.col("label").alias("name"), F.lit("annotation-lines").alias("supercategory")))
+    crop = F.concat(F.lit("ocr/crops/"), "name", F.lit("_"), F.col("item_idx").cast("string"), F.lit(".png"))
+    summary = manifest(rows).crossJoin(tiles.agg(*[F.count_if(F.col("split") == k).alias(f"{k}_tiles") for k in ("train", "valid", "test")]))  # one row each
+    return TrainingSet(
+        tiles,
+        rows.select("split", "name", "kind", "item_idx", *[f"g{i}" for i in range(4)], "label"),
+        yolo_files(yolo_rows(objects, class_index(objects)), tiles),
+        numbered.join(F.broadcast(sizes), "tile_id").select("split", "id", F.concat("name", F.lit(".png")).alias("file_name"), F.col("tw").cast("int").alias("width"), F.col("th").cast("int").alias("height")),
+        coco.select("split", "id", F.col("image").alias("image_id"), F.col("idx").alias("category_id"), F.array(*"xywh").alias("bbox"), "area"),
+        categories,
+        ocr_crops(texts).select("split", crop.alias("crop"), F.col("label").alias("text"), F.col("name").alias("tile"), "x0", "y0", "x1", "y1"),
+        summary,
+    )
+
+
+def write(built: TrainingSet, out: str) -> None:
+    """All tables below out, as JSON lines in one folder for each split (split=train and so on), so that a split is read
+    alone by its folder. Class lists and the description for YOLO trainers are small files of their own."""
+    for name in ("tiles", "annotations", "yolo", "coco_images", "coco_annotations", "ocr"):
+        getattr(built, name).write.mode("overwrite").partitionBy("split").json(f"{out}/{name}")
+    built.coco_categories.coalesce(1).write.mode("overwrite").json(f"{out}/coco_categories")
+    built.manifest.coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
+    classes = built.manifest.select("object_classes")
+    classes.select(F.to_json("object_classes").alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/yolo_classes")
+    lines = F.array_join(F.transform("object_classes", lambda c, i: F.concat(F.lit("  "), i.cast("string"), F.lit(": "), c)), "\n")
+    head = "train: images/train\nval: images/valid\ntest: images/test\nnames:\n"
+    classes.select(F.concat(F.lit(head), lines).alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/yolo_data")
+
+
+def read_annotations(spark: SparkSession, out: str, split: str | None = None) -> DataFrame:
+    """The annotations of one split, or of all, of a training set on disk, by tile and item."""
+    rows = spark.read.json(f"{out}/annotations")
+    return (rows if split is None else rows.where(F.col("split") == split)).orderBy("split", "name", "kind", "item_idx")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +76,10 @@ def recent(profiles: DataFrame, limit: int) -> DataFrame:
     return profiles.orderBy(F.desc("created_at")).limit(limit).where("n_tiles > 0")
 
 
-def rolling(profiles: DataFrame, s: Settings, over: list[str], order: str = "created_at", part: str | None = None) -> DataFrame:
-    """Backtest of a rolling baseline: for each profile the means of up to rolling_window profiles before it (itself excluded)."""
-    w = (Window.partitionBy(part) if part else Window.partitionBy()).orderBy(order).rowsBetween(-s.rolling_window, -1)
+def rolling(profiles: DataFrame, s: Settings, over: list[str], part: str, order: str = "created_at") -> DataFrame:
+    """Backtest of a rolling baseline: for each profile the means of up to rolling_window profiles before it (itself
+    excluded) within its part, which keeps the profiles of one task few."""
+    w = Window.partitionBy(part).orderBy(order).rowsBetween(-s.rolling_window, -1)
     return profiles.withColumns({f"base_{c}": F.avg(c).over(w) for c in over})
 
 
@@ -90,14 +89,14 @@ def latest_baseline(baselines: DataFrame) -> DataFrame:
 
 
 def any_drift(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("job_id").agg(F.bool_or("drift").alias("drift"))
-
+    """(job_id, drift): whether any page of a job drifted; a page without a baseline has not."""
+    return pages.groupBy("job_id").agg(F.bool_or(F.coalesce(F.col("drift"), F.lit(False))).alias("drift"))
 
-def class_psi(shares: DataFrame, expected: str, actual: str, by: tuple) -> DataFrame:
-    """psi from rows (by, class, expected, actual) instead of maps."""
-    e, a = (F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(EPS)) for c in (expected, actual))
-    return shares.groupBy(*by).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 
+def baseline_of(profiles: DataFrame, name: str = "default") -> DataFrame:
+    """The row (name, profile) that is published as a baseline: the profile of the valid split, else of everything.
 
-def flags_any(columns: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, columns)
+    profiles: (split, profile struct), with one row for each split and one with split null for all of them."""
+    rank = F.when(F.col("split") == "valid", 0).when(F.col("split").isNull(), 1).otherwise(2)
+    tiles = F.coalesce(F.col("profile.n_tiles"), F.lit(0)) > 0
+    return profiles.where(tiles & (rank < 2)).agg(F.min_by("profile", rank).alias("profile")).select(F.lit(name).alias("name"), "profile").where("profile IS NOT NULL")

@@ -28,6 +28,20 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
 
 
+def patch(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """table with the columns of rows set where keys match; a null leaves what was there. Keys that are new are added."""
+    given = [c for c in rows.columns if c not in keys]
+    new = rows.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in given])
+    out = table.join(new, keys, "full")
+    values = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in given else F.col(c) for c in table.columns if c not in keys]
+    return out.select(*keys, *values, *[F.col(f"_new_{c}").alias(c) for c in given if c not in table.columns])
+
+
+def find(table: DataFrame, key: str, value) -> DataFrame:
+    """The row of one key; the filter reaches the files."""
+    return table.where(F.col(key) == value)
+
+
 def upload_status(name: Column, size: Column, max_mb: int) -> Column:
     """HTTP status of an upload: 415 unknown ending, 400 empty, 413 too large, 202 taken."""
     return F.when(~extension(name).isin(*SUPPORTED), 415).when(size == 0, 400).when(size > max_mb * 1024 * 1024, 413).otherwise(202)
@@ -47,8 +61,10 @@ def valid_feedback(feedback: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def request_summary(logs: DataFrame) -> DataFrame:
-    """(path, status_code, n, mean_ms, slowest_ms) without health checks; paths are cut at 512 characters."""
-    rows = logs.where(~F.col("path").isin("/healthz", "/readyz")).withColumn("path", F.substring("path", 1, 512))
+    """(path, status_code, n, mean_ms, slowest_ms) without health checks; paths are cut at 512 characters and latencies
+    kept to hundredths, as the log holds them."""
+    rows = logs.where(~F.col("path").isin("/healthz", "/readyz"))
+    rows = rows.withColumns({"path": F.substring("path", 1, 512), "latency_ms": F.round("latency_ms", 2)})
     return rows.groupBy("path", "status_code").agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("slowest_ms"))
 
 

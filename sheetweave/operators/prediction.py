@@ -2,42 +2,82 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import logging
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from importlib import resources
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetweave.operators import merging
+from sheetweave import workers
+from sheetweave.functions.text import ascii_label
+from sheetweave.operators import merging, predictors
+from sheetweave.scratch import kept
 from sheetweave.settings import Settings
 
 DETECTION = "path string, page int, tile_id string, kind string, item_idx int, g0 double, g1 double, g2 double, g3 double, label string, confidence double"
-_BUILDERS: dict[str, Callable[[], dict]] = {}
-_BUILT: dict[str, dict] = {}
+log = logging.getLogger(__name__)
 
 
-def register(name: str, build: Callable[[], dict]) -> None:
-    """A suite: build() gives {kind: predictor}; a predictor maps (image, least confidence) to (geometry, label, confidence)s."""
-    _BUILDERS[name] = build
+@dataclass(frozen=True)
+class Suite:
+    """A named set of predictors. build() gives {kind: predictor}; a predictor maps (image, least confidence) to
+    (geometry, label, confidence)s and may have a version. A name and version stand for one suite on every worker."""
 
+    name: str
+    version: str
+    build: Callable[[], dict]
 
-def infer(tiles: DataFrame, build: Callable[[], dict], s: Settings) -> DataFrame:
-    """Detections of all tiles; each worker process builds the suite once."""
+
+def choose(kind: str, backend: str, known: dict[str, Callable], fallback: str):
+    """The predictor of a backend. One that is named must build; "auto" takes the first that does and else the fallback."""
+    if backend != "auto":
+        if backend not in known:
+            raise ValueError(f"no {kind} backend {backend!r}; known: {', '.join(sorted(known))}")
+        return known[backend]()
+    for name, make in known.items():
+        if name != fallback:
+            try:
+                return make()
+            except Exception as x:
+                log.warning("%s backend %s does not build (%s: %s)", kind, name, type(x).__name__, x)
+    return known[fallback]()
+
+
+def default_suite(s: Settings, detectors: dict | None = None, lines: dict | None = None, readers: dict | None = None) -> Suite:
+    """The suite of the settings' backends. Trained models are handed in as {name: build}; ink alone is the fallback."""
+    choices = {
+        "object": (s.detector_backend, {**(detectors or {}), "shapes": predictors.ShapeDetector}, "shapes"),
+        "arrow": (s.line_backend, {**(lines or {}), "strokes": predictors.StrokeDetector}, "strokes"),
+        "ocr": (s.ocr_backend, {**(readers or {}), "none": predictors.NoReader}, "none"),
+    }
+    version = ",".join(f"{kind}={backend}:{'+'.join(sorted(known))}" for kind, (backend, known, _) in choices.items())
+    return Suite("default", version, lambda: {kind: choose(kind, *c) for kind, c in choices.items()})
+
+
+def versions(built: dict) -> dict[str, str]:
+    return {kind: getattr(p, "version", "unknown") for kind, p in built.items()}
+
+
+def infer(tiles: DataFrame, suite: Suite, s: Settings) -> DataFrame:
+    """Detections of all tiles (path, page, tile_id, tw, th, bgr). A worker process builds a suite once for all its tasks."""
     least = {"object": s.detector_conf, "ocr": s.ocr_conf, "arrow": s.line_conf}
-    name = getattr(build, "__qualname__", repr(build))
+    name, version, build = suite.name, suite.version, suite.build
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _BUILT:
-            _BUILT[name] = build()
-        suite = _BUILT[name]
+        built = workers.once((name, version), build)  # by reference to the module, so that the worker's own memory is meant
         for b in batches:
             rows = []
             for r in b.itertuples():
                 image = np.frombuffer(r.bgr, np.uint8).reshape(r.th, r.tw, 3)
-                for kind, predict in suite.items():
+                for kind, predict in built.items():
                     rows += [(r.path, r.page, r.tile_id, kind, i, *map(float, g), label, c) for i, (g, label, c) in enumerate(predict(image, least[kind]))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTION.split(", ")])
 
@@ -60,33 +100,100 @@ def parse_decision(reply: str, kinds: dict[str, str]) -> tuple[list[tuple[list[s
     return merges, relabels
 
 
-PROMPT = """You are given what two overlapping tiles of one technical drawing show near their seam, as JSON: the seam, the items of
-tile A, the items of tile B, and merges proposed by geometry. Items of one kind that show the same thing belong together.
-Answer with JSON only: {"merges": [{"ids": [..], "label": null or text}], "relabels": [{"id": .., "label": ..}]}."""
+def prompt(version: str = "v1") -> str:
+    """The instructions of a version; they are files, so that a result can name what it was asked."""
+    return (resources.files("sheetweave") / "prompts" / f"seam_{version}.txt").read_text(encoding="utf-8")
+
+
+def prompt_log(spark: SparkSession) -> DataFrame:
+    """(version, sha256, text) of every prompt at hand, to be kept with the models' records."""
+    rows = []
+    for f in sorted((resources.files("sheetweave") / "prompts").iterdir(), key=lambda f: f.name):
+        text = f.read_text(encoding="utf-8")
+        rows.append((f.name.removeprefix("seam_").removesuffix(".txt"), hashlib.sha256(text.encode()).hexdigest(), text))
+    return spark.createDataFrame(rows, "version string, sha256 string, text string")
+
+
+@dataclass(frozen=True)
+class ChatModel:
+    """Asks a chat-completions service, without sampling. Anything but an answer in time raises."""
+
+    url: str
+    model: str
+    key: str = ""
+    timeout: float = 60.0
+
+    def __call__(self, instructions: str, payload: str) -> str:
+        messages = [{"role": "system", "content": instructions}, {"role": "user", "content": payload}]
+        body = json.dumps({"model": self.model, "temperature": 0, "messages": messages}).encode()
+        headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.key}"} if self.key else {})}
+        with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout) as r:
+            return json.loads(r.read())["choices"][0]["message"]["content"]
+
+
+def merge_pages(detections: DataFrame, s: Settings, by: tuple = merging.BY, ask: Callable[[str, str], str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merged rows, report) by the backend of the settings: geometry alone, or a language model that sees each seam.
+
+    report: (by, pairs, merged_groups, llm_calls, llm_failures). Without a model's address its backend is an error; a call
+    that fails leaves geometry's proposal for its pair."""
+    if s.merge_backend not in ("heuristic", "llm"):
+        raise ValueError(f"no merge backend {s.merge_backend!r}")
+    kept_rows = kept(detections)
+    near = merging.seam_candidates(merging.candidates(kept_rows, s), s, by)
+    none = F.lit(0).cast("long")
+    if s.merge_backend == "heuristic":
+        merged = kept(merging.merge(kept_rows, s, by))
+        return merged, merging.report(merged, near, by).withColumns({"llm_calls": none, "llm_failures": none})
+    if ask is None and not s.llm_url:
+        raise ValueError("the llm merge backend needs SHEETWEAVE_LLM_URL")
+    near = kept(near)
+    decided = kept(decide_pairs(near, merging.match_edges(near, s, by), ask or ChatModel(s.llm_url, s.llm_model, s.llm_key, s.llm_timeout), by, s.prompt_version))
+    real = decided.where("src IS NOT NULL")
+    merged = kept(merging.merge(kept_rows, s, by, decisions=real.where("kind <> 'call'"), labels=merge_labels(real.where("kind <> 'call'"), by)))
+    calls = decided.where("kind = 'call'").groupBy(*by).agg(F.count("*").alias("llm_calls"), F.count_if("failed").alias("llm_failures"))
+    report = merging.report(merged, near, by).join(calls, [*by], "left")
+    return merged, report.withColumns({c: F.coalesce(F.col(c), none) for c in ("llm_calls", "llm_failures")})
+
+
+def decide_pairs(near: DataFrame, hints: DataFrame, ask: Callable[[str, str], str], by: tuple = merging.BY, version: str = "v1") -> DataFrame:
+    """(by, pair_ord, kind, src, dst, label, failed): each page's seams put to ask(instructions, payload), in pair order, as
+    a relabel changes what later seams are told. A call or reply that fails leaves the hints of its pair. Each call is a row
+    of its own too, of kind 'call'."""
+    instructions = prompt(version)
+
+    def shown(rows: pd.DataFrame, names: dict[str, str]) -> list[dict]:
+        """Geometry to a tenth of a pixel, confidence to three digits and only where there is one."""
+        out = []
+        for r in rows.itertuples():
+            item = {"id": r.uid, "kind": r.kind, "geometry": [round(v, 1) for v in (r.g0, r.g1, r.g2, r.g3)], "label": names[r.uid]}
+            out.append(item if pd.isna(r.confidence) else {**item, "confidence": round(r.confidence, 3)})
+        return out
 
-
-def decide_pairs(near: DataFrame, hints: DataFrame, ask: Callable[[str, str], str], by: tuple = merging.BY) -> DataFrame:
-    """(by, pair_ord, kind, src, dst, label, failed): each page's seams put to ask(prompt, payload), in pair order, as a
-    relabel changes what later seams are told. A call or reply that fails leaves the hints of its pair."""
     def page(key, items: pd.DataFrame, proposed: pd.DataFrame) -> pd.DataFrame:
         out, names = [], dict(zip(items["uid"], items["label"]))
         for pair, own in items.groupby("pair_ord", sort=True):
             sides = [own[own["side"] == x] for x in "ab"]
             if not len(sides[0]) or not len(sides[1]):
                 continue
-            hint = proposed[proposed["pair_ord"] == pair]
-            show = lambda rows: [{"id": r.uid, "kind": r.kind, "geometry": [round(v, 1) for v in (r.g0, r.g1, r.g2, r.g3)], "label": names[r.uid], **({} if pd.isna(r.confidence) else {"confidence": round(r.confidence, 3)})} for r in rows.itertuples()]
+            hint, one = proposed[proposed["pair_ord"] == pair], own.iloc[0]
             kinds = dict(zip(own["uid"], own["kind"]))
+            payload = {
+                "seam": [round(float(one[f"o{i}"]), 1) for i in range(4)], "orientation": one["orientation"],
+                "tile_a": shown(sides[0], names), "tile_b": shown(sides[1], names), "hints": hint[["src", "dst"]].values.tolist(),
+            }
             try:
-                payload = json.dumps({"orientation": own["orientation"].iloc[0], "tile_a": show(sides[0]), "tile_b": show(sides[1]), "hints": hint[["src", "dst"]].values.tolist()}, ensure_ascii=False)
-                merges, relabels = parse_decision(ask(PROMPT, payload), kinds)
+                merges, relabels = parse_decision(ask(instructions, json.dumps(payload, ensure_ascii=False)), kinds)
+                failed = False
                 for ids, label in merges:
                     out += [(*key, pair, kinds[ids[0]], ids[0], other, label, False) for other in ids[1:]]
                 for uid, label in relabels.items():
                     names[uid] = label
                     out.append((*key, pair, kinds[uid], uid, uid, label, False))
-            except Exception:  # any failure of the model falls back to geometry for this pair
-                out += [(*key, pair, r.kind, r.src, r.dst, None, True) for r in hint.itertuples()] or [(*key, pair, "object", None, None, None, True)]
+            except Exception as x:  # whatever fails at the model leaves geometry's proposal
+                log.warning("no decision for pair %s: %s: %s", pair, type(x).__name__, x)
+                failed = True
+                out += [(*key, pair, r.kind, r.src, r.dst, None, True) for r in hint.itertuples()]
+            out.append((*key, pair, "call", None, None, None, failed))
         return pd.DataFrame(out, columns=[*by, "pair_ord", "kind", "src", "dst", "label", "failed"])
 
     schema = ", ".join(f"{c} {near.schema[c].dataType.simpleString()}" for c in by) + ", pair_ord int, kind string, src string, dst string, label string, failed boolean"
@@ -104,8 +211,6 @@ def merge_labels(decisions: DataFrame, by: tuple = merging.BY) -> DataFrame:
 
 def draw_commands(merged: DataFrame) -> DataFrame:
     """What an overlay draws: boxes for objects and texts, lines for arrows, each with an ASCII caption."""
-    from sheetweave.functions.text import ascii_label
-
     shape = F.when(F.col("kind") == "arrow", "line").otherwise("box")
     caption = ascii_label(F.when(F.col("kind") == "ocr", F.substring("label", 1, 40)).otherwise(F.col("label")))
     return merged.withColumn("shape", shape).withColumn("caption", caption)

@@ -128,6 +128,89 @@ FROM f JOIN v USING (page, root) JOIN lo ON f.page = lo.page AND f.root = lo.roo
 TEXT_GROUPS = f"""WITH RECURSIVE {members('ocr')}
 SELECT page, root, min(g0) AS g0, min(g1) AS g1, max(g0+g2)-min(g0) AS g2, max(g1+g3)-min(g1) AS g3, max(confidence) AS confidence, count(*) AS members FROM m GROUP BY page, root"""
 
+def _md5(text: str) -> str:
+    """The md5 of a text, as a 128-bit number, modulo 1000."""
+    half = lambda at: f"('0x' || substr(md5({text}), {at}, 16))::UBIGINT % 1000"
+    return f"CAST((({half(1)}) * 616 + {half(17)}) % 1000 AS BIGINT)"
+
+
+#: Fragments in reading order, folded into one text.
+FOLD = """
+fm AS (SELECT page, root, bool_and(g3 > 2*g2) AS upright, min(g0) AS b0, min(g1) AS b1, max(g0+g2)-min(g0) AS b2, max(g1+g3)-min(g1) AS b3, min(ord) AS group_ord, max(confidence) AS confidence,
+         array_to_string(list_sort(list_distinct(list(tile_id))), ',') AS source_tiles, count(*) AS members,
+         list({'g0': g0, 'g1': g1, 'g2': g2, 'g3': g3, 'label': label} ORDER BY g1, g0, ord) AS down, list({'g0': g0, 'g1': g1, 'g2': g2, 'g3': g3, 'label': label} ORDER BY g0, g1, ord) AS across
+       FROM m GROUP BY page, root),
+ft AS (SELECT *, list_reduce(CASE WHEN upright THEN down ELSE across END, lambda a, x: {
+         'g0': least(a.g0, x.g0), 'g1': least(a.g1, x.g1), 'g2': greatest(a.g0+a.g2, x.g0+x.g2)-least(a.g0, x.g0), 'g3': greatest(a.g1+a.g3, x.g1+x.g3)-least(a.g1, x.g1),
+         'label': CASE WHEN a.label = '' THEN x.label WHEN contains(a.label, x.label) THEN a.label WHEN contains(x.label, a.label) THEN x.label
+           WHEN len(list_filter(range(2, least(length(a.label), length(x.label))), lambda k: right(a.label, k) = left(x.label, k))) > 0
+             THEN a.label || substr(x.label, list_max(list_filter(range(2, least(length(a.label), length(x.label))), lambda k: right(a.label, k) = left(x.label, k))) + 1)
+           WHEN least(a.g0+a.g2, x.g0+x.g2) > greatest(a.g0, x.g0) AND least(a.g1+a.g3, x.g1+x.g3) > greatest(a.g1, x.g1)
+             AND (least(a.g0+a.g2, x.g0+x.g2)-greatest(a.g0, x.g0))*(least(a.g1+a.g3, x.g1+x.g3)-greatest(a.g1, x.g1)) >= 0.6::DOUBLE*least(a.g2*a.g3, x.g2*x.g3)
+             THEN CASE WHEN length(x.label) > length(a.label) THEN x.label ELSE a.label END
+           ELSE a.label || ' ' || x.label END}).label AS label FROM fm)"""
+MERGE_TEXT = f"WITH RECURSIVE {members('ocr')}, {FOLD} SELECT page, root, b0 AS g0, b1 AS g1, b2 AS g2, b3 AS g3, label, confidence, source_tiles, members FROM ft"
+
+
+def _placed(kind: str, body: str) -> str:
+    rounded = ", ".join(f"round(g{i}, 6) AS g{i}" for i in range(4))
+    return f"(SELECT page, '{kind}' AS kind, row_number() OVER (PARTITION BY page ORDER BY g1, g0, group_ord) AS place, {rounded}, label, confidence, members FROM ({body}))"
+
+
+MERGED_PAGES = " UNION ALL ".join((
+    _placed("object", MERGE_OBJECTS.replace("SELECT f.page, f.root,", "SELECT f.page, f.root, f.group_ord,")),
+    _placed("arrow", MERGE_ARROWS.replace("SELECT f.page, f.root,", "SELECT f.page, f.root, f.group_ord,")),
+    _placed("ocr", MERGE_TEXT.replace("SELECT page, root, b0", "SELECT page, root, group_ord, b0")),
+))
+
+#: A drawing size for each page, and how it fits the canvas.
+FIT = """
+pg AS (SELECT DISTINCT event_id // 25 AS page FROM events),
+f0 AS (SELECT page, 900 + (page * 37) % 5000 AS orig_w, 700 + (page * 91) % 4000 AS orig_h FROM pg),
+f1 AS (SELECT *, orig_h > orig_w AS rotated, greatest(orig_w, orig_h) AS w, least(orig_w, orig_h) AS h FROM f0),
+f2 AS (SELECT *, least(4096.0::DOUBLE/w, 2896.0::DOUBLE/h) AS scale FROM f1),
+fit AS (SELECT page, orig_w, orig_h, rotated, scale, floor((4096 - greatest(1, CAST(round_even(w*scale, 0) AS INTEGER)))/2.0) AS pad_x, floor((2896 - greatest(1, CAST(round_even(h*scale, 0) AS INTEGER)))/2.0) AS pad_y FROM f2)"""
+
+
+def _back(x: str, y: str) -> tuple[str, str]:
+    px, py = f"(({x}-pad_x)/scale)", f"(({y}-pad_y)/scale)"
+    return f"(CASE WHEN rotated THEN {py} ELSE {px} END)", f"(CASE WHEN rotated THEN orig_h-1-{px} ELSE {py} END)"
+
+
+def _original() -> str:
+    a, b = _back("x", "y"), _back("x+w", "y+h")
+    c, d = _back("x1", "y1"), _back("x2", "y2")
+    box = f"round(least({a[0]},{b[0]}), 6) AS g0, round(least({a[1]},{b[1]}), 6) AS g1, round(abs({a[0]}-{b[0]}), 6) AS g2, round(abs({a[1]}-{b[1]}), 6) AS g3"
+    line = f"round({c[0]}, 6) AS g0, round({c[1]}, 6) AS g1, round({d[0]}, 6) AS g2, round({d[1]}, 6) AS g3"
+    rows = lambda kind, g: f"(WITH {truth(kind)}, {FIT} SELECT page, id, '{kind}' AS kind, {g} FROM tru JOIN fit USING (page))"
+    return f"{rows('object', box)} UNION ALL {rows('arrow', line)}"
+
+
+def _page_result() -> str:
+    kept = " UNION ALL ".join(f"(WITH {sliced(k)} SELECT page, tile_id, '{k}' AS kind FROM sl WHERE confidence >= {LEAST[k]}::DOUBLE)" for k in RANK)
+    groups = " UNION ALL ".join(f"(WITH RECURSIVE {members(k)} SELECT page, '{k}' AS kind, root FROM m GROUP BY ALL)" for k in RANK)
+    sides = " UNION ALL ".join(f"(WITH {near(k)} SELECT page, pair_ord, side FROM n GROUP BY ALL)" for k in RANK)
+    return f"""WITH pg AS (SELECT DISTINCT event_id // 25 AS page FROM events), d AS ({kept}), g AS ({groups}), sd AS ({sides}),
+      t AS (SELECT page, count(DISTINCT tile_id) AS tiles, count(*) AS items FROM d GROUP BY page),
+      c AS (SELECT page, count(*) FILTER (kind = 'object') AS objects, count(*) FILTER (kind = 'ocr') AS texts, count(*) FILTER (kind = 'arrow') AS arrows FROM g GROUP BY page),
+      pr AS (SELECT page, count(*) AS pairs FROM (SELECT page, pair_ord FROM sd GROUP BY ALL HAVING count(DISTINCT side) = 2) GROUP BY page)
+      SELECT page, tiles, items, objects, texts, arrows, CASE WHEN objects > 0 THEN 4::BIGINT END AS corners, coalesce(pairs, 0) AS pairs, 0::BIGINT AS llm_calls
+      FROM pg LEFT JOIN t USING (page) LEFT JOIN c USING (page) LEFT JOIN pr USING (page)"""
+
+
+def _datasets() -> str:
+    found = " UNION ALL ".join(f"(WITH {sliced(k)} SELECT 'P' || page AS image_id, tile_id, '{k}' AS kind FROM sl)" for k in RANK)
+    return f"""WITH {GRID}, d AS ({found}),
+      im AS (SELECT DISTINCT 'P' || ((event_id // 25) * 2) AS image_id FROM events UNION SELECT image_id FROM d),
+      sp AS (SELECT image_id, {_md5("image_id")} AS r FROM im),
+      s AS (SELECT image_id, CASE WHEN r < 800 THEN 'train' WHEN r < 900 THEN 'valid' ELSE 'test' END AS split FROM sp),
+      k AS (SELECT image_id, tile_id, count(*) FILTER (kind = 'object') AS n_lines, count(*) FILTER (kind = 'arrow') AS n_coco, count(*) FILTER (kind = 'ocr') AS n_crops FROM d GROUP BY ALL),
+      t AS (SELECT i.image_id, grid.tile_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_coco, 0) AS n_coco, coalesce(n_crops, 0) AS n_crops
+            FROM (SELECT DISTINCT image_id FROM d) i CROSS JOIN grid LEFT JOIN k ON k.image_id = i.image_id AND k.tile_id = grid.tile_id),
+      u AS (SELECT * FROM t WHERE n_lines + n_coco + n_crops > 0 OR {_md5("image_id || '/' || tile_id")} < 200)
+      SELECT split, image_id || '_' || tile_id AS name, n_lines, n_coco, n_crops, 1024 AS width, row_number() OVER (PARTITION BY split ORDER BY image_id, tile_id) - 1 AS coco_id FROM u JOIN s USING (image_id)"""
+
+
 #: One profile per user and day: classes are event types, tiles are hours with events.
 PROFILES = """
 d AS (SELECT user_id % 10 AS job, CAST(ts AS DATE) AS day, event_type AS label, CAST((event_id*37)%100 AS DOUBLE)/100 AS confidence, hour(ts) AS hr FROM events),
@@ -136,12 +219,6 @@ p AS (SELECT job, day, count(DISTINCT hr) AS n_tiles, count(*) AS n, avg(confide
 
 
 
-def _md5(text: str) -> str:
-    """The md5 of a text, as a 128-bit number, modulo 1000."""
-    half = lambda at: f"('0x' || substr(md5({text}), {at}, 16))::UBIGINT % 1000"
-    return f"CAST((({half(1)}) * 616 + {half(17)}) % 1000 AS BIGINT)"
-
-
 ORACLES: dict[str, str] = {
     "tile_starts": "SELECT axis, list_distinct(list_append(range(0, greatest(n - 1024, 0), 896), greatest(n - 1024, 0))).list_sort().array_to_string(',') AS starts FROM (VALUES ('a', 4096), ('b', 2896), ('c', 512), ('d', 1024), ('e', 1025)) t(axis, n)",
     "tile_grid": f"WITH {GRID} SELECT CAST(idx AS INTEGER) AS idx, tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, 1024 AS tw, 1024 AS th FROM grid",
@@ -177,9 +254,12 @@ ORACLES: dict[str, str] = {
       b AS (SELECT job, label, sum(v) AS v FROM sh GROUP BY ALL), c AS (SELECT job, count(*) AS c, avg(n/n_tiles) AS r, avg(mean_confidence) AS m FROM p GROUP BY job),
       keys AS (SELECT p.job, p.day, l.label FROM p, (SELECT DISTINCT label FROM k) l),
       z AS (SELECT keys.job, keys.day, sum((greatest(coalesce(sh.v,0),1e-4)-greatest(coalesce(b.v/c.c,0),1e-4))*ln(greatest(coalesce(sh.v,0),1e-4)/greatest(coalesce(b.v/c.c,0),1e-4))) AS psi
-            FROM keys JOIN c ON c.job = keys.job LEFT JOIN b ON b.job = keys.job AND b.label = keys.label LEFT JOIN sh ON sh.job = keys.job AND sh.day = keys.day AND sh.label = keys.label GROUP BY ALL)
-      SELECT p.job, p.day, round(psi, 7) AS object_class_psi, round(abs(p.n/p.n_tiles-c.r)/greatest((p.n/p.n_tiles+c.r)/2, 1e-4), 7) AS objects_per_tile_shift, round(greatest(0, c.m-p.mean_confidence), 7) AS confidence_drop,
-             psi > 0.25 OR abs(p.n/p.n_tiles-c.r)/greatest((p.n/p.n_tiles+c.r)/2, 1e-4) > 1 OR c.m-p.mean_confidence > 0.15::DOUBLE AS drift FROM p JOIN z USING (job, day) JOIN c USING (job)""",
+            FROM keys JOIN c ON c.job = keys.job LEFT JOIN b ON b.job = keys.job AND b.label = keys.label LEFT JOIN sh ON sh.job = keys.job AND sh.day = keys.day AND sh.label = keys.label GROUP BY ALL),
+      y AS (SELECT p.job, p.day, psi, abs(p.n/p.n_tiles-c.r)/greatest((p.n/p.n_tiles+c.r)/2, 1e-4) AS shift, greatest(0, c.m-p.mean_confidence) AS lost, p.job % 4 <> 3 AS known FROM p JOIN z USING (job, day) JOIN c USING (job))
+      SELECT job, day, CASE WHEN known THEN round(psi, 7) END AS object_class_psi, CASE WHEN known THEN 0.0::DOUBLE END AS arrow_class_psi, CASE WHEN known THEN round(shift, 7) END AS objects_per_tile_shift,
+             CASE WHEN known THEN 0.0::DOUBLE END AS arrows_per_tile_shift, CASE WHEN known THEN 0.0::DOUBLE END AS ocr_per_tile_shift, CASE WHEN known THEN round(lost, 7) END AS confidence_drop,
+             known AND (psi > 0.25 OR shift > 1 OR lost > 0.15::DOUBLE) AS drift, CASE WHEN known THEN 'ok' ELSE 'no_baseline' END AS status,
+             CASE WHEN known THEN concat_ws(',', CASE WHEN psi > 0.25 THEN 'object_class_psi' END, CASE WHEN shift > 1 THEN 'objects_per_tile_shift' END, CASE WHEN lost > 0.15::DOUBLE THEN 'confidence_drop' END) ELSE '' END AS flags FROM y""",
     "rolling_baseline": f"WITH {PROFILES} SELECT job, day, round(avg(n/n_tiles) OVER (PARTITION BY job ORDER BY day ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 9) AS base FROM p",
     "recent_profiles": f"WITH {PROFILES} SELECT job, day, n_tiles FROM (SELECT * FROM p ORDER BY day DESC, job LIMIT 50) WHERE n_tiles > 0",
     "latest_baseline": "SELECT event_type AS name, max(ts) AS created_at, arg_max(value, ts) AS profile FROM (SELECT event_type, ts, max(value) AS value FROM events GROUP BY ALL) GROUP BY event_type",
@@ -192,8 +272,10 @@ ORACLES: dict[str, str] = {
       z AS (SELECT page, tile_id, item_idx, i.idx, greatest(0, least(g0,g2)-4) AS x, greatest(0, least(g1,g3)-4) AS y, greatest(g0,g2)-least(g0,g2)+8 AS w, greatest(g1,g3)-least(g1,g3)+8 AS h FROM sl JOIN i USING (label))
       SELECT CAST(row_number() OVER (ORDER BY page, tile_id, item_idx) - 1 AS BIGINT) AS id, page, tile_id, item_idx, CAST(idx AS INTEGER) AS category_id, round(x, 6) AS x, round(y, 6) AS y, round(least(w, 1024-x), 6) AS w, round(least(h, 1024-y), 6) AS h FROM z""",
     "ocr_crops": f"WITH {sliced('ocr')} SELECT page, tile_id, item_idx, CAST(greatest(0, g0-3) AS BIGINT) AS x0, CAST(greatest(0, g1-3) AS BIGINT) AS y0, CAST(least(1024, g0+g2+3) AS BIGINT) AS x1, CAST(least(1024, g1+g3+3) AS BIGINT) AS y1 FROM sl",
-    "manifest": f"""WITH o AS (WITH {sliced('object')} SELECT label FROM sl), a AS (WITH {sliced('arrow')} SELECT label FROM sl), t AS (WITH {sliced('ocr')} SELECT label FROM sl)
-      SELECT (SELECT array_to_string(list_sort(list(DISTINCT label)), ',') FROM o) AS object_classes, (SELECT array_to_string(list_sort(list(DISTINCT label)), ',') FROM a) AS arrow_classes, ((SELECT count(*) FROM o)+(SELECT count(*) FROM a)+(SELECT count(*) FROM t))::BIGINT AS items""",
+    "manifest": f"""WITH o AS (WITH {sliced('object')} SELECT label, count(*) AS n FROM sl GROUP BY label), a AS (WITH {sliced('arrow')} SELECT label, count(*) AS n FROM sl GROUP BY label), t AS (WITH {sliced('ocr')} SELECT count(*) AS n FROM sl)
+      SELECT (SELECT string_agg(label, ',' ORDER BY label) FROM o) AS object_classes, (SELECT string_agg(label, ',' ORDER BY label) FROM a) AS arrow_classes,
+             (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM o) AS object_class_counts, (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM a) AS arrow_class_counts,
+             (SELECT sum(n) FROM o)::BIGINT AS objects, (SELECT n FROM t)::BIGINT AS texts, (SELECT sum(n) FROM a)::BIGINT AS arrows, ((SELECT sum(n) FROM o)+(SELECT sum(n) FROM a)+(SELECT n FROM t))::BIGINT AS items""",
     "ocr_cer": "SELECT round(sum(levenshtein(truth, read)) / sum(greatest(1, length(truth))), 9) AS cer, round(avg((truth = read)::INTEGER), 9) AS exact, count(*) AS n FROM (SELECT p_name AS truth, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(p_type, 'A', 'E') END AS read FROM part)",
     "champion_promotion": "SELECT model, version, metric, coalesce(metric > max(metric) OVER w, max(metric) OVER w IS NULL) AS promoted FROM (SELECT c_nationkey AS model, c_custkey AS version, c_acctbal AS metric FROM customer) WINDOW w AS (PARTITION BY model ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "word_lines": """SELECT page, par, line, min(lft) AS x, min(top) AS y, max(lft+width)-min(lft) AS w, max(top+height)-min(top) AS h, array_to_string(list(txt ORDER BY lft, top, txt), ' ') AS text, round(avg(conf)/100, 9) AS confidence
@@ -205,7 +287,7 @@ ORACLES: dict[str, str] = {
     "job_state": """WITH e AS (SELECT event_id % 500 AS job_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' ELSE 'failed' END AS status, event_id % 4 AS rk FROM events)
       SELECT job_id, arg_max(status, ts::VARCHAR || rk) AS status, min(ts) AS created_at FROM e GROUP BY job_id""",
     "request_log_summary": "SELECT path, status_code, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) AS slowest_ms FROM (SELECT CASE event_id % 5 WHEN 0 THEN '/healthz' ELSE '/v1/' || event_type END AS path, CASE WHEN event_id % 17 = 0 THEN 500 ELSE 200 END AS status_code, value AS latency_ms FROM events) WHERE path NOT IN ('/healthz', '/readyz') GROUP BY path, status_code",
-    "feedback_valid": "SELECT id FROM (SELECT event_id AS id, event_id % 3000 AS job_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 8 END AS rating FROM events) f WHERE (rating IS NULL OR rating BETWEEN 1 AND 5) AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = f.job_id)",
+    "feedback_valid": "SELECT id FROM (SELECT event_id AS id, event_id % 3000 AS job_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 8 END AS rating FROM events) f WHERE (rating IS NULL OR rating BETWEEN 1 AND 5) AND (id % 11 = 0 OR 4990 + id % 20 <= 5000) AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = f.job_id)",
     "upload_validation": "SELECT page_id, CASE WHEN NOT regexp_matches(lower(name), '\\.(png|jpg|jpeg|bmp|tif|tiff|webp|pdf)$') THEN 415 WHEN size = 0 THEN 400 WHEN size > 52428800 THEN 413 ELSE 202 END AS code FROM (SELECT page_id, 'drawing_' || page_id || CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '.exe' ELSE '.tiff' END AS name, (page_id % 5) * 20000000 AS size FROM pages)",
     "result_gate": "SELECT l_orderkey AS job_id, CASE WHEN o_orderkey IS NULL THEN 404 WHEN o_orderstatus <> 'F' THEN 409 WHEN l_orderkey % 5 = 0 THEN 404 ELSE 200 END AS code FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey",
     "text_join": """WITH p AS (SELECT event_id AS id, 'M' || (event_id % 97) || ' ' || event_type AS a, substr(event_type, CAST(event_id % 4 AS INTEGER) + 1) || '-' || (event_id % 7) AS b FROM events),
@@ -218,8 +300,32 @@ ORACLES: dict[str, str] = {
       SELECT drawing, item, 'object' AS kind, x AS g0, y AS g1, w AS g2, h AS g3, 'Ctype_' || (c + 1) AS label FROM b
       UNION ALL SELECT drawing, item, 'ocr', x, y - 40, 110, 28, 'Ø' || rd FROM b
       UNION ALL SELECT drawing, item, 'arrow', x + w, y + h/2, x + w + 150, y + h/2 + (l - 1)*20, ['dimension_line', 'leader_line', 'section_arrow'][l + 1] FROM b""",
-    "empty_tiles": f"WITH {GRID}, t AS (SELECT CAST(p_partkey AS VARCHAR) AS image_id, tile_id FROM part, grid) SELECT image_id, tile_id FROM t WHERE {_md5("image_id || '/' || tile_id")} < 200",
+    "empty_tiles": f"WITH {GRID}, t AS (SELECT CAST(p_partkey AS VARCHAR) AS image_id, tile_id FROM part, grid), h AS (SELECT DISTINCT CAST(event_id % 900 + 1 AS VARCHAR) AS image_id, printf('Tile_%03d', event_id % 13 + 1) AS tile_id FROM events) SELECT image_id, tile_id FROM t WHERE EXISTS (SELECT 1 FROM h WHERE h.image_id = t.image_id AND h.tile_id = t.tile_id) OR {_md5("image_id || '/' || tile_id")} < 200",
     "resolve_models": "SELECT c_nationkey AS model, c_mktsegment AS alias, max(c_custkey) AS version FROM customer WHERE c_acctbal > 0 GROUP BY ALL",
     "last_metrics": "SELECT user_id AS run, CAST(regexp_extract(arg_max(props, event_id), '[0-9]+') AS DOUBLE) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY user_id",
     "state_upsert": "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 10 = 0 THEN 'archived' ELSE o_orderstatus END AS status FROM orders",
+    "merge_text": MERGE_TEXT,
+    "merged_pages": MERGED_PAGES,
+    "original_coords": _original(),
+    "canvas_coords": f"""WITH {FIT}, q AS (SELECT *, CAST(page % 89 AS DOUBLE) AS x, CAST(page % 53 AS DOUBLE) AS y FROM fit)
+      SELECT page, round((CASE WHEN rotated THEN orig_h-1-y ELSE x END)*scale+pad_x, 6) AS x, round((CASE WHEN rotated THEN x ELSE y END)*scale+pad_y, 6) AS y FROM q""",
+    "segment_codec_forms": """WITH e AS (SELECT event_id AS id, CAST(event_id % 900 AS DOUBLE) AS x, CAST(event_id % 700 AS DOUBLE) AS y, CAST(100 + event_id % 50 AS DOUBLE) AS n, event_id % 4 AS form FROM events)
+      SELECT id, x AS s0, CASE WHEN form = 3 THEN y + n ELSE y END AS s1, CASE WHEN form = 0 THEN x ELSE x + n END AS s2, CASE WHEN form IN (1, 3) THEN y ELSE y + n END AS s3 FROM e""",
+    "page_result": _page_result(),
+    "merged_view": f"WITH RECURSIVE pg AS (SELECT DISTINCT event_id // 25 AS page FROM events), {members('ocr')} SELECT page, coalesce(n, 0) AS texts, CASE WHEN n IS NOT NULL THEN n END AS listed FROM pg LEFT JOIN (SELECT page, count(DISTINCT root) AS n FROM m GROUP BY page) USING (page)",
+    "build_datasets": _datasets(),
+    "dataset_categories": f"WITH {sliced('arrow')} SELECT 0::BIGINT AS id, 'annotation-lines' AS name, 'none' AS supercategory UNION ALL SELECT row_number() OVER (ORDER BY label), label, 'annotation-lines' FROM (SELECT DISTINCT label FROM sl)",
+    "job_view": """WITH e AS (SELECT event_id % 500 AS job_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' ELSE 'failed' END AS status, event_id % 4 AS rk FROM events)
+      SELECT job_id, arg_max(status, ts::VARCHAR || rk) AS status, round((epoch_us(max(ts) FILTER (rk >= 2)) - epoch_us(min(ts) FILTER (rk = 1))) / 1e6, 3) AS seconds FROM e GROUP BY job_id""",
+    "job_drift": "SELECT user_id AS job_id, bool_or(coalesce(CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 5 = 0 END, false)) AS drift, count(*) AS pages FROM events GROUP BY user_id",
+    "readiness": "WITH c AS (SELECT user_id AS service, event_type AS name, min(value) > 1 AS ok FROM events GROUP BY ALL) SELECT service, bool_and(coalesce(ok, false)) AS ready, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT coalesce(ok, false)), '') AS failing FROM c GROUP BY service",
+    "readable_texts": "SELECT event_id AS id FROM events WHERE event_id % 6 IN (1, 3) AND CAST(event_id % 100 AS DOUBLE) / 100 >= 0.3::DOUBLE",
+    "clean_metrics": "SELECT event_id AS id, 'val loss_' AS name, value AS number FROM events UNION ALL SELECT event_id, 'n', CAST(event_id AS DOUBLE) FROM events",
+    "draw_commands": f"(WITH {truth('ocr')} SELECT id, 'ocr' AS kind, 'box' AS shape, left(label, 40) AS caption FROM tru) UNION ALL (WITH {truth('arrow')} SELECT id, 'arrow', 'line', label FROM tru)",
+    "request_rates": "SELECT CAST(ts AS DATE) AS day, event_type AS path, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY ALL",
+    "state_patch": """WITH r AS (SELECT o_orderkey + CASE WHEN o_orderkey % 10 = 2 THEN 100000000 ELSE 0 END AS job_id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'moved' END AS status, o_orderpriority AS reason FROM orders WHERE o_orderkey % 10 < 3)
+      SELECT coalesce(o_orderkey, r.job_id) AS job_id, coalesce(r.status, o_orderstatus) AS status, o_orderpriority AS note, reason FROM orders FULL JOIN r ON o_orderkey = r.job_id""",
+    "page_names": "WITH p AS (SELECT DISTINCT l_orderkey AS file, l_linenumber - 1 AS page FROM lineitem) SELECT file, page, 'F' || file || CASE WHEN count(*) OVER (PARTITION BY file) = 1 THEN '' ELSE '_P' || (page + 1) END AS image_id FROM p",
+    "stored_files": """WITH d AS (SELECT * FROM pages WHERE page_id % 4 <> 0) SELECT 'images/' || page_id || CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.tiff' ELSE '.jpg' END AS path, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM d
+      UNION ALL SELECT 'annotations/' || page_id || '.json', 2 FROM d""",
 }

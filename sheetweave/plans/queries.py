@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
 from sheetweave.functions import text as T
-from sheetweave.operators import datasets, drift, evaluation, jobs, merging, slicing, tiling
+from sheetweave.operators import datasets, drift, evaluation, jobs, merging, prediction, results, tiling
 from sheetweave.plans import fixtures
 from sheetweave.scratch import kept
 from sheetweave.settings import Settings
-from sheetweave.sources import synthetic
+from sheetweave.sources import store, synthetic
+from sheetweave.streaming import detections as detections_stream
 
 S = Settings()
 
@@ -122,7 +123,6 @@ def merge_arrows(spark, d):
 
 
 def merge_text(spark, d):
-    """Folding of fragments has no SQL form; text_groups checks its groups and boxes, tests its labels."""
     return _out(merging.fuse_texts(_members(spark, d, "ocr")))
 
 
@@ -133,7 +133,8 @@ def text_groups(spark, d):
 def merged_pages(spark, d):
     """All kinds of all pages, in page order, one row per item."""
     det = merging.apply_thresholds(fixtures.detections(spark, d, S), S)
-    return merging.in_order(merging.merge(det, S)).select("page", "kind", "place", "g0", "g1", "g2", "g3", "label", "confidence", "members")
+    g = [F.round(f"g{i}", 6).alias(f"g{i}") for i in range(4)]
+    return merging.in_order(merging.merge(det, S)).select("page", "kind", F.col("place").cast("long").alias("place"), *g, "label", "confidence", "members")
 
 
 def class_vote(spark, d):
@@ -170,13 +171,14 @@ def average_profile(spark, d):
 def drift_compare(spark, d):
     p = _profiles(spark, d)
     cols = [*drift.DISTS, *drift.RATES, "mean_confidence"]
-    base = drift.average(p, by=("job",)).select("job", F.struct(*cols).alias("baseline"))
+    base = drift.average(p, by=("job",)).where("job % 4 <> 3").select("job", F.struct(*cols).alias("baseline"))  # some jobs have none
     out = drift.compare(p.select("job", "day", F.struct(*cols).alias("current")).join(base, "job", "left"), S)
-    return out.select("job", "day", *[F.round(c, 7).alias(c) for c in ("object_class_psi", "objects_per_tile_shift", "confidence_drop")], "drift")
+    rounded = [F.round(c, 7).alias(c) for c in ("object_class_psi", "arrow_class_psi", *[f"{r}_shift" for r in drift.RATES], "confidence_drop")]
+    return out.select("job", "day", *rounded, "drift", "status", F.array_join("flags", ",").alias("flags"))
 
 
 def rolling_baseline(spark, d):
-    p = drift.rolling(_profiles(spark, d), S, ["objects_per_tile"], order="day", part="job")
+    p = drift.rolling(_profiles(spark, d), S, ["objects_per_tile"], part="job", order="day")
     return p.select("job", "day", F.round("base_objects_per_tile", 9).alias("base"))
 
 
@@ -221,7 +223,9 @@ def ocr_crops(spark, d):
 
 def manifest(spark, d):
     m = datasets.manifest(fixtures.detections(spark, d, S))
-    return m.select(F.array_join("object_classes", ",").alias("object_classes"), F.array_join("arrow_classes", ",").alias("arrow_classes"), "items")
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(c)
+    lists = [F.array_join(c, ",").alias(c) for c in ("object_classes", "arrow_classes")]
+    return m.select(*lists, text("object_class_counts"), text("arrow_class_counts"), "objects", "texts", "arrows", "items")
 
 
 def ocr_cer(spark, d):
@@ -269,7 +273,7 @@ def request_log_summary(spark, d):
 
 
 def feedback_valid(spark, d):
-    f = _read(spark, d, "events").selectExpr("event_id AS id", "event_id % 3000 AS job_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 8 END AS rating", "'' AS comment")
+    f = _read(spark, d, "events").selectExpr("event_id AS id", "event_id % 3000 AS job_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 8 END AS rating", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE repeat('x', CAST(4990 + event_id % 20 AS INT)) END AS comment")
     return jobs.valid_feedback(f, _read(spark, d, "orders").selectExpr("o_orderkey AS job_id")).select("id")
 
 
@@ -305,7 +309,9 @@ def synthetic_drawings(spark, d):
 
 def empty_tiles(spark, d):
     images = _read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("image_id"))
-    tiles = datasets.with_missing_tiles(spark.createDataFrame([], "image_id string, tile_id string, n_items int"), tiling.tile_grid(spark, S), images)
+    found = _read(spark, d, "events").selectExpr("CAST(event_id % 900 + 1 AS STRING) AS image_id", "format_string('Tile_%03d', CAST(event_id % 13 + 1 AS INT)) AS tile_id")
+    found = found.groupBy("image_id", "tile_id").agg(F.count("*").alias("n_items"))
+    tiles = datasets.with_missing_tiles(found, tiling.tile_grid(spark, S), images)
     return datasets.sample_empty(tiles).select("image_id", "tile_id")
 
 
@@ -319,12 +325,136 @@ def last_metrics(spark, d):
     return evaluation.last_metrics(log, "k")
 
 
+def _fit(spark, d) -> DataFrame:
+    """One drawing size for each page of the events."""
+    pages = _read(spark, d, "events").selectExpr(f"{fixtures.PAGE} AS page").distinct()
+    return tiling.canvas_fit(pages.selectExpr("page", "CAST(900 + (page * 37) % 5000 AS INT) AS orig_w", "CAST(700 + (page * 91) % 4000 AS INT) AS orig_h"), S)
+
+
+def original_coords(spark, d):
+    rows = fixtures.truth(spark, d, "object").unionByName(fixtures.truth(spark, d, "arrow"))
+    out = results.original_coords(rows, _fit(spark, d))
+    return out.select("page", "id", "kind", *[F.round(f"g{i}", 6).alias(f"g{i}") for i in range(4)])
+
+
+def canvas_coords(spark, d):
+    pages = _fit(spark, d).withColumns({"x": (F.col("page") % 89).cast("double"), "y": (F.col("page") % 53).cast("double")})
+    x, y = G.to_canvas(F.col("x"), F.col("y"), {c: F.col(c) for c in results.CANVAS})
+    return pages.select("page", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+def segment_codec_forms(spark, d):
+    """Segments of every form through their padded boxes and back: upright and level ones, and diagonals of both directions."""
+    e = _read(spark, d, "events").selectExpr("event_id AS id", "CAST(event_id % 900 AS DOUBLE) AS x", "CAST(event_id % 700 AS DOUBLE) AS y", "CAST(100 + event_id % 50 AS DOUBLE) AS n", "event_id % 4 AS form")
+    dx, dy = F.when(F.col("form") == 0, 0.0).otherwise(F.col("n")), F.when(F.col("form") == 1, 0.0).otherwise(F.col("n"))
+    up = F.col("form") == 3
+    line = (F.col("x"), F.when(up, F.col("y") + dy).otherwise(F.col("y")), F.col("x") + dx, F.when(up, F.col("y")).otherwise(F.col("y") + dy))
+    back = G.box_to_segment(G.segment_to_box(line), up=up)
+    return e.select("id", *[v.alias(f"s{i}") for i, v in enumerate(back)])
+
+
+def page_result(spark, d):
+    """The nested documents of all pages, told by what they hold."""
+    det = kept(merging.apply_thresholds(fixtures.detections(spark, d, S), S))
+    merged, report = prediction.merge_pages(det, S)
+    out = results.page_results(det, merged, _fit(spark, d), report)
+    items = F.aggregate("tiles", F.lit(0), lambda n, t: n + sum((F.size(t["items"][k]) for k in results.LISTS.values()), F.lit(0)))
+    counts = [F.col(f"counts.`{k}`").cast("long").alias(n) for k, n in zip(results.LISTS.values(), ("objects", "texts", "arrows"))]
+    first = F.get(F.col("merged_original_coords.`OBJECT/COMPONENT`"), F.lit(0))["geometry"]
+    return out.select("page", F.size("tiles").cast("long").alias("tiles"), items.cast("long").alias("items"), *counts, F.size(first).cast("long").alias("corners"), "merge_report.pairs", "merge_report.llm_calls")
+
+
+def merged_view(spark, d):
+    det = merging.apply_thresholds(fixtures.detections(spark, d, S, "ocr"), S)
+    merged, report = prediction.merge_pages(det, S)
+    out = results.merged_view(results.page_results(det, merged, _fit(spark, d), report))
+    assert "tiles" not in out.columns
+    return out.select("page", F.col("counts.OCR").cast("long").alias("texts"), F.size("merged.OCR").cast("long").alias("listed"))
+
+
+def build_datasets(spark, d):
+    """A training set over all events, told by what each tile holds: label lines, COCO annotations, text crops."""
+    found = fixtures.detections(spark, d, S).withColumn("image_id", F.concat(F.lit("P"), F.col("page").cast("string")))
+    images = _read(spark, d, "events").selectExpr(f"concat('P', {fixtures.PAGE} * 2) AS image_id")  # half of them without annotation
+    images = images.unionByName(found.select("image_id")).distinct()
+    built = datasets.build(images, found, tiling.tile_grid(spark, S))
+    coco = built.coco_images.withColumn("name", F.regexp_replace("file_name", r"\.png$", "")).join(
+        built.coco_annotations.groupBy("split", F.col("image_id").alias("id")).agg(F.count("*").alias("n_coco")), ["split", "id"], "left"
+    )
+    crops = built.ocr.groupBy(F.col("tile").alias("name")).agg(F.count("*").alias("n_crops"))
+    lines = F.when(F.col("lines") == "", 0).otherwise(F.size(F.split("lines", "\n"))).cast("long")
+    out = built.yolo.join(coco.select("name", "n_coco", "width", F.col("id").alias("coco_id")), "name").join(crops, "name", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select("split", "name", lines.alias("n_lines"), zero("n_coco"), zero("n_crops"), "width", "coco_id")
+
+
+def dataset_categories(spark, d):
+    found = fixtures.detections(spark, d, S, "arrow").withColumn("image_id", F.col("page").cast("string"))
+    return datasets.build(found.select("image_id").distinct(), found, tiling.tile_grid(spark, S)).coco_categories
+
+
+def job_view(spark, d):
+    e = _read(spark, d, "events").selectExpr("event_id % 500 AS job_id", "ts", "element_at(array('queued', 'running', 'succeeded', 'failed'), CAST(event_id % 4 AS INT) + 1) AS status", "CAST(null AS STRING) AS error")
+    seen = results.job_view(jobs.job_state(e).withColumn("input_file_id", F.lit("hidden")))
+    return seen.select("job_id", "status", "seconds")
+
+
+def job_drift(spark, d):
+    return results.job_drift(_read(spark, d, "events").selectExpr("user_id AS job_id", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 5 = 0 END AS drift"))
+
+
+def readiness(spark, d):
+    checks = _read(spark, d, "events").groupBy(F.col("user_id").alias("service"), F.col("event_type").alias("name")).agg((F.min("value") > 1).alias("ok"))
+    return results.readiness(checks).withColumn("failing", F.array_join("failing", ","))
+
+
+def readable_texts(spark, d):
+    e = _read(spark, d, "events").selectExpr("event_id AS id", "element_at(array('--', '25.4', '?!', 'THRU', '§', ''), CAST(event_id % 6 AS INT) + 1) AS text", "CAST(event_id % 100 AS DOUBLE) / 100 AS conf")
+    return evaluation.readable(e).select("id")
+
+
+def clean_metrics(spark, d):
+    e = _read(spark, d, "events").selectExpr("event_id AS id", "map(' val loss$', CAST(value AS STRING), 'name', event_type, 'n', CAST(event_id AS STRING)) AS m")
+    return e.select("id", F.explode(jobs.clean_metrics(F.col("m"))).alias("name", "number"))
+
+
+def draw_commands(spark, d):
+    rows = fixtures.truth(spark, d, "ocr").unionByName(fixtures.truth(spark, d, "arrow"))
+    return prediction.draw_commands(rows).select("id", "kind", "shape", "caption")
+
+
+def request_rates(spark, d):
+    logs = _read(spark, d, "events").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type AS path", "value AS latency_ms")
+    out = detections_stream.request_rates(logs, window="1 day")
+    return out.select(F.to_date("window.start").alias("day"), "path", "n", F.round("mean_ms", 6).alias("mean_ms"))
+
+
+def state_patch(spark, d):
+    table = _read(spark, d, "orders").selectExpr("o_orderkey AS job_id", "o_orderstatus AS status", "o_orderpriority AS note")
+    rows = table.where("job_id % 10 < 3").selectExpr("job_id + (CASE WHEN job_id % 10 = 2 THEN 100000000 ELSE 0 END) AS job_id", "CASE WHEN job_id % 10 = 0 THEN NULL ELSE 'moved' END AS status", "note AS reason")
+    return jobs.patch(table, rows, ["job_id"])
+
+
+def page_names(spark, d):
+    p = _read(spark, d, "lineitem").selectExpr("l_orderkey AS file", "l_linenumber - 1 AS page").distinct()
+    n = p.groupBy("file").agg(F.count("*").alias("n_pages"))
+    return p.join(n, "file").select("file", "page", results.image_id(F.concat(F.lit("F"), F.col("file").cast("string")), F.col("page"), F.col("n_pages")).alias("image_id"))
+
+
+def stored_files(spark, d):
+    docs = _read(spark, d, "pages").selectExpr("page_id AS image_id", "CASE page_id % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'a.TIFF' ELSE 'b.jpg' END AS filename", "CAST(html AS BINARY) AS content", "CASE WHEN page_id % 4 = 0 THEN NULL ELSE '{}' END AS annotation")
+    images, notes = store.export(docs)
+    return images.select("path", F.length("content").cast("long").alias("n")).unionByName(notes.select("path", F.length("value").cast("long").alias("n")))
+
+
 QUERIES = {
     **{f.__name__: f for f in (
         tile_starts, tile_grid, tile_pairs, canvas_fit, coords_round_trip, box_iou_pairs, segment_box_codec, apply_thresholds, seam_candidates, active_pairs, components,
         merge_objects, merge_arrows, merge_text, text_groups, merged_pages, class_vote, merge_report, page_counts, drift_profile, average_profile, drift_compare, rolling_baseline,
         recent_profiles, latest_baseline, split_assignment, class_index, yolo_labels, coco_annotations, ocr_crops, manifest, ocr_cer, champion_promotion, word_lines, hough_topk,
         contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, empty_tiles, resolve_models, last_metrics,
+        original_coords, canvas_coords, segment_codec_forms, page_result, merged_view, build_datasets, dataset_categories, job_view, job_drift, readiness, readable_texts,
+        clean_metrics, draw_commands, request_rates, state_patch, page_names, stored_files,
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),

@@ -29,6 +29,16 @@ class Settings:
     drop_limit: float = 0.15
     rolling_window: int = 50
     max_upload_mb: int = 50
+    pdf_dpi: int = 300
+    detector_backend: str = "auto"
+    line_backend: str = "auto"
+    ocr_backend: str = "auto"
+    merge_backend: str = "heuristic"
+    prompt_version: str = "v1"
+    llm_url: str = ""
+    llm_model: str = ""
+    llm_key: str = dataclasses.field(default="", repr=False)
+    llm_timeout: float = 60.0
 
     @classmethod
     def from_env(cls) -> Settings:

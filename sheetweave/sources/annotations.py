@@ -62,8 +62,3 @@ def page_documents(merged: DataFrame, by: tuple = ("page",)) -> DataFrame:
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, item))), lambda x: x["i"]).alias(n) for k, n in (("object", "objects"), ("ocr", "ocr"), ("arrow", "arrows"))]
     out = merged.groupBy(*by).agg(*lists)
     return out.withColumn("counts", F.struct(*[F.size(n).alias(n) for n in ("objects", "ocr", "arrows")]))
-
-
-def page_name(base: str = "base", page: str = "page", pages: str = "n_pages") -> F.Column:
-    """A single page keeps the file's name; of several, each adds _P and its number from 1."""
-    return F.when(F.col(pages) == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_P"), (F.col(page) + 1).cast("string")))
