@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
         _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if p != path]
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """What is written inside is deleted at the end, but for the paths put on the list that is given out: for work whose
+    result is a table, so that the steps towards it need not outlive it."""
+    before, wanted = {p for _, p in _WRITTEN}, []
+    yield wanted
+    remove(spark, *[p for _, p in _WRITTEN if p not in before and p not in wanted])
+
+
 def _remove_all() -> None:
     for spark, path in list(_WRITTEN):
         try:
