@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import shelve
+from sheetweave.llm.shared import remove, shelve_at
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,12 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of the longest path. A node of very high degree is a key of partial minima and of a
     join that Spark can split, never a list in memory.
     """
-    edges = shelve(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct())
+    spark = edges.sparkSession
+    edges, old = shelve_at(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct())
     seen = None
     while True:
-        edges = shelve(_star(_star(edges, large=True), large=False))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        new, path = shelve_at(_star(_star(edges, large=True), large=False))
+        state = new.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        remove(spark, old)
+        edges, old = new, path
         if state == seen or not state[0]:
             break
         seen = state
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())
+    roots = edges.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(roots)

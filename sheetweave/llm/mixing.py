@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, free_name, n_words, shelve
+from sheetweave.llm.shared import column, free_name, n_words, scope, shelve, shelve_at
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -122,12 +122,15 @@ def _cut(queued: DataFrame, rows: int, epochs: int, share: float) -> DataFrame:
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs with each row as often as mix() takes it, 0 to epochs times; all columns stay.
 
-    Texts are not shuffled by source: a number for each row carries the decision back to them.
+    Texts are not shuffled by source: a number for each row carries the decision back to them, and where the decisions are
+    few enough for Spark to send them to the texts, those do not move at all.
     """
     row, copies, of, number = (free_name(docs, x) for x in ("row", "copies", "of", "times"))
-    held = shelve(docs.withColumn(row, F.monotonically_increasing_id()))
-    taken = mix(held, id_col, text_col, source_col, keep=row, **how)
-    found = taken.where("copies > 0").select(F.col("keep").alias(of), F.col("copies").cast("int").alias(number))
+    with scope(docs.sparkSession) as stays:
+        held, at = shelve_at(docs.withColumn(row, F.monotonically_increasing_id()))
+        taken = mix(held, id_col, text_col, source_col, keep=row, **how)
+        found, of_found = shelve_at(taken.where("copies > 0").select(F.col("keep").alias(of), F.col("copies").cast("int").alias(number)))
+        stays += [at, of_found]
     out = held.join(found, F.col(row) == F.col(of))
     return out.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(number)))).select(*[column(out, c) for c in docs.columns])
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetweave.scratch import kept as shelve  # noqa: F401  written once to the folder that driver and executors share
+from sheetweave.scratch import kept_at as shelve_at  # noqa: F401
+from sheetweave.scratch import remove, scope  # noqa: F401
 
 #: ASCII white space (space, tab to carriage return) in the syntax of java.util.regex.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetweave.llm.components import components
-from sheetweave.llm.shared import column, free_name, shelve, text_bytes
+from sheetweave.llm.shared import column, free_name, scope, shelve, shelve_at, text_bytes
 
 SHINGLE = 3
 SEED = 42
@@ -224,13 +224,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     to them. Equal rows are told apart by the number too, so one of them stays.
     """
     row, of = free_name(docs, "row"), free_name(docs, "of")
-    # The number must be the same in both reads, so it is fixed in the written copy.
-    held = shelve(docs.withColumn(row, F.monotonically_increasing_id()))
-    roots = group(held.select(F.col(row).alias("row"), column(held, text_col).alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
-    keys = held.select(F.col(row).alias("r"), column(held, id_col).alias("id"))
-    named = shelve(roots.join(keys, F.col("row") == F.col("r")).select("row", "component_id", "id"))
-    best = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")
-    several = named.groupBy("component_id").agg(best, F.count("*").alias("n")).where("n > 1").select(F.col("component_id").alias("c"), F.col("best.row").alias("stays"))
-    same = F.col("component_id").eqNullSafe(F.col("c"))
-    gone = shelve(named.join(several, same).where("row <> stays").select(F.col("row").alias(of)))
+    spark = docs.sparkSession
+    with scope(spark) as stays:
+        # The number must be the same in both reads, so it is fixed in the written copy.
+        held, at = shelve_at(docs.withColumn(row, F.monotonically_increasing_id()))
+        roots = group(held.select(F.col(row).alias("row"), column(held, text_col).alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+        keys = held.select(F.col(row).alias("r"), column(held, id_col).alias("id"))
+        named = shelve(roots.join(keys, F.col("row") == F.col("r")).select("row", "component_id", "id"))
+        best = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")
+        several = named.groupBy("component_id").agg(best, F.count("*").alias("n")).where("n > 1").select(F.col("component_id").alias("c"), F.col("best.row").alias("stays"))
+        same = F.col("component_id").eqNullSafe(F.col("c"))
+        gone, of_gone = shelve_at(named.join(several, same).where("row <> stays").select(F.col("row").alias(of)))
+        stays += [at, of_gone]
     return held.join(gone, F.col(row) == F.col(of), "left_anti").drop(row)

@@ -82,6 +82,25 @@ def test_fingerprint_of_documents(docs):
         assert int(r.fingerprint, 16) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_simhash_of_a_whole_table(spark):
+    """Fingerprints and components of all documents of a table against plain loops."""
+    import xxhash
+
+    table = spark.read.parquet(f"{data('sf0.01')}/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r.text or "" for r in table.collect()}
+    plain = {}
+    for i, text in rows.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        s = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+        h = np.array([xxhash.xxh64_intdigest(x, 42) for x in s], np.uint64)
+        bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0)
+        plain[i] = sum(1 << b for b in range(64) if 2 * int(bits[b]) > len(h))
+    ids = sorted(plain)
+    label = plain_components(np.array([plain[i] for i in ids], np.uint64))
+    want = {i: (f"{plain[i]:016x}", ids[label[k]]) for k, i in enumerate(ids)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.dedup(table).collect()} == want
+
+
 def test_simhash_odd(odd):
     got = simhash.dedup(odd).collect()
     assert len(got) == 7 and {r.component_id for r in got if r.fp == 0} == {1}
@@ -256,6 +275,25 @@ def test_bpe_equals_the_library(monkeypatch):
         assert ids == own.library.encode_ordinary(t) and own.decode(ids) == t.encode()
 
 
+def test_token_counts_at_the_length_of_a_chunk():
+    """Both ways of counting, on either side of the chunk's length, with and without white space, against the library."""
+    tok = tokens._tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choice("aeioulmnrst'é1") for _ in range(rng.randint(1, 9)))
+    prose = " ".join(word() for _ in range(9_000))
+    for n in (tokens.CHUNK - 1, tokens.CHUNK, tokens.CHUNK + 1, 2 * tokens.CHUNK + 300):
+        for text in (prose[:n], "".join(prose.split())[:n], "x" * n):
+            assert tokens.count_batch(tok, [text.encode()], {}) == [len(tok.encode(text, add_special_tokens=False).ids)]
+
+
+def test_long_texts_through_the_tree(spark):
+    own = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for text in ("word " * 5_000, "".join(noise(60, 8)), "ab" * 3_000 + "\n" * 3_000, "中文" * 4_000):
+        assert len(text) > bpe.LEAF and own.encode(text) == own.library.encode_ordinary(text) and own.decode(own.encode(text)) == text.encode()
+    empty_, c = bpe.transcode(spark.createDataFrame([], "text string, bpe string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert c == "bpe_" and empty_.count() == 0
+
+
 def test_tokens_odd(odd):
     counted, c = tokens.count(odd, public_tokenizers.path("word_bpe_49k.json"))
     got = counted.select("doc_id", f"{c}.*").collect()
