@@ -17,13 +17,15 @@ def quads(spark, rows):
 
 
 def test_iou_and_clip(spark):
-    df = quads(spark, [((0, 0, 10, 10), (0, 0, 10, 10)), ((0, 0, 10, 10), (10, 0, 5, 5))])
+    df = quads(spark, [((3, 7, 24, 16), (3, 7, 24, 16)), ((3, 7, 24, 16), (27, 7, 8, 16)), ((0, 0, 40, 10), (30, 0, 40, 10))])
     got = [r[0] for r in df.select(G.iou(G.quad("a"), G.quad("b"))).collect()]
-    assert abs(got[0] - 1) < 1e-9 and got[1] == 0
-    df = quads(spark, [((-10, 5, 30, 5), (0, 0, 20, 20)), ((30, 30, 40, 40), (0, 0, 20, 20)), ((5, -3, 5, 50), (0, 0, 20, 20))])
+    assert abs(got[0] - 1) < 1e-9 and got[1] == 0 and abs(got[2] - 1 / 7) < 1e-9
+    window = (50, 40, 30, 60)
+    df = quads(spark, [((35, 45, 95, 65), window), ((10, 10, 45, 39), window), ((64, 20, 64, 130), window), ((50, 40, 50, 40), window)])
     ok, part = G.clip(G.quad("a"), G.quad("b"))
     rows = df.select(ok, *part).collect()
-    assert [r[0] for r in rows] == [True, False, True] and list(rows[0])[1:] == [0, 5, 20, 5] and list(rows[2])[1:] == [5, 0, 5, 20]
+    assert [r[0] for r in rows] == [True, False, True, True]
+    assert [list(rows[i])[1:] for i in (0, 2, 3)] == [[50, 50, 80, 60], [64, 40, 64, 100], [50, 40, 50, 40]]
 
 
 def test_random_geometry_against_plain_python(spark):
@@ -43,26 +45,32 @@ def test_random_geometry_against_plain_python(spark):
 
 
 def test_segment_codec(spark):
-    rows = [((10, 50, 200, 50), False), ((30, 10, 30, 300), False), ((0, 100, 100, 0), True)]
+    rows = [((44, 81, 390, 81), False), ((512, 7, 512, 260), False), ((61, 240, 205, 66), True), ((61, 66, 205, 240), False)]
     df = spark.createDataFrame([(*map(float, s), up) for s, up in rows], "g0 double, g1 double, g2 double, g3 double, up boolean")
     back = df.select(*G.box_to_segment(G.segment_to_box(G.quad("g")), up=F.col("up"))).collect()
     assert [tuple(r) for r in back] == [tuple(map(float, s)) for s, _ in rows]
 
 
-def test_canvas_round_trip(spark):
-    pages = spark.createDataFrame([(1, 300, 600), (2, 500, 500), (3, 4096, 2896)], "page int, orig_w int, orig_h int")
-    fit = canvas_fit(pages, Settings(canvas_width=960, canvas_height=960))
+def test_canvas_there_and_back(spark):
+    """Corners of the sheet land on the canvas where they should, and come back, for upright, square and level sheets."""
+    pages = spark.createDataFrame([(1, 440, 980), (2, 640, 640), (3, 3000, 1500)], "page int, orig_w int, orig_h int")
+    s = Settings(canvas_width=1200, canvas_height=800)
+    fit = canvas_fit(pages, s)
     t = {c: F.col(c) for c in ("rotated", "scale", "pad_x", "pad_y", "orig_h")}
-    for x, y in ((0, 0), (299, 599), (120, 40)):
-        for r in fit.select("rotated", "page", *G.to_original(*G.to_canvas(F.lit(float(x)), F.lit(float(y)), t), t)).collect():
+    for x, y in ((0, 0), (439, 979), (217, 58)):
+        there = G.to_canvas(F.lit(float(x)), F.lit(float(y)), t)
+        for r in fit.select("rotated", "page", *G.to_original(*there, t), *there).collect():
             assert r.rotated == (r.page == 1) and abs(r[2] - x) < 1e-6 and abs(r[3] - y) < 1e-6
+            if r.page == 1:  # turned: the sheet's foot is the canvas's left edge
+                scale = min(1200 / 980, 800 / 440)
+                assert abs(r[4] - (979 - y) * scale) < 1 and abs(r[5] - (x * scale + (800 - 440 * scale) / 2)) < 1
 
 
 def test_md5_and_labels(spark):
-    ids = [f"IMG_{i:03d}" for i in range(50)]
+    ids = [f"sheet {i}/b" for i in range(50)]
     df = spark.createDataFrame([(i,) for i in ids], "i string")
     assert [r[0] for r in df.select(md5_mod_1000(F.col("i"))).collect()] == [int(hashlib.md5(i.encode()).hexdigest(), 16) % 1000 for i in ids]
-    assert spark.createDataFrame([("Ø25 ±0.1° é",)], "s string").select(ascii_label(F.col("s"))).first()[0] == "D25 +-0.1deg ?"
+    assert spark.createDataFrame([("3° Ø8 ü±",)], "s string").select(ascii_label(F.col("s"))).first()[0] == "3deg D8 ?+-"
 
 
 def test_split_repair(spark):
@@ -73,15 +81,35 @@ def test_split_repair(spark):
 
 
 def test_drift(spark):
-    rows = [("p", "A", "object")] * 10 + [("p", "B", "object")] * 10 + [("q", "A", "object")] * 5 + [("q", "B", "object")] * 5 + [("r", "C", "object")] * 20
-    det = spark.createDataFrame([(p, k, c, 0.9) for p, c, k in rows], "page string, kind string, label string, confidence double")
-    tiles = spark.createDataFrame([("p", 10), ("q", 5), ("r", 5)], "page string, n_tiles long")
-    prof = {r.page: r for r in drift.profile(det, tiles).collect()}
-    assert prof["p"].object_class_dist == {"A": 0.5, "B": 0.5} and prof["p"].objects_per_tile == 2
-    cols = [*drift.DISTS, *drift.RATES, "mean_confidence"]
+    rows = [("a", "bolt", 12), ("a", "nut", 4), ("b", "bolt", 6), ("b", "nut", 2), ("c", "cog", 30)]
+    det = spark.createDataFrame([(p, "object", c, 0.8) for p, c, n in rows for _ in range(n)], "page string, kind string, label string, confidence double")
+    tiles = spark.createDataFrame([("a", 8), ("b", 4), ("c", 3)], "page string, n_tiles long")
     p = drift.profile(det, tiles)
-    base = p.where("page = 'p'").select(F.struct(*cols).alias("baseline"))
+    prof = {r.page: r for r in p.collect()}
+    assert prof["a"].object_class_dist == {"bolt": 0.75, "nut": 0.25} and prof["a"].objects_per_tile == 2 and prof["c"].objects_per_tile == 10
+    cols = [*drift.DISTS, *drift.RATES, "mean_confidence"]
+    base = p.where("page = 'a'").select(F.struct(*cols).alias("baseline"))
     got = {r.page: r for r in drift.compare(p.select("page", F.struct(*cols).alias("current")).crossJoin(base), Settings()).collect()}
-    assert not got["q"].drift and "object_class_psi" in got["r"].flags and abs(got["p"].object_class_psi) < 1e-12
+    assert not got["b"].drift and got["c"].flags == ["object_class_psi", "objects_per_tile_shift"] and abs(got["a"].object_class_psi) < 1e-12
+    eps = 1e-4
+    assert abs(got["c"].object_class_psi - sum((y - x) * math.log(y / x) for x, y in ((0.75, eps), (0.25, eps), (eps, 1.0)))) < 1e-12
     none = p.select("page", F.struct(*cols).alias("current")).withColumn("baseline", F.lit(None).cast(base.schema["baseline"].dataType))
     assert {r.status for r in drift.compare(none, Settings()).collect()} == {"no_baseline"}
+
+
+def test_published_baseline(spark):
+    one = lambda n, x: {"n_tiles": n, "objects_per_tile": x}
+    rows = [("train", one(9, 1.0)), ("valid", one(2, 2.0)), (None, one(11, 3.0))]
+    schema = "split string, profile struct<n_tiles: long, objects_per_tile: double>"
+    pick = lambda rows: [r.profile.objects_per_tile for r in drift.baseline_of(spark.createDataFrame(rows, schema)).collect()]
+    assert pick(rows) == [2.0] and pick([rows[0], ("valid", one(0, 2.0)), rows[2]]) == [3.0] and pick([rows[0]]) == []
+
+
+def test_patch_and_readiness(spark):
+    from sheetweave.operators import jobs, results
+
+    table = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, s string, t string")
+    got = jobs.patch(table, spark.createDataFrame([(2, "c"), (3, "d"), (1, None)], "k int, s string"), ["k"]).collect()
+    assert sorted(map(tuple, got)) == [(1, "a", "x"), (2, "c", "y"), (3, "d", None)] and jobs.find(table, "k", 2).first().s == "b"
+    checks = spark.createDataFrame([("m", "db", True), ("m", "queue", None), ("n", "db", True)], "service string, name string, ok boolean")
+    assert sorted(map(tuple, results.readiness(checks).collect())) == [("m", False, ["queue"]), ("n", True, [])]
