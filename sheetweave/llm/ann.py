@@ -150,7 +150,10 @@ def _keyed(curves: Curves):
                     if some.any():
                         n = int(some.sum())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, c, np.int32)), pa.array(curves.keys(v[some], c, q)), pa.array(np.full(n, q)), b.column(0).filter(pa.array(some))],
+                            [
+                                pa.array(np.full(n, c, np.int32)), pa.array(curves.keys(v[some], c, q)), pa.array(np.full(n, q)),
+                                b.column(0).filter(pa.array(some))
+                            ],
                             ["curve", "key", "q", "node"],
                         )
 

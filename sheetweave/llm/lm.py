@@ -243,11 +243,17 @@ def _exploded(head: Head):
                 spread = (docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64)
                 each = np.arange(m)
                 g = [v[ranked] << 32 | w[ranked], w[by_w] + 1, v[by_v], opening[rare] + 1, spread, spread, spread, spread[known]]
-                o = [np.zeros(len(ranked), np.int64), v[by_w], w[by_v], np.full(rare.sum(), head.size), sizes, found, val.view(np.int64), ids.drop_null().to_numpy()]
+                o = [
+                    np.zeros(len(ranked), np.int64), v[by_w], w[by_v], np.full(rare.sum(), head.size), sizes, found, val.view(np.int64),
+                    ids.drop_null().to_numpy()
+                ]
                 at = [own[ranked], own[by_w], own[by_v], begin[rare], each, each, each, known]
                 times = [tf[ranked], tf[by_w], tf[by_v], np.ones(rare.sum(), np.int64)]
                 times += [np.full(len(x), kind) for x, kind in zip(at[4:], (_WORDS, _FOUND, _VALUE, _ID))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (g, o)] + [pa.array(docs[np.concatenate(at)]), pa.array(np.concatenate(times))], ["g", "o", "doc", "tf"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (g, o)] + [pa.array(docs[np.concatenate(at)]), pa.array(np.concatenate(times))],
+                    ["g", "o", "doc", "tf"]
+                )
 
     return run
 
@@ -365,16 +371,22 @@ def score(
     kind = docs.select(column(docs, id_col)).schema[0].dataType
     if not isinstance(kind, IntegralType):  # other ids are numbered, and found again by their number
         ids = shelve(docs.select(column(docs, id_col).alias("of")).distinct().select("of", F.monotonically_increasing_id().alias("number")))
-        numbered = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("of"))).select("number", "text")
+        numbered = docs.select(
+            column(docs, id_col).alias("id"), column(docs, text_col).alias("text")
+        ).join(ids, F.col("id").eqNullSafe(F.col("of"))).select("number", "text")
         scored = score(numbered, "number", "text", head_size, core_size, step, sample).join(ids, "number")
         return scored.select(F.col("of").alias(id_col), "n_words", "n_found", "log_score")
     text = docs.select(text_bytes(column(docs, text_col)).alias("text"))
     head, rest = _head(docs, text, head_size, core_size, sample)
     body = docs.select(text_bytes(column(docs, text_col)).alias("text"), column(docs, id_col).cast("long").alias("id"))
     pairs = body.mapInArrow(_exploded(head), "g bigint, o bigint, doc bigint, tf bigint")
-    roles = F.explode(F.array(F.struct((F.col("code") + 1).alias("g"), F.col("c").alias("tf")), F.struct(F.col("code").alias("g"), F.col("cc").alias("tf")))).alias("r")
+    roles = F.explode(F.array(
+        F.struct((F.col("code") + 1).alias("g"), F.col("c").alias("tf")), F.struct(F.col("code").alias("g"), F.col("cc").alias("tf"))
+    )).alias("r")
     table = rest.select(roles).selectExpr("r.g AS g", "0L AS o", "-1L AS doc", "r.tf AS tf")
     rows = pairs.unionByName(table).repartition("g").sortWithinPartitions(F.expr(_ORDER))
     sums = rows.mapInArrow(_joined(head, step), "doc bigint, val double, found bigint, words bigint, id bigint")
     out = sums.groupBy("doc").agg(F.sum("val").alias("val"), F.sum("found").alias("n_found"), F.max("words").alias("n_words"), F.max("id").alias("id"))
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("val") / F.col("n_words")).alias("log_score"))
+    return out.select(
+        F.col("id").cast(kind).alias(id_col), "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("val") / F.col("n_words")).alias("log_score")
+    )

@@ -69,7 +69,10 @@ def running(sums: DataFrame, by: list[str], order: str) -> DataFrame:
     return out.select(*by, order, "sum", "upto", (F.col("upto") - F.col("sum")).alias("paid"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, keep: str | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, weights: tuple = WEIGHTS,
+    epochs: int = EPOCHS, seed: str = SEED, keep: str | None = None
+) -> DataFrame:
     """One row per row of docs: (doc_id, source, size, source_size, target, copies, taken).
 
     size: words of the text (null text: 0). copies: times the mix takes the document, 0 to epochs; taken = copies * size.
@@ -80,7 +83,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     `keep`, which comes out as the column keep.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(docs, id_col).cast("string"), F.lit("null"))))
-    sizes = shelve(docs.select(column(docs, id_col).alias("doc_id"), column(docs, source_col).alias("source"), n_words(column(docs, text_col)).alias("size"), key.alias("key"), *([column(docs, keep).alias("keep")] if keep else [])))
+    sizes = shelve(docs.select(
+        column(docs, id_col).alias("doc_id"), column(docs, source_col).alias("source"), n_words(column(docs, text_col)).alias("size"),
+        key.alias("key"), *([column(docs, keep).alias("keep")] if keep else [])
+    ))
     kept = ["keep"] if keep else []
     rows = sizes.count()
     buckets = max(1, rows // BUCKET_ROWS)
@@ -88,14 +94,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = sizes.withColumn("bucket", F.floor(_spread(F.col("key")) * buckets).cast("int"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     sums = running(sums, ["source"], "bucket").withColumnRenamed("paid", "ahead")
-    base = sums.join(share_of.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "target")
+    base = sums.join(
+        share_of.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left"
+    ).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "target")
     queued = placed.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = queued.withColumn("queued", F.col("ahead") + F.sum("size").over(within))
     finish = [F.when(F.col("target") > 0, (F.col("source_size") * e + F.col("queued")) / F.col("target")).alias(f"finish{e}") for e in range(epochs)]
     queued = shelve(queued.select("doc_id", "source", "size", "source_size", "target", *kept, *finish))
     end = _cut(queued, rows, epochs, share)
-    copies = sum((F.coalesce(F.col(f"finish{e}") <= F.col("end"), F.lit(False)).cast("long") for e in range(1, epochs)), F.coalesce(F.col("finish0") <= F.col("end"), F.lit(False)).cast("long"))
+    copies = sum(
+        (F.coalesce(F.col(f"finish{e}") <= F.col("end"), F.lit(False)).cast("long") for e in range(1, epochs)),
+        F.coalesce(F.col("finish0") <= F.col("end"), F.lit(False)).cast("long")
+    )
     out = queued.crossJoin(F.broadcast(end)).withColumn("copies", copies)  # the cut is one row
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *kept)
 
@@ -111,7 +122,9 @@ def _cut(queued: DataFrame, rows: int, epochs: int, share: float) -> DataFrame:
     over = F.min_by(F.struct("slice", "paid", "budget"), "slice").alias("x")
     last = per.where(F.col("upto") > F.col("budget")).agg(over).select("x.slice", "x.paid", "x.budget")
     edge = each.withColumnRenamed("slice", "of").join(F.broadcast(last), F.col("of") == F.col("slice"))  # one row
-    edge = edge.withColumn("paid", F.col("paid") + F.sum("size").over(Window.partitionBy("of").orderBy("finish", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.withColumn(
+        "paid", F.col("paid") + F.sum("size").over(Window.partitionBy("of").orderBy("finish", "size").rowsBetween(Window.unboundedPreceding, 0))
+    )
     inside = edge.where(F.col("paid") <= F.col("budget")).agg(F.max("finish").alias("inside"))
     # Without a slice that overdraws the budget everything is taken; without a row inside it, all slices before it.
     return last.agg(F.max("slice").alias("slice")).crossJoin(F.broadcast(inside)).select(

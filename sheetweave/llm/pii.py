@@ -198,7 +198,11 @@ def _secret(key: bytes, value: str) -> str:
 KINDS = (
     ("email", r"@", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _mail),
     ("secret", r"A[KS]IA", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", _secret),
-    ("secret", r"[=:]", r"(?i:\b(?:token|secret|password|passwd|api[_-]?key)\b\"?\s*[=:]\s*[\"']?)((?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{8,}|[A-Za-z0-9+/_-]{16,})", _secret),
+    (
+        "secret", r"[=:]",
+        r"(?i:\b(?:token|secret|password|passwd|api[_-]?key)\b\"?\s*[=:]\s*[\"']?)((?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{8,}|[A-Za-z0-9+/_-]{16,})",
+        _secret
+    ),
     ("iban", r"[A-Z]{2}\d\d", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     ("ip", r"\d\.\d", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
     ("date", r"\d[/.-]\d", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])", _date),

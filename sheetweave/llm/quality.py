@@ -40,7 +40,9 @@ def _repeated(w: Column) -> Column:
         places = F.array_sort(F.transform(twice, lambda e: e["p"]))
         return let(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-    return F.coalesce(let(hashes, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), covered(h)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"))
+    return F.coalesce(
+        let(hashes, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), covered(h)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long")
+    )
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -56,7 +58,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
         _repeated(F.col("w")).alias("n_repeat_words"),
     )
-    out = out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", F.col("l.n").alias("n_lines"), F.col("l.dup").alias("n_dup_lines"), "n_repeat_words")
+    out = out.select(
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", F.col("l.n").alias("n_lines"), F.col("l.dup").alias("n_dup_lines"),
+        "n_repeat_words"
+    )
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -72,14 +77,18 @@ def _metrics() -> dict[str, Column]:
 
 def fences(measured: DataFrame) -> DataFrame:
     """(lang, source, <metric>_low, <metric>_high ...), one row per language and source among rows that pass the base rules."""
-    stacked = measured.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("x")) for m, v in _metrics().items()])).alias("e")).select("lang", "source", "e.metric", "e.x")
+    stacked = measured.where(~F.col("base_failed")).select(
+        "lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("x")) for m, v in _metrics().items()])).alias("e")
+    ).select("lang", "source", "e.metric", "e.x")
     digits = F.expr("shiftleft(shiftright(x, greatest(length(bin(x)) - 5, 0)), greatest(length(bin(x)) - 5, 0))")
     sketch = stacked.select("lang", "source", "metric", digits.alias("x")).groupBy("lang", "source", "metric", "x").agg(F.count("*").alias("n"))
     by_lang = sketch.groupBy("lang", "metric", "x").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("metric", "x").agg(F.sum("n").alias("n"))
     groups = measured.select("lang", "source").distinct()
     best = reduce(
-        lambda left, level: left.join(level[0], reduce(lambda a, b: a & b, [left[c].eqNullSafe(level[0][f"{c}_{level[1]}"]) for c in level[2]], F.lit(True)), "left"),
+        lambda left, level: left.join(
+            level[0], reduce(lambda a, b: a & b, [left[c].eqNullSafe(level[0][f"{c}_{level[1]}"]) for c in level[2]], F.lit(True)), "left"
+        ),
         [(_quartiles(sketch, ["lang", "source"], "s"), "s", ["lang", "source"]), (_quartiles(by_lang, ["lang"], "l"), "l", ["lang"])],
         groups,
     ).crossJoin(F.broadcast(_quartiles(overall, [], "o")))  # one row
@@ -102,7 +111,9 @@ def _quartiles(sketch: DataFrame, by: list[str], tag: str) -> DataFrame:
     w = Window.partitionBy(*by, "metric")
     cum = sketch.withColumn("upto", F.sum("n").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
     pick = lambda m, share: F.min(F.when((F.col("metric") == m) & (F.col("upto") * 4 >= F.col("total") * share), F.col("x")))
-    aggs = [F.struct(F.max(F.when(F.col("metric") == m, F.col("total"))).alias("n"), pick(m, 1).alias("q25"), pick(m, 3).alias("q75")).alias(f"{m}_{tag}") for m in FENCES]
+    aggs = [F.struct(
+        F.max(F.when(F.col("metric") == m, F.col("total"))).alias("n"), pick(m, 1).alias("q25"), pick(m, 3).alias("q75")
+    ).alias(f"{m}_{tag}") for m in FENCES]
     return cum.groupBy(*by).agg(*aggs).select(*[F.col(c).alias(f"{c}_{tag}") for c in by], *[f"{m}_{tag}" for m in FENCES])
 
 

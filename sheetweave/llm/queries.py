@@ -17,7 +17,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     scored, c = toxicity.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", toxicity.held_out(scored["doc_id"]).alias("held_out"), scored[c].alias("score"), (scored[c] >= 0.5).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", toxicity.held_out(scored["doc_id"]).alias("held_out"), scored[c].alias("score"), (scored[c] >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,9 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,9 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, c = bpe.transcode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs, c = bpe.transcode(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
     return docs.select("doc_id", *bpe.digest(docs[c]))
 
 

@@ -228,7 +228,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     with scope(spark) as stays:
         # The number must be the same in both reads, so it is fixed in the written copy.
         held, at = shelve_at(docs.withColumn(row, F.monotonically_increasing_id()))
-        roots = group(held.select(F.col(row).alias("row"), column(held, text_col).alias("text")), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+        roots = group(
+            held.select(F.col(row).alias("row"), column(held, text_col).alias("text")), "row", "text"
+        ).select(F.col("doc_id").alias("row"), "component_id")
         keys = held.select(F.col(row).alias("r"), column(held, id_col).alias("id"))
         named = shelve(roots.join(keys, F.col("row") == F.col("r")).select("row", "component_id", "id"))
         best = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")

@@ -21,7 +21,10 @@ ODD = "doc_id long, text string, lang string, source string, n_chars long, score
 def odd(spark):
     """Nulls everywhere, empty and long texts, repeated rows, columns that clash with the operators' own."""
     x = (None, None, None, "x", "y", "z", "r", 7)
-    rows = [(1, None, *x[:2]), (2, "", "en", "a"), (None, "some words here and there", None, None), (3, "tab\tand\nlines\n\nlines\nlines", "en", "a"), (3, "tab\tand\nlines\n\nlines\nlines", "en", "a"), (4, "w " * 30_000, "de", "b"), (5, "été ÀB 中文 <|endoftext|> it's", "fr", "b")]
+    rows = [
+        (1, None, *x[:2]), (2, "", "en", "a"), (None, "some words here and there", None, None), (3, "tab\tand\nlines\n\nlines\nlines", "en", "a"),
+        (3, "tab\tand\nlines\n\nlines\nlines", "en", "a"), (4, "w " * 30_000, "de", "b"), (5, "été ÀB 中文 <|endoftext|> it's", "fr", "b")
+    ]
     return spark.createDataFrame([(i, t, la, s, None, *x[2:3], 1, "f", "l", "t", "r", 1) for i, t, la, s in rows], ODD)
 
 
@@ -118,7 +121,9 @@ def test_near_duplicate_stage_finds_every_pair_at_0_8(spark, monkeypatch, small)
     monkeypatch.setattr(jaccard, "SMALL", small)
     if small == 2:
         monkeypatch.setattr(jaccard, "CHUNK", 3)
-        monkeypatch.setattr(jaccard, "_proposed", lambda nodes, percent: nodes.limit(0).selectExpr("row AS a", "row AS b", "n AS na", "n AS nb", "bits AS x", "bits AS y"))
+        monkeypatch.setattr(jaccard, "_proposed", lambda nodes, percent: nodes.limit(0).selectExpr(
+            "row AS a", "row AS b", "n AS na", "n AS nb", "bits AS x", "bits AS y"
+        ))
 
     rng, line = random.Random(3), [f"common{i}" for i in range(12)]
     rows = []
@@ -186,7 +191,10 @@ def test_a_phone_number_is_one_value_in_all_notations():
     seen = {}
     for _ in range(400):
         area, exchange, line = rng.randint(200, 999), rng.randint(200, 999), rng.randint(0, 9999)
-        forms = [f"+1 ({area}) {exchange}-{line:04d}", f"+1{area}{exchange}{line:04d}", f"({area}) {exchange}-{line:04d}", f"{area}-{exchange}-{line:04d}", f"+1-{area}-{exchange}-{line:04d}"]
+        forms = [
+            f"+1 ({area}) {exchange}-{line:04d}", f"+1{area}{exchange}{line:04d}", f"({area}) {exchange}-{line:04d}", f"{area}-{exchange}-{line:04d}",
+            f"+1-{area}-{exchange}-{line:04d}"
+        ]
         new = [pii._phone(KEY, f) for f in forms]
         digits = {re.sub(r"\D", "", x)[-10:] for x in new}
         assert len(digits) == 1 and all(re.sub(r"\d", "0", x) == re.sub(r"\d", "0", f) for x, f in zip(new, forms)) and all(x[:2] == "+1" for x in new if x[0] == "+")
@@ -253,7 +261,10 @@ def test_pii_odd(odd):
 
 def noise(n, seed):
     rng = random.Random(seed)
-    parts = ["a", "b", "'", "'s", "'re", " ", "  ", "\n", "\t", "1", "23", ".", "!!", "é", "中", "。", " ", "<|endoftext|>", "é", "Ab", "'ll", "_", "\x0b", "\x1c", "😀"]
+    parts = [
+        "a", "b", "'", "'s", "'re", " ", "  ", "\n", "\t", "1", "23", ".", "!!", "é", "中", "。", " ", "<|endoftext|>", "é", "Ab", "'ll", "_", "\x0b",
+        "\x1c", "😀"
+    ]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 300))) for _ in range(n)] + ["a" * 3000, " " * 2000, "' " * 900, "中文。" * 500]
 
 
@@ -314,7 +325,13 @@ def test_fuzzy_notices():
     assert licenses.scan_text(b"under the patch icense, a permit license, emit licenses")["spans"] == []
 
 
-@pytest.mark.parametrize(("text", "label"), [("SPDX-License-Identifier: MIT", "mit"), ("under the MIT License.", "mit"), ("licensed under Apache License, Version 2.0", "apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "gpl-2.0-or-later")])
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("SPDX-License-Identifier: MIT", "mit"), ("under the MIT License.", "mit"), ("licensed under Apache License, Version 2.0", "apache-2.0"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "gpl-2.0-or-later")
+    ]
+)
 def test_names_and_identifiers(text, label):
     assert label in {s["label"] for s in licenses.scan_text(text.encode())["spans"]}
 
@@ -380,7 +397,10 @@ def test_quality_and_mixing_equal_sql(spark, docs):
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data()}/documents.parquet'")
-    for got, sql in ((quality.judge(docs).drop("lang", "source", "n_lines"), quality.SQL), (mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken"), mixing.SQL)):
+    for got, sql in (
+        (quality.judge(docs).drop("lang", "source", "n_lines"), quality.SQL),
+        (mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken"), mixing.SQL)
+    ):
         want = con.sql(sql)
         assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
 
@@ -403,7 +423,9 @@ def test_each_quality_fence_rejects(spark):
         (1002, " ".join(fresh(75) + passage + fresh(75) + passage)),
         (1003, " ".join(w * 6 for w in fresh(200))),
     ]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(
+        [(*r, "en", "a") for r in rows], "doc_id long, text string, lang string, source string"
+    )).collect()}
     assert got[1002].n_repeat_words * 4 == got[1002].n_words
     assert not any(r.base_failed for r in got.values()) and [i for i, r in sorted(got.items()) if not r.kept] == [1000, 1001, 1002, 1003]
 
