@@ -18,12 +18,21 @@ def assign_splits(images: DataFrame) -> DataFrame:
     rows = images.select("image_id").distinct().withColumn("split", split_of(F.col("image_id")))
     train = F.col("split") == "train"
     last = rows.where(train).orderBy(F.desc("image_id")).limit(2).agg(F.array_sort(F.collect_list("image_id")).alias("last"))
-    n = rows.agg(F.count("*").alias("n"), F.count_if(train).alias("train"), F.count_if(F.col("split") == "valid").alias("valid"), F.count_if(F.col("split") == "test").alias("test")).crossJoin(last)
+    n = rows.agg(
+        F.count("*").alias("n"), F.count_if(train).alias("train"), F.count_if(F.col("split") == "valid").alias("valid"),
+        F.count_if(F.col("split") == "test").alias("test")
+    ).crossJoin(last)
     needs_v, needs_t = (F.col("n") >= 3) & (F.col("valid") == 0) & (F.col("train") > 1), (F.col("n") >= 3) & (F.col("test") == 0)
     takes_t = needs_t & (F.col("train") - needs_v.cast("int") > 1)
-    plan = n.select(F.when(needs_v, F.element_at("last", -1)).alias("to_valid"), F.when(takes_t & needs_v, F.try_element_at("last", F.lit(-2))).when(takes_t, F.element_at("last", -1)).alias("to_test"))
+    plan = n.select(
+        F.when(needs_v, F.element_at("last", -1)).alias("to_valid"),
+        F.when(takes_t & needs_v, F.try_element_at("last", F.lit(-2))).when(takes_t, F.element_at("last", -1)).alias("to_test")
+    )
     out = rows.crossJoin(F.broadcast(plan))  # one row
-    return out.select("image_id", F.when(F.col("image_id") == F.col("to_valid"), "valid").when(F.col("image_id") == F.col("to_test"), "test").otherwise(F.col("split")).alias("split"))
+    return out.select(
+        "image_id",
+        F.when(F.col("image_id") == F.col("to_valid"), "valid").when(F.col("image_id") == F.col("to_test"), "test").otherwise(F.col("split")).alias("split")
+    )
 
 
 def class_index(labels: DataFrame, first: int = 0) -> DataFrame:
@@ -70,7 +79,10 @@ def number_within(rows: DataFrame, part: str, order: list[str], name: str) -> Da
 def ocr_crops(texts: DataFrame, pad: int = 3) -> DataFrame:
     """The pixel window x0, y0, x1, y1 of each text crop: whole pixels, padded, within the tile's lower edge; empty ones go."""
     g = [F.bround(c, 0).cast("long") for c in G.quad("g")]
-    out = texts.withColumns({"x0": F.greatest(F.lit(0), g[0] - pad), "y0": F.greatest(F.lit(0), g[1] - pad), "x1": F.least(g[0] + g[2] + pad, F.col("tw").cast("long")), "y1": F.least(g[1] + g[3] + pad, F.col("th").cast("long"))})
+    out = texts.withColumns({
+        "x0": F.greatest(F.lit(0), g[0] - pad), "y0": F.greatest(F.lit(0), g[1] - pad), "x1": F.least(g[0] + g[2] + pad, F.col("tw").cast("long")),
+        "y1": F.least(g[1] + g[3] + pad, F.col("th").cast("long"))
+    })
     return out.where("x1 > x0 AND y1 > y0")
 
 
@@ -131,14 +143,19 @@ def build(images: DataFrame, detections: DataFrame, grid: DataFrame, ratio: floa
     coco = coco_rows(arrows, names).join(numbered.select("name", F.col("id").alias("image")), "name")
     coco = number_within(coco, "split", ["image_id", "tile_id", "item_idx"], "id")
     placeholder = rows.sparkSession.createDataFrame([(0, "annotation-lines", "none")], "id long, name string, supercategory string")
-    categories = placeholder.unionByName(names.select(F.col("idx").cast("long").alias("id"), F.col("label").alias("name"), F.lit("annotation-lines").alias("supercategory")))
+    categories = placeholder.unionByName(names.select(
+        F.col("idx").cast("long").alias("id"), F.col("label").alias("name"), F.lit("annotation-lines").alias("supercategory")
+    ))
     crop = F.concat(F.lit("ocr/crops/"), "name", F.lit("_"), F.col("item_idx").cast("string"), F.lit(".png"))
     summary = manifest(rows).crossJoin(tiles.agg(*[F.count_if(F.col("split") == k).alias(f"{k}_tiles") for k in ("train", "valid", "test")]))  # one row each
     return TrainingSet(
         tiles,
         rows.select("split", "name", "kind", "item_idx", *[f"g{i}" for i in range(4)], "label"),
         yolo_files(yolo_rows(objects, class_index(objects)), tiles),
-        numbered.join(F.broadcast(sizes), "tile_id").select("split", "id", F.concat("name", F.lit(".png")).alias("file_name"), F.col("tw").cast("int").alias("width"), F.col("th").cast("int").alias("height")),
+        numbered.join(F.broadcast(sizes), "tile_id").select(
+            "split", "id", F.concat("name", F.lit(".png")).alias("file_name"), F.col("tw").cast("int").alias("width"),
+            F.col("th").cast("int").alias("height")
+        ),
         coco.select("split", "id", F.col("image").alias("image_id"), F.col("idx").alias("category_id"), F.array(*"xywh").alias("bbox"), "area"),
         categories,
         ocr_crops(texts).select("split", crop.alias("crop"), F.col("label").alias("text"), F.col("name").alias("tile"), "x0", "y0", "x1", "y1"),

@@ -19,12 +19,21 @@ def profile(detections: DataFrame, tiles: DataFrame, by: tuple = ("page",)) -> D
     counts = detections.groupBy(*by, "kind", "label").agg(F.count("*").alias("n"), F.sum("confidence").alias("conf"), F.count("confidence").alias("with_conf"))
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
     entries = lambda k: F.collect_list(F.when(F.col("kind") == k, F.struct("label", "n")))
-    per = counts.groupBy(*by).agg(of("object").alias("no"), of("arrow").alias("na"), of("ocr").alias("nt"), (F.sum("conf") / F.sum("with_conf")).alias("mean_confidence"), entries("object").alias("eo"), entries("arrow").alias("ea"))
+    per = counts.groupBy(*by).agg(
+        of("object").alias("no"), of("arrow").alias("na"), of("ocr").alias("nt"), (F.sum("conf") / F.sum("with_conf")).alias("mean_confidence"),
+        entries("object").alias("eo"), entries("arrow").alias("ea")
+    )
     out = tiles.join(per, [*by], "left")
-    share = lambda e, n: F.coalesce(F.map_from_entries(F.transform(F.array_sort(e), lambda x: F.struct(x["label"].alias("key"), (x["n"] / n).alias("value")))), F.create_map().cast("map<string,double>"))
+    share = lambda e, n: F.coalesce(
+        F.map_from_entries(F.transform(F.array_sort(e), lambda x: F.struct(x["label"].alias("key"), (x["n"] / n).alias("value")))),
+        F.create_map().cast("map<string,double>")
+    )
     n = F.greatest(F.col("n_tiles"), F.lit(1))
     rate = lambda c: F.coalesce(F.col(c), F.lit(0)) / n
-    return out.select(*by, "n_tiles", share("eo", F.col("no")).alias(DISTS[0]), share("ea", F.col("na")).alias(DISTS[1]), rate("no").alias(RATES[0]), rate("na").alias(RATES[1]), rate("nt").alias(RATES[2]), "mean_confidence")
+    return out.select(
+        *by, "n_tiles", share("eo", F.col("no")).alias(DISTS[0]), share("ea", F.col("na")).alias(DISTS[1]), rate("no").alias(RATES[0]),
+        rate("na").alias(RATES[1]), rate("nt").alias(RATES[2]), "mean_confidence"
+    )
 
 
 def psi(expected: Column, actual: Column) -> Column:
@@ -49,7 +58,9 @@ def compare(pairs: DataFrame, s: Settings, baseline: str = "baseline", current:
         "object_class_psi": psi(b[DISTS[0]], c[DISTS[0]]),
         "arrow_class_psi": psi(b[DISTS[1]], c[DISTS[1]]),
         **{f"{r}_shift": rate_shift(b[r], c[r]) for r in RATES},
-        "confidence_drop": F.when((b["mean_confidence"] != 0) & (c["mean_confidence"] != 0), F.greatest(F.lit(0.0), b["mean_confidence"] - c["mean_confidence"])),
+        "confidence_drop": F.when(
+            (b["mean_confidence"] != 0) & (c["mean_confidence"] != 0), F.greatest(F.lit(0.0), b["mean_confidence"] - c["mean_confidence"])
+        ),
     }
     out = pairs.withColumns({k: F.when(~none, v) for k, v in m.items()})
     limit = lambda k: s.psi_threshold if k.endswith("_psi") else s.shift_limit if k.endswith("_shift") else s.drop_limit
@@ -61,7 +72,10 @@ def average(profiles: DataFrame, by: tuple = ()) -> DataFrame:
     """One profile per `by`: plain means over profiles with tiles; a class that a profile lacks counts 0 there, missing
     mean confidences are left out, tiles are added up."""
     rows = profiles.where("n_tiles > 0")
-    base = rows.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n_tiles").alias("n_tiles"), *[F.avg(r).alias(r) for r in RATES], F.avg("mean_confidence").alias("mean_confidence"))
+    base = rows.groupBy(*by).agg(
+        F.count("*").alias("k"), F.sum("n_tiles").alias("n_tiles"), *[F.avg(r).alias(r) for r in RATES],
+        F.avg("mean_confidence").alias("mean_confidence")
+    )
     out = base
     for d in DISTS:
         sums = rows.select(*by, F.explode(d).alias("c", "v")).groupBy(*by, "c").agg(F.sum("v").alias("v"))

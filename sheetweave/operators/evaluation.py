@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def character_errors(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """One row (cer, exact, n) over (truth, read): edits over characters of the truth (1 at least each)."""
     rows = pairs.limit(limit) if limit else pairs
-    return rows.agg((F.sum(F.levenshtein("truth", "read")) / F.sum(F.greatest(F.lit(1), F.length("truth")))).alias("cer"), F.avg((F.col("truth") == F.col("read")).cast("double")).alias("exact"), F.count("*").alias("n"))
+    return rows.agg(
+        (F.sum(F.levenshtein("truth", "read")) / F.sum(F.greatest(F.lit(1), F.length("truth")))).alias("cer"),
+        F.avg((F.col("truth") == F.col("read")).cast("double")).alias("exact"), F.count("*").alias("n")
+    )
 
 
 def promotions(versions: DataFrame) -> DataFrame:

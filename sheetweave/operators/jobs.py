@@ -15,7 +15,11 @@ def job_state(events: DataFrame) -> DataFrame:
     """The current row of each job from (job_id, ts, status, error): last by time, a later state before an earlier at one time."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("status"))
     at = F.struct("ts", rank)
-    return events.groupBy("job_id").agg(F.max_by("status", at).alias("status"), F.max_by("error", at).alias("error"), F.min("ts").alias("created_at"), F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"), F.max(F.when(F.col("status").isin("succeeded", "failed"), F.col("ts"))).alias("finished_at"))
+    return events.groupBy("job_id").agg(
+        F.max_by("status", at).alias("status"), F.max_by("error", at).alias("error"), F.min("ts").alias("created_at"),
+        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
+        F.max(F.when(F.col("status").isin("succeeded", "failed"), F.col("ts"))).alias("finished_at")
+    )
 
 
 def recent_jobs(jobs: DataFrame, status: str | None = None, limit: int = 20) -> DataFrame:

@@ -63,7 +63,9 @@ def seam_candidates(cands: DataFrame, s: Settings, by: tuple = BY) -> DataFrame:
 
 def active_pairs(near: DataFrame, by: tuple = BY) -> DataFrame:
     """(by, pair_ord) with candidates, of any kind, on both sides."""
-    return near.groupBy(*by, "pair_ord").agg(F.max(F.col("side") == "a").alias("l"), F.max(F.col("side") == "b").alias("r")).where("l AND r").select(*by, "pair_ord")
+    return near.groupBy(*by, "pair_ord").agg(
+        F.max(F.col("side") == "a").alias("l"), F.max(F.col("side") == "b").alias("r")
+    ).where("l AND r").select(*by, "pair_ord")
 
 
 def _cut(over: G.Quad) -> dict[str, Column]:
@@ -117,7 +119,9 @@ def _matched(near: DataFrame, kind: str, s: Settings, by: tuple) -> DataFrame:
         known["h"] = g[3]
     known["orientation"] = F.col("orientation")
     # Two items that match come within reach of each other along the seam, so they share the band in which the later begins.
-    along = F.when(F.col("orientation") == "vertical", F.struct(b[1].alias("lo"), (b[1] + b[3]).alias("hi"))).otherwise(F.struct(b[0].alias("lo"), (b[0] + b[2]).alias("hi")))
+    along = F.when(
+        F.col("orientation") == "vertical", F.struct(b[1].alias("lo"), (b[1] + b[3]).alias("hi"))
+    ).otherwise(F.struct(b[0].alias("lo"), (b[0] + b[2]).alias("hi")))
     known |= {"lo": along["lo"] - reach, "hi": along["hi"] + reach}
     keys = [*by, "pair_ord"]
     ends = rows.select(*keys, "side", "uid", F.struct(*[v.alias(k) for k, v in known.items()]).alias("k"))
@@ -193,12 +197,17 @@ def grouped(cands: DataFrame, roots: DataFrame, by: tuple = BY) -> DataFrame:
 
 def vote(members: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, label): most summed confidence (0.5 where null), then longest, then first seen. Sums are exact decimals."""
-    each = members.groupBy(*keys, "label").agg(F.sum(F.coalesce(F.col("confidence"), F.lit(0.5)).cast("decimal(18,6)")).alias("score"), F.min("ord").alias("first"))
+    each = members.groupBy(*keys, "label").agg(
+        F.sum(F.coalesce(F.col("confidence"), F.lit(0.5)).cast("decimal(18,6)")).alias("score"), F.min("ord").alias("first")
+    )
     return each.groupBy(*keys).agg(F.max_by("label", F.struct("score", F.length("label"), -F.col("first"))).alias("label"))
 
 
 def _seen() -> list[Column]:
-    return [F.min("ord").alias("group_ord"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("tile_id")).alias("source_tiles"), F.count("*").alias("members")]
+    return [
+        F.min("ord").alias("group_ord"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("tile_id")).alias("source_tiles"),
+        F.count("*").alias("members")
+    ]
 
 
 def _around() -> list[Column]:
@@ -239,7 +248,9 @@ def fuse_arrows(members: DataFrame, by: tuple = BY) -> DataFrame:
 
     g = G.quad("g")
     rows = rows.withColumns({"_a": at(g[0], g[1]), "_b": at(g[2], g[3])})
-    out = rows.groupBy(*keys).agg(F.min(F.least("_a", "_b")).alias("lo"), F.max(F.greatest("_a", "_b")).alias("hi"), F.min_by(line, "ord").alias("one"), *_seen())
+    out = rows.groupBy(*keys).agg(
+        F.min(F.least("_a", "_b")).alias("lo"), F.max(F.greatest("_a", "_b")).alias("hi"), F.min_by(line, "ord").alias("one"), *_seen()
+    )
     single = F.col("members") == 1
     ends = (F.col("lo.x"), F.col("lo.y"), F.col("hi.x"), F.col("hi.y"))
     out = out.withColumns({f"g{i}": F.when(single, F.col(f"one.g{i}")).otherwise(e) for i, e in enumerate(ends)}).drop("lo", "hi", "one")

@@ -147,7 +147,9 @@ def merge_pages(detections: DataFrame, s: Settings, by: tuple = merging.BY, ask:
     if ask is None and not s.llm_url:
         raise ValueError("the llm merge backend needs SHEETWEAVE_LLM_URL")
     near = kept(near)
-    decided = kept(decide_pairs(near, merging.match_edges(near, s, by), ask or ChatModel(s.llm_url, s.llm_model, s.llm_key, s.llm_timeout), by, s.prompt_version))
+    decided = kept(decide_pairs(
+        near, merging.match_edges(near, s, by), ask or ChatModel(s.llm_url, s.llm_model, s.llm_key, s.llm_timeout), by, s.prompt_version
+    ))
     real = decided.where("src IS NOT NULL")
     merged = kept(merging.merge(kept_rows, s, by, decisions=real.where("kind <> 'call'"), labels=merge_labels(real.where("kind <> 'call'"), by)))
     calls = decided.where("kind = 'call'").groupBy(*by).agg(F.count("*").alias("llm_calls"), F.count_if("failed").alias("llm_failures"))
@@ -204,7 +206,9 @@ def decide_pairs(near: DataFrame, hints: DataFrame, ask: Callable[[str, str], st
 
 def merge_labels(decisions: DataFrame, by: tuple = merging.BY) -> DataFrame:
     """(by, uid, label): the label of each id; the last merging pair wins over earlier ones, any merge over a relabel."""
-    merges = decisions.where("src <> dst AND label IS NOT NULL").select(*by, F.explode(F.array("src", "dst")).alias("uid"), "label", (F.col("pair_ord") + 1_000_000_000).alias("rank"))
+    merges = decisions.where("src <> dst AND label IS NOT NULL").select(
+        *by, F.explode(F.array("src", "dst")).alias("uid"), "label", (F.col("pair_ord") + 1_000_000_000).alias("rank")
+    )
     alone = decisions.where("src = dst").select(*by, F.col("src").alias("uid"), "label", (-F.col("pair_ord")).alias("rank"))
     return merges.unionByName(alone).groupBy(*by, "uid").agg(F.max_by("label", "rank").alias("label"))
 

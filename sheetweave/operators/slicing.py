@@ -21,10 +21,17 @@ def _axis(start: Column, size: Column, length: int, s: Settings, inclusive: bool
 def _over_tiles(items: DataFrame, box: G.Quad, s: Settings, inclusive: bool = False) -> DataFrame:
     """items once for each tile their box meets, with tile_idx, tile_id and the tile's box t0..t3."""
     across = len(tile_starts(s.canvas_width, s.tile_size, s.tile_overlap))
-    rows = items.withColumn("_x", F.explode(_axis(box[0], box[2], s.canvas_width, s, inclusive))).withColumn("_y", F.explode(_axis(box[1], box[3], s.canvas_height, s, inclusive)))
+    rows = items.withColumn("_x", F.explode(_axis(box[0], box[2], s.canvas_width, s, inclusive))).withColumn(
+        "_y", F.explode(_axis(box[1], box[3], s.canvas_height, s, inclusive))
+    )
     idx = F.col("_y.n") * across + F.col("_x.n")
-    tile = (F.col("_x.at"), F.col("_y.at"), F.least(F.lit(s.tile_size), F.lit(s.canvas_width) - F.col("_x.at")), F.least(F.lit(s.tile_size), F.lit(s.canvas_height) - F.col("_y.at")))
-    return rows.withColumns({"tile_idx": idx, "tile_id": F.format_string("Tile_%03d", idx + 1), **{f"t{i}": v.cast("double") for i, v in enumerate(tile)}}).drop("_x", "_y")
+    tile = (
+        F.col("_x.at"), F.col("_y.at"), F.least(F.lit(s.tile_size), F.lit(s.canvas_width) - F.col("_x.at")),
+        F.least(F.lit(s.tile_size), F.lit(s.canvas_height) - F.col("_y.at"))
+    )
+    return rows.withColumns({
+        "tile_idx": idx, "tile_id": F.format_string("Tile_%03d", idx + 1), **{f"t{i}": v.cast("double") for i, v in enumerate(tile)}
+    }).drop("_x", "_y")
 
 
 def slice_boxes(items: DataFrame, s: Settings, min_visible: float) -> DataFrame:

@@ -25,14 +25,19 @@ def starts_column(length: Column, tile: Column, overlap: Column) -> Column:
 def tile_grid(spark: SparkSession, s: Settings) -> DataFrame:
     """(idx, tile_id, row, col, tx, ty, tw, th), row by row. A few rows, fixed by the settings."""
     xs, ys = (tile_starts(n, s.tile_size, s.tile_overlap) for n in (s.canvas_width, s.canvas_height))
-    rows = [(r * len(xs) + c, f"Tile_{r * len(xs) + c + 1:03d}", r, c, x, y, min(s.tile_size, s.canvas_width - x), min(s.tile_size, s.canvas_height - y)) for r, y in enumerate(ys) for c, x in enumerate(xs)]
+    rows = [(
+        r * len(xs) + c, f"Tile_{r * len(xs) + c + 1:03d}", r, c, x, y, min(s.tile_size, s.canvas_width - x), min(s.tile_size, s.canvas_height - y)
+    ) for r, y in enumerate(ys) for c, x in enumerate(xs)]
     return spark.createDataFrame(rows, "idx int, tile_id string, row int, col int, tx int, ty int, tw int, th int")
 
 
 def tile_pairs(grid: DataFrame, margin: int) -> DataFrame:
     """Tiles that share a row or column and overlap or abut: (pair_ord, a, b, orientation, o0..o3 overlap, s0..s3 seam)."""
     def side(t):
-        return grid.select(F.col("idx").alias(f"{t}i"), F.col("tile_id").alias(t), *[F.col(c).cast("double").alias(f"{t}{k}") for k, c in enumerate(("tx", "ty", "tw", "th"))])
+        return grid.select(
+            F.col("idx").alias(f"{t}i"), F.col("tile_id").alias(t),
+            *[F.col(c).cast("double").alias(f"{t}{k}") for k, c in enumerate(("tx", "ty", "tw", "th"))]
+        )
     a, b = G.quad("a"), G.quad("b")
     same_row, same_col = a[1] == b[1], a[0] == b[0]
     (ax, ay, ax2, ay2), (bx, by, bx2, by2) = G.corners(a), G.corners(b)
@@ -55,4 +60,6 @@ def canvas_fit(pages: DataFrame, s: Settings) -> DataFrame:
     out = pages.withColumn("rotated", turned).withColumn("scale", F.least(F.lit(float(s.canvas_width)) / w, F.lit(float(s.canvas_height)) / h))
     new = lambda v: F.greatest(F.lit(1), F.bround(v * F.col("scale"), 0).cast("int"))
     out = out.withColumns({"new_w": new(w), "new_h": new(h)})
-    return out.withColumns({"pad_x": F.floor((s.canvas_width - F.col("new_w")) / 2).cast("int"), "pad_y": F.floor((s.canvas_height - F.col("new_h")) / 2).cast("int")})
+    return out.withColumns({
+        "pad_x": F.floor((s.canvas_width - F.col("new_w")) / 2).cast("int"), "pad_y": F.floor((s.canvas_height - F.col("new_h")) / 2).cast("int")
+    })

@@ -30,7 +30,10 @@ def truth(spark: SparkSession, sf_dir: str, kind: str, page: str = PAGE) -> Data
         g = ("(event_id * 7907) % 3800", "(event_id * 5987 + user_id * 97) % 2700", "60 + (event_id * 13) % 200", "16 + (event_id * 7) % 30")
         label = "concat('M', CAST(event_id % 97 AS STRING), ' ', upper(event_type))"
     else:
-        g = ("(event_id * 7901) % 3000", "(event_id * 5981 + user_id * 89) % 2800", "(event_id * 7901) % 3000 + 200 + (event_id * 29) % 880", "(event_id * 5981 + user_id * 89) % 2800 + event_id % 3")
+        g = (
+            "(event_id * 7901) % 3000", "(event_id * 5981 + user_id * 89) % 2800", "(event_id * 7901) % 3000 + 200 + (event_id * 29) % 880",
+            "(event_id * 5981 + user_id * 89) % 2800 + event_id % 3"
+        )
         label = "CASE WHEN event_id % 4 = 0 THEN 'leader_line' ELSE 'dimension_line' END"
     geometry = [f"CAST({x} AS DOUBLE) AS g{i}" for i, x in enumerate(g)]
     return e.selectExpr(f"{page} AS page", "event_id AS id", f"'{kind}' AS kind", *geometry, f"{label} AS label", f"{conf} AS confidence")

@@ -5,7 +5,8 @@ from __future__ import annotations
 GRID = """
 xs AS (SELECT unnest(list_distinct(list_append(range(0, 3072, 896), 3072))) AS tx),
 ys AS (SELECT unnest(list_distinct(list_append(range(0, 1872, 896), 1872))) AS ty),
-grid AS (SELECT row_number() OVER (ORDER BY ty, tx) - 1 AS idx, printf('Tile_%03d', row_number() OVER (ORDER BY ty, tx)) AS tile_id, CAST(tx AS DOUBLE) AS tx, CAST(ty AS DOUBLE) AS ty FROM xs, ys)"""
+grid AS (SELECT row_number() OVER (ORDER BY ty, tx) - 1 AS idx, printf('Tile_%03d', row_number() OVER (ORDER BY ty, tx)) AS tile_id, CAST(tx AS DOUBLE) AS tx, CAST(ty AS DOUBLE) AS ty
+  FROM xs, ys)"""
 PAIRS = """
 pairs AS (
   SELECT a.idx * 10000 + b.idx AS pair_ord, a.tile_id AS a, b.tile_id AS b, CASE WHEN a.ty = b.ty THEN 'vertical' ELSE 'horizontal' END AS orientation,
@@ -36,16 +37,20 @@ def sliced(kind: str, page: str = PAGE) -> str:
     """sl: page, id, idx, tile_id, tx, ty, g0..g3 (tile pixels), label, confidence, item_idx"""
     if kind == "arrow":
         body = """
-p AS (SELECT tru.*, grid.*, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least((tx - x1)/(x2-x1), (tx+1024-x1)/(x2-x1)), CASE WHEN y1 = y2 THEN 0 ELSE least((ty-y1)/(y2-y1), (ty+1024-y1)/(y2-y1)) END) AS t0,
+p AS (SELECT tru.*, grid.*, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least((tx - x1)/(x2-x1), (tx+1024-x1)/(x2-x1)), CASE WHEN y1 = y2 THEN 0
+  ELSE least((ty-y1)/(y2-y1), (ty+1024-y1)/(y2-y1)) END) AS t0,
       least(1, greatest((tx - x1)/(x2-x1), (tx+1024-x1)/(x2-x1)), CASE WHEN y1 = y2 THEN 1 ELSE greatest((ty-y1)/(y2-y1), (ty+1024-y1)/(y2-y1)) END) AS t1
       FROM tru, grid WHERE y1 <> y2 OR (y1 >= ty AND y1 <= ty + 1024)),
 q AS (SELECT *, x1+t0*dx AS cx1, y1+t0*dy AS cy1, x1+t1*dx AS cx2, y1+t1*dy AS cy2 FROM p WHERE t0 <= t1),
-s0 AS (SELECT page, id, idx, tile_id, tx, ty, cx1-tx AS g0, cy1-ty AS g1, cx2-tx AS g2, cy2-ty AS g3, label, confidence FROM q WHERE sqrt((cx2-cx1)*(cx2-cx1)+(cy2-cy1)*(cy2-cy1)) >= 10)"""
+s0 AS (SELECT page, id, idx, tile_id, tx, ty, cx1-tx AS g0, cy1-ty AS g1, cx2-tx AS g2, cy2-ty AS g3, label, confidence FROM q
+  WHERE sqrt((cx2-cx1)*(cx2-cx1)+(cy2-cy1)*(cy2-cy1)) >= 10)"""
     else:
         seen = 0.9 if kind == "ocr" else 0.3
         body = f"""
-q AS (SELECT tru.*, grid.*, greatest(x, tx) AS vx, greatest(y, ty) AS vy, least(x+w, tx+1024) - greatest(x, tx) AS vw, least(y+h, ty+1024) - greatest(y, ty) AS vh FROM tru, grid),
-s0 AS (SELECT page, id, idx, tile_id, tx, ty, vx-tx AS g0, vy-ty AS g1, vw AS g2, vh AS g3, label, confidence FROM q WHERE vw > 0 AND vh > 0 AND vw*vh >= {seen}::DOUBLE*(w*h))"""
+q AS (SELECT tru.*, grid.*, greatest(x, tx) AS vx, greatest(y, ty) AS vy, least(x+w, tx+1024) - greatest(x, tx) AS vw, least(y+h, ty+1024) - greatest(y, ty) AS vh
+  FROM tru, grid),
+s0 AS (SELECT page, id, idx, tile_id, tx, ty, vx-tx AS g0, vy-ty AS g1, vw AS g2, vh AS g3, label, confidence FROM q
+  WHERE vw > 0 AND vh > 0 AND vw*vh >= {seen}::DOUBLE*(w*h))"""
     return f"{GRID}, {truth(kind, page)}, {body}, sl AS (SELECT *, row_number() OVER (PARTITION BY page, tile_id ORDER BY id) - 1 AS item_idx FROM s0)"
 
 
@@ -60,9 +65,11 @@ def near(kind: str, page: str = PAGE) -> str:
     else:
         geom, box = "g0+tx AS g0, g1+ty AS g1, g2, g3", "g0 AS b0, g1 AS b1, g2 AS b2, g3 AS b3"
     return f"""{sliced(kind, page)}, {PAIRS},
-c0 AS (SELECT page, tile_id, tile_id || ':{kind}:' || item_idx AS uid, (idx*3+{RANK[kind]})*1000000+item_idx AS ord, {geom}, label, confidence FROM sl WHERE confidence >= {LEAST[kind]}::DOUBLE),
+c0 AS (SELECT page, tile_id, tile_id || ':{kind}:' || item_idx AS uid, (idx*3+{RANK[kind]})*1000000+item_idx AS ord, {geom}, label, confidence FROM sl
+  WHERE confidence >= {LEAST[kind]}::DOUBLE),
 c AS (SELECT *, {box} FROM c0),
-n AS (SELECT c.*, p.pair_ord, p.orientation, p.o0, p.o1, p.o2, p.o3, CASE WHEN c.tile_id = p.a THEN 'a' ELSE 'b' END AS side FROM c JOIN pairs p ON c.tile_id IN (p.a, p.b)
+n AS (SELECT c.*, p.pair_ord, p.orientation, p.o0, p.o1, p.o2, p.o3, CASE WHEN c.tile_id = p.a THEN 'a' ELSE 'b' END AS side FROM c
+  JOIN pairs p ON c.tile_id IN (p.a, p.b)
       WHERE least(b0+b2+1, o0+o2+48) > greatest(b0-1, o0-48) AND least(b1+b3+1, o1+o3+48) > greatest(b1-1, o1-48))"""
 
 
@@ -78,7 +85,8 @@ def _cut(p: str, out: str) -> str:
 def edges(kind: str, page: str = PAGE) -> str:
     """e: page, pair_ord, src, dst"""
     pairs = f"""ab AS (SELECT a.page, a.pair_ord, a.orientation, a.uid AS src, b.uid AS dst, a.g0 AS p0, a.g1 AS p1, a.g2 AS p2, a.g3 AS p3, b.g0 AS q0, b.g1 AS q1, b.g2 AS q2, b.g3 AS q3{', ' + _cut('a', 'u') + ', ' + _cut('b', 'v') if kind != 'arrow' else ''}
-      FROM (SELECT * FROM n WHERE side = 'a') a JOIN (SELECT page, pair_ord, uid, g0, g1, g2, g3 FROM n WHERE side = 'b') b ON a.page = b.page AND a.pair_ord = b.pair_ord)"""
+      FROM (SELECT * FROM n WHERE side = 'a') a JOIN (SELECT page, pair_ord, uid, g0, g1, g2, g3 FROM n
+      WHERE side = 'b') b ON a.page = b.page AND a.pair_ord = b.pair_ord)"""
     clipped = f"(u2 > 0 AND u3 > 0 AND v2 > 0 AND v3 > 0 AND {_iou('u', 'v')} >= 0.5)"
     if kind == "object":
         rule = f"{clipped} OR {_iou('p', 'q')} >= 0.5"
@@ -109,24 +117,30 @@ m AS (SELECT c.*, coalesce(lab.root, c.uid) AS root FROM c LEFT JOIN lab ON c.pa
 VOTE = """
 v0 AS (SELECT page, root, label, sum(coalesce(confidence, 0.5)::DECIMAL(18,6)) AS score, min(ord) AS first FROM m GROUP BY page, root, label),
 v AS (SELECT page, root, label FROM v0 QUALIFY row_number() OVER (PARTITION BY page, root ORDER BY score DESC, length(label) DESC, first) = 1)"""
-FUSED = "min(ord) AS group_ord, max(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(tile_id))), ',') AS source_tiles, count(*) AS members"
+FUSED = """min(ord) AS group_ord, max(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(tile_id))), ',') AS source_tiles, count(*) AS members"""
 
 MERGE_OBJECTS = f"""WITH RECURSIVE {members('object')}, {VOTE},
 f AS (SELECT page, root, min(g0) AS g0, min(g1) AS g1, max(g0+g2)-min(g0) AS g2, max(g1+g3)-min(g1) AS g3, {FUSED} FROM m GROUP BY page, root)
 SELECT f.page, f.root, g0, g1, g2, g3, v.label, confidence, source_tiles, members FROM f JOIN v USING (page, root)"""
 
 MERGE_ARROWS = f"""WITH RECURSIVE {members('arrow')}, {VOTE},
-ref AS (SELECT page, root, g0 AS r0, g1 AS r1, g2 AS r2, g3 AS r3 FROM m QUALIFY row_number() OVER (PARTITION BY page, root ORDER BY sqrt((g2-g0)*(g2-g0)+(g3-g1)*(g3-g1)) DESC, ord) = 1),
+ref AS (SELECT page, root, g0 AS r0, g1 AS r1, g2 AS r2, g3 AS r3 FROM m
+  QUALIFY row_number() OVER (PARTITION BY page, root ORDER BY sqrt((g2-g0)*(g2-g0)+(g3-g1)*(g3-g1)) DESC, ord) = 1),
 pts AS (SELECT page, root, g0 AS x, g1 AS y FROM m UNION ALL SELECT page, root, g2, g3 FROM m),
-pr AS (SELECT page, root, x, y, (x-r0)*((r2-r0)/sqrt((r2-r0)*(r2-r0)+(r3-r1)*(r3-r1))) + (y-r1)*((r3-r1)/sqrt((r2-r0)*(r2-r0)+(r3-r1)*(r3-r1))) AS p FROM pts JOIN ref USING (page, root)),
+pr AS (SELECT page, root, x, y, (x-r0)*((r2-r0)/sqrt((r2-r0)*(r2-r0)+(r3-r1)*(r3-r1))) + (y-r1)*((r3-r1)/sqrt((r2-r0)*(r2-r0)+(r3-r1)*(r3-r1))) AS p
+  FROM pts JOIN ref USING (page, root)),
 lo AS (SELECT page, root, x, y FROM pr QUALIFY row_number() OVER (PARTITION BY page, root ORDER BY p, x, y) = 1),
 hi AS (SELECT page, root, x, y FROM pr QUALIFY row_number() OVER (PARTITION BY page, root ORDER BY p DESC, x DESC, y DESC) = 1),
-f AS (SELECT page, root, first(g0 ORDER BY ord) AS s0, first(g1 ORDER BY ord) AS s1, first(g2 ORDER BY ord) AS s2, first(g3 ORDER BY ord) AS s3, {FUSED} FROM m GROUP BY page, root)
-SELECT f.page, f.root, round(CASE WHEN members = 1 THEN s0 ELSE lo.x END, 6) AS g0, round(CASE WHEN members = 1 THEN s1 ELSE lo.y END, 6) AS g1, round(CASE WHEN members = 1 THEN s2 ELSE hi.x END, 6) AS g2, round(CASE WHEN members = 1 THEN s3 ELSE hi.y END, 6) AS g3, v.label, confidence, source_tiles, members
+f AS (SELECT page, root, first(g0 ORDER BY ord) AS s0, first(g1 ORDER BY ord) AS s1, first(g2 ORDER BY ord) AS s2, first(g3 ORDER BY ord) AS s3, {FUSED} FROM m
+  GROUP BY page, root)
+SELECT f.page, f.root, round(CASE WHEN members = 1 THEN s0 ELSE lo.x END, 6) AS g0, round(CASE WHEN members = 1 THEN s1
+  ELSE lo.y END, 6) AS g1, round(CASE WHEN members = 1 THEN s2 ELSE hi.x END, 6) AS g2, round(CASE WHEN members = 1 THEN s3
+    ELSE hi.y END, 6) AS g3, v.label, confidence, source_tiles, members
 FROM f JOIN v USING (page, root) JOIN lo ON f.page = lo.page AND f.root = lo.root JOIN hi ON f.page = hi.page AND f.root = hi.root"""
 
 TEXT_GROUPS = f"""WITH RECURSIVE {members('ocr')}
-SELECT page, root, min(g0) AS g0, min(g1) AS g1, max(g0+g2)-min(g0) AS g2, max(g1+g3)-min(g1) AS g3, max(confidence) AS confidence, count(*) AS members FROM m GROUP BY page, root"""
+SELECT page, root, min(g0) AS g0, min(g1) AS g1, max(g0+g2)-min(g0) AS g2, max(g1+g3)-min(g1) AS g3, max(confidence) AS confidence, count(*) AS members FROM m
+  GROUP BY page, root"""
 
 def _md5(text: str) -> str:
     """The md5 of a text, as a 128-bit number, modulo 1000."""
@@ -149,7 +163,8 @@ ft AS (SELECT *, list_reduce(CASE WHEN upright THEN down ELSE across END, lambda
              AND (least(a.g0+a.g2, x.g0+x.g2)-greatest(a.g0, x.g0))*(least(a.g1+a.g3, x.g1+x.g3)-greatest(a.g1, x.g1)) >= 0.6::DOUBLE*least(a.g2*a.g3, x.g2*x.g3)
              THEN CASE WHEN length(x.label) > length(a.label) THEN x.label ELSE a.label END
            ELSE a.label || ' ' || x.label END}).label AS label FROM fm)"""
-MERGE_TEXT = f"WITH RECURSIVE {members('ocr')}, {FOLD} SELECT page, root, b0 AS g0, b1 AS g1, b2 AS g2, b3 AS g3, label, confidence, source_tiles, members FROM ft"
+MERGE_TEXT = f"""WITH RECURSIVE {members('ocr')}, {FOLD} SELECT page, root, b0 AS g0, b1 AS g1, b2 AS g2, b3 AS g3, label, confidence, source_tiles, members
+  FROM ft"""
 
 
 def _placed(kind: str, body: str) -> str:
@@ -192,9 +207,11 @@ def _page_result() -> str:
     sides = " UNION ALL ".join(f"(WITH {near(k)} SELECT page, pair_ord, side FROM n GROUP BY ALL)" for k in RANK)
     return f"""WITH pg AS (SELECT DISTINCT event_id // 25 AS page FROM events), d AS ({kept}), g AS ({groups}), sd AS ({sides}),
       t AS (SELECT page, count(DISTINCT tile_id) AS tiles, count(*) AS items FROM d GROUP BY page),
-      c AS (SELECT page, count(*) FILTER (kind = 'object') AS objects, count(*) FILTER (kind = 'ocr') AS texts, count(*) FILTER (kind = 'arrow') AS arrows FROM g GROUP BY page),
+      c AS (SELECT page, count(*) FILTER (kind = 'object') AS objects, count(*) FILTER (kind = 'ocr') AS texts, count(*) FILTER (kind = 'arrow') AS arrows FROM g
+      GROUP BY page),
       pr AS (SELECT page, count(*) AS pairs FROM (SELECT page, pair_ord FROM sd GROUP BY ALL HAVING count(DISTINCT side) = 2) GROUP BY page)
-      SELECT page, tiles, items, objects, texts, arrows, CASE WHEN objects > 0 THEN 4::BIGINT END AS corners, coalesce(pairs, 0) AS pairs, 0::BIGINT AS llm_calls
+      SELECT page, tiles, items, objects, texts, arrows, CASE WHEN objects > 0
+      THEN 4::BIGINT END AS corners, coalesce(pairs, 0) AS pairs, 0::BIGINT AS llm_calls
       FROM pg LEFT JOIN t USING (page) LEFT JOIN c USING (page) LEFT JOIN pr USING (page)"""
 
 
@@ -204,36 +221,47 @@ def _datasets() -> str:
       im AS (SELECT DISTINCT 'P' || ((event_id // 25) * 2) AS image_id FROM events UNION SELECT image_id FROM d),
       sp AS (SELECT image_id, {_md5("image_id")} AS r FROM im),
       s AS (SELECT image_id, CASE WHEN r < 800 THEN 'train' WHEN r < 900 THEN 'valid' ELSE 'test' END AS split FROM sp),
-      k AS (SELECT image_id, tile_id, count(*) FILTER (kind = 'object') AS n_lines, count(*) FILTER (kind = 'arrow') AS n_coco, count(*) FILTER (kind = 'ocr') AS n_crops FROM d GROUP BY ALL),
+      k AS (SELECT image_id, tile_id, count(*) FILTER (kind = 'object') AS n_lines, count(*) FILTER (kind = 'arrow') AS n_coco, count(*) FILTER (kind = 'ocr') AS n_crops FROM d
+      GROUP BY ALL),
       t AS (SELECT i.image_id, grid.tile_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_coco, 0) AS n_coco, coalesce(n_crops, 0) AS n_crops
             FROM (SELECT DISTINCT image_id FROM d) i CROSS JOIN grid LEFT JOIN k ON k.image_id = i.image_id AND k.tile_id = grid.tile_id),
       u AS (SELECT * FROM t WHERE n_lines + n_coco + n_crops > 0 OR {_md5("image_id || '/' || tile_id")} < 200)
-      SELECT split, image_id || '_' || tile_id AS name, n_lines, n_coco, n_crops, 1024 AS width, row_number() OVER (PARTITION BY split ORDER BY image_id, tile_id) - 1 AS coco_id FROM u JOIN s USING (image_id)"""
+      SELECT split, image_id || '_' || tile_id AS name, n_lines, n_coco, n_crops, 1024 AS width, row_number() OVER (PARTITION BY split ORDER BY image_id, tile_id) - 1 AS coco_id FROM u
+      JOIN s USING (image_id)"""
 
 
 #: One profile per user and day: classes are event types, tiles are hours with events.
 PROFILES = """
-d AS (SELECT user_id % 10 AS job, CAST(ts AS DATE) AS day, event_type AS label, CAST((event_id*37)%100 AS DOUBLE)/100 AS confidence, hour(ts) AS hr FROM events),
+d AS (SELECT user_id % 10 AS job, CAST(ts AS DATE) AS day, event_type AS label, CAST((event_id*37)%100 AS DOUBLE)/100 AS confidence, hour(ts) AS hr
+  FROM events),
 k AS (SELECT job, day, label, count(*) AS n FROM d GROUP BY ALL),
 p AS (SELECT job, day, count(DISTINCT hr) AS n_tiles, count(*) AS n, avg(confidence) AS mean_confidence FROM d GROUP BY ALL)"""
 
 
-
 ORACLES: dict[str, str] = {
-    "tile_starts": "SELECT axis, list_distinct(list_append(range(0, greatest(n - 1024, 0), 896), greatest(n - 1024, 0))).list_sort().array_to_string(',') AS starts FROM (VALUES ('a', 4096), ('b', 2896), ('c', 512), ('d', 1024), ('e', 1025)) t(axis, n)",
-    "tile_grid": f"WITH {GRID} SELECT CAST(idx AS INTEGER) AS idx, tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, 1024 AS tw, 1024 AS th FROM grid",
-    "tile_pairs": f"WITH {GRID}, {PAIRS} SELECT CAST(pair_ord AS INTEGER) AS pair_ord, a, b, orientation, o0, o1, o2, o3, o0-48 AS s0, o1-48 AS s1, o2+96 AS s2, o3+96 AS s3 FROM pairs",
+    "tile_starts": """SELECT axis, list_distinct(list_append(range(0, greatest(n - 1024, 0), 896), greatest(n - 1024, 0))).list_sort().array_to_string(',') AS starts
+      FROM (VALUES ('a', 4096), ('b', 2896), ('c', 512), ('d', 1024), ('e', 1025)) t(axis, n)""",
+    "tile_grid": f"""WITH {GRID} SELECT CAST(idx AS INTEGER) AS idx, tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, 1024 AS tw, 1024 AS th
+      FROM grid""",
+    "tile_pairs": f"""WITH {GRID}, {PAIRS} SELECT CAST(pair_ord AS INTEGER) AS pair_ord, a, b, orientation, o0, o1, o2, o3, o0-48 AS s0, o1-48 AS s1, o2+96 AS s2, o3+96 AS s3
+      FROM pairs""",
     "canvas_fit": """WITH t AS (SELECT p_partkey AS page, p_size*97 AS orig_w, (p_partkey % 90 + 1)*53 AS orig_h FROM part),
-      u AS (SELECT *, orig_h > orig_w AS rotated, greatest(orig_w, orig_h) AS w, least(orig_w, orig_h) AS h FROM t), v AS (SELECT *, least(4096.0::DOUBLE/w, 2896.0::DOUBLE/h) AS scale FROM u),
+      u AS (SELECT *, orig_h > orig_w AS rotated, greatest(orig_w, orig_h) AS w, least(orig_w, orig_h) AS h FROM t),
+      v AS (SELECT *, least(4096.0::DOUBLE/w, 2896.0::DOUBLE/h) AS scale FROM u),
       x AS (SELECT *, greatest(1, CAST(round_even(w*scale, 0) AS INTEGER)) AS new_w, greatest(1, CAST(round_even(h*scale, 0) AS INTEGER)) AS new_h FROM v)
       SELECT page, rotated, scale, new_w, new_h, CAST(floor((4096-new_w)/2.0) AS INTEGER) AS pad_x, CAST(floor((2896-new_h)/2.0) AS INTEGER) AS pad_y FROM x""",
     "coords_round_trip": "SELECT p_partkey AS page, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 31 AS DOUBLE) AS y FROM part",
-    "box_iou_pairs": f"WITH {truth('object')}, z AS (SELECT a.id AS a, b.id AS b, {_iou('a.g', 'b.g')} AS iou FROM (SELECT id, page, x AS g0, y AS g1, w AS g2, h AS g3 FROM tru) a JOIN (SELECT id, page, x AS g0, y AS g1, w AS g2, h AS g3 FROM tru) b ON a.page = b.page AND a.id < b.id) SELECT a, b, iou FROM z WHERE iou > 0",
-    "segment_box_codec": f"WITH {truth('arrow')} SELECT id, CASE WHEN w >= 3*h THEN 'level' WHEN h >= 3*w THEN 'upright' ELSE 'diagonal' END AS form, x1 AS s0, (y1+y2)/2 AS s1, x2 AS s2, (y1+y2)/2 AS s3 FROM (SELECT *, x2-x1+8 AS w, y2-y1+8 AS h FROM tru)",
+    "box_iou_pairs": f"""WITH {truth('object')}, z AS (SELECT a.id AS a, b.id AS b, {_iou('a.g', 'b.g')} AS iou
+      FROM (SELECT id, page, x AS g0, y AS g1, w AS g2, h AS g3 FROM tru) a JOIN (SELECT id, page, x AS g0, y AS g1, w AS g2, h AS g3
+      FROM tru) b ON a.page = b.page AND a.id < b.id) SELECT a, b, iou FROM z WHERE iou > 0""",
+    "segment_box_codec": f"""WITH {truth('arrow')} SELECT id, CASE WHEN w >= 3*h THEN 'level' WHEN h >= 3*w THEN 'upright'
+      ELSE 'diagonal' END AS form, x1 AS s0, (y1+y2)/2 AS s1, x2 AS s2, (y1+y2)/2 AS s3 FROM (SELECT *, x2-x1+8 AS w, y2-y1+8 AS h FROM tru)""",
     "slice_objects": f"WITH {sliced('object')} SELECT page, id, tile_id, item_idx, g0, g1, g2, g3, label FROM sl",
     "slice_text": f"WITH {sliced('ocr')} SELECT page, id, tile_id, item_idx, g0, g1, g2, g3, label FROM sl",
-    "slice_arrows": f"WITH {sliced('arrow')} SELECT page, id, tile_id, item_idx, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3, label FROM sl",
-    "apply_thresholds": f"SELECT kind, sum(n)::BIGINT AS n FROM ({' UNION ALL '.join(f'''(WITH {sliced(k)} SELECT '{k}' AS kind, count(*) AS n FROM sl WHERE confidence >= {LEAST[k]}::DOUBLE)''' for k in RANK)}) GROUP BY kind",
+    "slice_arrows": f"""WITH {sliced('arrow')} SELECT page, id, tile_id, item_idx, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3, label
+      FROM sl""",
+    "apply_thresholds": f"""SELECT kind, sum(n)::BIGINT AS n FROM ({' UNION ALL '.join(f'''(WITH {sliced(k)} SELECT '{k}' AS kind, count(*) AS n
+      FROM sl WHERE confidence >= {LEAST[k]}::DOUBLE)''' for k in RANK)}) GROUP BY kind""",
     "seam_candidates": f"WITH {near('object')} SELECT CAST(pair_ord AS INTEGER) AS pair_ord, side, count(*) AS n FROM n GROUP BY ALL",
     "active_pairs": f"WITH {near('object')} SELECT page, CAST(pair_ord AS INTEGER) AS pair_ord FROM n GROUP BY ALL HAVING count(DISTINCT side) = 2",
     "match_objects": f"WITH {edges('object')} SELECT page, CAST(pair_ord AS INTEGER) AS pair_ord, src, dst FROM e",
@@ -245,87 +273,152 @@ ORACLES: dict[str, str] = {
     "merge_arrows": MERGE_ARROWS,
     "text_groups": TEXT_GROUPS,
     "class_vote": f"WITH RECURSIVE {members('object')}, {VOTE} SELECT page, root, label FROM v",
-    "merge_report": f"WITH RECURSIVE {members('object')}, g AS (SELECT page, root, count(*) AS k FROM m GROUP BY ALL), a AS (SELECT page, pair_ord FROM n GROUP BY ALL HAVING count(DISTINCT side) = 2) SELECT page, coalesce((SELECT count(*) FROM a WHERE a.page = g.page), 0) AS pairs, count(*) FILTER (k > 1) AS merged_groups FROM g GROUP BY page",
+    "merge_report": f"""WITH RECURSIVE {members('object')}, g AS (SELECT page, root, count(*) AS k FROM m GROUP BY ALL), a AS (SELECT page, pair_ord
+      FROM n GROUP BY ALL HAVING count(DISTINCT side) = 2) SELECT page, coalesce((SELECT count(*) FROM a
+      WHERE a.page = g.page), 0) AS pairs, count(*) FILTER (k > 1) AS merged_groups FROM g GROUP BY page""",
     "page_counts": f"""SELECT page, sum(o)::BIGINT AS objects, sum(t)::BIGINT AS ocr, sum(a)::BIGINT AS arrows FROM (
-      (WITH {sliced('object')} SELECT page, 1 AS o, 0 AS t, 0 AS a FROM sl) UNION ALL (WITH {sliced('ocr')} SELECT page, 0, 1, 0 FROM sl) UNION ALL (WITH {sliced('arrow')} SELECT page, 0, 0, 1 FROM sl)) GROUP BY page""",
-    "drift_profile": f"WITH {PROFILES}, t AS (SELECT job, day, sum(n) AS total FROM k GROUP BY ALL) SELECT k.job, k.day, p.n_tiles, k.label, round(k.n/t.total, 9) AS share, round(p.n/p.n_tiles, 9) AS objects_per_tile, round(p.mean_confidence, 9) AS mean_confidence FROM k JOIN t USING (job, day) JOIN p USING (job, day)",
-    "average_profile": f"WITH {PROFILES}, t AS (SELECT job, day, sum(n) AS total FROM k GROUP BY ALL), s AS (SELECT k.job, k.label, sum(k.n/t.total) AS v FROM k JOIN t USING (job, day) GROUP BY ALL), b AS (SELECT job, count(*) AS c, sum(n_tiles)::BIGINT AS n_tiles, avg(n/n_tiles) AS objects_per_tile FROM p GROUP BY job) SELECT s.job, n_tiles, label, round(v/c, 9) AS share, round(objects_per_tile, 9) AS objects_per_tile FROM s JOIN b USING (job)",
-    "drift_compare": f"""WITH {PROFILES}, t AS (SELECT job, day, sum(n) AS total FROM k GROUP BY ALL), sh AS (SELECT k.job, k.day, k.label, k.n/t.total AS v FROM k JOIN t USING (job, day)),
-      b AS (SELECT job, label, sum(v) AS v FROM sh GROUP BY ALL), c AS (SELECT job, count(*) AS c, avg(n/n_tiles) AS r, avg(mean_confidence) AS m FROM p GROUP BY job),
+      (WITH {sliced('object')} SELECT page, 1 AS o, 0 AS t, 0 AS a FROM sl) UNION ALL (WITH {sliced('ocr')} SELECT page, 0, 1, 0 FROM sl)
+      UNION ALL (WITH {sliced('arrow')} SELECT page, 0, 0, 1 FROM sl)) GROUP BY page""",
+    "drift_profile": f"""WITH {PROFILES}, t AS (SELECT job, day, sum(n) AS total FROM k GROUP BY ALL)
+      SELECT k.job, k.day, p.n_tiles, k.label, round(k.n/t.total, 9) AS share, round(p.n/p.n_tiles, 9) AS objects_per_tile, round(p.mean_confidence, 9) AS mean_confidence FROM k
+      JOIN t USING (job, day) JOIN p USING (job, day)""",
+    "average_profile": f"""WITH {PROFILES}, t AS (SELECT job, day, sum(n) AS total FROM k GROUP BY ALL),
+      s AS (SELECT k.job, k.label, sum(k.n/t.total) AS v FROM k JOIN t USING (job, day) GROUP BY ALL),
+      b AS (SELECT job, count(*) AS c, sum(n_tiles)::BIGINT AS n_tiles, avg(n/n_tiles) AS objects_per_tile FROM p GROUP BY job)
+      SELECT s.job, n_tiles, label, round(v/c, 9) AS share, round(objects_per_tile, 9) AS objects_per_tile FROM s JOIN b USING (job)""",
+    "drift_compare": f"""WITH {PROFILES}, t AS (SELECT job, day, sum(n) AS total FROM k GROUP BY ALL),
+      sh AS (SELECT k.job, k.day, k.label, k.n/t.total AS v FROM k JOIN t USING (job, day)),
+      b AS (SELECT job, label, sum(v) AS v FROM sh GROUP BY ALL), c AS (SELECT job, count(*) AS c, avg(n/n_tiles) AS r, avg(mean_confidence) AS m
+      FROM p GROUP BY job),
       keys AS (SELECT p.job, p.day, l.label FROM p, (SELECT DISTINCT label FROM k) l),
       z AS (SELECT keys.job, keys.day, sum((greatest(coalesce(sh.v,0),1e-4)-greatest(coalesce(b.v/c.c,0),1e-4))*ln(greatest(coalesce(sh.v,0),1e-4)/greatest(coalesce(b.v/c.c,0),1e-4))) AS psi
-            FROM keys JOIN c ON c.job = keys.job LEFT JOIN b ON b.job = keys.job AND b.label = keys.label LEFT JOIN sh ON sh.job = keys.job AND sh.day = keys.day AND sh.label = keys.label GROUP BY ALL),
-      y AS (SELECT p.job, p.day, psi, abs(p.n/p.n_tiles-c.r)/greatest((p.n/p.n_tiles+c.r)/2, 1e-4) AS shift, greatest(0, c.m-p.mean_confidence) AS lost, p.job % 4 <> 3 AS known FROM p JOIN z USING (job, day) JOIN c USING (job))
-      SELECT job, day, CASE WHEN known THEN round(psi, 7) END AS object_class_psi, CASE WHEN known THEN 0.0::DOUBLE END AS arrow_class_psi, CASE WHEN known THEN round(shift, 7) END AS objects_per_tile_shift,
-             CASE WHEN known THEN 0.0::DOUBLE END AS arrows_per_tile_shift, CASE WHEN known THEN 0.0::DOUBLE END AS ocr_per_tile_shift, CASE WHEN known THEN round(lost, 7) END AS confidence_drop,
+            FROM keys JOIN c ON c.job = keys.job LEFT JOIN b ON b.job = keys.job AND b.label = keys.label LEFT
+      JOIN sh ON sh.job = keys.job AND sh.day = keys.day AND sh.label = keys.label GROUP BY ALL),
+      y AS (SELECT p.job, p.day, psi, abs(p.n/p.n_tiles-c.r)/greatest((p.n/p.n_tiles+c.r)/2, 1e-4) AS shift, greatest(0, c.m-p.mean_confidence) AS lost, p.job % 4 <> 3 AS known FROM p
+      JOIN z USING (job, day) JOIN c USING (job))
+      SELECT job, day, CASE WHEN known THEN round(psi, 7) END AS object_class_psi, CASE WHEN known THEN 0.0::DOUBLE END AS arrow_class_psi, CASE
+      WHEN known THEN round(shift, 7) END AS objects_per_tile_shift,
+             CASE WHEN known THEN 0.0::DOUBLE END AS arrows_per_tile_shift, CASE WHEN known THEN 0.0::DOUBLE END AS ocr_per_tile_shift, CASE
+      WHEN known THEN round(lost, 7) END AS confidence_drop,
              known AND (psi > 0.25 OR shift > 1 OR lost > 0.15::DOUBLE) AS drift, CASE WHEN known THEN 'ok' ELSE 'no_baseline' END AS status,
-             CASE WHEN known THEN concat_ws(',', CASE WHEN psi > 0.25 THEN 'object_class_psi' END, CASE WHEN shift > 1 THEN 'objects_per_tile_shift' END, CASE WHEN lost > 0.15::DOUBLE THEN 'confidence_drop' END) ELSE '' END AS flags FROM y""",
-    "rolling_baseline": f"WITH {PROFILES} SELECT job, day, round(avg(n/n_tiles) OVER (PARTITION BY job ORDER BY day ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 9) AS base FROM p",
+             CASE WHEN known THEN concat_ws(',', CASE WHEN psi > 0.25 THEN 'object_class_psi' END, CASE WHEN shift > 1
+      THEN 'objects_per_tile_shift' END, CASE WHEN lost > 0.15::DOUBLE THEN 'confidence_drop' END) ELSE '' END AS flags FROM y""",
+    "rolling_baseline": f"""WITH {PROFILES} SELECT job, day, round(avg(n/n_tiles) OVER (PARTITION BY job ORDER BY day ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 9) AS base
+      FROM p""",
     "recent_profiles": f"WITH {PROFILES} SELECT job, day, n_tiles FROM (SELECT * FROM p ORDER BY day DESC, job LIMIT 50) WHERE n_tiles > 0",
-    "latest_baseline": "SELECT event_type AS name, max(ts) AS created_at, arg_max(value, ts) AS profile FROM (SELECT event_type, ts, max(value) AS value FROM events GROUP BY ALL) GROUP BY event_type",
+    "latest_baseline": """SELECT event_type AS name, max(ts) AS created_at, arg_max(value, ts) AS profile
+      FROM (SELECT event_type, ts, max(value) AS value FROM events GROUP BY ALL) GROUP BY event_type""",
     "split_assignment": """WITH h AS (SELECT DISTINCT p_name || '_' || p_partkey AS image_id, md5(p_name || '_' || p_partkey) AS m FROM part),
       r AS (SELECT image_id, ((('0x' || substr(m, 1, 16))::UBIGINT % 1000) * 616 + ('0x' || substr(m, 17, 16))::UBIGINT % 1000) % 1000 AS r FROM h)
       SELECT image_id, CASE WHEN r < 800 THEN 'train' WHEN r < 900 THEN 'valid' ELSE 'test' END AS split FROM r""",
-    "class_index": "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS yolo, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS coco FROM (SELECT DISTINCT p_type AS label FROM part)",
-    "yolo_labels": f"WITH {sliced('object')}, i AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM sl)) SELECT page, tile_id, item_idx, CAST(i.idx AS INTEGER) AS idx, (g0+g2/2)/1024 AS cx, (g1+g3/2)/1024 AS cy, g2/1024 AS rw, g3/1024 AS rh FROM sl JOIN i USING (label)",
+    "class_index": """SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS yolo, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS coco
+      FROM (SELECT DISTINCT p_type AS label FROM part)""",
+    "yolo_labels": f"""WITH {sliced('object')}, i AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label
+      FROM sl)) SELECT page, tile_id, item_idx, CAST(i.idx AS INTEGER) AS idx, (g0+g2/2)/1024 AS cx, (g1+g3/2)/1024 AS cy, g2/1024 AS rw, g3/1024 AS rh FROM sl
+      JOIN i USING (label)""",
     "coco_annotations": f"""WITH {sliced('arrow')}, i AS (SELECT label, row_number() OVER (ORDER BY label) AS idx FROM (SELECT DISTINCT label FROM sl)),
       z AS (SELECT page, tile_id, item_idx, i.idx, greatest(0, least(g0,g2)-4) AS x, greatest(0, least(g1,g3)-4) AS y, greatest(g0,g2)-least(g0,g2)+8 AS w, greatest(g1,g3)-least(g1,g3)+8 AS h FROM sl JOIN i USING (label))
       SELECT CAST(row_number() OVER (ORDER BY page, tile_id, item_idx) - 1 AS BIGINT) AS id, page, tile_id, item_idx, CAST(idx AS INTEGER) AS category_id, round(x, 6) AS x, round(y, 6) AS y, round(least(w, 1024-x), 6) AS w, round(least(h, 1024-y), 6) AS h FROM z""",
-    "ocr_crops": f"WITH {sliced('ocr')} SELECT page, tile_id, item_idx, CAST(greatest(0, g0-3) AS BIGINT) AS x0, CAST(greatest(0, g1-3) AS BIGINT) AS y0, CAST(least(1024, g0+g2+3) AS BIGINT) AS x1, CAST(least(1024, g1+g3+3) AS BIGINT) AS y1 FROM sl",
-    "manifest": f"""WITH o AS (WITH {sliced('object')} SELECT label, count(*) AS n FROM sl GROUP BY label), a AS (WITH {sliced('arrow')} SELECT label, count(*) AS n FROM sl GROUP BY label), t AS (WITH {sliced('ocr')} SELECT count(*) AS n FROM sl)
+    "ocr_crops": f"""WITH {sliced('ocr')}
+      SELECT page, tile_id, item_idx, CAST(greatest(0, g0-3) AS BIGINT) AS x0, CAST(greatest(0, g1-3) AS BIGINT) AS y0, CAST(least(1024, g0+g2+3) AS BIGINT) AS x1, CAST(least(1024, g1+g3+3) AS BIGINT) AS y1 FROM sl""",
+    "manifest": f"""WITH o AS (WITH {sliced('object')} SELECT label, count(*) AS n FROM sl GROUP BY label), a AS (WITH {sliced('arrow')}
+      SELECT label, count(*) AS n FROM sl GROUP BY label), t AS (WITH {sliced('ocr')} SELECT count(*) AS n FROM sl)
       SELECT (SELECT string_agg(label, ',' ORDER BY label) FROM o) AS object_classes, (SELECT string_agg(label, ',' ORDER BY label) FROM a) AS arrow_classes,
-             (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM o) AS object_class_counts, (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM a) AS arrow_class_counts,
-             (SELECT sum(n) FROM o)::BIGINT AS objects, (SELECT n FROM t)::BIGINT AS texts, (SELECT sum(n) FROM a)::BIGINT AS arrows, ((SELECT sum(n) FROM o)+(SELECT sum(n) FROM a)+(SELECT n FROM t))::BIGINT AS items""",
-    "ocr_cer": "SELECT round(sum(levenshtein(truth, read)) / sum(greatest(1, length(truth))), 9) AS cer, round(avg((truth = read)::INTEGER), 9) AS exact, count(*) AS n FROM (SELECT p_name AS truth, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(p_type, 'A', 'E') END AS read FROM part)",
-    "champion_promotion": "SELECT model, version, metric, coalesce(metric > max(metric) OVER w, max(metric) OVER w IS NULL) AS promoted FROM (SELECT c_nationkey AS model, c_custkey AS version, c_acctbal AS metric FROM customer) WINDOW w AS (PARTITION BY model ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+             (SELECT string_agg(label || '=' || n, ',' ORDER BY label)
+      FROM o) AS object_class_counts, (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM a) AS arrow_class_counts,
+             (SELECT sum(n) FROM o)::BIGINT AS objects, (SELECT n FROM t)::BIGINT AS texts, (SELECT sum(n) FROM a)::BIGINT AS arrows, ((SELECT sum(n)
+      FROM o)+(SELECT sum(n) FROM a)+(SELECT n FROM t))::BIGINT AS items""",
+    "ocr_cer": """SELECT round(sum(levenshtein(truth, read)) / sum(greatest(1, length(truth))), 9) AS cer, round(avg((truth = read)::INTEGER), 9) AS exact, count(*) AS n
+      FROM (SELECT p_name AS truth, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(p_type, 'A', 'E') END AS read FROM part)""",
+    "champion_promotion": """SELECT model, version, metric, coalesce(metric > max(metric) OVER w, max(metric) OVER w IS NULL) AS promoted
+      FROM (SELECT c_nationkey AS model, c_custkey AS version, c_acctbal AS metric
+      FROM customer) WINDOW w AS (PARTITION BY model ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "word_lines": """SELECT page, par, line, min(lft) AS x, min(top) AS y, max(lft+width)-min(lft) AS w, max(top+height)-min(top) AS h, array_to_string(list(txt ORDER BY lft, top, txt), ' ') AS text, round(avg(conf)/100, 9) AS confidence
       FROM (SELECT event_id % 40 AS page, event_id % 3 AS par, event_id % 11 AS line, (event_id*37) % 2000 AS lft, (event_id*13) % 9 AS top, 20 + event_id % 50 AS width, 12 AS height, event_id % 101 - 1 AS conf, event_type AS txt FROM events) WHERE conf >= 0 GROUP BY page, par, line""",
-    "hough_topk": "SELECT tile, ord, round(least(0.95::DOUBLE, 0.3::DOUBLE + len/1448.0::DOUBLE), 9) AS score FROM (SELECT event_id % 7 AS tile, event_id AS ord, CAST((event_id*7919) % 1400 AS DOUBLE) AS len, row_number() OVER (PARTITION BY event_id % 7 ORDER BY (event_id*7919) % 1400 DESC, event_id) AS rk FROM events) WHERE rk <= 150",
-    "contour_gate": "SELECT id, round(least(0.99::DOUBLE, 0.4::DOUBLE + 0.5::DOUBLE*(area/(w*h))), 9) AS score FROM (SELECT event_id AS id, CAST(10 + event_id % 700 AS DOUBLE) AS w, CAST(10 + (event_id*7) % 700 AS DOUBLE) AS h, CAST((10 + event_id % 700)*(10 + (event_id*7) % 700) AS DOUBLE) * ((event_id % 100) / 100.0::DOUBLE) AS area FROM events) WHERE w*h >= 0.004::DOUBLE*1048576 AND w*h <= 0.6::DOUBLE*1048576 AND least(w,h) >= 24 AND area/(w*h) >= 0.15::DOUBLE",
-    "text_gate": "SELECT id FROM (SELECT event_id AS id, event_id % 400 AS w, event_id % 110 AS h, (event_id % 100)/100.0::DOUBLE AS density FROM events) WHERE h BETWEEN 6 AND 90 AND w >= 6 AND w <= 25*h AND density >= 0.08::DOUBLE AND density <= 0.7::DOUBLE",
-    "recent_jobs": "SELECT job_id, status, created_at FROM (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderdate AS created_at FROM orders) WHERE status = 'succeeded' ORDER BY created_at DESC, job_id LIMIT 20",
-    "job_state": """WITH e AS (SELECT event_id % 500 AS job_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' ELSE 'failed' END AS status, event_id % 4 AS rk FROM events)
+    "hough_topk": """SELECT tile, ord, round(least(0.95::DOUBLE, 0.3::DOUBLE + len/1448.0::DOUBLE), 9) AS score
+      FROM (SELECT event_id % 7 AS tile, event_id AS ord, CAST((event_id*7919) % 1400 AS DOUBLE) AS len, row_number() OVER (PARTITION BY event_id % 7 ORDER BY (event_id*7919) % 1400 DESC, event_id) AS rk FROM events) WHERE rk <= 150""",
+    "contour_gate": """SELECT id, round(least(0.99::DOUBLE, 0.4::DOUBLE + 0.5::DOUBLE*(area/(w*h))), 9) AS score
+      FROM (SELECT event_id AS id, CAST(10 + event_id % 700 AS DOUBLE) AS w, CAST(10 + (event_id*7) % 700 AS DOUBLE) AS h, CAST((10 + event_id % 700)*(10 + (event_id*7) % 700) AS DOUBLE) * ((event_id % 100) / 100.0::DOUBLE) AS area FROM events) WHERE w*h >= 0.004::DOUBLE*1048576 AND w*h <= 0.6::DOUBLE*1048576 AND least(w,h) >= 24 AND area/(w*h) >= 0.15::DOUBLE""",
+    "text_gate": """SELECT id FROM (SELECT event_id AS id, event_id % 400 AS w, event_id % 110 AS h, (event_id % 100)/100.0::DOUBLE AS density
+      FROM events) WHERE h BETWEEN 6 AND 90 AND w >= 6 AND w <= 25*h AND density >= 0.08::DOUBLE AND density <= 0.7::DOUBLE""",
+    "recent_jobs": """SELECT job_id, status, created_at FROM (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O'
+      THEN 'queued' ELSE 'running' END AS status, o_orderdate AS created_at FROM orders)
+      WHERE status = 'succeeded' ORDER BY created_at DESC, job_id LIMIT 20""",
+    "job_state": """WITH e AS (SELECT event_id % 500 AS job_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2
+      THEN 'succeeded' ELSE 'failed' END AS status, event_id % 4 AS rk FROM events)
       SELECT job_id, arg_max(status, ts::VARCHAR || rk) AS status, min(ts) AS created_at FROM e GROUP BY job_id""",
-    "request_log_summary": "SELECT path, status_code, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) AS slowest_ms FROM (SELECT CASE event_id % 5 WHEN 0 THEN '/healthz' ELSE '/v1/' || event_type END AS path, CASE WHEN event_id % 17 = 0 THEN 500 ELSE 200 END AS status_code, value AS latency_ms FROM events) WHERE path NOT IN ('/healthz', '/readyz') GROUP BY path, status_code",
-    "feedback_valid": "SELECT id FROM (SELECT event_id AS id, event_id % 3000 AS job_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 8 END AS rating FROM events) f WHERE (rating IS NULL OR rating BETWEEN 1 AND 5) AND (id % 11 = 0 OR 4990 + id % 20 <= 5000) AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = f.job_id)",
-    "upload_validation": "SELECT page_id, CASE WHEN NOT regexp_matches(lower(name), '\\.(png|jpg|jpeg|bmp|tif|tiff|webp|pdf)$') THEN 415 WHEN size = 0 THEN 400 WHEN size > 52428800 THEN 413 ELSE 202 END AS code FROM (SELECT page_id, 'drawing_' || page_id || CASE page_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '.exe' ELSE '.tiff' END AS name, (page_id % 5) * 20000000 AS size FROM pages)",
-    "result_gate": "SELECT l_orderkey AS job_id, CASE WHEN o_orderkey IS NULL THEN 404 WHEN o_orderstatus <> 'F' THEN 409 WHEN l_orderkey % 5 = 0 THEN 404 ELSE 200 END AS code FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey",
+    "request_log_summary": """SELECT path, status_code, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, max(latency_ms) AS slowest_ms
+      FROM (SELECT CASE event_id % 5 WHEN 0 THEN '/healthz' ELSE '/v1/' || event_type END AS path, CASE WHEN event_id % 17 = 0 THEN 500
+      ELSE 200 END AS status_code, value AS latency_ms FROM events) WHERE path NOT IN ('/healthz', '/readyz') GROUP BY path, status_code""",
+    "feedback_valid": """SELECT id FROM (SELECT event_id AS id, event_id % 3000 AS job_id, CASE WHEN event_id % 7 = 0 THEN NULL
+      ELSE event_id % 8 END AS rating FROM events) f WHERE (rating IS NULL OR rating BETWEEN 1 AND 5) AND (id % 11 = 0 OR 4990 + id % 20 <= 5000) AND EXISTS (SELECT 1 FROM orders
+      WHERE o_orderkey = f.job_id)""",
+    "upload_validation": """SELECT page_id, CASE WHEN NOT regexp_matches(lower(name), '\\.(png|jpg|jpeg|bmp|tif|tiff|webp|pdf)$') THEN 415
+      WHEN size = 0 THEN 400 WHEN size > 52428800 THEN 413 ELSE 202 END AS code FROM (SELECT page_id, 'drawing_' || page_id || CASE page_id % 4 WHEN 0
+      THEN '.PDF' WHEN 1 THEN '.png' WHEN 2 THEN '.exe' ELSE '.tiff' END AS name, (page_id % 5) * 20000000 AS size FROM pages)""",
+    "result_gate": """SELECT l_orderkey AS job_id, CASE WHEN o_orderkey IS NULL THEN 404 WHEN o_orderstatus <> 'F' THEN 409 WHEN l_orderkey % 5 = 0
+      THEN 404 ELSE 200 END AS code FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, o_orderstatus FROM orders
+      WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey""",
     "text_join": """WITH p AS (SELECT event_id AS id, 'M' || (event_id % 97) || ' ' || event_type AS a, substr(event_type, CAST(event_id % 4 AS INTEGER) + 1) || '-' || (event_id % 7) AS b FROM events),
       k AS (SELECT *, list_max(list_filter(range(2, least(length(a), length(b))), lambda k: right(a, k) = left(b, k))) AS k FROM p)
-      SELECT id, CASE WHEN contains(a, b) THEN a WHEN contains(b, a) THEN b WHEN k IS NOT NULL THEN a || substr(b, k + 1) ELSE a || ' ' || b END AS joined FROM k""",
-    "ascii_labels": "SELECT doc_id, regexp_replace(replace(replace(replace(text, 'Ø', 'D'), '±', '+-'), '°', 'deg'), '[^\\x00-\\x7F]', '?', 'g') AS label FROM documents",
-    "synthetic_drawings": f"""WITH n AS (SELECT drawing, 6 + {_md5("'7-n-' || drawing || '--1'")} % 7 AS k FROM range(200) t(drawing)), i AS (SELECT drawing, CAST(unnest(range(0, k)) AS INTEGER) AS item FROM n),
+      SELECT id, CASE WHEN contains(a, b) THEN a WHEN contains(b, a) THEN b WHEN k IS NOT NULL THEN a || substr(b, k + 1)
+      ELSE a || ' ' || b END AS joined FROM k""",
+    "ascii_labels": """SELECT doc_id, regexp_replace(replace(replace(replace(text, 'Ø', 'D'), '±', '+-'), '°', 'deg'), '[^\\x00-\\x7F]', '?', 'g') AS label
+      FROM documents""",
+    "synthetic_drawings": f"""WITH n AS (SELECT drawing, 6 + {_md5("'7-n-' || drawing || '--1'")} % 7 AS k FROM range(200) t(drawing)),
+      i AS (SELECT drawing, CAST(unnest(range(0, k)) AS INTEGER) AS item FROM n),
       v AS (SELECT drawing, item, {", ".join(f"""{_md5(f"'7-{c}-' || drawing || '-' || item")} AS r{c}""" for c in "xywhcld")} FROM i),
       b AS (SELECT drawing, item, CAST(120 + (item % 4)*840 + rx % 300 AS DOUBLE) AS x, CAST(160 + (item // 4)*760 + ry % 250 AS DOUBLE) AS y, CAST(120 + rw % 200 AS DOUBLE) AS w, CAST(100 + rh % 180 AS DOUBLE) AS h, CAST(rc % 3 AS INTEGER) AS c, CAST(rl % 3 AS INTEGER) AS l, rd FROM v)
       SELECT drawing, item, 'object' AS kind, x AS g0, y AS g1, w AS g2, h AS g3, 'Ctype_' || (c + 1) AS label FROM b
       UNION ALL SELECT drawing, item, 'ocr', x, y - 40, 110, 28, 'Ø' || rd FROM b
-      UNION ALL SELECT drawing, item, 'arrow', x + w, y + h/2, x + w + 150, y + h/2 + (l - 1)*20, ['dimension_line', 'leader_line', 'section_arrow'][l + 1] FROM b""",
-    "empty_tiles": f"WITH {GRID}, t AS (SELECT CAST(p_partkey AS VARCHAR) AS image_id, tile_id FROM part, grid), h AS (SELECT DISTINCT CAST(event_id % 900 + 1 AS VARCHAR) AS image_id, printf('Tile_%03d', event_id % 13 + 1) AS tile_id FROM events) SELECT image_id, tile_id FROM t WHERE EXISTS (SELECT 1 FROM h WHERE h.image_id = t.image_id AND h.tile_id = t.tile_id) OR {_md5("image_id || '/' || tile_id")} < 200",
+      UNION ALL SELECT drawing, item, 'arrow', x + w, y + h/2, x + w + 150, y + h/2 + (l - 1)*20, ['dimension_line', 'leader_line', 'section_arrow'][l + 1]
+      FROM b""",
+    "empty_tiles": f"""WITH {GRID}, t AS (SELECT CAST(p_partkey AS VARCHAR) AS image_id, tile_id FROM part, grid),
+      h AS (SELECT DISTINCT CAST(event_id % 900 + 1 AS VARCHAR) AS image_id, printf('Tile_%03d', event_id % 13 + 1) AS tile_id FROM events)
+      SELECT image_id, tile_id FROM t WHERE EXISTS (SELECT 1 FROM h
+      WHERE h.image_id = t.image_id AND h.tile_id = t.tile_id) OR {_md5("image_id || '/' || tile_id")} < 200""",
     "resolve_models": "SELECT c_nationkey AS model, c_mktsegment AS alias, max(c_custkey) AS version FROM customer WHERE c_acctbal > 0 GROUP BY ALL",
-    "last_metrics": "SELECT user_id AS run, CAST(regexp_extract(arg_max(props, event_id), '[0-9]+') AS DOUBLE) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY user_id",
+    "last_metrics": """SELECT user_id AS run, CAST(regexp_extract(arg_max(props, event_id), '[0-9]+') AS DOUBLE) AS value FROM events
+      WHERE event_id % 3 <> 0 GROUP BY user_id""",
     "state_upsert": "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 10 = 0 THEN 'archived' ELSE o_orderstatus END AS status FROM orders",
     "merge_text": MERGE_TEXT,
     "merged_pages": MERGED_PAGES,
     "original_coords": _original(),
     "canvas_coords": f"""WITH {FIT}, q AS (SELECT *, CAST(page % 89 AS DOUBLE) AS x, CAST(page % 53 AS DOUBLE) AS y FROM fit)
-      SELECT page, round((CASE WHEN rotated THEN orig_h-1-y ELSE x END)*scale+pad_x, 6) AS x, round((CASE WHEN rotated THEN x ELSE y END)*scale+pad_y, 6) AS y FROM q""",
+      SELECT page, round((CASE WHEN rotated THEN orig_h-1-y ELSE x END)*scale+pad_x, 6) AS x, round((CASE WHEN rotated THEN x
+      ELSE y END)*scale+pad_y, 6) AS y FROM q""",
     "segment_codec_forms": """WITH e AS (SELECT event_id AS id, CAST(event_id % 900 AS DOUBLE) AS x, CAST(event_id % 700 AS DOUBLE) AS y, CAST(100 + event_id % 50 AS DOUBLE) AS n, event_id % 4 AS form FROM events)
-      SELECT id, x AS s0, CASE WHEN form = 3 THEN y + n ELSE y END AS s1, CASE WHEN form = 0 THEN x ELSE x + n END AS s2, CASE WHEN form IN (1, 3) THEN y ELSE y + n END AS s3 FROM e""",
+      SELECT id, x AS s0, CASE WHEN form = 3 THEN y + n ELSE y END AS s1, CASE WHEN form = 0 THEN x ELSE x + n END AS s2, CASE WHEN form IN (1, 3)
+      THEN y ELSE y + n END AS s3 FROM e""",
     "page_result": _page_result(),
-    "merged_view": f"WITH RECURSIVE pg AS (SELECT DISTINCT event_id // 25 AS page FROM events), {members('ocr')} SELECT page, coalesce(n, 0) AS texts, CASE WHEN n IS NOT NULL THEN n END AS listed FROM pg LEFT JOIN (SELECT page, count(DISTINCT root) AS n FROM m GROUP BY page) USING (page)",
+    "merged_view": f"""WITH RECURSIVE pg AS (SELECT DISTINCT event_id // 25 AS page FROM events), {members('ocr')}
+      SELECT page, coalesce(n, 0) AS texts, CASE WHEN n IS NOT NULL THEN n END AS listed FROM pg LEFT JOIN (SELECT page, count(DISTINCT root) AS n
+      FROM m GROUP BY page) USING (page)""",
     "build_datasets": _datasets(),
-    "dataset_categories": f"WITH {sliced('arrow')} SELECT 0::BIGINT AS id, 'annotation-lines' AS name, 'none' AS supercategory UNION ALL SELECT row_number() OVER (ORDER BY label), label, 'annotation-lines' FROM (SELECT DISTINCT label FROM sl)",
-    "job_view": """WITH e AS (SELECT event_id % 500 AS job_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' ELSE 'failed' END AS status, event_id % 4 AS rk FROM events)
-      SELECT job_id, arg_max(status, ts::VARCHAR || rk) AS status, round((epoch_us(max(ts) FILTER (rk >= 2)) - epoch_us(min(ts) FILTER (rk = 1))) / 1e6, 3) AS seconds FROM e GROUP BY job_id""",
-    "job_drift": "SELECT user_id AS job_id, bool_or(coalesce(CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 5 = 0 END, false)) AS drift, count(*) AS pages FROM events GROUP BY user_id",
-    "readiness": "WITH c AS (SELECT user_id AS service, event_type AS name, min(value) > 1 AS ok FROM events GROUP BY ALL) SELECT service, bool_and(coalesce(ok, false)) AS ready, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT coalesce(ok, false)), '') AS failing FROM c GROUP BY service",
+    "dataset_categories": f"""WITH {sliced('arrow')} SELECT 0::BIGINT AS id, 'annotation-lines' AS name, 'none' AS supercategory UNION ALL
+      SELECT row_number() OVER (ORDER BY label), label, 'annotation-lines' FROM (SELECT DISTINCT label FROM sl)""",
+    "job_view": """WITH e AS (SELECT event_id % 500 AS job_id, ts, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2
+      THEN 'succeeded' ELSE 'failed' END AS status, event_id % 4 AS rk FROM events)
+      SELECT job_id, arg_max(status, ts::VARCHAR || rk) AS status, round((epoch_us(max(ts) FILTER (rk >= 2)) - epoch_us(min(ts) FILTER (rk = 1))) / 1e6, 3) AS seconds FROM e
+      GROUP BY job_id""",
+    "job_drift": """SELECT user_id AS job_id, bool_or(coalesce(CASE WHEN event_id % 9 = 0 THEN NULL
+      ELSE event_id % 5 = 0 END, false)) AS drift, count(*) AS pages FROM events GROUP BY user_id""",
+    "readiness": """WITH c AS (SELECT user_id AS service, event_type AS name, min(value) > 1 AS ok FROM events GROUP BY ALL)
+      SELECT service, bool_and(coalesce(ok, false)) AS ready, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT coalesce(ok, false)), '') AS failing FROM c
+      GROUP BY service""",
     "readable_texts": "SELECT event_id AS id FROM events WHERE event_id % 6 IN (1, 3) AND CAST(event_id % 100 AS DOUBLE) / 100 >= 0.3::DOUBLE",
-    "clean_metrics": "SELECT event_id AS id, 'val loss_' AS name, value AS number FROM events UNION ALL SELECT event_id, 'n', CAST(event_id AS DOUBLE) FROM events",
-    "draw_commands": f"(WITH {truth('ocr')} SELECT id, 'ocr' AS kind, 'box' AS shape, left(label, 40) AS caption FROM tru) UNION ALL (WITH {truth('arrow')} SELECT id, 'arrow', 'line', label FROM tru)",
+    "clean_metrics": """SELECT event_id AS id, 'val loss_' AS name, value AS number FROM events UNION ALL
+      SELECT event_id, 'n', CAST(event_id AS DOUBLE) FROM events""",
+    "draw_commands": f"""(WITH {truth('ocr')} SELECT id, 'ocr' AS kind, 'box' AS shape, left(label, 40) AS caption FROM tru)
+      UNION ALL (WITH {truth('arrow')} SELECT id, 'arrow', 'line', label FROM tru)""",
     "request_rates": "SELECT CAST(ts AS DATE) AS day, event_type AS path, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY ALL",
-    "state_patch": """WITH r AS (SELECT o_orderkey + CASE WHEN o_orderkey % 10 = 2 THEN 100000000 ELSE 0 END AS job_id, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'moved' END AS status, o_orderpriority AS reason FROM orders WHERE o_orderkey % 10 < 3)
-      SELECT coalesce(o_orderkey, r.job_id) AS job_id, coalesce(r.status, o_orderstatus) AS status, o_orderpriority AS note, reason FROM orders FULL JOIN r ON o_orderkey = r.job_id""",
-    "page_names": "WITH p AS (SELECT DISTINCT l_orderkey AS file, l_linenumber - 1 AS page FROM lineitem) SELECT file, page, 'F' || file || CASE WHEN count(*) OVER (PARTITION BY file) = 1 THEN '' ELSE '_P' || (page + 1) END AS image_id FROM p",
-    "stored_files": """WITH d AS (SELECT * FROM pages WHERE page_id % 4 <> 0) SELECT 'images/' || page_id || CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.tiff' ELSE '.jpg' END AS path, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM d
+    "state_patch": """WITH r AS (SELECT o_orderkey + CASE WHEN o_orderkey % 10 = 2 THEN 100000000 ELSE 0 END AS job_id, CASE WHEN o_orderkey % 10 = 0
+      THEN NULL ELSE 'moved' END AS status, o_orderpriority AS reason FROM orders WHERE o_orderkey % 10 < 3)
+      SELECT coalesce(o_orderkey, r.job_id) AS job_id, coalesce(r.status, o_orderstatus) AS status, o_orderpriority AS note, reason FROM orders FULL
+      JOIN r ON o_orderkey = r.job_id""",
+    "page_names": """WITH p AS (SELECT DISTINCT l_orderkey AS file, l_linenumber - 1 AS page FROM lineitem) SELECT file, page, 'F' || file || CASE
+      WHEN count(*) OVER (PARTITION BY file) = 1 THEN '' ELSE '_P' || (page + 1) END AS image_id FROM p""",
+    "stored_files": """WITH d AS (SELECT * FROM pages WHERE page_id % 4 <> 0) SELECT 'images/' || page_id || CASE page_id % 3 WHEN 0 THEN '.png'
+      WHEN 1 THEN '.tiff' ELSE '.jpg' END AS path, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM d
       UNION ALL SELECT 'annotations/' || page_id || '.json', 2 FROM d""",
 }

@@ -60,7 +60,10 @@ def canvas_fit(spark, d):
 
 
 def coords_round_trip(spark, d):
-    pages = _read(spark, d, "part").selectExpr("p_partkey AS page", "p_size * 97 AS orig_w", "CAST((p_partkey % 90 + 1) * 53 AS INT) AS orig_h", "CAST(p_size AS DOUBLE) AS x", "CAST(p_partkey % 31 AS DOUBLE) AS y")
+    pages = _read(spark, d, "part").selectExpr(
+        "p_partkey AS page", "p_size * 97 AS orig_w", "CAST((p_partkey % 90 + 1) * 53 AS INT) AS orig_h", "CAST(p_size AS DOUBLE) AS x",
+        "CAST(p_partkey % 31 AS DOUBLE) AS y"
+    )
     fit = tiling.canvas_fit(pages, S)
     t = {c: F.col(c) for c in ("rotated", "scale", "pad_x", "pad_y", "orig_h")}
     x, y = G.to_original(*G.to_canvas(F.col("x"), F.col("y"), t), t)
@@ -154,18 +157,26 @@ def page_counts(spark, d):
 
 
 def _profiles(spark, d) -> DataFrame:
-    e = _read(spark, d, "events").selectExpr("user_id % 10 AS job", "CAST(ts AS DATE) AS day", "'object' AS kind", "event_type AS label", "CAST((event_id * 37) % 100 AS DOUBLE) / 100 AS confidence", "hour(ts) AS hr")
+    e = _read(spark, d, "events").selectExpr(
+        "user_id % 10 AS job", "CAST(ts AS DATE) AS day", "'object' AS kind", "event_type AS label",
+        "CAST((event_id * 37) % 100 AS DOUBLE) / 100 AS confidence", "hour(ts) AS hr"
+    )
     return drift.profile(e, e.groupBy("job", "day").agg(F.countDistinct("hr").alias("n_tiles")), by=("job", "day"))
 
 
 def drift_profile(spark, d):
     p = _profiles(spark, d)
-    return p.select("job", "day", "n_tiles", F.explode("object_class_dist").alias("label", "share"), F.round("objects_per_tile", 9).alias("objects_per_tile"), F.round("mean_confidence", 9).alias("mean_confidence")).withColumn("share", F.round("share", 9))
+    return p.select(
+        "job", "day", "n_tiles", F.explode("object_class_dist").alias("label", "share"), F.round("objects_per_tile", 9).alias("objects_per_tile"),
+        F.round("mean_confidence", 9).alias("mean_confidence")
+    ).withColumn("share", F.round("share", 9))
 
 
 def average_profile(spark, d):
     a = drift.average(_profiles(spark, d), by=("job",))
-    return a.select("job", "n_tiles", F.explode("object_class_dist").alias("label", "share"), F.round("objects_per_tile", 9).alias("objects_per_tile")).withColumn("share", F.round("share", 9))
+    return a.select(
+        "job", "n_tiles", F.explode("object_class_dist").alias("label", "share"), F.round("objects_per_tile", 9).alias("objects_per_tile")
+    ).withColumn("share", F.round("share", 9))
 
 
 def drift_compare(spark, d):
@@ -214,7 +225,10 @@ def coco_annotations(spark, d):
     a = kept(_tiles(fixtures.detections(spark, d, S, "arrow")))
     rows = datasets.coco_rows(a, datasets.class_index(a, first=1)).withColumn("split", F.lit("train"))
     rows = datasets.number_within(rows, "split", ["page", "tile_id", "item_idx"], "n")
-    return rows.select(F.col("n").cast("long").alias("id"), "page", "tile_id", "item_idx", F.col("idx").cast("int").alias("category_id"), *[F.round(c, 6).alias(c) for c in "xywh"])
+    return rows.select(
+        F.col("n").cast("long").alias("id"), "page", "tile_id", "item_idx", F.col("idx").cast("int").alias("category_id"),
+        *[F.round(c, 6).alias(c) for c in "xywh"]
+    )
 
 
 def ocr_crops(spark, d):
@@ -238,7 +252,10 @@ def champion_promotion(spark, d):
 
 
 def word_lines(spark, d):
-    w = _read(spark, d, "events").selectExpr("event_id % 40 AS page", "0 AS block", "event_id % 3 AS par", "event_id % 11 AS line", "(event_id * 37) % 2000 AS left", "(event_id * 13) % 9 AS top", "20 + event_id % 50 AS width", "12 AS height", "event_id % 101 - 1 AS conf", "event_type AS text")
+    w = _read(spark, d, "events").selectExpr(
+        "event_id % 40 AS page", "0 AS block", "event_id % 3 AS par", "event_id % 11 AS line", "(event_id * 37) % 2000 AS left",
+        "(event_id * 13) % 9 AS top", "20 + event_id % 50 AS width", "12 AS height", "event_id % 101 - 1 AS conf", "event_type AS text"
+    )
     return evaluation.word_lines(w).select("page", "par", "line", "x", "y", "w", "h", "text", F.round("confidence", 9).alias("confidence"))
 
 
@@ -248,49 +265,74 @@ def hough_topk(spark, d):
 
 
 def contour_gate(spark, d):
-    e = _read(spark, d, "events").selectExpr("event_id AS id", "CAST(10 + event_id % 700 AS DOUBLE) AS w", "CAST(10 + (event_id * 7) % 700 AS DOUBLE) AS h", "event_id", "1024.0D AS tw", "1024.0D AS th")
+    e = _read(spark, d, "events").selectExpr(
+        "event_id AS id", "CAST(10 + event_id % 700 AS DOUBLE) AS w", "CAST(10 + (event_id * 7) % 700 AS DOUBLE) AS h", "event_id", "1024.0D AS tw",
+        "1024.0D AS th"
+    )
     e = e.withColumn("area", F.col("w") * F.col("h") * ((F.col("event_id") % 100) / F.lit(100.0)))
     return evaluation.contour_gate(e).select("id", F.round("score", 9).alias("score"))
 
 
 def text_gate(spark, d):
-    return evaluation.text_gate(_read(spark, d, "events").selectExpr("event_id AS id", "event_id % 400 AS w", "event_id % 110 AS h", "(event_id % 100) / 100.0D AS density")).select("id")
+    return evaluation.text_gate(_read(spark, d, "events").selectExpr(
+        "event_id AS id", "event_id % 400 AS w", "event_id % 110 AS h", "(event_id % 100) / 100.0D AS density"
+    )).select("id")
 
 
 def recent_jobs(spark, d):
-    j = _read(spark, d, "orders").selectExpr("o_orderkey AS job_id", "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status", "o_orderdate AS created_at")
+    j = _read(spark, d, "orders").selectExpr(
+        "o_orderkey AS job_id", "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE 'running' END AS status",
+        "o_orderdate AS created_at"
+    )
     return jobs.recent_jobs(j, "succeeded")
 
 
 def job_state(spark, d):
-    e = _read(spark, d, "events").selectExpr("event_id % 500 AS job_id", "ts", "element_at(array('queued', 'running', 'succeeded', 'failed'), CAST(event_id % 4 AS INT) + 1) AS status", "CAST(null AS STRING) AS error")
+    e = _read(spark, d, "events").selectExpr(
+        "event_id % 500 AS job_id", "ts", "element_at(array('queued', 'running', 'succeeded', 'failed'), CAST(event_id % 4 AS INT) + 1) AS status",
+        "CAST(null AS STRING) AS error"
+    )
     return jobs.job_state(e).select("job_id", "status", "created_at")
 
 
 def request_log_summary(spark, d):
-    e = _read(spark, d, "events").selectExpr("CASE event_id % 5 WHEN 0 THEN '/healthz' ELSE concat('/v1/', event_type) END AS path", "CASE WHEN event_id % 17 = 0 THEN 500 ELSE 200 END AS status_code", "value AS latency_ms")
+    e = _read(spark, d, "events").selectExpr(
+        "CASE event_id % 5 WHEN 0 THEN '/healthz' ELSE concat('/v1/', event_type) END AS path",
+        "CASE WHEN event_id % 17 = 0 THEN 500 ELSE 200 END AS status_code", "value AS latency_ms"
+    )
     return jobs.request_summary(e).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
 def feedback_valid(spark, d):
-    f = _read(spark, d, "events").selectExpr("event_id AS id", "event_id % 3000 AS job_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 8 END AS rating", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE repeat('x', CAST(4990 + event_id % 20 AS INT)) END AS comment")
+    f = _read(spark, d, "events").selectExpr(
+        "event_id AS id", "event_id % 3000 AS job_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 8 END AS rating",
+        "CASE WHEN event_id % 11 = 0 THEN NULL ELSE repeat('x', CAST(4990 + event_id % 20 AS INT)) END AS comment"
+    )
     return jobs.valid_feedback(f, _read(spark, d, "orders").selectExpr("o_orderkey AS job_id")).select("id")
 
 
 def upload_validation(spark, d):
-    p = _read(spark, d, "pages").selectExpr("page_id", "concat('drawing_', page_id, element_at(array('.PDF', '.png', '.exe', '.tiff'), CAST(page_id % 4 AS INT) + 1)) AS name", "(page_id % 5) * 20000000 AS size")
+    p = _read(spark, d, "pages").selectExpr(
+        "page_id", "concat('drawing_', page_id, element_at(array('.PDF', '.png', '.exe', '.tiff'), CAST(page_id % 4 AS INT) + 1)) AS name",
+        "(page_id % 5) * 20000000 AS size"
+    )
     return p.select("page_id", jobs.upload_status(F.col("name"), F.col("size"), S.max_upload_mb).alias("code"))
 
 
 def result_gate(spark, d):
     asked = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id")).distinct()
-    known = _read(spark, d, "orders").where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS job_id", "CASE WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'running' END AS status")
+    known = _read(spark, d, "orders").where("o_orderkey % 3 <> 0").selectExpr(
+        "o_orderkey AS job_id", "CASE WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'running' END AS status"
+    )
     results = asked.where("job_id % 5 <> 0")
     return jobs.result_status(asked.join(known, "job_id", "left"), results).select("job_id", "code")
 
 
 def text_join(spark, d):
-    e = _read(spark, d, "events").selectExpr("event_id AS id", "concat('M', event_id % 97, ' ', event_type) AS a", "concat(substring(event_type, CAST(event_id % 4 AS INT) + 1), '-', event_id % 7) AS b")
+    e = _read(spark, d, "events").selectExpr(
+        "event_id AS id", "concat('M', event_id % 97, ' ', event_type) AS a",
+        "concat(substring(event_type, CAST(event_id % 4 AS INT) + 1), '-', event_id % 7) AS b"
+    )
     return e.select("id", T.merge_text(F.col("a"), F.col("b")).alias("joined"))
 
 
@@ -309,7 +351,9 @@ def synthetic_drawings(spark, d):
 
 def empty_tiles(spark, d):
     images = _read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("image_id"))
-    found = _read(spark, d, "events").selectExpr("CAST(event_id % 900 + 1 AS STRING) AS image_id", "format_string('Tile_%03d', CAST(event_id % 13 + 1 AS INT)) AS tile_id")
+    found = _read(spark, d, "events").selectExpr(
+        "CAST(event_id % 900 + 1 AS STRING) AS image_id", "format_string('Tile_%03d', CAST(event_id % 13 + 1 AS INT)) AS tile_id"
+    )
     found = found.groupBy("image_id", "tile_id").agg(F.count("*").alias("n_items"))
     tiles = datasets.with_missing_tiles(found, tiling.tile_grid(spark, S), images)
     return datasets.sample_empty(tiles).select("image_id", "tile_id")
@@ -321,7 +365,9 @@ def resolve_models(spark, d):
 
 
 def last_metrics(spark, d):
-    log = _read(spark, d, "events").selectExpr("user_id AS run", "event_id AS line", "CASE WHEN event_id % 3 = 0 THEN concat('epoch ', event_id) ELSE props END AS text")
+    log = _read(spark, d, "events").selectExpr(
+        "user_id AS run", "event_id AS line", "CASE WHEN event_id % 3 = 0 THEN concat('epoch ', event_id) ELSE props END AS text"
+    )
     return evaluation.last_metrics(log, "k")
 
 
@@ -345,7 +391,10 @@ def canvas_coords(spark, d):
 
 def segment_codec_forms(spark, d):
     """Segments of every form through their padded boxes and back: upright and level ones, and diagonals of both directions."""
-    e = _read(spark, d, "events").selectExpr("event_id AS id", "CAST(event_id % 900 AS DOUBLE) AS x", "CAST(event_id % 700 AS DOUBLE) AS y", "CAST(100 + event_id % 50 AS DOUBLE) AS n", "event_id % 4 AS form")
+    e = _read(spark, d, "events").selectExpr(
+        "event_id AS id", "CAST(event_id % 900 AS DOUBLE) AS x", "CAST(event_id % 700 AS DOUBLE) AS y", "CAST(100 + event_id % 50 AS DOUBLE) AS n",
+        "event_id % 4 AS form"
+    )
     dx, dy = F.when(F.col("form") == 0, 0.0).otherwise(F.col("n")), F.when(F.col("form") == 1, 0.0).otherwise(F.col("n"))
     up = F.col("form") == 3
     line = (F.col("x"), F.when(up, F.col("y") + dy).otherwise(F.col("y")), F.col("x") + dx, F.when(up, F.col("y")).otherwise(F.col("y") + dy))
@@ -361,7 +410,10 @@ def page_result(spark, d):
     items = F.aggregate("tiles", F.lit(0), lambda n, t: n + sum((F.size(t["items"][k]) for k in results.LISTS.values()), F.lit(0)))
     counts = [F.col(f"counts.`{k}`").cast("long").alias(n) for k, n in zip(results.LISTS.values(), ("objects", "texts", "arrows"))]
     first = F.get(F.col("merged_original_coords.`OBJECT/COMPONENT`"), F.lit(0))["geometry"]
-    return out.select("page", F.size("tiles").cast("long").alias("tiles"), items.cast("long").alias("items"), *counts, F.size(first).cast("long").alias("corners"), "merge_report.pairs", "merge_report.llm_calls")
+    return out.select(
+        "page", F.size("tiles").cast("long").alias("tiles"), items.cast("long").alias("items"), *counts, F.size(first).cast("long").alias("corners"),
+        "merge_report.pairs", "merge_report.llm_calls"
+    )
 
 
 def merged_view(spark, d):
@@ -394,13 +446,18 @@ def dataset_categories(spark, d):
 
 
 def job_view(spark, d):
-    e = _read(spark, d, "events").selectExpr("event_id % 500 AS job_id", "ts", "element_at(array('queued', 'running', 'succeeded', 'failed'), CAST(event_id % 4 AS INT) + 1) AS status", "CAST(null AS STRING) AS error")
+    e = _read(spark, d, "events").selectExpr(
+        "event_id % 500 AS job_id", "ts", "element_at(array('queued', 'running', 'succeeded', 'failed'), CAST(event_id % 4 AS INT) + 1) AS status",
+        "CAST(null AS STRING) AS error"
+    )
     seen = results.job_view(jobs.job_state(e).withColumn("input_file_id", F.lit("hidden")))
     return seen.select("job_id", "status", "seconds")
 
 
 def job_drift(spark, d):
-    return results.job_drift(_read(spark, d, "events").selectExpr("user_id AS job_id", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 5 = 0 END AS drift"))
+    return results.job_drift(_read(spark, d, "events").selectExpr(
+        "user_id AS job_id", "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 5 = 0 END AS drift"
+    ))
 
 
 def readiness(spark, d):
@@ -409,12 +466,17 @@ def readiness(spark, d):
 
 
 def readable_texts(spark, d):
-    e = _read(spark, d, "events").selectExpr("event_id AS id", "element_at(array('--', '25.4', '?!', 'THRU', '§', ''), CAST(event_id % 6 AS INT) + 1) AS text", "CAST(event_id % 100 AS DOUBLE) / 100 AS conf")
+    e = _read(spark, d, "events").selectExpr(
+        "event_id AS id", "element_at(array('--', '25.4', '?!', 'THRU', '§', ''), CAST(event_id % 6 AS INT) + 1) AS text",
+        "CAST(event_id % 100 AS DOUBLE) / 100 AS conf"
+    )
     return evaluation.readable(e).select("id")
 
 
 def clean_metrics(spark, d):
-    e = _read(spark, d, "events").selectExpr("event_id AS id", "map(' val loss$', CAST(value AS STRING), 'name', event_type, 'n', CAST(event_id AS STRING)) AS m")
+    e = _read(spark, d, "events").selectExpr(
+        "event_id AS id", "map(' val loss$', CAST(value AS STRING), 'name', event_type, 'n', CAST(event_id AS STRING)) AS m"
+    )
     return e.select("id", F.explode(jobs.clean_metrics(F.col("m"))).alias("name", "number"))
 
 
@@ -431,18 +493,26 @@ def request_rates(spark, d):
 
 def state_patch(spark, d):
     table = _read(spark, d, "orders").selectExpr("o_orderkey AS job_id", "o_orderstatus AS status", "o_orderpriority AS note")
-    rows = table.where("job_id % 10 < 3").selectExpr("job_id + (CASE WHEN job_id % 10 = 2 THEN 100000000 ELSE 0 END) AS job_id", "CASE WHEN job_id % 10 = 0 THEN NULL ELSE 'moved' END AS status", "note AS reason")
+    rows = table.where("job_id % 10 < 3").selectExpr(
+        "job_id + (CASE WHEN job_id % 10 = 2 THEN 100000000 ELSE 0 END) AS job_id", "CASE WHEN job_id % 10 = 0 THEN NULL ELSE 'moved' END AS status",
+        "note AS reason"
+    )
     return jobs.patch(table, rows, ["job_id"])
 
 
 def page_names(spark, d):
     p = _read(spark, d, "lineitem").selectExpr("l_orderkey AS file", "l_linenumber - 1 AS page").distinct()
     n = p.groupBy("file").agg(F.count("*").alias("n_pages"))
-    return p.join(n, "file").select("file", "page", results.image_id(F.concat(F.lit("F"), F.col("file").cast("string")), F.col("page"), F.col("n_pages")).alias("image_id"))
+    return p.join(n, "file").select(
+        "file", "page", results.image_id(F.concat(F.lit("F"), F.col("file").cast("string")), F.col("page"), F.col("n_pages")).alias("image_id")
+    )
 
 
 def stored_files(spark, d):
-    docs = _read(spark, d, "pages").selectExpr("page_id AS image_id", "CASE page_id % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'a.TIFF' ELSE 'b.jpg' END AS filename", "CAST(html AS BINARY) AS content", "CASE WHEN page_id % 4 = 0 THEN NULL ELSE '{}' END AS annotation")
+    docs = _read(spark, d, "pages").selectExpr(
+        "page_id AS image_id", "CASE page_id % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'a.TIFF' ELSE 'b.jpg' END AS filename",
+        "CAST(html AS BINARY) AS content", "CASE WHEN page_id % 4 = 0 THEN NULL ELSE '{}' END AS annotation"
+    )
     images, notes = store.export(docs)
     return images.select("path", F.length("content").cast("long").alias("n")).unionByName(notes.select("path", F.length("value").cast("long").alias("n")))
 

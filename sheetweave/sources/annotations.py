@@ -10,11 +10,17 @@ _NUM = T.ArrayType(T.DoubleType())
 
 
 def _item(box: str, label: str) -> T.StructType:
-    return T.StructType([T.StructField(box, _NUM), T.StructField(label, T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("source_tiles", T.ArrayType(T.StringType()))])
+    return T.StructType([
+        T.StructField(box, _NUM), T.StructField(label, T.StringType()), T.StructField("confidence", T.DoubleType()),
+        T.StructField("source_tiles", T.ArrayType(T.StringType()))
+    ])
 
 
 #: JSON names of the three lists, with the names of an item's geometry and label (fixed values).
-LISTS = {"object": ("OBJECT/COMPONENT", "object_Bounding_Box", "classification_type"), "ocr": ("OCR", "content_bbox", "text_extracted"), "arrow": ("Annotation Arrow", "Points", "class_id")}
+LISTS = {
+    "object": ("OBJECT/COMPONENT", "object_Bounding_Box", "classification_type"), "ocr": ("OCR", "content_bbox", "text_extracted"),
+    "arrow": ("Annotation Arrow", "Points", "class_id")
+}
 ANNOTATION = T.StructType([
     T.StructField("Image ID", T.StringType()), T.StructField("Tile ID", T.StringType()),
     *[T.StructField(name, T.ArrayType(_item(box, label))) for name, box, label in LISTS.values()],
@@ -37,10 +43,16 @@ def to_detections(annotations: DataFrame, by: tuple = ("path",)) -> DataFrame:
     """(by, image_id, tile_id, kind, item_idx, g0..g3, label, confidence): the flat form. Geometry must have four numbers."""
     parts = []
     for kind, (name, box, label) in LISTS.items():
-        rows = annotations.select(*by, F.col("ann.`Image ID`").alias("image_id"), F.col("ann.`Tile ID`").alias("tile_id"), F.lit(kind).alias("kind"), F.posexplode(F.col(f"ann.`{name}`")).alias("item_idx", "i"))
+        rows = annotations.select(
+            *by, F.col("ann.`Image ID`").alias("image_id"), F.col("ann.`Tile ID`").alias("tile_id"), F.lit(kind).alias("kind"),
+            F.posexplode(F.col(f"ann.`{name}`")).alias("item_idx", "i")
+        )
         four = F.when(F.size(f"i.{box}") == 4, F.col(f"i.{box}")).otherwise(F.raise_error(F.lit("geometry must have 4 values")).cast(_NUM))
         rows = rows.withColumn("g", four)
-        parts.append(rows.select(*by, "image_id", "tile_id", "kind", "item_idx", *[F.col("g")[i].alias(f"g{i}") for i in range(4)], F.col(f"i.{label}").alias("label"), F.col("i.confidence").alias("confidence")))
+        parts.append(rows.select(
+            *by, "image_id", "tile_id", "kind", "item_idx", *[F.col("g")[i].alias(f"g{i}") for i in range(4)], F.col(f"i.{label}").alias("label"),
+            F.col("i.confidence").alias("confidence")
+        ))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -58,7 +70,10 @@ def to_annotations(detections: DataFrame, by: tuple = ("image_id", "tile_id")) -
 
 def page_documents(merged: DataFrame, by: tuple = ("page",)) -> DataFrame:
     """(by, objects, ocr, arrows, counts): the nested result of each page, lists in (y, x, group) order."""
-    item = F.struct("g1", "g0", "group_ord", F.struct(F.array("g0", "g1", "g2", "g3").alias("geometry"), "label", F.round("confidence", 4).alias("confidence"), "source_tiles").alias("i"))
+    item = F.struct(
+        "g1", "g0", "group_ord",
+        F.struct(F.array("g0", "g1", "g2", "g3").alias("geometry"), "label", F.round("confidence", 4).alias("confidence"), "source_tiles").alias("i")
+    )
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, item))), lambda x: x["i"]).alias(n) for k, n in (("object", "objects"), ("ocr", "ocr"), ("arrow", "arrows"))]
     out = merged.groupBy(*by).agg(*lists)
     return out.withColumn("counts", F.struct(*[F.size(n).alias(n) for n in ("objects", "ocr", "arrows")]))

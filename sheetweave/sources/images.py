@@ -118,7 +118,10 @@ def tiles(pages: DataFrame, s: Settings) -> DataFrame:
                 canvas = to_canvas(enhance(np.frombuffer(r.bgr, np.uint8).reshape(r.height, r.width, 3)), s)
                 for i, (y, x) in enumerate((y, x) for y in ys for x in xs):
                     part = canvas[y : y + s.tile_size, x : x + s.tile_size]
-                    yield pd.DataFrame([(r.path, r.page, f"Tile_{i + 1:03d}", x, y, part.shape[1], part.shape[0], part.tobytes())], columns=["path", "page", "tile_id", "tx", "ty", "tw", "th", "bgr"])
+                    yield pd.DataFrame(
+                        [(r.path, r.page, f"Tile_{i + 1:03d}", x, y, part.shape[1], part.shape[0], part.tobytes())],
+                        columns=["path", "page", "tile_id", "tx", "ty", "tw", "th", "bgr"]
+                    )
 
     return pages.mapInPandas(cut, "path string, page int, tile_id string, tx int, ty int, tw int, th int, bgr binary")
 

@@ -31,4 +31,6 @@ def export(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = documents.where(F.col("annotation").isNotNull())
     ending = extension(F.col("filename"))
     name = F.concat(F.lit("images/"), "image_id", F.when(ending == "", ".png").otherwise(ending))
-    return rows.select(name.alias("path"), "content"), rows.select(F.concat(F.lit("annotations/"), "image_id", F.lit(".json")).alias("path"), F.col("annotation").alias("value"))
+    return rows.select(name.alias("path"), "content"), rows.select(
+        F.concat(F.lit("annotations/"), "image_id", F.lit(".json")).alias("path"), F.col("annotation").alias("value")
+    )

@@ -77,7 +77,9 @@ def test_vote_ties(spark):
 
 
 def test_thresholds_are_inclusive_and_pass_nulls(spark):
-    rows = [(1, 0, "Tile_001", k, i, 0.0, 0.0, 9.0, 9.0, "x", c) for i, (k, c) in enumerate([("object", 0.25), ("object", 0.24), ("arrow", 0.3), ("ocr", 0.29), ("ocr", None)])]
+    rows = [(1, 0, "Tile_001", k, i, 0.0, 0.0, 9.0, 9.0, "x", c) for i, (k, c) in enumerate([
+        ("object", 0.25), ("object", 0.24), ("arrow", 0.3), ("ocr", 0.29), ("ocr", None)
+    ])]
     kept = merging.apply_thresholds(spark.createDataFrame(rows, SCHEMA), S)
     assert sorted(r.item_idx for r in kept.select("item_idx").collect()) == [0, 2, 4]
 
@@ -95,7 +97,9 @@ def test_empty(spark):
     assert merging.merge(spark.createDataFrame([], SCHEMA), S).count() == 0
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [("R12.", "12.5", "R12.5"), ("NOTE", "NOTE", "NOTE"), ("2X", "R3", "2X R3"), ("", "z", "z"), ("TYP", "TYPICAL", "TYPICAL")])
+@pytest.mark.parametrize(
+    ("a", "b", "want"), [("R12.", "12.5", "R12.5"), ("NOTE", "NOTE", "NOTE"), ("2X", "R3", "2X R3"), ("", "z", "z"), ("TYP", "TYPICAL", "TYPICAL")]
+)
 def test_merge_text(spark, a, b, want):
     from sheetweave.functions.text import merge_text
 
@@ -130,7 +134,10 @@ def test_bands_lose_no_match_on_a_crowded_page(spark):
     got = {(r.src, r.dst) for r in merging.match_edges(near, S).collect()}
     items = [r for r in near.collect()]
     want, cut = set(), (498.0, -2.0, 104.0, 604.0)
-    within = lambda g: (max(g[0], cut[0]), max(g[1], cut[1]), min(g[0] + g[2], cut[0] + cut[2]) - max(g[0], cut[0]), min(g[1] + g[3], cut[1] + cut[3]) - max(g[1], cut[1]))
+    within = lambda g: (
+        max(g[0], cut[0]), max(g[1], cut[1]), min(g[0] + g[2], cut[0] + cut[2]) - max(g[0], cut[0]),
+        min(g[1] + g[3], cut[1] + cut[3]) - max(g[1], cut[1])
+    )
     arrows = []
     for a in (r for r in items if r.side == "a"):
         for b in (r for r in items if r.side == "b" and r.kind == a.kind):

@@ -153,8 +153,13 @@ def test_a_suite_is_built_once_for_each_worker(spark, tmp_path):
 
 def test_decisions():
     kinds = {"A:object:0": "object", "B:object:2": "object", "B:ocr:1": "ocr"}
-    merges = [{"ids": ["A:object:0", "B:object:2", "A:object:0"], "label": "pump"}, {"ids": ["A:object:0", "B:ocr:1"]}, {"ids": ["A:object:0", "gone"]}, {"ids": "A:object:0"}, 7]
-    reply = "```json\n" + json.dumps({"merges": merges, "relabels": [{"id": "B:ocr:1", "label": "M8"}, {"id": "gone", "label": "x"}, {"id": "B:ocr:1", "label": ""}]}) + "\n```"
+    merges = [
+        {"ids": ["A:object:0", "B:object:2", "A:object:0"], "label": "pump"}, {"ids": ["A:object:0", "B:ocr:1"]}, {"ids": ["A:object:0", "gone"]},
+        {"ids": "A:object:0"}, 7
+    ]
+    reply = "```json\n" + json.dumps({
+        "merges": merges, "relabels": [{"id": "B:ocr:1", "label": "M8"}, {"id": "gone", "label": "x"}, {"id": "B:ocr:1", "label": ""}]
+    }) + "\n```"
     assert prediction.parse_decision(reply, kinds) == ([(["A:object:0", "B:object:2"], "pump")], {"B:ocr:1": "M8"})
     with pytest.raises(ValueError):
         prediction.parse_decision("[1]", kinds)
@@ -198,7 +203,10 @@ def service():
 @pytest.mark.parametrize(("path", "label", "failures"), [("/ok", "section", 0), ("/fail", "cut", 1), ("/slow", "cut", 1)])
 def test_a_model_decides_and_failure_falls_back(spark, service, path, label, failures):
     url, asked = service
-    s = Settings(canvas_width=1100, canvas_height=1100, tile_size=600, tile_overlap=100, merge_backend="llm", llm_url=url + path, llm_model="m", llm_key="k", llm_timeout=0.7)
+    s = Settings(
+        canvas_width=1100, canvas_height=1100, tile_size=600, tile_overlap=100, merge_backend="llm", llm_url=url + path, llm_model="m", llm_key="k",
+        llm_timeout=0.7
+    )
     merged, report = prediction.merge_pages(spark.createDataFrame(LINE, SCHEMA), s)
     (r,) = merged.collect()
     assert r.label == label and [r.g0, r.g1, r.g2, r.g3] == [220, 70, 940, 250] and r.members == 2
@@ -237,7 +245,9 @@ def test_job_in_three_stages(spark, tmp_path):
     assert abs(line[0] - 300) <= 1 and abs(line[2] - 899) <= 1 and len(r.tiles) >= 2
     assert {t.stage for t in spark.read.parquet(f"{at}/timings").collect()} == {"preprocess", "infer", "postprocess"}
     spark.read.parquet(f"{at}/profiles").write.parquet(f"{tmp_path}/earlier")
-    base = spark.read.parquet(f"{tmp_path}/earlier").selectExpr("object_class_dist", "arrow_class_dist", "objects_per_tile * 100 AS objects_per_tile", "arrows_per_tile", "ocr_per_tile", "mean_confidence")
+    base = spark.read.parquet(f"{tmp_path}/earlier").selectExpr(
+        "object_class_dist", "arrow_class_dist", "objects_per_tile * 100 AS objects_per_tile", "arrows_per_tile", "ocr_per_tile", "mean_confidence"
+    )
     again = job.postprocess(spark, at, S, baseline=base)
     assert again.first().drift.flags == ["objects_per_tile_shift"] and job.drifted(again, "j").first() == ("j", True, 1)
     commands = [(c.kind, c.shape, c.g0, c.g1, c.g2, c.g3) for c in prediction.draw_commands(spark.read.parquet(f"{at}/merged")).collect()]
@@ -297,7 +307,10 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     docs = annotations.page_documents(want).select("page", F.col("counts.objects").alias("n")).collect()
     assert {(r.page, r.n) for r in docs} == {(1, 1), (2, 1)}
-    logs = ['{"ts": "2024-05-01T10:00:00", "path": "/v1/jobs", "status_code": 200, "latency_ms": 12.3456}', '{"ts": "2024-05-01T10:00:01", "path": "/healthz", "status_code": 200, "latency_ms": 1}', "no json"]
+    logs = [
+        '{"ts": "2024-05-01T10:00:00", "path": "/v1/jobs", "status_code": 200, "latency_ms": 12.3456}',
+        '{"ts": "2024-05-01T10:00:01", "path": "/healthz", "status_code": 200, "latency_ms": 1}', "no json"
+    ]
     spark.createDataFrame([(x,) for x in logs], "value string").coalesce(1).write.text(f"{tmp_path}/logs")
     log_stream(spark, f"{tmp_path}/logs", f"{tmp_path}/log", f"{tmp_path}/log_check").awaitTermination()
     assert [(r.path, r.latency_ms) for r in spark.read.parquet(f"{tmp_path}/log").collect()] == [("/v1/jobs", 12.35)]
