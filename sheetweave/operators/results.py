@@ -41,11 +41,15 @@ def page_results(detections: DataFrame, merged: DataFrame, fit: DataFrame, repor
     on_canvas = _lists(merged, by, "merged", ["g1", "g0", "group_ord"])
     original = original_coords(merged.withColumns({"_y": F.col("g1"), "_x": F.col("g0")}), fit, by, digits=1)
     original = _lists(original, by, "merged_original_coords", ["_y", "_x", "group_ord"])
+    seen = [c for c in report.columns if c not in by]
+    facts = report.select(*by, F.struct(*seen).alias("merge_report"))
     out = fit.select(*by, F.struct(*CANVAS).alias("canvas"))
-    for part in (tiles, on_canvas, original, report.select(*by, F.struct(*[c for c in report.columns if c not in by]).alias("merge_report"))):
+    for part in (tiles, on_canvas, original, facts):
         out = out.join(part, [*by], "left")
-    counts = F.struct(*[F.coalesce(F.size(F.col(f"merged.`{n}`")), F.lit(0)).alias(n) for n in LISTS.values()])
-    return out.withColumn("counts", counts)
+    none = {c: F.struct(*[F.array().cast(f.dataType).alias(f.name) for f in out.schema[c].dataType]) for c in ("merged", "merged_original_coords")}
+    none |= {"tiles": F.array().cast(out.schema["tiles"].dataType), "merge_report": F.struct(*[F.lit(0).cast(report.schema[c].dataType).alias(c) for c in seen])}
+    out = out.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
+    return out.withColumn("counts", F.struct(*[F.size(F.col(f"merged.`{n}`")).alias(n) for n in LISTS.values()]))
 
 
 def merged_view(results: DataFrame, by: tuple = ("page",)) -> DataFrame:

@@ -392,7 +392,7 @@ ORACLES: dict[str, str] = {
       THEN y ELSE y + n END AS s3 FROM e""",
     "page_result": _page_result(),
     "merged_view": f"""WITH RECURSIVE pg AS (SELECT DISTINCT event_id // 25 AS page FROM events), {members('ocr')}
-      SELECT page, coalesce(n, 0) AS texts, CASE WHEN n IS NOT NULL THEN n END AS listed FROM pg LEFT JOIN (SELECT page, count(DISTINCT root) AS n
+      SELECT page, coalesce(n, 0) AS texts, coalesce(n, 0) AS listed FROM pg LEFT JOIN (SELECT page, count(DISTINCT root) AS n
       FROM m GROUP BY page) USING (page)""",
     "build_datasets": _datasets(),
     "dataset_categories": f"""WITH {sliced('arrow')} SELECT 0::BIGINT AS id, 'annotation-lines' AS name, 'none' AS supercategory UNION ALL

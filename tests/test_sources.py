@@ -243,6 +243,10 @@ def test_job_in_three_stages(spark, tmp_path):
     assert abs(x - 150) <= 1 and abs(y - 200) <= 1 and abs(w - 150) <= 2 and r.counts["OBJECT/COMPONENT"] == 1
     (line,) = [a.geometry for a in r.merged["Annotation Arrow"]]
     assert abs(line[0] - 300) <= 1 and abs(line[2] - 899) <= 1 and len(r.tiles) >= 2
+    (tmp_path / "blank").mkdir()
+    (tmp_path / "blank" / "x.png").write_bytes(images.encode_png(np.full((40, 90, 3), 255, np.uint8)))
+    (bare,) = job.run(spark, str(tmp_path / "blank"), f"{at}2", S).collect()
+    assert bare.tiles == [] and bare.merged["OCR"] == [] and bare.counts["OCR"] == 0 and bare.merge_report.pairs == 0
     assert {t.stage for t in spark.read.parquet(f"{at}/timings").collect()} == {"preprocess", "infer", "postprocess"}
     spark.read.parquet(f"{at}/profiles").write.parquet(f"{tmp_path}/earlier")
     base = spark.read.parquet(f"{tmp_path}/earlier").selectExpr(
