@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,31 @@ from sheetweave.scratch import remove, scope  # noqa: F401
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def give_back() -> None:
+    """Memory that was freed goes back to the system, where the C library offers that: drivers and Python workers live on
+    after what they did for one step, and share their machine with the steps that follow."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that gives back what it freed when the task ends."""
+
+    def to_the_end(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return to_the_end
+
+
+def pieces(batches: Iterator, rows: int = 1_000) -> Iterator:
+    """The batches of a task in slices, where what is made of a row is large."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name starting with `wanted` that df does not have, so that an input's own columns never clash."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,6 @@ As averaging and the softmax are linear, a trained model is one number for each
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, free_name, shelve, text_bytes
+from sheetweave.llm.shared import column, free_name, give_back, shelve, text_bytes
 
 BUCKETS = 1 << 20
 DIM = 4
@@ -252,17 +251,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     del rows
     model = fit(texts, toxic)
     del texts
-    _give_back()
+    give_back()
     return model
 
 
-def _give_back() -> None:
-    """Memory that training has freed goes back to the system, where the C library offers that: a driver lives on for long."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> tuple[DataFrame, str]:
     """docs with a score from 0 to 1 of each whole text in a column named `out`, or longer if docs has that; the name too.
 
@@ -281,6 +273,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
                     known.clear()
                 got.append(score_text(x.as_py(), table, bias, known))
             yield pa.array(got, pa.float64())
+        del table, known
+        give_back()
 
     name = free_name(docs, out)
     return docs.withColumn(name, scored(text_bytes(column(docs, text_col)))), name
