@@ -8,7 +8,7 @@ such position of an overlap are compared; where they differ, or an overlap holds
 overlap is widened, in the end to the whole of both chunks.
 
 A document within one chunk needs no splice. For the same reason its count is the sum of those of its words between
-ASCII white spaces, so each distinct word goes through the library once for a batch and is remembered.
+ASCII white spaces, so each distinct word goes through the library once and is remembered.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from sheetweave.llm.shared import column, free_name, text_bytes
 CHUNK = 16_384
 OVERLAP = 256
 LIMIT = 2048
-#: Words that a worker remembers, about 100 MB at most; then it starts anew.
+#: Words that a worker remembers, about 100 MB, also from task to task; beyond that, those of the latest batch only.
 REMEMBERED = 500_000
 #: A word longer than this is not remembered.
 LONG_WORD = 256
@@ -43,6 +43,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def _known(path: str) -> dict[bytes, int]:
+    """Counts of words by one tokenizer, for all tasks of this worker."""
+    return {}
+
+
 def _encoded(tokenizer, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
     """(start, end, id) of the tokens of text[lo:hi], in positions of the whole text."""
     e = tokenizer.encode(text[lo:hi], add_special_tokens=False)
@@ -84,10 +90,13 @@ def count_huge(tokenizer, text: str, chunk: int | None = None, overlap: int | No
 def count_batch(tokenizer, texts: list[bytes], known: dict[bytes, int]) -> list[int]:
     """Tokens of each UTF-8 text. known: counts of words, kept by the caller between batches."""
     split = [x.split() if len(x) <= CHUNK else None for x in texts]
-    new = list({w for ws in split if ws for w in ws}.difference(known))
-    if len(known) + len(new) > REMEMBERED:
+    words = {w for ws in split if ws for w in ws}
+    new = list(words.difference(known))
+    if len(known) + len(new) > REMEMBERED:  # those that this batch knows again stay
+        again = {w: known[w] for w in words if w in known}
         known.clear()
-        new = list({w for ws in split if ws for w in ws})
+        known.update(again)
+    del words
     for i in range(0, len(new), 4096):
         part = new[i : i + 4096]
         known.update(zip(part, (len(e) for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False))))
@@ -109,7 +118,7 @@ def count(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: i
 
     @F.arrow_udf("bigint")
     def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer, known = _tokenizer(tokenizer_path), {}
+        tokenizer, known = _tokenizer(tokenizer_path), _known(tokenizer_path)
         for batch in texts:
             yield pa.array(count_batch(tokenizer, batch.to_pylist(), known), pa.int64())
 

@@ -297,6 +297,16 @@ def test_token_counts_at_the_length_of_a_chunk():
             assert tokens.count_batch(tok, [text.encode()], {}) == [len(tok.encode(text, add_special_tokens=False).ids)]
 
 
+def test_words_are_remembered_between_batches(monkeypatch):
+    tok = tokens._tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    known = {}
+    for seed in range(6):
+        texts = noise(30, seed)
+        assert tokens.count_batch(tok, [x.encode() for x in texts], known) == [len(tok.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert tokens._known("a") is tokens._known("a") is not tokens._known("b")
+
+
 def test_long_texts_through_the_tree(spark):
     own = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     for text in ("word " * 5_000, "".join(noise(60, 8)), "ab" * 3_000 + "\n" * 3_000, "中文" * 4_000):
