@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, free_name, text_bytes
+from sheetweave.llm.shared import column, free_name, pieces, text_bytes
 
 LEAF = 4096
 WINDOW = 64
@@ -96,7 +96,7 @@ def transcode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "t
     @F.arrow_udf("ids array<int>, decoded binary")
     def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(ranks_path, pattern)
-        for batch in texts:
+        for batch in pieces(texts):
             ids, decoded, at = [], [], [0]
             for x in batch:
                 got = own.encode(x.as_py().decode("utf-8", "replace"))

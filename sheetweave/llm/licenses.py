@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, free_name, text_bytes
+from sheetweave.llm.shared import column, free_name, pieces, text_bytes
 
 #: Phrases of the base labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -188,7 +188,7 @@ def scan_text(text: bytes) -> dict:
 
 
 def _scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
+    for batch in pieces(texts):
         yield pa.array((scan_text(x.as_py()) for x in batch), type=_ARROW)
 
 

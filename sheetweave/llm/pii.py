@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, free_name
+from sheetweave.llm.shared import column, free_name, pieces
 
 ROUNDS = 8
 #: Where the key is looked up.
@@ -246,7 +246,7 @@ def _filled(text: str, parts: list[tuple[int, int, str]]) -> str:
 
 def _batch(key: bytes, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
-    for batch in texts:
+    for batch in pieces(texts):
         out = []
         for x in batch.to_pylist():
             # A null text, and bytes that are no UTF-8 without any candidate, come back from Spark unchanged (null here).

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetweave.scratch import kept as shelve  # noqa: F401  written once to the folder that driver and executors share
@@ -34,11 +35,24 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return to_the_end
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Tables written inside pass `rows` rows at a time to Python: for rows that hold whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pieces(batches: Iterator, rows: int = 1_000) -> Iterator:
-    """The batches of a task in slices, where what is made of a row is large."""
+    """The batches or arrays of a task in slices, where what is made of a row is large; what was freed is given back at the end."""
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
+        for lo in range(0, len(b), rows):
             yield b.slice(lo, rows)
+    give_back()
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetweave.llm.components import components
-from sheetweave.llm.shared import column, free_name, scope, shelve, shelve_at, text_bytes
+from sheetweave.llm.shared import column, free_name, pieces, scope, shelve, shelve_at, text_bytes
 
 SHINGLE = 3
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
+    for batch in pieces(texts):
         yield pa.array(np.array([fingerprint(x.as_py()) for x in batch], dtype=np.uint64).view(np.int64), pa.int64())
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, free_name, give_back, shelve, text_bytes
+from sheetweave.llm.shared import column, free_name, give_back, pieces, shelve, text_bytes
 
 BUCKETS = 1 << 20
 DIM = 4
@@ -266,15 +266,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     @F.arrow_udf("double")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, known = np.frombuffer(weights, np.float32), {}
-        for batch in texts:
+        for batch in pieces(texts):
             got = []
             for x in batch:
                 if len(known) > REMEMBERED:
                     known.clear()
                 got.append(score_text(x.as_py(), table, bias, known))
             yield pa.array(got, pa.float64())
-        del table, known
-        give_back()
 
     name = free_name(docs, out)
     return docs.withColumn(name, scored(text_bytes(column(docs, text_col)))), name
