@@ -1,6 +1,6 @@
 """A drawing job in three stages, each a set of tables below the job's folder that the next one reads.
 
-files -> preprocess: pages, tiles -> infer: detections, versions -> postprocess: merged, results, profiles, drift.
+files -> preprocess: rasters, pages, tiles -> infer: detections, versions -> postprocess: merged, results, profiles, overlays.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +62,7 @@ def infer(spark: SparkSession, job: str, s: Settings, suite: prediction.Suite |
 
 def postprocess(spark: SparkSession, job: str, s: Settings, baseline: DataFrame | None = None, ask: Callable[[str, str], str] | None = None) -> DataFrame:
     """(path, page, ..) results, one document a page, with its drift against a baseline: one row of the columns of
-    drift.average(), the published baseline or the average of recent profiles. Writes merged, results and profiles."""
+    drift.average(), the published baseline or the average of recent profiles. Writes merged, results, profiles and overlays."""
     began = time.perf_counter()
     pages, found = _table(spark, job, "pages", "preprocess"), _table(spark, job, "detections", "infer")
     above = merging.apply_thresholds(found.withColumn("tile_idx", F.lit(0)), s)
@@ -76,10 +78,25 @@ def postprocess(spark: SparkSession, job: str, s: Settings, baseline: DataFrame
     compared = drift.compare(pairs, s).select(*BY, F.struct("status", "drift", "flags").alias("drift"))
     out = results.page_results(above, merged, pages, report, BY).join(compared, [*BY], "left")
     out.join(pages.select(*BY, "image_id"), [*BY]).write.mode("overwrite").parquet(f"{job}/results")
+    overlays(spark, job, s).write.mode("overwrite").parquet(f"{job}/overlays")
     _timed(spark, job, "postprocess", began)
     return spark.read.parquet(f"{job}/results")
 
 
+def overlays(spark: SparkSession, job: str, s: Settings) -> DataFrame:
+    """(path, page, png): each page's canvas with what was merged drawn on it. A group is one page: its raster and items."""
+    rasters = _table(spark, job, "rasters", "preprocess")
+    drawn = prediction.draw_commands(_table(spark, job, "merged", "postprocess")).select(*BY, "kind", "shape", *[f"g{i}" for i in range(4)])
+
+    def page(key, raster: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        r = raster.iloc[0]
+        canvas = images.to_canvas(images.enhance(np.frombuffer(r.bgr, np.uint8).reshape(r.height, r.width, 3)), s)
+        commands = list(items[["kind", "shape", "g0", "g1", "g2", "g3"]].itertuples(index=False, name=None))
+        return pd.DataFrame([(*key, images.encode_png(images.overlay(canvas, commands)))], columns=[*BY, "png"])
+
+    return rasters.groupBy(*BY).cogroup(drawn.groupBy(*BY)).applyInPandas(page, "path string, page int, png binary")
+
+
 def run(spark: SparkSession, files: str, job: str, s: Settings, **how) -> DataFrame:
     """All stages. how: image and decoders of preprocess(), suite of infer(), baseline and ask of postprocess()."""
     part = lambda *names: {k: v for k, v in how.items() if k in names}

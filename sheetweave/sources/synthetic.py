@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +37,41 @@ def drawings(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
         row(F.lit("arrow"), *end, end[0] + 150, end[1] + (F.col("l") - 1) * 20, name(LINES, "l")),
     )
     return rows.select("drawing", F.col("item").cast("int").alias("item"), F.explode(items).alias("i")).select("drawing", "item", "i.*")
+
+
+def pages(drawn: DataFrame) -> DataFrame:
+    """Rasters (path, page, height, width, bgr) of drawings(): components as frames, lines as strokes with their extension
+    lines at both ends, texts as rows of marks in their boxes. A group is one drawing's items."""
+
+    def page(t: pd.DataFrame) -> pd.DataFrame:
+        image = raster(list(t[["kind", "g0", "g1", "g2", "g3"]].itertuples(index=False, name=None)))
+        name = f"drawing_{int(t['drawing'].iloc[0]):05d}"
+        return pd.DataFrame([(name, 0, HEIGHT, WIDTH, image.tobytes())], columns=["path", "page", "height", "width", "bgr"])
+
+    return drawn.groupBy("drawing").applyInPandas(page, "path string, page int, height int, width int, bgr binary")
+
+
+def raster(items: list[tuple]) -> np.ndarray:
+    """A white sheet with (kind, g0, g1, g2, g3) drawn in black."""
+    out = np.full((HEIGHT, WIDTH, 3), 255, np.uint8)
+
+    def stroke(x1: float, y1: float, x2: float, y2: float, width: int = 3) -> None:
+        n = int(max(abs(x2 - x1), abs(y2 - y1))) + 1
+        xs, ys = np.linspace(x1, x2, n).astype(int), np.linspace(y1, y2, n).astype(int)
+        for d in range(-(width // 2), width - width // 2):
+            for e in range(-(width // 2), width - width // 2):
+                out[np.clip(ys + d, 0, HEIGHT - 1), np.clip(xs + e, 0, WIDTH - 1)] = 0
+
+    for kind, a, b, c, d in items:
+        if kind == "object":
+            for line in ((a, b, a + c, b), (a, b + d, a + c, b + d), (a, b, a, b + d), (a + c, b, a + c, b + d)):
+                stroke(*line)
+        elif kind == "arrow":
+            stroke(a, b, c, d)
+            for x, y in ((a, b), (c, d)):
+                stroke(x, y - 12, x, y + 12, 1)
+        else:
+            for x in range(int(a) + 4, int(a + c) - 10, 16):
+                stroke(x, b + 4, x, b + d - 4, 2)
+                stroke(x, b + 4, x + 8, b + d - 4, 2)
+    return out

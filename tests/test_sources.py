@@ -243,6 +243,12 @@ def test_job_in_three_stages(spark, tmp_path):
     assert abs(x - 150) <= 1 and abs(y - 200) <= 1 and abs(w - 150) <= 2 and r.counts["OBJECT/COMPONENT"] == 1
     (line,) = [a.geometry for a in r.merged["Annotation Arrow"]]
     assert abs(line[0] - 300) <= 1 and abs(line[2] - 899) <= 1 and len(r.tiles) >= 2
+    (shown,) = spark.read.parquet(f"{at}/overlays").collect()
+    (tmp_path / "shown").mkdir()
+    (tmp_path / "shown" / "o.png").write_bytes(bytes(shown.png))
+    (o,) = images.read_pages(spark, str(tmp_path / "shown")).collect()
+    px = np.frombuffer(o.bgr, np.uint8).reshape(o.height, o.width, 3)
+    assert px.shape == (1100, 1100, 3) and tuple(px[200, 220]) == images.COLOURS["object"] and tuple(px[701, 600]) == images.COLOURS["arrow"]
     (tmp_path / "blank").mkdir()
     (tmp_path / "blank" / "x.png").write_bytes(images.encode_png(np.full((40, 90, 3), 255, np.uint8)))
     (bare,) = job.run(spark, str(tmp_path / "blank"), f"{at}2", S).collect()
@@ -285,6 +291,20 @@ def test_training_set_on_disk(spark, tmp_path):
     assert b["name"] == "default" and b.profile.n_tiles >= 1
 
 
+def test_synthetic_pages_hold_what_their_truth_says(spark):
+    from sheetweave.sources import synthetic
+
+    drawn = synthetic.drawings(spark, 2)
+    (page, *_) = synthetic.pages(drawn).orderBy("path").collect()
+    px = np.frombuffer(page.bgr, np.uint8).reshape(page.height, page.width, 3)[:, :, 0]
+    items = drawn.where("drawing = 0").collect()
+    assert (page.height, page.width) == (synthetic.HEIGHT, synthetic.WIDTH) and len(items) % 3 == 0
+    for r in items:
+        x, y = (r.g0 + r.g2 / 2, r.g1) if r.kind == "object" else ((r.g0 + r.g2) / 2, (r.g1 + r.g3) / 2) if r.kind == "arrow" else (r.g0 + 4, r.g1 + 14)
+        assert px[int(y) - 1 : int(y) + 2, int(x) - 1 : int(x) + 2].min() == 0
+    assert 0.001 < (px == 0).mean() < 0.1
+
+
 def test_cli(spark, tmp_path):
     cli.main(["synthetic", f"{tmp_path}/s", "--n", "3"], spark)
     assert spark.read.parquet(f"{tmp_path}/s").select("drawing").distinct().count() == 3
