@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: what a task holds of a table that it writes or reads.
+ROW_GROUP = 16 << 20
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -32,7 +34,7 @@ def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
     if not _WRITTEN:
         atexit.register(_remove_all)
     _WRITTEN.append((spark, path))
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
