@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetweave.llm import ann, bpe, licenses, lm, mixing, pii, quality, simhash, tokens, toxicity
+from sheetweave.llm import ann, bpe, fim, licenses, lm, mixing, pii, quality, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +68,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, c = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs, back = fim.restore(docs.select("doc_id", c), c)
+    s = docs[c]
+    output, restored = F.sha2(s["output"], 256).alias("output_sha256"), F.sha2(docs[back], 256).alias("restored_sha256")
+    return docs.select("doc_id", s["n"].alias("n"), s["form"].alias("form"), s["prefix_chars"].alias("prefix_chars"), s["middle_chars"].alias("middle_chars"), output, restored)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_pii, op4_tokens, op5_quality, op6_lm, op7_bpe, op8_licenses, op9_neighbours, op10_mixing)}
+    found = (op1_toxicity, op2_simhash, op3_pii, op4_tokens, op5_quality, op6_lm, op7_bpe, op8_licenses, op9_neighbours, op10_mixing, op11_fim)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_quality": quality.SQL, "op10_mixing": mixing.SQL, "op11_fim": fim.SQL}
