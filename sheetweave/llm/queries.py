@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetweave.llm import ann, bpe, dialogue, fim, licenses, lm, mixing, pii, quality, simhash, tokens, toxicity
+from sheetweave.llm import ann, bpe, dialogue, fim, licenses, lm, mixing, pii, quality, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,15 +76,21 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", s["n"].alias("n"), s["form"].alias("form"), s["prefix_chars"].alias("prefix_chars"), s["middle_chars"].alias("middle_chars"), output, restored)
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, c = substrings.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    s = docs[c]
+    return docs.select("doc_id", s["n_words"].alias("n_words"), s["n_removed"].alias("n_removed"), F.sha2(s["kept"], 256).alias("kept_sha256"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.digest(*dialogue.rows_of(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
 
 
 def queries() -> dict:
     found = (op1_toxicity, op2_simhash, op3_pii, op4_tokens, op5_quality, op6_lm, op7_bpe, op8_licenses, op9_neighbours, op10_mixing, op11_fim,
-             op13_conversations)
+             op12_substrings, op13_conversations)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL, "op10_mixing": mixing.SQL, "op11_fim": fim.SQL, "op13_conversations": dialogue.SQL}
+    return {"op5_quality": quality.SQL, "op10_mixing": mixing.SQL, "op11_fim": fim.SQL, "op12_substrings": substrings.SQL, "op13_conversations": dialogue.SQL}
