@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetweave.llm.shared import column, free_name, give_back, scope, shelve_at, text_bytes, trimmed
+from sheetweave.llm.shared import column, free_name, give_back, remove, scope, shelve_at, text_bytes, trimmed
 
 WINDOW = 13
 #: Words of a run whose hash can be an anchor.
@@ -34,7 +34,7 @@ BLOCK = 1 << 18
 #: Texts whose words are hashed together.
 TEXTS = 500
 #: Documents of the sample that finds frequent anchors, how many of them make one frequent, and how many are kept.
-SAMPLE, COMMON, KEPT = 20_000, 8, 8_192
+SAMPLE, COMMON, KEPT = 20_000, 16, 8_192
 _NO_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,11 +69,11 @@ def _sliding_least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def stretches(codes: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, windows, anchor) of every stretch of some documents' words, one document after the other."""
+def stretches(codes: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(document, first window, windows, anchor, fingerprint) of every stretch of some documents' words, one document after the other."""
     none = np.empty(0, np.int64)
     if len(codes) < window:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     gram = min(GRAM, window)
     anchor = _sliding_least(_runs(codes, gram), window - gram + 1)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -86,7 +86,19 @@ def stretches(codes: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tup
     run = np.flatnonzero(new)
     new |= (np.arange(len(start)) - run[np.cumsum(new) - 1]) % STRETCH == 0
     first = np.flatnonzero(new)
-    return doc[first], at[first], np.diff(np.append(first, len(start))), anchor[first]
+    n = np.diff(np.append(first, len(start)))
+    return doc[first], at[first], n, anchor[first], _fingerprints(codes, start[first], n + window - 1)
+
+
+def _fingerprints(codes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of `size` codes from each place on: differences of running sums of codes times powers, taken back to the first power."""
+    power = np.full(len(codes) + 1, _MIX, np.uint64)
+    back = np.full(len(codes) + 1, pow(int(_MIX), -1, 1 << 64), np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_scramble(codes) * power[:-1], out=total[1:])
+    return _scramble((total[at + size] - total[at]) * back[at] + size.astype(np.uint64))
 
 
 def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +110,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-_SPANS = "a bigint, d bigint, h bigint, at int, n int"
+_SPANS = "a bigint, f bigint, d bigint, h bigint, at int, n int, one boolean"
 
 
 def _anchored(window: int):
@@ -108,45 +120,52 @@ def _anchored(window: int):
         for b in batches:
             for lo in range(0, b.num_rows, TEXTS):
                 part = b.slice(lo, TEXTS)
-                doc, at, n, anchor = stretches(*_coded(part.column(2)), window)
+                doc, at, n, anchor, f = stretches(*_coded(part.column(2)), window)
                 d, h = (pa.array(part.column(i).to_numpy()[doc]) for i in (0, 1))
-                columns = [_signed(anchor), d, h, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "d", "h", "at", "n"])
+                columns = [_signed(anchor), _signed(f), d, h, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(at), pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "f", "d", "h", "at", "n", "one"])
 
     return trimmed(run)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of stretches sorted by (a, d) those whose anchor two documents have. What waits between batches is of one anchor and document."""
+    """Of stretches sorted by (a, f, d, h, at) those whose anchor two documents have, without repeats. The first of equal
+    ones, that of the least document, is marked as `one`. What waits between batches is of one anchor and one document."""
     held: pa.RecordBatch | None = None
-    open_ = None  # the anchor that the last batch ended with, if it is known to be shared
+    last = None  # (a, f, d, h, at) of the last row handed on, and the first document of its anchor
+    shared = None  # the anchor that the last batch ended with, if it is known to be shared
     for b in batches:
         if not b.num_rows:
             continue
         if held is not None:
             b = pa.concat_batches([held, b])
-        a, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-        start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        a, f, d, h, at = (b.column(i).to_numpy() for i in range(5))
+        edge = np.append(True, a[1:] != a[:-1])
+        start = np.flatnonzero(edge)
         end = np.append(start[1:], len(a))
-        several = d[start] != d[end - 1]
-        several[0] |= open_ is not None and a[0] == open_
-        keep = np.repeat(several, end - start)
-        open_ = a[-1] if several[-1] else None
+        several = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+        several[0] |= shared is not None and a[0] == shared
+        one = edge | np.append(True, f[1:] != f[:-1])
+        new = one | np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1]))
+        if last is not None and last[0] == a[0] and last[1] == f[0]:
+            one[0] = False
+            new[0] = last[2:] != (d[0], h[0], at[0])
+        keep = np.repeat(several, end - start) & new
+        shared = a[-1] if several[-1] else None
         held = None if several[-1] else b.slice(start[-1])
-        yield b.filter(pa.array(keep))
+        last = (a[-1], f[-1], d[-1], h[-1], at[-1]) if several[-1] else None
+        yield b.set_column(6, "one", pa.array(one)).filter(pa.array(keep))
 
 
-_WORDS = "a bigint, f bigint, d bigint, h bigint, at int, n int, least bigint, words binary"
+_WORDS = "a bigint, f bigint, d bigint, h bigint, at int, least bigint, words binary"
 
 
-def _worded(window: int, frequent: np.ndarray):
-    """Batches (d, h, text, spans) -> stretches with a fingerprint f of their words. The words themselves come with the first
-    of equal stretches of some texts, with the least document of these. Stretches of frequent anchors come window by window,
-    each under its own hash, so that only equal windows share a key. frequent: sorted."""
+def _worded(window: int, varied: np.ndarray):
+    """Batches (d, h, text, spans) -> stretches, the marked ones with their words. Of stretches of frequent anchors, which no
+    one has marked, the first of equal ones among some texts has them, and the least document of these. Those of varied
+    anchors come window by window, each under its own hash, so that only equal windows share a key. varied: sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         before = None
         for b in batches:
             for lo in range(0, b.num_rows, TEXTS):
@@ -154,38 +173,29 @@ def _worded(window: int, frequent: np.ndarray):
                 codes, sizes = _coded(part.column(2))
                 begin = np.cumsum(sizes) - sizes
                 spans = part.column(3)
-                doc = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-                flat = spans.flatten()
-                at, n, a = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
-                if len(frequent) and len(a):
-                    place = np.minimum(np.searchsorted(frequent, a), len(frequent) - 1)
-                    alone = frequent[place] == a
-                    times = np.where(alone, n, 1)
-                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    doc, at, n, a, alone = (np.repeat(x, times) for x in (doc, at, n, a, alone))
-                    at, n = at + nth, np.where(alone, 1, n)
-                    a = a.copy()
-                    a[alone] = _runs_at(codes, begin[doc[alone]] + at[alone], window).view(np.int64)
                 d, h = (part.column(i).to_numpy() for i in (0, 1))
-                again = np.array([(x == before) or (i and x == (d[i - 1], h[i - 1])) for i, x in enumerate(zip(d, h))], bool)  # repeated rows, side by side
+                again = np.append(before == (d[0], h[0]), (d[1:] == d[:-1]) & (h[1:] == h[:-1]))  # repeated rows, side by side
                 before = (d[-1], h[-1])
-                keep = ~again[doc]
-                doc, at, n, a = doc[keep], at[keep], n[keep], a[keep]
-                d, h, body, f, first, least = d[doc], h[doc], codes.tobytes(), [], {}, []
-                for i, (key, p, k) in enumerate(zip(a.tolist(), (begin[doc] + at).tolist(), (n + window - 1).tolist())):
-                    words = body[8 * p : 8 * (p + k)]
-                    f.append(xxhash.xxh3_64_intdigest(words))
-                    same = first.setdefault((key, f[-1]), i)
-                    least.append(d[i])
-                    least[same] = min(least[same], d[i])
-                own = np.zeros(len(a), bool)
-                own[list(first.values())] = True
-                texts = [body[8 * p : 8 * (p + k)] if o else None for o, p, k in zip(own.tolist(), (begin[doc] + at).tolist(), (n + window - 1).tolist())]
-                columns = [
-                    pa.array(a), _signed(np.array(f, np.uint64)), pa.array(d), pa.array(h), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)),
-                    pa.array(np.array(least, np.int64)), pa.array(texts, pa.binary())
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "f", "d", "h", "at", "n", "least", "words"])
+                doc = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
+                flat = spans.flatten()
+                at, n, a, f = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
+                one = flat.field(4)
+                free, one = one.is_null().to_numpy(zero_copy_only=False), one.fill_null(False).to_numpy(zero_copy_only=False)
+                alone = np.isin(a, varied) & free
+                times = np.where(alone, n, 1) * ~again[doc]
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                doc, at, n, a, f, free, one, alone = (np.repeat(x, times) for x in (doc, at, n, a, f, free, one, alone))
+                at, n = at + nth, np.where(alone, 1, n)
+                a[alone], f[alone] = _runs_at(codes, begin[doc[alone]] + at[alone], window).view(np.int64), 0
+                least = d[doc]
+                order = np.flatnonzero(free)
+                order = order[np.lexsort((least[order], f[order], a[order]))]
+                first = np.append(True, (a[order][1:] != a[order][:-1]) | (f[order][1:] != f[order][:-1]))[: len(order)]
+                one[order] = first
+                body, lo_ = codes.tobytes(), 8 * (begin[doc] + at)
+                words = [body[p : p + k] if o else None for o, p, k in zip(one.tolist(), lo_.tolist(), (8 * (n + window - 1)).tolist())]
+                columns = [*map(pa.array, (a, f, d[doc], h[doc], at.astype(np.int32), least)), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "f", "d", "h", "at", "least", "words"])
 
     return trimmed(run)
 
@@ -326,12 +336,14 @@ def _let_go(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _frequent(keyed: DataFrame, window: int) -> np.ndarray:
-    """Anchors that COMMON documents or more of a bounded sample have, KEPT at most, sorted."""
+def _frequent(keyed: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that COMMON documents or more of a bounded sample have, KEPT at most, sorted; and those of them with as many different stretches."""
     every = max(1, keyed.count() // SAMPLE)
     some = keyed.where(F.pmod(F.xxhash64("d", "h"), F.lit(every)) == 0).mapInArrow(_anchored(window), _SPANS)
-    often = some.groupBy("a").agg(F.count_distinct("d", "h").alias("k")).where(F.col("k") >= COMMON).orderBy(F.desc("k"), "a").limit(KEPT).select("a")
-    return np.sort(often.toArrow()["a"].to_numpy().astype(np.int64))
+    counts = some.groupBy("a").agg(F.count_distinct("d", "h").alias("k"), F.count_distinct("f").alias("v")).where(F.col("k") >= COMMON)
+    often = counts.orderBy(F.desc("k"), "a").limit(KEPT).toArrow().sort_by("a")
+    a, v = (often[c].to_numpy().astype(np.int64) for c in ("a", "v"))
+    return a, a[v >= COMMON]
 
 
 def repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -339,23 +351,23 @@ def repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     The result is written to the shared folder; steps towards it are written there and deleted."""
     spark = keyed.sparkSession
-    frequent = _frequent(keyed, window)
-    is_frequent = F.col("a").isin([int(x) for x in frequent]) if len(frequent) <= 64 else None
+    frequent, varied = _frequent(keyed, window)
     with scope(spark) as wanted:
         spans = keyed.mapInArrow(_anchored(window), _SPANS)
-        known = spark.createDataFrame(pa.table({"a": pa.array(frequent)}))  # KEPT rows at most
-        rare = spans.where(~is_frequent) if is_frequent is not None else spans.join(F.broadcast(known), "a", "left_anti")
-        hot = spans.where(is_frequent) if is_frequent is not None else spans.join(F.broadcast(known), "a", "left_semi")
-        found = rare.repartition("a").sortWithinPartitions("a", "d").mapInArrow(trimmed(_shared), _SPANS)
+        known = F.broadcast(spark.createDataFrame(pa.table({"a": pa.array(frequent)})))  # KEPT rows at most
+        found = spans.join(known, "a", "left_anti").repartition("a").sortWithinPartitions("a", "f", "d", "h", "at").mapInArrow(trimmed(_shared), _SPANS)
         if len(frequent):  # that several documents have these is known
-            found = found.unionByName(hot)
-        of = found.groupBy("d", "h").agg(F.collect_list(F.struct("at", "n", "a")).alias("spans"))
+            found = found.unionByName(spans.join(known, "a", "left_semi"))
+        of, of_at = shelve_at(found.groupBy("d", "h").agg(F.collect_set(F.struct("at", "n", "a", "f", "one")).alias("spans")))
+        del spans, found
+        _let_go(spark)
         met = keyed.join(of, ["d", "h"]).select("d", "h", "text", "spans")
-        worded, worded_at = shelve_at(met.mapInArrow(_worded(window, frequent), _WORDS))
-        del spans, rare, hot, found, of, met
+        worded, _ = shelve_at(met.mapInArrow(_worded(window, varied), _WORDS))
+        del of, met
+        remove(spark, of_at)
         _let_go(spark)
         distinct = worded.where("words IS NOT NULL").select("a", "f", F.col("least").alias("d"), "words")
-        least, least_at = shelve_at(distinct.repartition("a").sortWithinPartitions("a", "f").mapInArrow(_searched(window), _FOUND))
+        least, _ = shelve_at(distinct.repartition("a").sortWithinPartitions("a", "f").mapInArrow(_searched(window), _FOUND))
         del distinct
         _let_go(spark)
         own = worded.select("a", "f", "d", "h", "at").join(least.withColumnRenamed("least", "first"), ["a", "f"])
@@ -363,6 +375,7 @@ def repeats(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
         own = own.select("d", "h", starts.alias("starts")).where(F.size("starts") > 0)
         out, path = shelve_at(own.groupBy("d", "h").agg(F.flatten(F.collect_list("starts")).alias("starts")))
         wanted.append(path)
+    del worded, least, own
     _let_go(spark)
     return out
 
@@ -377,9 +390,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     the input. kept joins what stays by single spaces. A null text has no words and stays empty; a null id counts as
     larger than any; rows of equal id take nothing from each other, and equal rows fare alike; texts shorter than a window
     lose nothing; texts of any length are read whole; other columns stay whatever their names; an empty table stays empty.
-    Words are compared by 64-bit keyed hashes, thirteen in a row. Anchors that many documents have (found in a sample of
-    SAMPLE documents) are keys window by window, after equal windows of a task's texts have become one row; any other is
-    held by about COMMON in SAMPLE documents at most.
+    Words are compared by 64-bit keyed hashes, a window of them in a row. Stretches of anchors that many documents have (COMMON
+    of a sample of SAMPLE) are made one row for each different stretch of a task's texts, and windows alone where stretches
+    differ; so the rows of a key are those of about COMMON in SAMPLE documents at most.
     """
     mark = {c: free_name(docs, c) for c in ("d_", "h_")}
     text = text_bytes(column(docs, text_col))
