@@ -15,6 +15,7 @@ their own are reported and their words go.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -331,9 +332,13 @@ def _searched(window: int):
 
 
 def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of steps that are written are deleted when the JVM finds their plans unused, which it is asked to do now."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Shuffle files of steps that are written are deleted once the JVM finds their plans unused, which it is asked to do now:
+    Python lets go of its handles first, and Spark's cleaner works on its own threads, hence the short waits."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def _frequent(keyed: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray]:
