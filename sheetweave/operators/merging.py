@@ -1,6 +1,7 @@
 """Detections of overlapping tiles merged into one list per page.
 
-candidates -> seam pairs -> match edges -> components -> fused rows. `by` names the columns that tell pages apart.
+candidates -> seam pairs -> match edges -> components -> fused rows. `by` names the columns that tell pages apart. Tiles are
+those of the settings' grid, or a layout: by..., idx, tile_id, tx, ty, tw, th (operators/layouts.py), each page with its own.
 Detections: by..., tile_idx, tile_id, kind (object, ocr, arrow), item_idx, g0..g3 (tile pixels), label, confidence.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
 from sheetweave.functions.text import join_fragments
+from sheetweave.operators import layouts
 from sheetweave.operators.tiling import tile_grid, tile_pairs
 from sheetweave.scratch import kept, kept_at, remove
 from sheetweave.settings import Settings
@@ -33,11 +35,16 @@ def apply_thresholds(detections: DataFrame, s: Settings) -> DataFrame:
     return detections.where(F.col("confidence").isNull() | (F.col("confidence") >= least))
 
 
-def candidates(detections: DataFrame, s: Settings) -> DataFrame:
-    """Detections in canvas pixels with uid, ord (place in the input) and bounding box b0..b3. tx, ty follow from the grid."""
-    grid = tile_grid(detections.sparkSession, s)
-    at = grid.select("tile_id", F.col("idx").alias("_idx"), F.col("tx").cast("double").alias("_x"), F.col("ty").cast("double").alias("_y"))
-    rows = detections.drop("tile_idx").join(F.broadcast(at), "tile_id")  # as many rows as the grid has tiles
+def candidates(detections: DataFrame, s: Settings, by: tuple = BY, layout: DataFrame | None = None) -> DataFrame:
+    """Detections in canvas pixels with uid, ord (place in the input) and bounding box b0..b3. tx, ty are those of the grid or layout.
+
+    ord leaves 2^40 places for each tile and kind."""
+    place = [F.col("idx").alias("_idx"), F.col("tx").cast("double").alias("_x"), F.col("ty").cast("double").alias("_y")]
+    if layout is None:
+        at = F.broadcast(tile_grid(detections.sparkSession, s).select("tile_id", *place))  # as many rows as the grid has tiles
+        rows = detections.drop("tile_idx").join(at, "tile_id")
+    else:
+        rows = detections.drop("tile_idx").join(layout.select(*by, "tile_id", *place), [*by, "tile_id"])
     g, arrow = G.quad("g"), F.col("kind") == "arrow"
     start = (g[0] + F.col("_x"), g[1] + F.col("_y"))
     end = [F.when(arrow, v + F.col(c)).otherwise(v) for v, c in ((g[2], "_x"), (g[3], "_y"))]
@@ -45,20 +52,22 @@ def candidates(detections: DataFrame, s: Settings) -> DataFrame:
     rows = rows.withColumns({
         **{f"g{i}": v for i, v in enumerate((*start, *end))},
         "uid": F.concat_ws(":", "tile_id", "kind", F.col("item_idx").cast("string")),
-        "ord": (F.col("_idx").cast("long") * 3 + rank) * 1_000_000 + F.col("item_idx"),
+        "ord": F.shiftleft(F.col("_idx").cast("long") * 3 + rank, 40) + F.col("item_idx"),
         "tile_idx": F.col("_idx"),
     }).drop("_idx", "_x", "_y")
     box = G.segment_box(G.quad("g"))
     return rows.withColumns({f"b{i}": F.when(arrow, v).otherwise(F.col(f"g{i}")) for i, v in enumerate(box)})
 
 
-def seam_candidates(cands: DataFrame, s: Settings, by: tuple = BY) -> DataFrame:
-    """Candidates near the seam of each pair their tile is in: side a or b, pair columns kept. The pairs are a few rows."""
-    pairs = tile_pairs(tile_grid(cands.sparkSession, s), s.seam_margin)
+def seam_candidates(cands: DataFrame, s: Settings, by: tuple = BY, layout: DataFrame | None = None) -> DataFrame:
+    """Candidates near the seam of each pair their tile is in: side a or b, pair columns kept. The pairs of the grid are a few rows."""
+    pairs = tile_pairs(tile_grid(cands.sparkSession, s), s.seam_margin) if layout is None else layouts.pairs(layout, s.seam_margin, by)
     sides = pairs.withColumn("tile_id", F.explode(F.array("a", "b"))).withColumn("side", F.when(F.col("tile_id") == F.col("a"), "a").otherwise("b"))
     b, seam = G.quad("b"), G.quad("s")
     wide = (b[0] - 1, b[1] - 1, b[2] + 2, b[3] + 2)
-    return cands.join(F.broadcast(sides.withColumnRenamed("b", "_other").drop("a", "_other")), "tile_id").where(G.overlaps(wide, seam))
+    sides = sides.drop("a", "b")
+    met = cands.join(F.broadcast(sides), "tile_id") if layout is None else cands.join(sides, [*by, "tile_id"])
+    return met.where(G.overlaps(wide, seam))
 
 
 def active_pairs(near: DataFrame, by: tuple = BY) -> DataFrame:
@@ -289,16 +298,19 @@ def fuse_texts(members: DataFrame, by: tuple = BY) -> DataFrame:
 FUSERS = {"object": fuse_objects, "arrow": fuse_arrows, "ocr": fuse_texts}
 
 
-def merge(detections: DataFrame, s: Settings, by: tuple = BY, decisions: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+def merge(
+    detections: DataFrame, s: Settings, by: tuple = BY, decisions: DataFrame | None = None, labels: DataFrame | None = None, layout: DataFrame | None = None
+) -> DataFrame:
     """(by, kind, g0..g3, label, confidence, source_tiles, members, group_ord): the merged rows of every page.
 
     Edges are those of geometry, or of decisions (by, pair_ord, src, dst; src = dst relabels an item) with labels
     (by, uid, label): a group of several takes the label of its first member that has one.
     Order within a page and kind is (g1, g0, group_ord). Pages without detections give no rows; items that no rule
-    joins come out as they are; a null confidence stays null where all of a group's are."""
-    cands = kept(candidates(detections, s))
+    joins come out as they are; a null confidence stays null where all of a group's are. With a layout, detections of
+    tiles that their page does not have are left out."""
+    cands = kept(candidates(detections, s, by, layout))
     if decisions is None:
-        edges = match_edges(seam_candidates(cands, s, by), s, by)
+        edges = match_edges(seam_candidates(cands, s, by, layout), s, by)
     else:
         edges = decisions.where("src <> dst").select(*by, "src", "dst")
         alone = decisions.where("src = dst").groupBy(*by, F.col("src").alias("uid")).agg(F.max_by("label", "pair_ord").alias("relabel"))

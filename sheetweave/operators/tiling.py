@@ -31,6 +31,17 @@ def tile_grid(spark: SparkSession, s: Settings) -> DataFrame:
     return spark.createDataFrame(rows, "idx int, tile_id string, row int, col int, tx int, ty int, tw int, th int")
 
 
+def touching(a: G.Quad, b: G.Quad) -> tuple[Column, G.Quad]:
+    """Whether two tiles that share a row or a column overlap or abut, and the box or edge that they share."""
+    (ax, ay, ax2, ay2), (bx, by, bx2, by2) = G.corners(a), G.corners(b)
+    beside, stacked = (ay == by) & ((ax2 == bx) | (bx2 == ax)), (ax == bx) & ((ay2 == by) | (by2 == ay))
+    hit, shared = G.overlaps(a, b), G.intersection(a, b)
+    edge_x = (F.least(ax2, bx2), ay, F.lit(0.0), F.least(a[3], b[3]))
+    edge_y = (ax, F.least(ay2, by2), F.least(a[2], b[2]), F.lit(0.0))
+    over = tuple(F.when(hit, h).when(beside, p).otherwise(q) for h, p, q in zip(shared, edge_x, edge_y))
+    return hit | beside | stacked, over
+
+
 def tile_pairs(grid: DataFrame, margin: int) -> DataFrame:
     """Tiles that share a row or column and overlap or abut: (pair_ord, a, b, orientation, o0..o3 overlap, s0..s3 seam)."""
     def side(t):
@@ -40,14 +51,9 @@ def tile_pairs(grid: DataFrame, margin: int) -> DataFrame:
         )
     a, b = G.quad("a"), G.quad("b")
     same_row, same_col = a[1] == b[1], a[0] == b[0]
-    (ax, ay, ax2, ay2), (bx, by, bx2, by2) = G.corners(a), G.corners(b)
-    beside, stacked = same_row & ((ax2 == bx) | (bx2 == ax)), same_col & ((ay2 == by) | (by2 == ay))
-    hit, shared = G.overlaps(a, b), G.intersection(a, b)
-    edge_x = (F.least(ax2, bx2), ay, F.lit(0.0), F.least(a[3], b[3]))
-    edge_y = (ax, F.least(ay2, by2), F.least(a[2], b[2]), F.lit(0.0))
-    over = [F.when(hit, h).when(beside, p).otherwise(q).alias(f"o{i}") for i, (h, p, q) in enumerate(zip(shared, edge_x, edge_y))]
-    found = side("a").join(side("b"), (F.col("ai") < F.col("bi")) & (same_row | same_col) & (hit | beside | stacked))
-    found = found.select("ai", "bi", "a", "b", F.when(same_row, "vertical").otherwise("horizontal").alias("orientation"), *over)
+    near, over = touching(a, b)
+    found = side("a").join(side("b"), (F.col("ai") < F.col("bi")) & (same_row | same_col) & near)
+    found = found.select("ai", "bi", "a", "b", F.when(same_row, "vertical").otherwise("horizontal").alias("orientation"), *[o.alias(f"o{i}") for i, o in enumerate(over)])
     o = G.quad("o")
     seam = (o[0] - margin, o[1] - margin, o[2] + 2 * margin, o[3] + 2 * margin)
     return found.select((F.col("ai") * 10_000 + F.col("bi")).alias("pair_ord"), "a", "b", "orientation", *o, *[v.alias(f"s{i}") for i, v in enumerate(seam)])

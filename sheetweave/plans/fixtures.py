@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheetweave.operators import layouts
 from sheetweave.operators.slicing import slice_boxes, slice_segments
 from sheetweave.settings import Settings
 
@@ -39,6 +40,26 @@ def truth(spark: SparkSession, sf_dir: str, kind: str, page: str = PAGE) -> Data
     return e.selectExpr(f"{page} AS page", "event_id AS id", f"'{kind}' AS kind", *geometry, f"{label} AS label", f"{conf} AS confidence")
 
 
+def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout of 25 tiles for each page: columns, tile size and overlap (also none) by page; some tiles wider, higher or out of line."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id", f"{PAGE} AS page", "CAST(event_id % 25 AS INT) AS idx", "3 + (event_id DIV 25) % 4 AS across", "600 + 50 * ((event_id DIV 25) % 5) AS size",
+        "CAST(64 * ((event_id DIV 25) % 3) AS INT) AS over",
+    )
+    return e.selectExpr(
+        "page", "idx", "format_string('T%02d', idx) AS tile_id", "CAST((idx % across) * (size - over) AS DOUBLE) AS tx",
+        "CAST((idx DIV across) * (size - over) + (CASE WHEN idx % 11 = 7 THEN 1 ELSE 0 END) AS DOUBLE) AS ty",
+        "CAST(size + (CASE WHEN event_id % 5 = 0 THEN 180 ELSE 0 END) AS DOUBLE) AS tw", "CAST(size + (CASE WHEN event_id % 7 = 0 THEN 60 ELSE 0 END) AS DOUBLE) AS th",
+    )
+
+
+def layout_detections(spark: SparkSession, sf_dir: str, s: Settings) -> DataFrame:
+    """Objects seen through their page's own tiles; a tile's items are counted by id."""
+    seen = layouts.cut_boxes(truth(spark, sf_dir, "object"), layout(spark, sf_dir), s.min_visible)
+    w = Window.partitionBy("page", "tile_id").orderBy("id")
+    return seen.withColumn("item_idx", F.row_number().over(w) - 1).select("page", "id", "tile_id", "kind", "item_idx", "g0", "g1", "g2", "g3", "label", "confidence")
+
+
 def detections(spark: SparkSession, sf_dir: str, s: Settings, kind: str | None = None, page: str = PAGE) -> DataFrame:
     """Truth seen through tiles, as a model would report it: item_idx counts within page, tile and kind by id."""
     parts = []

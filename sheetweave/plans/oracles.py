@@ -8,14 +8,36 @@ ys AS (SELECT unnest(list_distinct(list_append(range(0, 1872, 896), 1872))) AS t
 grid AS (SELECT row_number() OVER (ORDER BY ty, tx) - 1 AS idx, printf('Tile_%03d', row_number() OVER (ORDER BY ty, tx)) AS tile_id, CAST(tx AS DOUBLE) AS tx, CAST(ty AS DOUBLE) AS ty
   FROM xs, ys)"""
 PAIRS = """
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT a.idx * 10000 + b.idx AS pair_ord, a.tile_id AS a, b.tile_id AS b, CASE WHEN a.ty = b.ty THEN 'vertical' ELSE 'horizontal' END AS orientation,
          greatest(a.tx, b.tx) AS o0, greatest(a.ty, b.ty) AS o1, least(a.tx, b.tx) + 1024 - greatest(a.tx, b.tx) AS o2, least(a.ty, b.ty) + 1024 - greatest(a.ty, b.ty) AS o3
   FROM grid a JOIN grid b ON a.idx < b.idx AND (a.tx = b.tx OR a.ty = b.ty) AND abs(a.tx - b.tx) < 1024 AND abs(a.ty - b.ty) < 1024)"""
+SIDES = "sides AS MATERIALIZED (SELECT *, a AS t, 'a' AS side FROM pairs UNION ALL SELECT *, b, 'b' FROM pairs)"
+
+#: Tiles of each page, and pairs of them.
+LAYOUT = """
+tiles AS MATERIALIZED (SELECT page, idx, printf('T%02d', idx) AS tile_id, CAST((idx % across) * (size - over) AS DOUBLE) AS tx,
+    CAST((idx // across) * (size - over) + CASE WHEN idx % 11 = 7 THEN 1 ELSE 0 END AS DOUBLE) AS ty,
+    CAST(size + CASE WHEN event_id % 5 = 0 THEN 180 ELSE 0 END AS DOUBLE) AS tw, CAST(size + CASE WHEN event_id % 7 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS th
+  FROM (SELECT event_id, event_id // 25 AS page, event_id % 25 AS idx, 3 + (event_id // 25) % 4 AS across, 600 + 50 * ((event_id // 25) % 5) AS size, 64 * ((event_id // 25) % 3) AS over FROM events))"""
+LAYOUT_PAIRS = """
+pairs AS MATERIALIZED (
+  SELECT page, pair_ord, a, b, orientation, o0, o1, CASE WHEN hit THEN w WHEN vertical THEN 0 ELSE least(aw, bw) END AS o2, CASE WHEN hit THEN h WHEN vertical THEN least(ah, bh) ELSE 0 END AS o3 FROM (
+    SELECT a.page, (a.idx << 32) | b.idx AS pair_ord, a.tile_id AS a, b.tile_id AS b, a.ty = b.ty AS vertical, CASE WHEN a.ty = b.ty THEN 'vertical' ELSE 'horizontal' END AS orientation,
+      greatest(a.tx, b.tx) AS o0, greatest(a.ty, b.ty) AS o1, least(a.tx+a.tw, b.tx+b.tw) - greatest(a.tx, b.tx) AS w, least(a.ty+a.th, b.ty+b.th) - greatest(a.ty, b.ty) AS h,
+      w > 0 AND h > 0 AS hit, a.tw AS aw, b.tw AS bw, a.th AS ah, b.th AS bh
+    FROM tiles a JOIN tiles b ON a.page = b.page AND a.idx < b.idx AND (a.tx = b.tx OR a.ty = b.ty))
+  WHERE hit OR w = 0 OR h = 0)"""
+LAYOUT_SLICES = """
+q AS (SELECT tru.*, tiles.idx, tile_id, tx, ty, greatest(x, tx) AS vx, greatest(y, ty) AS vy, least(x+w, tx+tw) - greatest(x, tx) AS vw, least(y+h, ty+th) - greatest(y, ty) AS vh
+  FROM tru JOIN tiles ON tru.page = tiles.page),
+s0 AS (SELECT page, id, idx, tile_id, tx, ty, vx-tx AS g0, vy-ty AS g1, vw AS g2, vh AS g3, label, confidence FROM q WHERE vw > 0 AND vh > 0 AND vw*vh >= 0.3::DOUBLE*(w*h)),
+sl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page, tile_id ORDER BY id) - 1 AS item_idx FROM s0)"""
 
 
 PAGE = "event_id // 25"
 DENSE = "user_id % 40"
+OWN = "own"  # pages of PAGE with tiles of their own
 
 
 def truth(kind: str, page: str = PAGE) -> str:
@@ -51,7 +73,7 @@ q AS (SELECT tru.*, grid.*, greatest(x, tx) AS vx, greatest(y, ty) AS vy, least(
   FROM tru, grid),
 s0 AS (SELECT page, id, idx, tile_id, tx, ty, vx-tx AS g0, vy-ty AS g1, vw AS g2, vh AS g3, label, confidence FROM q
   WHERE vw > 0 AND vh > 0 AND vw*vh >= {seen}::DOUBLE*(w*h))"""
-    return f"{GRID}, {truth(kind, page)}, {body}, sl AS (SELECT *, row_number() OVER (PARTITION BY page, tile_id ORDER BY id) - 1 AS item_idx FROM s0)"
+    return f"{GRID}, {truth(kind, page)}, {body}, sl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page, tile_id ORDER BY id) - 1 AS item_idx FROM s0)"
 
 
 RANK = {"object": 0, "ocr": 1, "arrow": 2}
@@ -64,12 +86,13 @@ def near(kind: str, page: str = PAGE) -> str:
         geom, box = "g0+tx AS g0, g1+ty AS g1, g2+tx AS g2, g3+ty AS g3", "least(g0,g2) AS b0, least(g1,g3) AS b1, greatest(g0,g2)-least(g0,g2) AS b2, greatest(g1,g3)-least(g1,g3) AS b3"
     else:
         geom, box = "g0+tx AS g0, g1+ty AS g1, g2, g3", "g0 AS b0, g1 AS b1, g2 AS b2, g3 AS b3"
-    return f"""{sliced(kind, page)}, {PAIRS},
-c0 AS (SELECT page, tile_id, tile_id || ':{kind}:' || item_idx AS uid, (idx*3+{RANK[kind]})*1000000+item_idx AS ord, {geom}, label, confidence FROM sl
+    start, same = (f"{LAYOUT}, {truth(kind)}, {LAYOUT_SLICES}, {LAYOUT_PAIRS}", " AND c.page = p.page") if page == OWN else (f"{sliced(kind, page)}, {PAIRS}", "")
+    return f"""{start}, {SIDES},
+c0 AS (SELECT page, tile_id, tile_id || ':{kind}:' || item_idx AS uid, ((idx*3+{RANK[kind]}) << 40) + item_idx AS ord, {geom}, label, confidence FROM sl
   WHERE confidence >= {LEAST[kind]}::DOUBLE),
-c AS (SELECT *, {box} FROM c0),
-n AS (SELECT c.*, p.pair_ord, p.orientation, p.o0, p.o1, p.o2, p.o3, CASE WHEN c.tile_id = p.a THEN 'a' ELSE 'b' END AS side FROM c
-  JOIN pairs p ON c.tile_id IN (p.a, p.b)
+c AS MATERIALIZED (SELECT *, {box} FROM c0),
+n AS MATERIALIZED (SELECT c.*, p.pair_ord, p.orientation, p.o0, p.o1, p.o2, p.o3, p.side FROM c
+  JOIN sides p ON c.tile_id = p.t{same}
       WHERE least(b0+b2+1, o0+o2+48) > greatest(b0-1, o0-48) AND least(b1+b3+1, o1+o3+48) > greatest(b1-1, o1-48))"""
 
 
@@ -84,7 +107,7 @@ def _cut(p: str, out: str) -> str:
 
 def edges(kind: str, page: str = PAGE) -> str:
     """e: page, pair_ord, src, dst"""
-    pairs = f"""ab AS (SELECT a.page, a.pair_ord, a.orientation, a.uid AS src, b.uid AS dst, a.g0 AS p0, a.g1 AS p1, a.g2 AS p2, a.g3 AS p3, b.g0 AS q0, b.g1 AS q1, b.g2 AS q2, b.g3 AS q3{', ' + _cut('a', 'u') + ', ' + _cut('b', 'v') if kind != 'arrow' else ''}
+    pairs = f"""ab AS MATERIALIZED (SELECT a.page, a.pair_ord, a.orientation, a.uid AS src, b.uid AS dst, a.g0 AS p0, a.g1 AS p1, a.g2 AS p2, a.g3 AS p3, b.g0 AS q0, b.g1 AS q1, b.g2 AS q2, b.g3 AS q3{', ' + _cut('a', 'u') + ', ' + _cut('b', 'v') if kind != 'arrow' else ''}
       FROM (SELECT * FROM n WHERE side = 'a') a JOIN (SELECT page, pair_ord, uid, g0, g1, g2, g3 FROM n
       WHERE side = 'b') b ON a.page = b.page AND a.pair_ord = b.pair_ord)"""
     clipped = f"(u2 > 0 AND u3 > 0 AND v2 > 0 AND v3 > 0 AND {_iou('u', 'v')} >= 0.5)"
@@ -119,9 +142,12 @@ v0 AS (SELECT page, root, label, sum(coalesce(confidence, 0.5)::DECIMAL(18,6)) A
 v AS (SELECT page, root, label FROM v0 QUALIFY row_number() OVER (PARTITION BY page, root ORDER BY score DESC, length(label) DESC, first) = 1)"""
 FUSED = """min(ord) AS group_ord, max(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(tile_id))), ',') AS source_tiles, count(*) AS members"""
 
-MERGE_OBJECTS = f"""WITH RECURSIVE {members('object')}, {VOTE},
-f AS (SELECT page, root, min(g0) AS g0, min(g1) AS g1, max(g0+g2)-min(g0) AS g2, max(g1+g3)-min(g1) AS g3, {FUSED} FROM m GROUP BY page, root)
+_OBJECTS = """
+f AS (SELECT page, root, min(g0) AS g0, min(g1) AS g1, max(g0+g2)-min(g0) AS g2, max(g1+g3)-min(g1) AS g3, FUSED FROM m GROUP BY page, root)
 SELECT f.page, f.root, g0, g1, g2, g3, v.label, confidence, source_tiles, members FROM f JOIN v USING (page, root)"""
+_OBJECTS = _OBJECTS.replace("FUSED", FUSED)
+MERGE_OBJECTS = f"WITH RECURSIVE {members('object')}, {VOTE}, {_OBJECTS}"
+LAYOUT_MERGE = f"WITH RECURSIVE {members('object', OWN)}, {VOTE}, {_OBJECTS}"
 
 MERGE_ARROWS = f"""WITH RECURSIVE {members('arrow')}, {VOTE},
 ref AS (SELECT page, root, g0 AS r0, g1 AS r1, g2 AS r2, g3 AS r3 FROM m
@@ -421,4 +447,14 @@ ORACLES: dict[str, str] = {
     "stored_files": """WITH d AS (SELECT * FROM pages WHERE page_id % 4 <> 0) SELECT 'images/' || page_id || CASE page_id % 3 WHEN 0 THEN '.png'
       WHEN 1 THEN '.tiff' ELSE '.jpg' END AS path, CAST(octet_length(encode(html)) AS BIGINT) AS n FROM d
       UNION ALL SELECT 'annotations/' || page_id || '.json', 2 FROM d""",
+    "layout_pairs": f"WITH {LAYOUT}, {LAYOUT_PAIRS} SELECT *, o0-48 AS s0, o1-48 AS s1, o2+96 AS s2, o3+96 AS s3 FROM pairs",
+    "layout_slices": f"WITH {LAYOUT}, {truth('object')}, {LAYOUT_SLICES} SELECT page, id, tile_id, item_idx, g0, g1, g2, g3, label FROM sl",
+    "layout_arrows": f"""WITH {LAYOUT}, {truth('arrow')},
+      p AS (SELECT tru.page, id, tile_id, tx, ty, x1, y1, x2-x1 AS dx, y2-y1 AS dy, greatest(0, least((tx-x1)/(x2-x1), (tx+tw-x1)/(x2-x1)), CASE WHEN y1 = y2 THEN 0
+          ELSE least((ty-y1)/(y2-y1), (ty+th-y1)/(y2-y1)) END) AS t0,
+        least(1, greatest((tx-x1)/(x2-x1), (tx+tw-x1)/(x2-x1)), CASE WHEN y1 = y2 THEN 1 ELSE greatest((ty-y1)/(y2-y1), (ty+th-y1)/(y2-y1)) END) AS t1
+        FROM tru JOIN tiles ON tru.page = tiles.page WHERE y1 <> y2 OR (y1 >= ty AND y1 <= ty + th)),
+      q AS (SELECT page, id, tile_id, x1+t0*dx-tx AS g0, y1+t0*dy-ty AS g1, x1+t1*dx-tx AS g2, y1+t1*dy-ty AS g3 FROM p WHERE t0 <= t1)
+      SELECT page, id, tile_id, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3 FROM q WHERE sqrt((g2-g0)*(g2-g0)+(g3-g1)*(g3-g1)) >= 10""",
+    "layout_merge": LAYOUT_MERGE,
 }

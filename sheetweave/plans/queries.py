@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
 from sheetweave.functions import text as T
-from sheetweave.operators import datasets, drift, evaluation, jobs, merging, prediction, results, tiling
+from sheetweave.operators import datasets, drift, evaluation, jobs, layouts, merging, prediction, results, tiling
 from sheetweave.plans import fixtures
 from sheetweave.scratch import kept
 from sheetweave.settings import Settings
@@ -517,6 +517,27 @@ def stored_files(spark, d):
     return images.select("path", F.length("content").cast("long").alias("n")).unionByName(notes.select("path", F.length("value").cast("long").alias("n")))
 
 
+def layout_pairs(spark, d):
+    return layouts.pairs(fixtures.layout(spark, d), S.seam_margin)
+
+
+def layout_slices(spark, d):
+    return fixtures.layout_detections(spark, d, S).select("page", "id", "tile_id", F.col("item_idx").cast("long").alias("item_idx"), "g0", "g1", "g2", "g3", "label")
+
+
+def layout_arrows(spark, d):
+    cut = layouts.cut_segments(fixtures.truth(spark, d, "arrow"), fixtures.layout(spark, d), S.min_segment)
+    return cut.select("page", "id", "tile_id", *[F.round(f"g{i}", 6).alias(f"g{i}") for i in range(4)])
+
+
+def layout_merge(spark, d):
+    """Objects merged over the seams of each page's own tiles."""
+    tiles = fixtures.layout(spark, d)
+    cands = kept(merging.candidates(merging.apply_thresholds(fixtures.layout_detections(spark, d, S), S), S, layout=tiles))
+    edges = merging.match_edges(merging.seam_candidates(cands, S, layout=tiles), S, kinds=("object",))
+    return _out(merging.fuse_objects(merging.grouped(cands, merging.components(edges))))
+
+
 QUERIES = {
     **{f.__name__: f for f in (
         tile_starts, tile_grid, tile_pairs, canvas_fit, coords_round_trip, box_iou_pairs, segment_box_codec, apply_thresholds, seam_candidates, active_pairs, components,
@@ -525,6 +546,7 @@ QUERIES = {
         contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, empty_tiles, resolve_models, last_metrics,
         original_coords, canvas_coords, segment_codec_forms, page_result, merged_view, build_datasets, dataset_categories, job_view, job_drift, readiness, readable_texts,
         clean_metrics, draw_commands, request_rates, state_patch, page_names, stored_files,
+        layout_pairs, layout_slices, layout_arrows, layout_merge,
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),
