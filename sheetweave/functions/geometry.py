@@ -45,12 +45,6 @@ def iou(a: Quad, b: Quad) -> Column:
     return shared / (area(a) + area(b) - shared + F.lit(EPS))
 
 
-def clipped_iou(a: Quad, b: Quad, region: Quad) -> Column:
-    """IoU of what a region, widened by 2 px on each side, leaves of both boxes; 0 where it leaves nothing."""
-    wide = (region[0] - 2, region[1] - 2, region[2] + 4, region[3] + 4)
-    return F.when(overlaps(a, wide) & overlaps(b, wide), iou(intersection(a, wide), intersection(b, wide))).otherwise(F.lit(0.0))
-
-
 def segment_box(s: Quad) -> Quad:
     return from_corners((F.least(s[0], s[2]), F.least(s[1], s[3]), F.greatest(s[0], s[2]), F.greatest(s[1], s[3])))
 

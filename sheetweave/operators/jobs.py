@@ -9,19 +9,43 @@ from sheetweave.functions.text import SUPPORTED, extension
 
 #: States of a job, in the order it passes them (fixed values).
 STATES = ("queued", "running", "succeeded", "failed")
+RANK = {s: i for i, s in enumerate(STATES)}
+#: The states that may follow each; a job begins queued.
+FOLLOWS = {None: ("queued",), "queued": ("running",), "running": ("succeeded", "failed")}
 
 
-def job_state(events: DataFrame) -> DataFrame:
-    """The current row of each job from (job_id, ts, status, error): last by time, a later state before an earlier at one time."""
+def job_state(events: DataFrame, created: Column | None = None) -> DataFrame:
+    """The current row of each job from (job_id, ts, status, error): last by time, a later state before an earlier at one time.
+    created: an aggregate for created_at other than the first time."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("status"))
     at = F.struct("ts", rank)
     return events.groupBy("job_id").agg(
-        F.max_by("status", at).alias("status"), F.max_by("error", at).alias("error"), F.min("ts").alias("created_at"),
+        F.max_by("status", at).alias("status"), F.max_by("error", at).alias("error"), (F.min("ts") if created is None else created).alias("created_at"),
         F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
         F.max(F.when(F.col("status").isin("succeeded", "failed"), F.col("ts"))).alias("finished_at")
     )
 
 
+def replay(events: DataFrame) -> DataFrame:
+    """events (job_id, seq, ts, status, error) with accepted and was, the state that each met, as the stream of job states
+    would judge them in order of time, state and seq, without its time limit.
+
+    A job moves three times at most, so its moves are three least events, each the least after the one before: sums that
+    shrink before they are shuffled, and joins on the job, but no list or window of a job's events. Events of one seq count once."""
+    at = F.struct("ts", F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("status")), F.lit(0)).alias("rank"), "seq")
+    rows = events.dropDuplicates(["job_id", "seq"]).withColumn("_at", at)
+    moves = [("_queued", ("queued",), None), ("_running", ("running",), "_queued"), ("_ended", ("succeeded", "failed"), "_running")]
+    for name, states, after in moves:
+        may = F.col("status").isin(*states)
+        least = rows.where(may & (F.col("_at") > F.col(after)) if after else may).groupBy("job_id").agg(F.min("_at").alias(name))
+        rows = rows.join(least, "job_id", "left")
+    met = F.when(F.col("_at") > F.col("_ended"), F.lit("_ended")).when(F.col("_at") > F.col("_running"), "running").when(F.col("_at") > F.col("_queued"), "queued")
+    ended = rows.where(F.col("_at") == F.col("_ended")).select("job_id", F.col("status").alias("_last"))
+    rows = rows.withColumn("was", met).join(ended, "job_id", "left").withColumn("was", F.when(F.col("was") == "_ended", F.col("_last")).otherwise(F.col("was")))
+    accepted = F.coalesce(F.col("_at").isin(*[F.col(n) for n, _, _ in moves]), F.lit(False))
+    return rows.withColumn("accepted", accepted).drop("_at", "_last", *[n for n, _, _ in moves])
+
+
 def recent_jobs(jobs: DataFrame, status: str | None = None, limit: int = 20) -> DataFrame:
     rows = jobs if status is None else jobs.where(F.col("status") == status)
     return rows.orderBy(F.desc("created_at"), "job_id").limit(min(limit, 200))
@@ -73,6 +97,9 @@ def request_summary(logs: DataFrame) -> DataFrame:
 
 
 def clean_metrics(metrics: Column) -> Column:
-    """A map of texts as finite numbers under plain names; what is no number goes."""
-    names = F.transform_keys(metrics, lambda k, _: F.regexp_replace(F.trim(k), r"[^A-Za-z0-9_./ -]", "_"))
-    return F.map_filter(F.transform_values(names, lambda _, v: F.expr("double(null)") if v is None else v.try_cast("double")), lambda _, v: v.isNotNull())
+    """A map of texts as finite numbers under plain names; what is no number goes, of names that become equal the last stays."""
+    plain = lambda k: F.regexp_replace(F.trim(k), r"[^A-Za-z0-9_./ -]", "_")
+    entries = F.transform(F.map_entries(metrics), lambda e: F.struct(plain(e["key"]).alias("key"), e["value"].try_cast("double").alias("value")))
+    finite = F.filter(entries, lambda e: e["value"].isNotNull() & ~F.isnan(e["value"]) & (F.abs(e["value"]) < F.lit(float("inf"))))
+    last = F.filter(finite, lambda e, i: ~F.exists(F.slice(finite, i + 2, F.greatest(F.size(finite) - i - 1, F.lit(0))), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)

@@ -129,14 +129,6 @@ class StrokeDetector:
         return [f for f in scored if f[2] >= least]
 
 
-def ink_along(image: np.ndarray, line: tuple[float, float, float, float]) -> float:
-    """Mean darkness, 0 to 255, of the pixels along a line; of a box's two diagonals the darker one is drawn."""
-    g, (x1, y1, x2, y2) = grey(image), line
-    n = int(max(abs(x2 - x1), abs(y2 - y1))) + 1
-    xs, ys = (np.clip(np.linspace(a, b, n).astype(int), 0, m - 1) for a, b, m in ((x1, x2, g.shape[1]), (y1, y2, g.shape[0])))
-    return float((255.0 - g[ys, xs]).mean())
-
-
 def text_regions(image: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Boxes that can hold a line of text: letters run together sideways, without long rules and big shapes."""
     dark = ink(image)

@@ -457,4 +457,10 @@ ORACLES: dict[str, str] = {
       q AS (SELECT page, id, tile_id, x1+t0*dx-tx AS g0, y1+t0*dy-ty AS g1, x1+t1*dx-tx AS g2, y1+t1*dy-ty AS g3 FROM p WHERE t0 <= t1)
       SELECT page, id, tile_id, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3 FROM q WHERE sqrt((g2-g0)*(g2-g0)+(g3-g1)*(g3-g1)) >= 10""",
     "layout_merge": LAYOUT_MERGE,
+    "job_replay": """WITH e AS (SELECT event_id % 700 AS job_id, event_id AS seq, ts, (event_id // 3) % 4 AS k, ['queued', 'running', 'succeeded', 'failed'][(event_id // 3) % 4 + 1] AS status FROM events),
+      p AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, k, seq) AS i FROM e),
+      a AS (SELECT job_id, min(i) AS q FROM p WHERE k = 0 GROUP BY job_id), b AS (SELECT p.job_id, min(i) AS r FROM p JOIN a USING (job_id) WHERE k = 1 AND i > q GROUP BY p.job_id),
+      c AS (SELECT p.job_id, min(i) AS x, arg_min(status, i) AS last FROM p JOIN b USING (job_id) WHERE k > 1 AND i > r GROUP BY p.job_id)
+      SELECT job_id, seq, status, CASE WHEN i > x THEN last WHEN i > r THEN 'running' WHEN i > q THEN 'queued' END AS was, coalesce(i IN (q, r, x), false) AS accepted
+      FROM p LEFT JOIN a USING (job_id) LEFT JOIN b USING (job_id) LEFT JOIN c USING (job_id)""",
 }

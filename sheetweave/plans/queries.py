@@ -517,6 +517,15 @@ def stored_files(spark, d):
     return images.select("path", F.length("content").cast("long").alias("n")).unionByName(notes.select("path", F.length("value").cast("long").alias("n")))
 
 
+def job_replay(spark, d):
+    """Every event of the jobs, with whether it could follow the state that it met."""
+    e = _read(spark, d, "events").selectExpr(
+        "event_id % 700 AS job_id", "event_id AS seq", "ts", "element_at(array('queued', 'running', 'succeeded', 'failed'), CAST((event_id DIV 3) % 4 AS INT) + 1) AS status",
+        "CAST(null AS STRING) AS error"
+    )
+    return jobs.replay(e).select("job_id", "seq", "status", "was", "accepted")
+
+
 def layout_pairs(spark, d):
     return layouts.pairs(fixtures.layout(spark, d), S.seam_margin)
 
@@ -546,7 +555,7 @@ QUERIES = {
         contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, empty_tiles, resolve_models, last_metrics,
         original_coords, canvas_coords, segment_codec_forms, page_result, merged_view, build_datasets, dataset_categories, job_view, job_drift, readiness, readable_texts,
         clean_metrics, draw_commands, request_rates, state_patch, page_names, stored_files,
-        layout_pairs, layout_slices, layout_arrows, layout_merge,
+        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay,
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),

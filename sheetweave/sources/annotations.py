@@ -56,6 +56,13 @@ def to_detections(annotations: DataFrame, by: tuple = ("path",)) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def tile_boxes(annotations: DataFrame, by: tuple = ("path",)) -> DataFrame:
+    """(by, tile_id, tx, ty, tw, th) of annotations that state their tile's box; one of other than four numbers fails."""
+    rows = annotations.where("ann.tile_box IS NOT NULL").select(*by, F.col("ann.`Tile ID`").alias("tile_id"), F.col("ann.tile_box").alias("box"))
+    four = F.when(F.size("box") == 4, F.col("box")).otherwise(F.raise_error(F.lit("a tile box must have 4 values")).cast("array<int>"))
+    return rows.withColumn("box", four).select(*by, "tile_id", *[F.col("box")[i].alias(c) for i, c in enumerate(("tx", "ty", "tw", "th"))])
+
+
 def to_annotations(detections: DataFrame, by: tuple = ("image_id", "tile_id")) -> DataFrame:
     """(by, value): one JSON document per group, lists in item order; nulls are left out."""
     lists = []
@@ -66,14 +73,3 @@ def to_annotations(detections: DataFrame, by: tuple = ("image_id", "tile_id")) -
     grouped = detections.groupBy(*by).agg(*lists)
     head = [F.col(c).alias({"image_id": "Image ID", "tile_id": "Tile ID"}.get(c, c)) for c in by]
     return grouped.select(*by, F.to_json(F.struct(*head, *[f"`{n}`" for n, _, _ in LISTS.values()])).alias("value"))
-
-
-def page_documents(merged: DataFrame, by: tuple = ("page",)) -> DataFrame:
-    """(by, objects, ocr, arrows, counts): the nested result of each page, lists in (y, x, group) order."""
-    item = F.struct(
-        "g1", "g0", "group_ord",
-        F.struct(F.array("g0", "g1", "g2", "g3").alias("geometry"), "label", F.round("confidence", 4).alias("confidence"), "source_tiles").alias("i")
-    )
-    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, item))), lambda x: x["i"]).alias(n) for k, n in (("object", "objects"), ("ocr", "ocr"), ("arrow", "arrows"))]
-    out = merged.groupBy(*by).agg(*lists)
-    return out.withColumn("counts", F.struct(*[F.size(n).alias(n) for n in ("objects", "ocr", "arrows")]))

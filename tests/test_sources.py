@@ -112,7 +112,6 @@ def test_ink_predictors():
     ((box, text, prior),) = reader(page, 0.3)
     assert (text, prior) == ("A1", 0.9) and abs(box[0] - 196) <= 1 and len(read) == 1
     assert predictors.ShapeDetector()(np.full((50, 50, 3), 255, np.uint8), 0.1) == [] and predictors.NoReader()(page, 0.0) == []
-    assert predictors.ink_along(page, (300, 700, 890, 700)) == 255.0 and predictors.ink_along(page, (300, 600, 890, 600)) == 0.0
 
 
 def test_backends():
@@ -329,8 +328,6 @@ def test_streams_equal_batch(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").drop("batch")
     want = merging.merge(det, S)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
-    docs = annotations.page_documents(want).select("page", F.col("counts.objects").alias("n")).collect()
-    assert {(r.page, r.n) for r in docs} == {(1, 1), (2, 1)}
     logs = [
         '{"ts": "2024-05-01T10:00:00", "path": "/v1/jobs", "status_code": 200, "latency_ms": 12.3456}',
         '{"ts": "2024-05-01T10:00:01", "path": "/healthz", "status_code": 200, "latency_ms": 1}', "no json"
