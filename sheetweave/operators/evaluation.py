@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetweave.operators.running import MAX, as_of, running
+
 
 def character_errors(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """One row (cer, exact, n) over (truth, read): edits over characters of the truth (1 at least each)."""
@@ -15,10 +17,27 @@ def character_errors(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def promotions(versions: DataFrame) -> DataFrame:
-    """(model, version, metric) with promoted: the first with a metric, then each strictly better than all before it."""
-    before = F.max("metric").over(Window.partitionBy("model").orderBy("version").rowsBetween(Window.unboundedPreceding, -1))
-    return versions.withColumn("promoted", F.coalesce(F.col("metric") > before, before.isNull()))
+def promotions(versions: DataFrame, parts: int | None = None) -> DataFrame:
+    """(model, version, metric) with promoted: the first with a metric, then each strictly better than all before it. A
+    model's versions are not brought to one task."""
+    best = running(versions, ["model"], [F.col("version").asc()], {"_best": (MAX, F.col("metric"))}, before=True, parts=parts)
+    return best.withColumn("promoted", F.coalesce(F.col("metric") > F.col("_best"), F.col("_best").isNull())).drop("_best")
+
+
+def champions(tried: DataFrame, parts: int | None = None) -> DataFrame:
+    """Of models tried (model, version, ts, metric) those that became champion: (model, ts, version, metric). Only a metric
+    strictly above all earlier ones takes the place; of several at one time the best, and of equals the earlier version."""
+    order = Window.partitionBy("model", "ts").orderBy(F.desc_nulls_last("metric"), "version")
+    once = tried.where("metric IS NOT NULL AND ts IS NOT NULL").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    best = running(once, ["model"], [F.col("ts").asc()], {"_best": (MAX, F.col("metric"))}, before=True, parts=parts)
+    return best.where("_best IS NULL OR metric > _best").select("model", "ts", "version", "metric")
+
+
+def at_the_time(jobs: DataFrame, tried: DataFrame, baselines: DataFrame, parts: int | None = None) -> DataFrame:
+    """jobs (job_id, model, ts, ..) with the champion `version` and the `baseline` of its model that held when the job came.
+    baselines: (model, ts, baseline); of several at one time the least holds. Both are null before the first."""
+    known = as_of(jobs, champions(tried, parts), ["model"], "ts", ["version"], [F.col("version").asc()], parts)
+    return as_of(known, baselines, ["model"], "ts", ["baseline"], [F.col("baseline").asc()], parts)
 
 
 def word_lines(words: DataFrame, by: tuple = ("page",)) -> DataFrame:

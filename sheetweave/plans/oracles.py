@@ -457,6 +457,13 @@ ORACLES: dict[str, str] = {
       q AS (SELECT page, id, tile_id, x1+t0*dx-tx AS g0, y1+t0*dy-ty AS g1, x1+t1*dx-tx AS g2, y1+t1*dy-ty AS g3 FROM p WHERE t0 <= t1)
       SELECT page, id, tile_id, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3 FROM q WHERE sqrt((g2-g0)*(g2-g0)+(g3-g1)*(g3-g1)) >= 10""",
     "layout_merge": LAYOUT_MERGE,
+    "job_champions": """WITH t AS (SELECT event_type AS model, event_id AS version, date_trunc('hour', ts) AS ts, value AS metric FROM events WHERE event_id % 3 = 0),
+      o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY model, ts ORDER BY metric DESC, version) = 1),
+      b AS (SELECT *, max(metric) OVER (PARTITION BY model ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM o),
+      c AS (SELECT model, ts, version FROM b WHERE best IS NULL OR metric > best),
+      p AS (SELECT event_type AS model, date_trunc('day', ts) AS ts, min(event_id) AS baseline FROM events WHERE user_id % 10 = 0 GROUP BY ALL)
+      SELECT e.event_id AS job_id, e.event_type AS model, c.version, p.baseline FROM events e
+      ASOF LEFT JOIN c ON e.event_type = c.model AND e.ts >= c.ts ASOF LEFT JOIN p ON e.event_type = p.model AND e.ts >= p.ts""",
     "job_replay": """WITH e AS (SELECT event_id % 700 AS job_id, event_id AS seq, ts, (event_id // 3) % 4 AS k, ['queued', 'running', 'succeeded', 'failed'][(event_id // 3) % 4 + 1] AS status FROM events),
       p AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, k, seq) AS i FROM e),
       a AS (SELECT job_id, min(i) AS q FROM p WHERE k = 0 GROUP BY job_id), b AS (SELECT p.job_id, min(i) AS r FROM p JOIN a USING (job_id) WHERE k = 1 AND i > q GROUP BY p.job_id),

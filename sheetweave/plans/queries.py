@@ -526,6 +526,15 @@ def job_replay(spark, d):
     return jobs.replay(e).select("job_id", "seq", "status", "was", "accepted")
 
 
+def job_champions(spark, d):
+    """Each event as a job, with the champion and the baseline of its model at that time; some models have neither at first."""
+    e = _read(spark, d, "events").selectExpr("event_id", "event_type AS model", "ts", "value", "user_id")
+    jobs_ = e.select(F.col("event_id").alias("job_id"), "model", "ts")
+    tried = e.where("event_id % 3 = 0").selectExpr("model", "event_id AS version", "date_trunc('hour', ts) AS ts", "value AS metric")
+    published = e.where("user_id % 10 = 0").selectExpr("model", "date_trunc('day', ts) AS ts", "event_id AS baseline")
+    return evaluation.at_the_time(jobs_, tried, published).select("job_id", "model", "version", "baseline")
+
+
 def layout_pairs(spark, d):
     return layouts.pairs(fixtures.layout(spark, d), S.seam_margin)
 
@@ -555,7 +564,7 @@ QUERIES = {
         contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, empty_tiles, resolve_models, last_metrics,
         original_coords, canvas_coords, segment_codec_forms, page_result, merged_view, build_datasets, dataset_categories, job_view, job_drift, readiness, readable_texts,
         clean_metrics, draw_commands, request_rates, state_patch, page_names, stored_files,
-        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay,
+        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay, job_champions,
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),
