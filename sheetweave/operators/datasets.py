@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
 from sheetweave.functions.text import md5_mod_1000, split_of
+from sheetweave.operators.running import SUM, running
 from sheetweave.scratch import kept
 
 
@@ -66,14 +67,9 @@ def coco_rows(arrows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def number_within(rows: DataFrame, part: str, order: list[str], name: str) -> DataFrame:
-    """Running ids from 0 within a split, in two steps: the counts of each value of the first order column are added up (one
-    small row per value), then rows are numbered among those of their value. No task sees a whole split's rows."""
-    head = order[0]
-    counts = rows.groupBy(part, head).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(part).orderBy(head).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(part, head).orderBy(*order[1:])))
-    return numbered.join(ahead, [part, head]).withColumn(name, F.col("_ahead") + F.col("_i") - 1).drop("_i", "_ahead")
+    """Running ids from 0 within a split. Neither a split's rows nor a row for each of its images meet in one task."""
+    ran = running(rows, [part], [F.col(c).asc() for c in order], {name: (SUM, F.lit(1).cast("long"))})
+    return ran.withColumn(name, F.col(name) - 1)
 
 
 def ocr_crops(texts: DataFrame, pad: int = 3) -> DataFrame:

@@ -228,24 +228,31 @@ def _sized(df: DataFrame) -> DataFrame:
     return df.withColumns({"g2": F.col("_x2") - F.col("g0"), "g3": F.col("_y2") - F.col("g1")}).drop("_x2", "_y2")
 
 
+def _score() -> Column:
+    return F.sum(F.coalesce(F.col("confidence"), F.lit(0.5)).cast("decimal(18,6)")).alias("score")
+
+
+def _seen_of_labels() -> list[Column]:
+    """_seen() of a group from those of its labels, and the label voted."""
+    tiles = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_tiles")))).alias("source_tiles")
+    voted = F.max_by("label", F.struct("score", F.length("label"), -F.col("group_ord"))).alias("label")
+    return [F.min("group_ord").alias("group_ord"), F.max("confidence").alias("confidence"), F.sum("members").alias("members"), tiles, voted]
+
+
 def fuse_objects(members: DataFrame, by: tuple = BY) -> DataFrame:
     """One row per group: the box around it and the label voted. Labels of a group are summed first, then compared."""
     keys = [*by, "root"]
-    score = F.sum(F.coalesce(F.col("confidence"), F.lit(0.5)).cast("decimal(18,6)")).alias("score")
-    each = members.groupBy(*keys, "label").agg(*_around(), *_seen(), score)
+    each = members.groupBy(*keys, "label").agg(*_around(), *_seen(), _score())
     over = [F.min("g0").alias("g0"), F.min("g1").alias("g1"), F.max("_x2").alias("_x2"), F.max("_y2").alias("_y2")]
-    seen = [F.min("group_ord").alias("group_ord"), F.max("confidence").alias("confidence"), F.sum("members").alias("members")]
-    tiles = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_tiles")))).alias("source_tiles")
-    voted = F.max_by("label", F.struct("score", F.length("label"), -F.col("group_ord"))).alias("label")
-    return _sized(each.groupBy(*keys).agg(*over, *seen, tiles, voted))
+    return _sized(each.groupBy(*keys).agg(*over, *_seen_of_labels()))
 
 
 def fuse_arrows(members: DataFrame, by: tuple = BY) -> DataFrame:
     """The first longest member gives the direction; the ends are the members' outermost endpoints along it."""
     keys = [*by, "root"]
     line = F.struct(*[f"g{i}" for i in range(4)])
-    ref = members.groupBy(*keys).agg(F.max_by(line, F.struct(G.length(G.quad("g")), -F.col("ord"))).alias("r"))
-    rows = members.join(ref, keys)
+    longest = Window.partitionBy(*keys).orderBy(F.desc(G.length(G.quad("g"))), "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = members.withColumn("r", F.first(line).over(longest))  # one shuffle: what follows groups by the same keys
     dx, dy = F.col("r.g2") - F.col("r.g0"), F.col("r.g3") - F.col("r.g1")
     n = G.distance(dx, dy)
     n = F.when(n == 0, 1.0).otherwise(n)
@@ -257,13 +264,14 @@ def fuse_arrows(members: DataFrame, by: tuple = BY) -> DataFrame:
 
     g = G.quad("g")
     rows = rows.withColumns({"_a": at(g[0], g[1]), "_b": at(g[2], g[3])})
-    out = rows.groupBy(*keys).agg(
-        F.min(F.least("_a", "_b")).alias("lo"), F.max(F.greatest("_a", "_b")).alias("hi"), F.min_by(line, "ord").alias("one"), *_seen()
+    each = rows.groupBy(*keys, "label").agg(
+        F.min(F.least("_a", "_b")).alias("lo"), F.max(F.greatest("_a", "_b")).alias("hi"), F.min_by(line, "ord").alias("one"), *_seen(), _score()
     )
+    out = each.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("one", "group_ord").alias("one"), *_seen_of_labels())
     single = F.col("members") == 1
     ends = (F.col("lo.x"), F.col("lo.y"), F.col("hi.x"), F.col("hi.y"))
     out = out.withColumns({f"g{i}": F.when(single, F.col(f"one.g{i}")).otherwise(e) for i, e in enumerate(ends)}).drop("lo", "hi", "one")
-    return out.join(vote(members, keys), keys)
+    return out
 
 
 def fuse_texts(members: DataFrame, by: tuple = BY) -> DataFrame:
@@ -299,7 +307,8 @@ FUSERS = {"object": fuse_objects, "arrow": fuse_arrows, "ocr": fuse_texts}
 
 
 def merge(
-    detections: DataFrame, s: Settings, by: tuple = BY, decisions: DataFrame | None = None, labels: DataFrame | None = None, layout: DataFrame | None = None
+    detections: DataFrame | None, s: Settings, by: tuple = BY, decisions: DataFrame | None = None, labels: DataFrame | None = None, layout: DataFrame | None = None,
+    cands: DataFrame | None = None,
 ) -> DataFrame:
     """(by, kind, g0..g3, label, confidence, source_tiles, members, group_ord): the merged rows of every page.
 
@@ -307,15 +316,15 @@ def merge(
     (by, uid, label): a group of several takes the label of its first member that has one.
     Order within a page and kind is (g1, g0, group_ord). Pages without detections give no rows; items that no rule
     joins come out as they are; a null confidence stays null where all of a group's are. With a layout, detections of
-    tiles that their page does not have are left out."""
-    cands = kept(candidates(detections, s, by, layout))
+    tiles that their page does not have are left out. Callers that have candidates() written hand them in as cands instead."""
+    cands = kept(candidates(detections, s, by, layout)) if cands is None else cands
     if decisions is None:
         edges = match_edges(seam_candidates(cands, s, by, layout), s, by)
     else:
         edges = decisions.where("src <> dst").select(*by, "src", "dst")
         alone = decisions.where("src = dst").groupBy(*by, F.col("src").alias("uid")).agg(F.max_by("label", "pair_ord").alias("relabel"))
         cands = cands.join(alone, [*by, "uid"], "left").withColumn("label", F.coalesce("relabel", "label")).drop("relabel")
-    members = grouped(cands, components(edges, by), by)
+    members = kept(grouped(cands, components(edges, by), by))
     columns = [*by, "kind", "g0", "g1", "g2", "g3", "label", "confidence", "source_tiles", "members", "group_ord"]
     parts = [f(members.where(F.col("kind") == k), by).withColumn("kind", F.lit(k)).select("root", *columns) for k, f in FUSERS.items()]
     out = reduce(DataFrame.unionByName, parts)

@@ -138,11 +138,11 @@ def merge_pages(detections: DataFrame, s: Settings, by: tuple = merging.BY, ask:
     that fails leaves geometry's proposal for its pair."""
     if s.merge_backend not in ("heuristic", "llm"):
         raise ValueError(f"no merge backend {s.merge_backend!r}")
-    kept_rows = kept(detections)
-    near = merging.seam_candidates(merging.candidates(kept_rows, s), s, by)
+    cands = kept(merging.candidates(detections, s, by))
+    near = merging.seam_candidates(cands, s, by)
     none = F.lit(0).cast("long")
     if s.merge_backend == "heuristic":
-        merged = kept(merging.merge(kept_rows, s, by))
+        merged = kept(merging.merge(None, s, by, cands=cands))
         return merged, merging.report(merged, near, by).withColumns({"llm_calls": none, "llm_failures": none})
     if ask is None and not s.llm_url:
         raise ValueError("the llm merge backend needs SHEETWEAVE_LLM_URL")
@@ -151,7 +151,7 @@ def merge_pages(detections: DataFrame, s: Settings, by: tuple = merging.BY, ask:
         near, merging.match_edges(near, s, by), ask or ChatModel(s.llm_url, s.llm_model, s.llm_key, s.llm_timeout), by, s.prompt_version
     ))
     real = decided.where("src IS NOT NULL")
-    merged = kept(merging.merge(kept_rows, s, by, decisions=real.where("kind <> 'call'"), labels=merge_labels(real.where("kind <> 'call'"), by)))
+    merged = kept(merging.merge(None, s, by, decisions=real.where("kind <> 'call'"), labels=merge_labels(real.where("kind <> 'call'"), by), cands=cands))
     calls = decided.where("kind = 'call'").groupBy(*by).agg(F.count("*").alias("llm_calls"), F.count_if("failed").alias("llm_failures"))
     report = merging.report(merged, near, by).join(calls, [*by], "left")
     return merged, report.withColumns({c: F.coalesce(F.col(c), none) for c in ("llm_calls", "llm_failures")})

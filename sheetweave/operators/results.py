@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
+from sheetweave.functions.numbers import exact_round
 from sheetweave.operators import drift
 
 CANVAS = ("orig_w", "orig_h", "rotated", "scale", "new_w", "new_h", "pad_x", "pad_y")
@@ -18,33 +19,40 @@ def original_coords(merged: DataFrame, fit: DataFrame, by: tuple = ("page",), di
 
     Boxes stay boxes: the one around their moved corners. Lines keep their direction. digits rounds, as documents show them."""
     rows = merged.join(fit.select(*by, F.struct(*CANVAS).alias("_t")), [*by])
-    g, t = G.quad("g"), F.col("_t")
+    return rows.withColumns({f"g{i}": v for i, v in enumerate(_moved(F.col("_t"), digits))}).drop("_t")
+
+
+def _moved(t: Column, digits: int | None) -> list[Column]:
+    """g0..g3 in the original image of a page that was fitted by t."""
+    g = G.quad("g")
     line = (*G.to_original(g[0], g[1], t), *G.to_original(g[2], g[3], t))
     moved = [F.when(F.col("kind") == "arrow", a).otherwise(b) for a, b in zip(line, G.moved_box(g, t, G.to_original))]
-    shown = [F.round(v, digits) if digits is not None else v for v in moved]
-    return rows.withColumns({f"g{i}": v for i, v in enumerate(shown)}).drop("_t")
+    return [exact_round(v, digits) if digits is not None else v for v in moved]
 
 
-def _lists(rows: DataFrame, by: tuple, name: str, order: list[str]) -> DataFrame:
-    """(by, name): a struct of the three lists, items in the given order, confidences with four digits."""
-    item = F.struct(F.array(*[f"g{i}" for i in range(4)]).alias("geometry"), "label", F.round("confidence", 4).alias("confidence"), "source_tiles").alias("i")
+def _lists(order: list, geometry: list) -> Column:
+    """An aggregate: a struct of the three lists, items in the given order, confidences with four digits."""
+    item = F.struct(F.array(*geometry).alias("geometry"), "label", exact_round(F.col("confidence"), 4).alias("confidence"), "source_tiles").alias("i")
     placed = F.struct(*order, item)
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, placed))), lambda x: x["i"]).alias(n) for k, n in LISTS.items()]
-    return rows.groupBy(*by).agg(*lists).select(*by, F.struct(*[F.col(f"`{n}`") for n in LISTS.values()]).alias(name))
+    return F.struct(*lists)
 
 
 def page_results(detections: DataFrame, merged: DataFrame, fit: DataFrame, report: DataFrame, by: tuple = ("page",)) -> DataFrame:
     """One nested document per page of fit: canvas, what each tile showed, what was merged (on the canvas and in the original
     image), the merge report and counts. Pages without detections have empty lists. A document holds one page's items."""
-    tile_items = _lists(detections.withColumn("source_tiles", F.array("tile_id")), (*by, "tile_id"), "items", ["item_idx"])
+    g = [F.col(f"g{i}") for i in range(4)]
+    items = _lists(["item_idx"], g).alias("items")
+    tile_items = detections.withColumn("source_tiles", F.array("tile_id")).groupBy(*by, "tile_id").agg(items)
     tiles = tile_items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tile_id", "items"))).alias("tiles"))
-    on_canvas = _lists(merged, by, "merged", ["g1", "g0", "group_ord"])
-    original = original_coords(merged.withColumns({"_y": F.col("g1"), "_x": F.col("g0")}), fit, by, digits=1)
-    original = _lists(original, by, "merged_original_coords", ["_y", "_x", "group_ord"])
+    order = ["g1", "g0", "group_ord"]
+    placed = merged.join(fit.select(*by, F.struct(*CANVAS).alias("_t")), [*by]).withColumn("_o", F.array(*_moved(F.col("_t"), 1)))
+    back = [F.col("_o")[i] for i in range(4)]
+    both = placed.groupBy(*by).agg(_lists(order, g).alias("merged"), _lists(order, back).alias("merged_original_coords"))
     seen = [c for c in report.columns if c not in by]
     facts = report.select(*by, F.struct(*seen).alias("merge_report"))
     out = fit.select(*by, F.struct(*CANVAS).alias("canvas"))
-    for part in (tiles, on_canvas, original, facts):
+    for part in (tiles, both, facts):
         out = out.join(part, [*by], "left")
     none = {c: F.struct(*[F.array().cast(f.dataType).alias(f.name) for f in out.schema[c].dataType]) for c in ("merged", "merged_original_coords")}
     none |= {"tiles": F.array().cast(out.schema["tiles"].dataType), "merge_report": F.struct(*[F.lit(0).cast(report.schema[c].dataType).alias(c) for c in seen])}
@@ -61,7 +69,7 @@ def job_view(jobs: DataFrame) -> DataFrame:
     """What a caller sees of a job: everything but where its file lies, the time it took in seconds added."""
     seen = [c for c in jobs.columns if c != "input_file_id"]
     took = F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
-    return jobs.select(*seen, F.round(took / 1e6, 3).alias("seconds"))
+    return jobs.select(*seen, exact_round(took / 1e6, 3).alias("seconds"))
 
 
 def job_drift(pages: DataFrame) -> DataFrame:

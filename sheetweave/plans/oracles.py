@@ -227,6 +227,24 @@ def _original() -> str:
     return f"{rows('object', box)} UNION ALL {rows('arrow', line)}"
 
 
+def _page_items() -> str:
+    """The items of documents; format() rounds by the exact value of a double, ties to even."""
+    a, b = _back("g0", "g1"), _back("g0+g2", "g1+g3")
+    c, d = _back("g0", "g1"), _back("g2", "g3")
+    shown = lambda *v: ", ".join(f"CAST(format('{{:.1f}}', {x}) AS DOUBLE) AS o{i}" for i, x in enumerate(v))
+    box = shown(f"least({a[0]},{b[0]})", f"least({a[1]},{b[1]})", f"greatest({a[0]},{b[0]})-least({a[0]},{b[0]})", f"greatest({a[1]},{b[1]})-least({a[1]},{b[1]})")
+    line = shown(c[0], c[1], d[0], d[1])
+    first = lambda body: body.replace("round(CASE WHEN members = 1 THEN s", "(CASE WHEN members = 1 THEN s").replace(" END, 6) AS g", " END) AS g")
+    bodies = (
+        ("object", box, MERGE_OBJECTS.replace("SELECT f.page, f.root,", "SELECT f.page, f.root, f.group_ord,")),
+        ("ocr", box, MERGE_TEXT.replace("SELECT page, root, b0", "SELECT page, root, group_ord, b0")),
+        ("arrow", line, first(MERGE_ARROWS.replace("SELECT f.page, f.root,", "SELECT f.page, f.root, f.group_ord,"))),
+    )
+    rounded = ", ".join(f"round(g{i}, 6) AS g{i}" for i in range(4))
+    return " UNION ALL ".join(f"""(SELECT page, '{kind}' AS kind, row_number() OVER (PARTITION BY page ORDER BY g1, g0, group_ord) - 1 AS place, {rounded}, {shape}, label,
+      CAST(format('{{:.4f}}', confidence) AS DOUBLE) AS confidence, source_tiles FROM ({body}) JOIN (WITH {FIT} SELECT * FROM fit) USING (page))""" for kind, shape, body in bodies)
+
+
 def _page_result() -> str:
     kept = " UNION ALL ".join(f"(WITH {sliced(k)} SELECT page, tile_id, '{k}' AS kind FROM sl WHERE confidence >= {LEAST[k]}::DOUBLE)" for k in RANK)
     groups = " UNION ALL ".join(f"(WITH RECURSIVE {members(k)} SELECT page, '{k}' AS kind, root FROM m GROUP BY ALL)" for k in RANK)
@@ -457,6 +475,7 @@ ORACLES: dict[str, str] = {
       q AS (SELECT page, id, tile_id, x1+t0*dx-tx AS g0, y1+t0*dy-ty AS g1, x1+t1*dx-tx AS g2, y1+t1*dy-ty AS g3 FROM p WHERE t0 <= t1)
       SELECT page, id, tile_id, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3 FROM q WHERE sqrt((g2-g0)*(g2-g0)+(g3-g1)*(g3-g1)) >= 10""",
     "layout_merge": LAYOUT_MERGE,
+    "page_items": _page_items(),
     "job_champions": """WITH t AS (SELECT event_type AS model, event_id AS version, date_trunc('hour', ts) AS ts, value AS metric FROM events WHERE event_id % 3 = 0),
       o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY model, ts ORDER BY metric DESC, version) = 1),
       b AS (SELECT *, max(metric) OVER (PARTITION BY model ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM o),

@@ -535,6 +535,23 @@ def job_champions(spark, d):
     return evaluation.at_the_time(jobs_, tried, published).select("job_id", "model", "version", "baseline")
 
 
+def page_items(spark, d):
+    """Every item of the documents of all pages as it stands there: list, place, coordinates on the canvas and in the image, label, confidence, tiles."""
+    det = kept(merging.apply_thresholds(fixtures.detections(spark, d, S), S))
+    merged, report = prediction.merge_pages(det, S)
+    docs = kept(results.page_results(det, merged, _fit(spark, d), report))
+    parts = []
+    for kind, name in results.LISTS.items():
+        both = F.arrays_zip(F.col(f"merged.`{name}`").alias("m"), F.col(f"merged_original_coords.`{name}`").alias("o"))
+        rows = docs.select("page", F.lit(kind).alias("kind"), F.posexplode(both).alias("place", "x"))
+        parts.append(rows.select(
+            "page", "kind", F.col("place").cast("long").alias("place"), *[F.round(F.col("x.m.geometry")[i], 6).alias(f"g{i}") for i in range(4)],
+            *[F.col("x.o.geometry")[i].alias(f"o{i}") for i in range(4)], F.col("x.o.label").alias("label"), F.col("x.o.confidence").alias("confidence"),
+            F.array_join("x.o.source_tiles", ",").alias("source_tiles"),
+        ))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def layout_pairs(spark, d):
     return layouts.pairs(fixtures.layout(spark, d), S.seam_margin)
 
@@ -564,7 +581,7 @@ QUERIES = {
         contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, empty_tiles, resolve_models, last_metrics,
         original_coords, canvas_coords, segment_codec_forms, page_result, merged_view, build_datasets, dataset_categories, job_view, job_drift, readiness, readable_texts,
         clean_metrics, draw_commands, request_rates, state_patch, page_names, stored_files,
-        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay, job_champions,
+        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay, job_champions, page_items,
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),

@@ -113,3 +113,27 @@ def test_patch_and_readiness(spark):
     assert sorted(map(tuple, got)) == [(1, "a", "x"), (2, "c", "y"), (3, "d", None)] and jobs.find(table, "k", 2).first().s == "b"
     checks = spark.createDataFrame([("m", "db", True), ("m", "queue", None), ("n", "db", True)], "service string, name string, ok boolean")
     assert sorted(map(tuple, results.readiness(checks).collect())) == [("m", False, ["queue"]), ("n", True, [])]
+
+
+def test_exact_rounding_is_that_of_the_binary_value(spark):
+    import math
+    import random
+
+    from sheetweave.functions.numbers import exact_round
+
+    rng = random.Random(71)
+    some = [0.25, 0.35, 2.675, -0.25, -0.35, 1e300, math.inf, -math.inf, 0.05, 0.15, 5e-324, 4503599627370497.5]
+    for _ in range(4000):
+        some.append(rng.choice([
+            rng.randrange(-10**6, 10**6) / rng.choice([2, 4, 8, 16, 20, 200, 2000, 20000]), rng.uniform(-5000, 5000), (rng.randrange(10**7) * 2 + 1) / 2 ** rng.randrange(1, 20),
+            math.nextafter(rng.randrange(10**6) / rng.choice([20, 200, 2000]), rng.choice([-1, 1]) * math.inf), rng.uniform(0, 1) * 2.0 ** rng.randrange(-80, 39),
+        ]))
+    df = spark.createDataFrame([(x,) for x in some] + [(None,), (math.nan,)], "x double")
+    for r in df.select("x", *[exact_round(F.col("x"), d).alias(f"r{d}") for d in range(5)]).collect():
+        for d in range(5):
+            if r.x is None or math.isnan(r.x):
+                assert r[f"r{d}"] is None or math.isnan(r[f"r{d}"])
+            elif not math.isfinite(r.x) or abs(r.x) * 10**d >= 2**53:
+                assert r[f"r{d}"] == r.x
+            else:
+                assert r[f"r{d}"] == round(r.x, d), (r.x, d)
