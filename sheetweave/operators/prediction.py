@@ -21,6 +21,7 @@ from sheetweave.functions.text import ascii_label
 from sheetweave.operators import merging, predictors
 from sheetweave.scratch import kept
 from sheetweave.settings import Settings
+from sheetweave.sources.state import StateTable
 
 DETECTION = "path string, page int, tile_id string, kind string, item_idx int, g0 double, g1 double, g2 double, g3 double, label string, confidence double"
 log = logging.getLogger(__name__)
@@ -131,11 +132,13 @@ class ChatModel:
             return json.loads(r.read())["choices"][0]["message"]["content"]
 
 
-def merge_pages(detections: DataFrame, s: Settings, by: tuple = merging.BY, ask: Callable[[str, str], str] | None = None) -> tuple[DataFrame, DataFrame]:
+def merge_pages(
+    detections: DataFrame, s: Settings, by: tuple = merging.BY, ask: Callable[[str, str], str] | None = None, memory: StateTable | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(merged rows, report) by the backend of the settings: geometry alone, or a language model that sees each seam.
 
     report: (by, pairs, merged_groups, llm_calls, llm_failures). Without a model's address its backend is an error; a call
-    that fails leaves geometry's proposal for its pair."""
+    that fails leaves geometry's proposal for its pair. With a memory, what it holds is not asked again."""
     if s.merge_backend not in ("heuristic", "llm"):
         raise ValueError(f"no merge backend {s.merge_backend!r}")
     cands = kept(merging.candidates(detections, s, by))
@@ -146,10 +149,13 @@ def merge_pages(detections: DataFrame, s: Settings, by: tuple = merging.BY, ask:
         return merged, merging.report(merged, near, by).withColumns({"llm_calls": none, "llm_failures": none})
     if ask is None and not s.llm_url:
         raise ValueError("the llm merge backend needs SHEETWEAVE_LLM_URL")
-    near = kept(near)
-    decided = kept(decide_pairs(
-        near, merging.match_edges(near, s, by), ask or ChatModel(s.llm_url, s.llm_model, s.llm_key, s.llm_timeout), by, s.prompt_version
-    ))
+    near, ask = kept(near), ask or ChatModel(s.llm_url, s.llm_model, s.llm_key, s.llm_timeout)
+    if memory is None:
+        decided = kept(decide_pairs(near, merging.match_edges(near, s, by), ask, by, s.prompt_version))
+    else:
+        from sheetweave.operators.decisions import decide_once
+
+        decided = decide_once(near, merging.match_edges(near, s, by), ask, memory, by, s.prompt_version)
     real = decided.where("src IS NOT NULL")
     merged = kept(merging.merge(None, s, by, decisions=real.where("kind <> 'call'"), labels=merge_labels(real.where("kind <> 'call'"), by), cands=cands))
     calls = decided.where("kind = 'call'").groupBy(*by).agg(F.count("*").alias("llm_calls"), F.count_if("failed").alias("llm_failures"))

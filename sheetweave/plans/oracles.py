@@ -475,6 +475,7 @@ ORACLES: dict[str, str] = {
       q AS (SELECT page, id, tile_id, x1+t0*dx-tx AS g0, y1+t0*dy-ty AS g1, x1+t1*dx-tx AS g2, y1+t1*dy-ty AS g3 FROM p WHERE t0 <= t1)
       SELECT page, id, tile_id, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3 FROM q WHERE sqrt((g2-g0)*(g2-g0)+(g3-g1)*(g3-g1)) >= 10""",
     "layout_merge": LAYOUT_MERGE,
+    "merge_by_decisions": MERGE_OBJECTS,
     "page_items": _page_items(),
     "job_champions": """WITH t AS (SELECT event_type AS model, event_id AS version, date_trunc('hour', ts) AS ts, value AS metric FROM events WHERE event_id % 3 = 0),
       o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY model, ts ORDER BY metric DESC, version) = 1),

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
 from sheetweave.functions import text as T
-from sheetweave.operators import datasets, drift, evaluation, jobs, layouts, merging, prediction, results, tiling
+from sheetweave.operators import datasets, decisions, drift, evaluation, jobs, layouts, merging, prediction, results, tiling
 from sheetweave.plans import fixtures
-from sheetweave.scratch import kept
+from sheetweave.scratch import kept, new_path, remove
 from sheetweave.settings import Settings
 from sheetweave.sources import store, synthetic
+from sheetweave.sources.state import StateTable
 from sheetweave.streaming import detections as detections_stream
 
 S = Settings()
@@ -552,6 +555,24 @@ def page_items(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _echo(instructions: str, payload: str) -> str:
+    """A stand-in for a model: it takes what geometry proposes."""
+    return json.dumps({"merges": [{"ids": pair} for pair in json.loads(payload)["hints"]], "relabels": []})
+
+
+def merge_by_decisions(spark, d):
+    """Objects of all pages merged by decisions that are asked once each and remembered, of a model that agrees with geometry."""
+    cands = _cands(spark, d, "object")
+    near = merging.seam_candidates(cands, S)
+    path = new_path(spark)
+    memory = StateTable(spark, path, ["key"], 8)
+    decided = decisions.decide_once(near, merging.match_edges(near, S, kinds=("object",)), _echo, memory, per_task=2_000)
+    edges = decided.where("kind <> 'call' AND src <> dst").select("page", "src", "dst")
+    out = _out(merging.fuse_objects(merging.grouped(cands, merging.components(edges))))
+    remove(spark, path)
+    return out
+
+
 def layout_pairs(spark, d):
     return layouts.pairs(fixtures.layout(spark, d), S.seam_margin)
 
@@ -581,7 +602,7 @@ QUERIES = {
         contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, empty_tiles, resolve_models, last_metrics,
         original_coords, canvas_coords, segment_codec_forms, page_result, merged_view, build_datasets, dataset_categories, job_view, job_drift, readiness, readable_texts,
         clean_metrics, draw_commands, request_rates, state_patch, page_names, stored_files,
-        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay, job_champions, page_items,
+        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay, job_champions, page_items, merge_by_decisions,
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),

@@ -27,13 +27,19 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as written to the shared folder, and its path."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder for something that is deleted with the program, if not before."""
     path = f"{folder(spark)}/sheetweave-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_remove_all)
     _WRITTEN.append((spark, path))
+    return path
+
+
+def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as written to the shared folder, and its path."""
+    spark = df.sparkSession
+    path = new_path(spark)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
