@@ -31,7 +31,8 @@ STEP = 1
 TOXIC_DOCS = 800
 CLEAN_DOCS = 2400
 SAMPLE_BYTES = 32 << 20
-#: Windows that one document adds to the training at most: those most likely toxic, and for clean ones as many at random.
+#: Windows that one document of the sample adds to the training at most: of a toxic one those most likely toxic, of a clean one half as many
+#: of these and half as many by chance. Texts are scored whole.
 DOC_WINDOWS = 32
 #: Share of the toxic documents of the sample that an n-gram must occur in (of all documents as many) to be trained, and the least number.
 LEAST_SHARE, LEAST_SEEN = 0.025, 3
@@ -101,8 +102,8 @@ def windows(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - SPAN, STEP), n - SPAN)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.1, seed: int = 7) -> Model:
-    """Train on texts with labels 0 or 1. Without texts of both classes the score is near 0 (or 1) for all."""
+def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.1, seed: int = 7, doc_windows: int = DOC_WINDOWS) -> Model:
+    """Train on texts with labels 0 or 1, doc_windows windows of each at most. Without texts of both classes the score is near 0 (or 1) for all."""
     rng = np.random.default_rng(seed)
     ids: dict[bytes, int] = {}
     docs = [np.array([ids.setdefault(x, len(ids)) for x in split(text)], np.int64) for text in texts]
@@ -121,10 +122,10 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = 80, rate: float = 0.
         cut = np.lib.stride_tricks.sliding_window_view(w, min(SPAN, len(w)))[windows(len(w))]
         level = suspect[cut].max(axis=1)
         if toxic[d]:
-            likely = np.argsort(-level, kind="stable")[:DOC_WINDOWS]
+            likely = np.argsort(-level, kind="stable")[:doc_windows]
             pick = np.sort(likely[(level[likely] >= SUSPECT) | (level[likely] >= level.max())])
         else:  # those most like toxic ones, and some at random
-            most, chance = np.argsort(-level, kind="stable")[: DOC_WINDOWS // 2], rng.choice(len(cut), min(len(cut), DOC_WINDOWS // 2), replace=False)
+            most, chance = np.argsort(-level, kind="stable")[: doc_windows // 2], rng.choice(len(cut), min(len(cut), doc_windows // 2), replace=False)
             pick = np.unique(np.concatenate([most, chance]))
         rows.append(cut[pick].ravel())
         sizes.append(np.full(len(pick), cut.shape[1]))
@@ -220,14 +221,16 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", doc_windows: int = DOC_WINDOWS) -> Model:
     """Fit on labelled rows that are not held out.
 
     The sample is bounded: for each class the ids of least hash, TOXIC_DOCS and CLEAN_DOCS at most, and of these, in the
     same order, whole texts while they fit SAMPLE_BYTES / 2 (a text that does not fit is passed over). An id with both
     labels counts as toxic; of rows that share an id the text of least hash counts, whatever the partitioning; labels
     other than 0 and 1, and null ids, are left out; a null text is empty. Without rows of both classes (also in an empty
-    table) every text scores alike. What is broadcast and brought to the driver is bounded by that sample.
+    table) every text scores alike. What is broadcast and brought to the driver is bounded by that sample. Of each of its
+    documents doc_windows windows train at most (see DOC_WINDOWS), as most windows of a toxic text are clean; this bounds
+    the driver's memory as the sample does, and more do not find more (README).
     """
     marks = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     marks = marks.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -249,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = held.join(F.broadcast(wanted), "id").orderBy(F.xxhash64("id"), "id").toArrow()
     texts, toxic = rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.int64)
     del rows
-    model = fit(texts, toxic)
+    model = fit(texts, toxic, doc_windows=doc_windows)
     del texts
     give_back()
     return model
