@@ -14,7 +14,7 @@ from sheetweave.sources import synthetic
 
 
 def _synthetic(spark, s, a):
-    synthetic.drawings(spark, a.n, a.seed).write.mode("overwrite").parquet(a.out)
+    synthetic.drawings(spark.range(a.n).withColumnRenamed("id", "drawing"), a.seed).write.mode("overwrite").parquet(a.out)
 
 
 def _dataset(spark, s, a):

@@ -31,6 +31,15 @@ def tile_grid(spark: SparkSession, s: Settings) -> DataFrame:
     return spark.createDataFrame(rows, "idx int, tile_id string, row int, col int, tx int, ty int, tw int, th int")
 
 
+def page_grid(pages: DataFrame, s: Settings, by: tuple = ("page",)) -> DataFrame:
+    """The grid of each page (by, width, height), whatever its size, as a layout: by, idx, tile_id, tx, ty, tw, th, row by row."""
+    step = (F.lit(s.tile_size), F.lit(s.tile_overlap))
+    rows = pages.select(*by, "width", "height", starts_column(F.col("width"), *step).alias("xs"), F.posexplode(starts_column(F.col("height"), *step)).alias("row", "ty"))
+    rows = rows.select("*", F.posexplode("xs").alias("col", "tx")).withColumn("idx", F.col("row") * F.size("xs") + F.col("col"))
+    size = lambda at, n: F.least(F.lit(s.tile_size), F.col(n) - F.col(at))
+    return rows.select(*by, "idx", F.format_string("Tile_%03d", F.col("idx") + 1).alias("tile_id"), "tx", "ty", size("tx", "width").alias("tw"), size("ty", "height").alias("th"))
+
+
 def touching(a: G.Quad, b: G.Quad) -> tuple[Column, G.Quad]:
     """Whether two tiles that share a row or a column overlap or abut, and the box or edge that they share."""
     (ax, ay, ax2, ay2), (bx, by, bx2, by2) = G.corners(a), G.corners(b)

@@ -282,13 +282,41 @@ k AS (SELECT job, day, label, count(*) AS n FROM d GROUP BY ALL),
 p AS (SELECT job, day, count(DISTINCT hr) AS n_tiles, count(*) AS n, avg(confidence) AS mean_confidence FROM d GROUP BY ALL)"""
 
 
+def _drawn(what: str, low: int, high: int, *at: str) -> str:
+    key = " || '-' || ".join(["'7'", f"'{what}'", "drawing", *at])
+    return f"CAST({low} + ('0x' || substr(md5({key}), 1, 12))::BIGINT % {high - low + 1} AS INTEGER)"
+
+
+#: walked: for each part, with item = k at the end, the components placed so far; each takes the first of 30 tries that is free.
+_PLACED = f"""
+wanted AS (SELECT p_partkey AS drawing, {_drawn('n', 6, 12).replace('drawing', 'p_partkey')} AS k FROM part),
+walked AS (
+  SELECT drawing, k, 0 AS item, CAST([] AS STRUCT(item INTEGER, x INTEGER, y INTEGER, w INTEGER, h INTEGER, c INTEGER)[]) AS done FROM wanted
+  UNION ALL
+  SELECT drawing, k, item, CASE WHEN t IS NULL THEN done ELSE list_append(done, {{'item': item, 'x': t.x, 'y': t.y, 'w': w, 'h': h, 'c': c}}) END FROM (
+    SELECT drawing, k, item, done, w, h, c, list_filter(list_transform(range(1, 31), lambda n: {{'x': {_drawn('x', 200, 2308, 'item', 'n')}, 'y': {_drawn('y', 250, 1880, 'item', 'n')}}}),
+        lambda t: len(list_filter(done, lambda a: NOT (t.x + w + 160 < a.x OR a.x + a.w + 160 < t.x OR t.y + h + 160 < a.y OR a.y + a.h + 160 < t.y))) = 0)[1] AS t FROM (
+      SELECT drawing, k, item, done, c, CASE WHEN c = 1 THEN least(w0, h0) ELSE w0 END AS w, CASE WHEN c = 1 THEN least(w0, h0) ELSE h0 END AS h FROM (
+        SELECT drawing, k, item, done, {_drawn('class', 0, 2, 'item')} AS c, {_drawn('w', 180, 620, 'item')} AS w0, {_drawn('h', 180, 520, 'item')} AS h0
+        FROM (SELECT drawing, k, item + 1 AS item, done FROM walked WHERE item < k))))
+)"""
+
+
+#: A sheet for each part, with the starts of its tiles, and the tiles.
+_SHEETS = """
+sized AS (SELECT p_partkey AS page, CAST(300 + p_size * 97 AS INTEGER) AS width, CAST(200 + (p_partkey % 90) * 53 AS INTEGER) AS height FROM part),
+sheets AS (SELECT *, CASE WHEN width <= 1024 THEN [0] ELSE list_sort(list_distinct(list_append(range(0, width - 1024, 896), width - 1024))) END AS xs,
+  CASE WHEN height <= 1024 THEN [0] ELSE list_sort(list_distinct(list_append(range(0, height - 1024, 896), height - 1024))) END AS ys FROM sized)"""
+_SHEET_TILES = """
+tiles AS MATERIALIZED (SELECT page, r * len(xs) + c AS idx, printf('Tile_%03d', r * len(xs) + c + 1) AS tile_id, xs[c + 1]::DOUBLE AS tx, ys[r + 1]::DOUBLE AS ty,
+    least(1024, width - xs[c + 1])::DOUBLE AS tw, least(1024, height - ys[r + 1])::DOUBLE AS th
+  FROM (SELECT *, unnest(range(len(xs))) AS c FROM (SELECT *, unnest(range(len(ys))) AS r FROM sheets)))"""
+
+
 ORACLES: dict[str, str] = {
-    "tile_starts": """SELECT axis, list_distinct(list_append(range(0, greatest(n - 1024, 0), 896), greatest(n - 1024, 0))).list_sort().array_to_string(',') AS starts
-      FROM (VALUES ('a', 4096), ('b', 2896), ('c', 512), ('d', 1024), ('e', 1025)) t(axis, n)""",
-    "tile_grid": f"""WITH {GRID} SELECT CAST(idx AS INTEGER) AS idx, tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, 1024 AS tw, 1024 AS th
-      FROM grid""",
-    "tile_pairs": f"""WITH {GRID}, {PAIRS} SELECT CAST(pair_ord AS INTEGER) AS pair_ord, a, b, orientation, o0, o1, o2, o3, o0-48 AS s0, o1-48 AS s1, o2+96 AS s2, o3+96 AS s3
-      FROM pairs""",
+    "tile_starts": f"WITH {_SHEETS} SELECT page, width, array_to_string(xs, ',') AS starts FROM sheets",
+    "tile_grid": f"WITH {_SHEETS}, {_SHEET_TILES} SELECT page, CAST(idx AS INTEGER) AS idx, tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, CAST(tw AS INTEGER) AS tw, CAST(th AS INTEGER) AS th FROM tiles",
+    "tile_pairs": f"WITH {_SHEETS}, {_SHEET_TILES}, {LAYOUT_PAIRS} SELECT *, o0-48 AS s0, o1-48 AS s1, o2+96 AS s2, o3+96 AS s3 FROM pairs",
     "canvas_fit": """WITH t AS (SELECT p_partkey AS page, p_size*97 AS orig_w, (p_partkey % 90 + 1)*53 AS orig_h FROM part),
       u AS (SELECT *, orig_h > orig_w AS rotated, greatest(orig_w, orig_h) AS w, least(orig_w, orig_h) AS h FROM t),
       v AS (SELECT *, least(4096.0::DOUBLE/w, 2896.0::DOUBLE/h) AS scale FROM u),
@@ -409,14 +437,17 @@ ORACLES: dict[str, str] = {
       ELSE a || ' ' || b END AS joined FROM k""",
     "ascii_labels": """SELECT doc_id, regexp_replace(replace(replace(replace(text, 'Ø', 'D'), '±', '+-'), '°', 'deg'), '[^\\x00-\\x7F]', '?', 'g') AS label
       FROM documents""",
-    "synthetic_drawings": f"""WITH n AS (SELECT drawing, 6 + {_md5("'7-n-' || drawing || '--1'")} % 7 AS k FROM range(200) t(drawing)),
-      i AS (SELECT drawing, CAST(unnest(range(0, k)) AS INTEGER) AS item FROM n),
-      v AS (SELECT drawing, item, {", ".join(f"""{_md5(f"'7-{c}-' || drawing || '-' || item")} AS r{c}""" for c in "xywhcld")} FROM i),
-      b AS (SELECT drawing, item, CAST(120 + (item % 4)*840 + rx % 300 AS DOUBLE) AS x, CAST(160 + (item // 4)*760 + ry % 250 AS DOUBLE) AS y, CAST(120 + rw % 200 AS DOUBLE) AS w, CAST(100 + rh % 180 AS DOUBLE) AS h, CAST(rc % 3 AS INTEGER) AS c, CAST(rl % 3 AS INTEGER) AS l, rd FROM v)
+    "synthetic_drawings": f"""WITH RECURSIVE {_PLACED},
+      i AS (SELECT drawing, unnest(done) AS p FROM walked WHERE item = k),
+      b AS (SELECT drawing, p.item AS item, p.x::DOUBLE AS x, p.y::DOUBLE AS y, p.w::DOUBLE AS w, p.h::DOUBLE AS h, p.c AS c, {_drawn('line', 0, 2, 'p.item')} AS l, {_drawn('text', 0, 999, 'p.item')} AS d FROM i)
       SELECT drawing, item, 'object' AS kind, x AS g0, y AS g1, w AS g2, h AS g3, 'Ctype_' || (c + 1) AS label FROM b
-      UNION ALL SELECT drawing, item, 'ocr', x, y - 40, 110, 28, 'Ø' || rd FROM b
-      UNION ALL SELECT drawing, item, 'arrow', x + w, y + h/2, x + w + 150, y + h/2 + (l - 1)*20, ['dimension_line', 'leader_line', 'section_arrow'][l + 1]
-      FROM b""",
+      UNION ALL SELECT drawing, item, 'ocr', x, y - 40, 110, 28, 'Ø' || d FROM b
+      UNION ALL SELECT drawing, item, 'arrow', x + w, y + h/2, x + w + 150, y + h/2 + (l - 1)*20, ['dimension_line', 'leader_line', 'section_arrow'][l + 1] FROM b""",
+    "synthetic_distances": f"""WITH RECURSIVE {_PLACED},
+      i AS (SELECT drawing, unnest(done) AS p FROM walked WHERE item = k),
+      m AS (SELECT a.drawing, count(DISTINCT a.p.item) AS n FROM i a JOIN i b ON a.drawing = b.drawing AND a.p.item < b.p.item
+        WHERE NOT (a.p.x + a.p.w + 160 < b.p.x OR b.p.x + b.p.w + 160 < a.p.x OR a.p.y + a.p.h + 160 < b.p.y OR b.p.y + b.p.h + 160 < a.p.y) GROUP BY a.drawing)
+      SELECT drawing, len(done)::BIGINT AS components, coalesce(n, 0)::BIGINT AS too_near FROM walked LEFT JOIN m USING (drawing) WHERE item = k""",
     "empty_tiles": f"""WITH {GRID}, t AS (SELECT CAST(p_partkey AS VARCHAR) AS image_id, tile_id FROM part, grid),
       h AS (SELECT DISTINCT CAST(event_id % 900 + 1 AS VARCHAR) AS image_id, printf('Tile_%03d', event_id % 13 + 1) AS tile_id FROM events)
       SELECT image_id, tile_id FROM t WHERE EXISTS (SELECT 1 FROM h

@@ -44,17 +44,22 @@ def _members(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return merging.grouped(cands, merging.components(_edges(cands, kind)))
 
 
+def _sheets(spark, d) -> DataFrame:
+    """A sheet of its own size for each part, from smaller than a tile to a large drawing."""
+    return _read(spark, d, "part").selectExpr("p_partkey AS page", "CAST(300 + p_size * 97 AS INT) AS width", "CAST(200 + (p_partkey % 90) * 53 AS INT) AS height")
+
+
 def tile_starts(spark, d):
-    rows = spark.createDataFrame([("a", 4096), ("b", 2896), ("c", 512), ("d", 1024), ("e", 1025)], "axis string, n int")
-    return rows.select("axis", F.array_join(tiling.starts_column(F.col("n"), F.lit(1024), F.lit(128)).cast("array<string>"), ",").alias("starts"))
+    starts = tiling.starts_column(F.col("width"), F.lit(S.tile_size), F.lit(S.tile_overlap))
+    return _sheets(spark, d).select("page", "width", F.array_join(starts.cast("array<string>"), ",").alias("starts"))
 
 
 def tile_grid(spark, d):
-    return tiling.tile_grid(spark, S).select("idx", "tile_id", "tx", "ty", "tw", "th")
+    return tiling.page_grid(_sheets(spark, d), S)
 
 
 def tile_pairs(spark, d):
-    return tiling.tile_pairs(tiling.tile_grid(spark, S), S.seam_margin)
+    return layouts.pairs(tiling.page_grid(_sheets(spark, d), S), S.seam_margin)
 
 
 def canvas_fit(spark, d):
@@ -349,7 +354,15 @@ def state_upsert(spark, d):
 
 
 def synthetic_drawings(spark, d):
-    return synthetic.drawings(spark, 200)
+    """A drawing for each part."""
+    return synthetic.drawings(_read(spark, d, "part").select(F.col("p_partkey").alias("drawing")))
+
+
+def synthetic_distances(spark, d):
+    """Pairs of components of one drawing that come too near to each other: none; and how many components each drawing has."""
+    seeds = _read(spark, d, "part").selectExpr("p_partkey AS drawing", "7 AS seed")
+    p = F.filter("parts", lambda a: F.exists("parts", lambda b: (a["item"] < b["item"]) & synthetic.near(a, b["x"], b["y"], b["w"], b["h"])))
+    return synthetic.placed(seeds).select("drawing", F.size("parts").cast("long").alias("components"), F.size(p).cast("long").alias("too_near"))
 
 
 def empty_tiles(spark, d):
@@ -599,7 +612,7 @@ QUERIES = {
         tile_starts, tile_grid, tile_pairs, canvas_fit, coords_round_trip, box_iou_pairs, segment_box_codec, apply_thresholds, seam_candidates, active_pairs, components,
         merge_objects, merge_arrows, merge_text, text_groups, merged_pages, class_vote, merge_report, page_counts, drift_profile, average_profile, drift_compare, rolling_baseline,
         recent_profiles, latest_baseline, split_assignment, class_index, yolo_labels, coco_annotations, ocr_crops, manifest, ocr_cer, champion_promotion, word_lines, hough_topk,
-        contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, empty_tiles, resolve_models, last_metrics,
+        contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, synthetic_distances, empty_tiles, resolve_models, last_metrics,
         original_coords, canvas_coords, segment_codec_forms, page_result, merged_view, build_datasets, dataset_categories, job_view, job_drift, readiness, readable_texts,
         clean_metrics, draw_commands, request_rates, state_patch, page_names, stored_files,
         layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay, job_champions, page_items, merge_by_decisions,

@@ -4,30 +4,59 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.functions.text import md5_mod_1000
-
 WIDTH, HEIGHT = 3508, 2480
 CLASSES = ("Ctype_1", "Ctype_2", "Ctype_3")
 LINES = ("dimension_line", "leader_line", "section_arrow")
 
 
-def _draw(seed: int, what: str) -> Column:
-    """0 to 999 by drawing, place and purpose: the same on every run and cluster."""
-    return md5_mod_1000(F.concat_ws("-", F.lit(str(seed)), F.lit(what), F.col("drawing").cast("string"), F.col("item").cast("string")))
+#: Space around a component, tries to place it, and how many a drawing may have (fixed values).
+PAD, TRIES, FEWEST, MOST = 160, 30, 6, 12
+
+
+def _number(what: str, low: int, high: int, *at: Column) -> Column:
+    """low to high, both included, by seed, purpose, drawing and place: a counter-based generator, the same on every run and cluster."""
+    key = F.concat_ws("-", F.col("seed").cast("string"), F.lit(what), F.col("drawing").cast("string"), *[c.cast("string") for c in at])
+    h = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")
+    return (F.lit(low) + F.pmod(h, F.lit(high - low + 1))).cast("int")
+
+
+def near(a: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Whether a box comes within PAD pixels of a placed component."""
+    return (x + w + PAD >= a["x"]) & (a["x"] + a["w"] + PAD >= x) & (y + h + PAD >= a["y"]) & (a["y"] + a["h"] + PAD >= y)
+
+
+def placed(seeds: DataFrame) -> DataFrame:
+    """seeds (drawing, seed, ..) with parts: an array of components (item, x, y, w, h, c), 6 to 12 wanted, none of which comes
+    within PAD pixels of another. Each has TRIES tries at a place; one that finds none is left out. One row a drawing, no
+    shuffle: components are folded over what was placed before, tries over what is free."""
+    part = "struct<item: int, x: int, y: int, w: int, h: int, c: int>"
+
+    def component(n: Column) -> Column:
+        c = _number("class", 0, 2, n)
+        w, h = _number("w", 180, 620, n), _number("h", 180, 520, n)
+        even = F.least(w, h)
+        return F.struct(n.alias("item"), F.when(c == 1, even).otherwise(w).alias("w"), F.when(c == 1, even).otherwise(h).alias("h"), c.alias("c"))
+
+    def place(done: Column, p: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.lit(TRIES)), lambda t: F.struct(_number("x", 200, WIDTH - 1200, p["item"], t).alias("x"), _number("y", 250, HEIGHT - 600, p["item"], t).alias("y")))
+        free = F.filter(tries, lambda t: ~F.exists(done, lambda a: near(a, t["x"], t["y"], p["w"], p["h"])))
+        first = F.transform(F.slice(free, 1, 1), lambda t: F.struct(p["item"].alias("item"), t["x"].alias("x"), t["y"].alias("y"), p["w"].alias("w"), p["h"].alias("h"), p["c"].alias("c")))
+        return F.concat(done, first)
+
+    wanted = F.transform(F.sequence(F.lit(1), _number("n", FEWEST, MOST)), component)
+    return seeds.withColumn("parts", F.aggregate(wanted, F.array().cast(f"array<{part}>"), place))
 
 
-def drawings(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
-    """(drawing, item, kind, g0..g3, label). Components lie in cells of a 4 x 3 layout, so none overlap; each has a text
-    above it and a line from its right edge."""
-    rows = spark.range(n).withColumnRenamed("id", "drawing").withColumn("item", F.lit(-1))
-    rows = rows.withColumn("items", 6 + _draw(seed, "n") % 7).withColumn("item", F.explode(F.sequence(F.lit(0), F.col("items") - 1)))
-    rows = rows.withColumns({
-        "x": (120 + (F.col("item") % 4) * 840 + _draw(seed, "x") % 300).cast("double"), "y": (160 + F.floor(F.col("item") / 4) * 760 + _draw(seed, "y") % 250).cast("double"),
-        "w": (120 + _draw(seed, "w") % 200).cast("double"), "h": (100 + _draw(seed, "h") % 180).cast("double"), "c": _draw(seed, "c") % 3, "l": _draw(seed, "l") % 3, "d": _draw(seed, "d"),
-    })
+def drawings(seeds: DataFrame, seed: int = 7) -> DataFrame:
+    """(drawing, item, kind, g0..g3, label) of one drawing for each row of seeds (drawing): components that keep their distance,
+    each with a text above it and a line from its right edge. A drawing's items follow from its number and `seed` alone;
+    repeated drawings are equal."""
+    rows = placed(seeds.select("drawing").withColumn("seed", F.lit(seed)))
+    rows = rows.select("drawing", "seed", F.explode("parts").alias("p")).select("drawing", "seed", "p.*")
+    rows = rows.withColumns({**{c: F.col(c).cast("double") for c in "xywh"}, "l": _number("line", 0, 2, F.col("item")), "d": _number("text", 0, 999, F.col("item"))})
     name = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), F.col(at) + 1)
     end = (F.col("x") + F.col("w"), F.col("y") + F.col("h") / 2)
     row = lambda *v: F.struct(*[x.alias(n) for n, x in zip(("kind", "g0", "g1", "g2", "g3", "label"), v)])
@@ -36,7 +65,7 @@ def drawings(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
         row(F.lit("ocr"), F.col("x"), F.col("y") - 40, F.lit(110.0), F.lit(28.0), F.concat(F.lit("Ø"), F.col("d").cast("string"))),
         row(F.lit("arrow"), *end, end[0] + 150, end[1] + (F.col("l") - 1) * 20, name(LINES, "l")),
     )
-    return rows.select("drawing", F.col("item").cast("int").alias("item"), F.explode(items).alias("i")).select("drawing", "item", "i.*")
+    return rows.select("drawing", "item", F.explode(items).alias("i")).select("drawing", "item", "i.*")
 
 
 def pages(drawn: DataFrame) -> DataFrame:

@@ -293,7 +293,7 @@ def test_training_set_on_disk(spark, tmp_path):
 def test_synthetic_pages_hold_what_their_truth_says(spark):
     from sheetweave.sources import synthetic
 
-    drawn = synthetic.drawings(spark, 2)
+    drawn = synthetic.drawings(spark.range(2).withColumnRenamed("id", "drawing"))
     (page, *_) = synthetic.pages(drawn).orderBy("path").collect()
     px = np.frombuffer(page.bgr, np.uint8).reshape(page.height, page.width, 3)[:, :, 0]
     items = drawn.where("drawing = 0").collect()
