@@ -224,7 +224,7 @@ def _original() -> str:
     box = f"round(least({a[0]},{b[0]}), 6) AS g0, round(least({a[1]},{b[1]}), 6) AS g1, round(abs({a[0]}-{b[0]}), 6) AS g2, round(abs({a[1]}-{b[1]}), 6) AS g3"
     line = f"round({c[0]}, 6) AS g0, round({c[1]}, 6) AS g1, round({d[0]}, 6) AS g2, round({d[1]}, 6) AS g3"
     rows = lambda kind, g: f"(WITH {truth(kind)}, {FIT} SELECT page, id, '{kind}' AS kind, {g} FROM tru JOIN fit USING (page))"
-    return f"{rows('object', box)} UNION ALL {rows('arrow', line)}"
+    return f"{rows('object', box)} UNION ALL {rows('ocr', box)} UNION ALL {rows('arrow', line)}"
 
 
 def _page_items() -> str:
@@ -389,8 +389,8 @@ ORACLES: dict[str, str] = {
       FROM sl)) SELECT page, tile_id, item_idx, CAST(i.idx AS INTEGER) AS idx, (g0+g2/2)/1024 AS cx, (g1+g3/2)/1024 AS cy, g2/1024 AS rw, g3/1024 AS rh FROM sl
       JOIN i USING (label)""",
     "coco_annotations": f"""WITH {sliced('arrow')}, i AS (SELECT label, row_number() OVER (ORDER BY label) AS idx FROM (SELECT DISTINCT label FROM sl)),
-      z AS (SELECT page, tile_id, item_idx, i.idx, greatest(0, least(g0,g2)-4) AS x, greatest(0, least(g1,g3)-4) AS y, greatest(g0,g2)-least(g0,g2)+8 AS w, greatest(g1,g3)-least(g1,g3)+8 AS h FROM sl JOIN i USING (label))
-      SELECT CAST(row_number() OVER (ORDER BY page, tile_id, item_idx) - 1 AS BIGINT) AS id, page, tile_id, item_idx, CAST(idx AS INTEGER) AS category_id, round(x, 6) AS x, round(y, 6) AS y, round(least(w, 1024-x), 6) AS w, round(least(h, 1024-y), 6) AS h FROM z""",
+      z AS (SELECT ['train', 'valid', 'test'][page % 3 + 1] AS split, page, tile_id, item_idx, i.idx, greatest(0, least(g0,g2)-4) AS x, greatest(0, least(g1,g3)-4) AS y, greatest(g0,g2)-least(g0,g2)+8 AS w, greatest(g1,g3)-least(g1,g3)+8 AS h FROM sl JOIN i USING (label))
+      SELECT split, CAST(row_number() OVER (PARTITION BY split ORDER BY page, tile_id, item_idx) - 1 AS BIGINT) AS id, page, tile_id, item_idx, CAST(idx AS INTEGER) AS category_id, round(x, 6) AS x, round(y, 6) AS y, round(least(w, 1024-x), 6) AS w, round(least(h, 1024-y), 6) AS h FROM z""",
     "ocr_crops": f"""WITH {sliced('ocr')}
       SELECT page, tile_id, item_idx, CAST(greatest(0, g0-3) AS BIGINT) AS x0, CAST(greatest(0, g1-3) AS BIGINT) AS y0, CAST(least(1024, g0+g2+3) AS BIGINT) AS x1, CAST(least(1024, g1+g3+3) AS BIGINT) AS y1 FROM sl""",
     "manifest": f"""WITH o AS (WITH {sliced('object')} SELECT label, count(*) AS n FROM sl GROUP BY label), a AS (WITH {sliced('arrow')}
@@ -484,7 +484,7 @@ ORACLES: dict[str, str] = {
     "readable_texts": "SELECT event_id AS id FROM events WHERE event_id % 6 IN (1, 3) AND CAST(event_id % 100 AS DOUBLE) / 100 >= 0.3::DOUBLE",
     "clean_metrics": """SELECT event_id AS id, 'val loss_' AS name, value AS number FROM events UNION ALL
       SELECT event_id, 'n', CAST(event_id AS DOUBLE) FROM events""",
-    "draw_commands": f"""(WITH {truth('ocr')} SELECT id, 'ocr' AS kind, 'box' AS shape, left(label, 40) AS caption FROM tru)
+    "draw_commands": f"""(WITH {truth('object')} SELECT id, 'object' AS kind, 'box' AS shape, label AS caption FROM tru) UNION ALL (WITH {truth('ocr')} SELECT id, 'ocr' AS kind, 'box' AS shape, left(label, 40) AS caption FROM tru)
       UNION ALL (WITH {truth('arrow')} SELECT id, 'arrow', 'line', label FROM tru)""",
     "request_rates": "SELECT CAST(ts AS DATE) AS day, event_type AS path, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY ALL",
     "state_patch": """WITH r AS (SELECT o_orderkey + CASE WHEN o_orderkey % 10 = 2 THEN 100000000 ELSE 0 END AS job_id, CASE WHEN o_orderkey % 10 = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,10 +232,10 @@ def yolo_labels(spark, d):
 
 def coco_annotations(spark, d):
     a = kept(_tiles(fixtures.detections(spark, d, S, "arrow")))
-    rows = datasets.coco_rows(a, datasets.class_index(a, first=1)).withColumn("split", F.lit("train"))
+    rows = datasets.coco_rows(a, datasets.class_index(a, first=1)).withColumn("split", F.expr("element_at(array('train', 'valid', 'test'), CAST(page % 3 AS INT) + 1)"))
     rows = datasets.number_within(rows, "split", ["page", "tile_id", "item_idx"], "n")
     return rows.select(
-        F.col("n").cast("long").alias("id"), "page", "tile_id", "item_idx", F.col("idx").cast("int").alias("category_id"),
+        "split", F.col("n").cast("long").alias("id"), "page", "tile_id", "item_idx", F.col("idx").cast("int").alias("category_id"),
         *[F.round(c, 6).alias(c) for c in "xywh"]
     )
 
@@ -394,7 +395,7 @@ def _fit(spark, d) -> DataFrame:
 
 
 def original_coords(spark, d):
-    rows = fixtures.truth(spark, d, "object").unionByName(fixtures.truth(spark, d, "arrow"))
+    rows = reduce(DataFrame.unionByName, [fixtures.truth(spark, d, k) for k in fixtures.KINDS])
     out = results.original_coords(rows, _fit(spark, d))
     return out.select("page", "id", "kind", *[F.round(f"g{i}", 6).alias(f"g{i}") for i in range(4)])
 
@@ -497,7 +498,7 @@ def clean_metrics(spark, d):
 
 
 def draw_commands(spark, d):
-    rows = fixtures.truth(spark, d, "ocr").unionByName(fixtures.truth(spark, d, "arrow"))
+    rows = reduce(DataFrame.unionByName, [fixtures.truth(spark, d, k) for k in fixtures.KINDS])
     return prediction.draw_commands(rows).select("id", "kind", "shape", "caption")
 
 

@@ -202,3 +202,24 @@ def test_a_page_that_never_completes(spark, tmp_path):
 def test_metrics_are_finite_and_names_may_meet(spark):
     df = spark.createDataFrame([({"a$": "1", "a%": "2", " b ": "NaN", "c": "Infinity", "d": "-Infinity", "e": "x", "f": None, "g": "1e-3"},), (None,), ({},)], "m map<string,string>")
     assert [r.m for r in df.select(jobs.clean_metrics(F.col("m")).alias("m")).collect()] == [{"a_": 2.0, "g": 0.001}, None, {}]
+
+
+def test_request_rates_as_a_stream_drop_what_is_too_late(spark, tmp_path):
+    """Windows close behind the watermark; a row for a closed window is dropped, one within the delay counts."""
+    from sheetweave.streaming.detections import request_rates
+
+    row = lambda minute, path="/v1/jobs": {"ts": f"2024-05-01T{10 + minute // 60}:{minute % 60:02d}:00", "path": path, "latency_ms": 10.0}
+
+    def run():
+        logs = spark.readStream.schema("ts timestamp, path string, latency_ms double").json(f"{tmp_path}/in")
+        q = request_rates(logs).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check")
+        q.trigger(availableNow=True).start().awaitTermination()
+
+    lines(tmp_path / "in", "1.json", [row(1), row(2), row(12)])
+    run()
+    lines(tmp_path / "in", "2.json", [row(4), row(30)])  # late, but within the ten minutes
+    run()
+    lines(tmp_path / "in", "3.json", [row(3), row(90)])  # its window has closed
+    run()
+    got = {str(r.window.start)[11:16]: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got["10:00"] == 3 and got["10:10"] == 1
