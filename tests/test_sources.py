@@ -335,3 +335,21 @@ def test_streams_equal_batch(spark, tmp_path):
     spark.createDataFrame([(x,) for x in logs], "value string").coalesce(1).write.text(f"{tmp_path}/logs")
     log_stream(spark, f"{tmp_path}/logs", f"{tmp_path}/log", f"{tmp_path}/log_check").awaitTermination()
     assert [(r.path, r.latency_ms) for r in spark.read.parquet(f"{tmp_path}/log").collect()] == [("/v1/jobs", 12.35)]
+
+
+def test_lines_of_text_from_letters():
+    """Letters side by side are one line; a second line, a far letter, long rules and solid shapes are not part of it."""
+    page = np.full((300, 600, 3), 255, np.uint8)
+
+    def letter(x, y):
+        page[y : y + 16, x : x + 3] = page[y : y + 3, x : x + 10] = 0
+
+    for k in range(6):
+        letter(100 + 16 * k, 50)
+    for k in range(3):
+        letter(100 + 16 * k, 80)
+    letter(400, 50)
+    page[120:123, 20:580] = 0
+    page[150:190, 50:130] = 0
+    assert sorted(predictors.text_regions(page)) == [(96, 49, 98, 18), (96, 79, 50, 18), (396, 49, 18, 18)]
+    assert predictors.text_regions(np.full((40, 40, 3), 255, np.uint8)) == []
