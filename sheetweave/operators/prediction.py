@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sheetweave import workers
 from sheetweave.functions.text import ascii_label
+from sheetweave.operators import lines as line_votes
 from sheetweave.operators import merging, predictors
 from sheetweave.scratch import kept
 from sheetweave.settings import Settings
@@ -59,7 +60,11 @@ def default_suite(s: Settings, detectors: dict | None = None, lines: dict | None
         "arrow": (s.line_backend, {**(lines or {}), "strokes": predictors.StrokeDetector}, "strokes"),
         "ocr": (s.ocr_backend, {**(readers or {}), "none": predictors.NoReader}, "none"),
     }
+    if s.line_backend == "votes":  # found by Spark, not by a predictor: see infer()
+        del choices["arrow"]
     version = ",".join(f"{kind}={backend}:{'+'.join(sorted(known))}" for kind, (backend, known, _) in choices.items())
+    if s.line_backend == "votes":
+        version += f",arrow={line_votes.VERSION}"
     return Suite("default", version, lambda: {kind: choose(kind, *c) for kind, c in choices.items()})
 
 
@@ -68,7 +73,8 @@ def versions(built: dict) -> dict[str, str]:
 
 
 def infer(tiles: DataFrame, suite: Suite, s: Settings) -> DataFrame:
-    """Detections of all tiles (path, page, tile_id, tw, th, bgr). A worker process builds a suite once for all its tasks."""
+    """Detections of all tiles (path, page, tile_id, tw, th, bgr). A worker process builds a suite once for all its tasks. With
+    the line backend "votes" arrows come from `operators.lines`, beside what the suite finds."""
     least = {"object": s.detector_conf, "ocr": s.ocr_conf, "arrow": s.line_conf}
     name, version, build = suite.name, suite.version, suite.build
 
@@ -82,7 +88,8 @@ def infer(tiles: DataFrame, suite: Suite, s: Settings) -> DataFrame:
                     rows += [(r.path, r.page, r.tile_id, kind, i, *map(float, g), label, c) for i, (g, label, c) in enumerate(predict(image, least[kind]))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTION.split(", ")])
 
-    return tiles.mapInPandas(run, DETECTION)
+    found = tiles.mapInPandas(run, DETECTION)
+    return found.unionByName(line_votes.detected(tiles, s.line_conf)) if s.line_backend == "votes" else found
 
 
 def parse_decision(reply: str, kinds: dict[str, str]) -> tuple[list[tuple[list[str], str | None]], dict[str, str]]:

@@ -35,6 +35,29 @@ s0 AS (SELECT page, id, idx, tile_id, tx, ty, vx-tx AS g0, vy-ty AS g1, vw AS g2
 sl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page, tile_id ORDER BY id) - 1 AS item_idx FROM s0)"""
 
 
+#: Strokes of each supplier's tile by pixel, what each pixel votes for, and the places that none near them surpasses.
+LINE_PEAKS = """
+k AS (SELECT s_suppkey AS tile, k, 90 + (s_suppkey*13 + k*29) % 80 AS n, s_suppkey*7 + k*41 AS turn, (s_suppkey*5 + k*3) % 4 AS way FROM supplier, (SELECT unnest(range(0, 3)) AS k)),
+m AS (SELECT tile, k, way, 128 - n // 2 + i AS major, 128 + 9*k + CAST(floor(((2*i - n) * (turn % (2*n + 1) - n) + n) / (2.0::DOUBLE * n)) AS BIGINT) AS minor
+  FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM k) WHERE k <> 1 OR i % 10 < 8),
+px AS MATERIALIZED (SELECT DISTINCT tile, CASE WHEN way < 2 THEN major ELSE minor END AS x, CASE WHEN way < 2 THEN minor ELSE major END AS y FROM m),
+turns AS (SELECT a, round(cos(radians(a)) * 65536)::BIGINT AS c, round(sin(radians(a)) * 65536)::BIGINT AS s FROM (SELECT unnest(range(0, 180)) AS a)),
+v AS (SELECT tile, a, c, s, CAST(floor((x*c + y*s + 32768) / 65536.0::DOUBLE) AS BIGINT) AS rho, count(*) AS votes FROM px, turns GROUP BY ALL HAVING count(*) >= 60),
+pk AS MATERIALIZED (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM (SELECT tile, a, rho, votes, a AS seen, rho AS at FROM v UNION ALL SELECT tile, a, rho, votes, a - 180, -rho FROM v
+    UNION ALL SELECT tile, a, rho, votes, a + 180, -rho FROM v) w WHERE w.tile = v.tile AND abs(w.seen - v.a) <= 2 AND abs(w.at - v.rho) <= 2 AND (w.votes, -w.a, -w.rho) > (v.votes, -v.a, -v.rho)))"""
+LINES = f"""WITH {LINE_PEAKS},
+near AS MATERIALIZED (SELECT *, CAST(floor((x*c + y*s + 32768) / 65536.0::DOUBLE) AS BIGINT) - rho AS off, CAST(floor((y*c - x*s + 32768) / 65536.0::DOUBLE) AS BIGINT) AS t
+  FROM px JOIN pk USING (tile) WHERE abs(floor((x*c + y*s + 32768) / 65536.0::DOUBLE) - rho) <= 2),
+own AS (SELECT *, row_number() OVER (PARTITION BY tile, x, y ORDER BY votes DESC, a, rho) = 1 AS mine FROM near),
+pl AS (SELECT tile, a, c, s, rho, votes, t, max(mine::INT) AS mine FROM own WHERE abs(off) <= 1 GROUP BY ALL),
+st AS (SELECT *, coalesce(t - lag(t) OVER w > 5, true)::INT AS fresh FROM pl WINDOW w AS (PARTITION BY tile, a, rho ORDER BY t)),
+il AS (SELECT *, sum(fresh) OVER (PARTITION BY tile, a, rho ORDER BY t) AS piece FROM st),
+seg AS (SELECT tile, a, c, s, rho, votes, min(t) AS t0, max(t) AS t1 FROM il GROUP BY tile, a, c, s, rho, votes, piece HAVING max(t) - min(t) >= 60 AND 2*sum(mine) >= count(*)),
+e AS (SELECT *, CASE WHEN s > 0 THEN t1 ELSE t0 END AS p, CASE WHEN s > 0 THEN t0 ELSE t1 END AS q FROM seg)
+SELECT tile, a AS angle, rho, votes, t0, t1, round((rho*c - p*s) / 65536.0::DOUBLE, 6) AS x1, round((rho*s + p*c) / 65536.0::DOUBLE, 6) AS y1,
+  round((rho*c - q*s) / 65536.0::DOUBLE, 6) AS x2, round((rho*s + q*c) / 65536.0::DOUBLE, 6) AS y2, round(least(0.95::DOUBLE, 0.3::DOUBLE + (t1-t0)/1448.0::DOUBLE), 9) AS score
+FROM e QUALIFY row_number() OVER (PARTITION BY tile ORDER BY t1-t0 DESC, a, rho, t0) <= 150"""
+
 PAGE = "event_id // 25"
 DENSE = "user_id % 40"
 OWN = "own"  # pages of PAGE with tiles of their own
@@ -506,6 +529,8 @@ ORACLES: dict[str, str] = {
       q AS (SELECT page, id, tile_id, x1+t0*dx-tx AS g0, y1+t0*dy-ty AS g1, x1+t1*dx-tx AS g2, y1+t1*dy-ty AS g3 FROM p WHERE t0 <= t1)
       SELECT page, id, tile_id, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, round(g3, 6) AS g3 FROM q WHERE sqrt((g2-g0)*(g2-g0)+(g3-g1)*(g3-g1)) >= 10""",
     "layout_merge": LAYOUT_MERGE,
+    "line_peaks": f"WITH {LINE_PEAKS} SELECT tile, a AS angle, rho, votes FROM pk",
+    "line_votes": LINES,
     "merge_by_decisions": MERGE_OBJECTS,
     "page_items": _page_items(),
     "job_champions": """WITH t AS (SELECT event_type AS model, event_id AS version, date_trunc('hour', ts) AS ts, value AS metric FROM events WHERE event_id % 3 = 0),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as G
 from sheetweave.functions import text as T
-from sheetweave.operators import datasets, decisions, drift, evaluation, jobs, layouts, merging, prediction, results, tiling
+from sheetweave.operators import datasets, decisions, drift, evaluation, jobs, layouts, lines, merging, prediction, results, tiling
 from sheetweave.plans import fixtures
 from sheetweave.scratch import kept, new_path, remove
 from sheetweave.settings import Settings
@@ -608,6 +608,19 @@ def layout_merge(spark, d):
     return _out(merging.fuse_objects(merging.grouped(cands, merging.components(edges))))
 
 
+def line_peaks(spark, d):
+    runs = lines.runs_of(fixtures.strokes(spark, d), ("tile",))
+    return lines.peaks(runs, ("tile",)).select("tile", "angle", "rho", "votes")
+
+
+def line_votes(spark, d):
+    """The longest lines of each tile's ink, with their score."""
+    runs = kept(lines.runs_of(fixtures.strokes(spark, d), ("tile",)))  # votes and claims both read them
+    found = lines.lines(runs, ("tile",))
+    scored = evaluation.longest_lines(found.withColumns({"ord": F.struct("angle", "rho", "t0"), "diag": F.lit(1448.0)}), by=("tile",))
+    return scored.select("tile", "angle", "rho", "votes", "t0", "t1", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")], F.round("score", 9).alias("score"))
+
+
 QUERIES = {
     **{f.__name__: f for f in (
         tile_starts, tile_grid, tile_pairs, canvas_fit, coords_round_trip, box_iou_pairs, segment_box_codec, apply_thresholds, seam_candidates, active_pairs, components,
@@ -616,7 +629,7 @@ QUERIES = {
         contour_gate, text_gate, recent_jobs, job_state, request_log_summary, feedback_valid, upload_validation, result_gate, text_join, ascii_labels, state_upsert, synthetic_drawings, synthetic_distances, empty_tiles, resolve_models, last_metrics,
         original_coords, canvas_coords, segment_codec_forms, page_result, merged_view, build_datasets, dataset_categories, job_view, job_drift, readiness, readable_texts,
         clean_metrics, draw_commands, request_rates, state_patch, page_names, stored_files,
-        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay, job_champions, page_items, merge_by_decisions,
+        layout_pairs, layout_slices, layout_arrows, layout_merge, job_replay, job_champions, page_items, merge_by_decisions, line_peaks, line_votes,
     )},
     "slice_objects": _slices("object"), "slice_text": _slices("ocr"), "slice_arrows": _slices("arrow", 6),
     "match_objects": _matches("object"), "match_arrows": _matches("arrow"), "match_text": _matches("ocr"),
