@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from sheetweave.llm.shared import column, shelve, text_bytes
+from sheetweave.llm.shared import column, shelve, steady, text_bytes
 
 BACKOFF = 0.4
 HEAD = 1 << 16
@@ -366,7 +366,8 @@ def score(
     n_found: words whose pair with the word before them other documents hold. log_score: the mean described above, null
     for a text without words (empty or null). Rows stand for themselves, also where ids are null or repeat; repeated
     rows count as other documents to each other. Texts of any length are counted and scored whole, in memory that grows
-    with the longest one. Other columns are ignored, whatever their names; an empty table gives an empty result.
+    with the longest one. Rows out of a shuffle are written before they are numbered, so that a lost executor changes no
+    score. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     kind = docs.select(column(docs, id_col)).schema[0].dataType
     if not isinstance(kind, IntegralType):  # other ids are numbered, and found again by their number
@@ -376,6 +377,7 @@ def score(
         ).join(ids, F.col("id").eqNullSafe(F.col("of"))).select("number", "text")
         scored = score(numbered, "number", "text", head_size, core_size, step, sample).join(ids, "number")
         return scored.select(F.col("of").alias(id_col), "n_words", "n_found", "log_score")
+    docs = steady(docs, id_col, text_col)  # documents are numbered by their place in a task
     text = docs.select(text_bytes(column(docs, text_col)).alias("text"))
     head, rest = _head(docs, text, head_size, core_size, sample)
     body = docs.select(text_bytes(column(docs, text_col)).alias("text"), column(docs, id_col).cast("long").alias("id"))

@@ -55,6 +55,13 @@ def pieces(batches: Iterator, rows: int = 1_000) -> Iterator:
     give_back()
 
 
+def steady(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns of df in an order that a rerun of lost tasks repeats, for work that numbers rows by their place: what
+    comes out of a shuffle may come in another order and is written first; what is read from files comes as it lies there."""
+    some = df.select(*[column(df, n) for n in dict.fromkeys(names)])
+    return shelve(some) if "Exchange" in some._jdf.queryExecution().executedPlan().toString() else some
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name starting with `wanted` that df does not have, so that an input's own columns never clash."""
     taken = {c.lower() for c in df.columns}

@@ -547,6 +547,17 @@ def test_order_of_rows_is_the_same_in_sql(spark):
     assert [r.s for r in got] == lm.order_of(g, o).tolist()
 
 
+def test_rows_out_of_a_shuffle_are_written_before_they_are_numbered(spark, docs):
+    from sheetweave.llm.shared import steady
+
+    read = lambda df: "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    moved = docs.repartition(5, "source")
+    assert read(moved) and not read(steady(moved, "doc_id", "text")) and steady(docs, "doc_id", "text").inputFiles() == docs.inputFiles()
+    plain, other = ({r.doc_id: r for r in lm.score(d).collect()} for d in (docs, moved))
+    assert plain.keys() == other.keys() and len(plain) == docs.count()
+    assert all(r.n_words == other[i].n_words and r.n_found == other[i].n_found and (r.log_score is None or abs(r.log_score - other[i].log_score) < 1e-9) for i, r in plain.items())
+
+
 def test_lm_odd(odd):
     rows = lm.score(odd).collect()
     assert len(rows) == 7 and sorted(r.n_words for r in rows)[:2] == [0, 0] and lm.score(empty(odd)).count() == 0
