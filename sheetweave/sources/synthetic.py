@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetweave.spread import spread
+
 WIDTH, HEIGHT = 3508, 2480
 CLASSES = ("Ctype_1", "Ctype_2", "Ctype_3")
 LINES = ("dimension_line", "leader_line", "section_arrow")
@@ -30,8 +32,8 @@ def near(a: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
 
 def placed(seeds: DataFrame) -> DataFrame:
     """seeds (drawing, seed, ..) with parts: an array of components (item, x, y, w, h, c), 6 to 12 wanted, none of which comes
-    within PAD pixels of another. Each has TRIES tries at a place; one that finds none is left out. One row a drawing, no
-    shuffle: components are folded over what was placed before, tries over what is free."""
+    within PAD pixels of another. Each has TRIES tries at a place; one that finds none is left out. One row a drawing,
+    dealt evenly over the cluster: components are folded over what was placed before, tries until a place is free."""
     part = "struct<item: int, x: int, y: int, w: int, h: int, c: int>"
 
     def component(n: Column) -> Column:
@@ -41,13 +43,18 @@ def placed(seeds: DataFrame) -> DataFrame:
         return F.struct(n.alias("item"), F.when(c == 1, even).otherwise(w).alias("w"), F.when(c == 1, even).otherwise(h).alias("h"), c.alias("c"))
 
     def place(done: Column, p: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.lit(TRIES)), lambda t: F.struct(_number("x", 200, WIDTH - 1200, p["item"], t).alias("x"), _number("y", 250, HEIGHT - 600, p["item"], t).alias("y")))
-        free = F.filter(tries, lambda t: ~F.exists(done, lambda a: near(a, t["x"], t["y"], p["w"], p["h"])))
-        first = F.transform(F.slice(free, 1, 1), lambda t: F.struct(p["item"].alias("item"), t["x"].alias("x"), t["y"].alias("y"), p["w"].alias("w"), p["h"].alias("h"), p["c"].alias("c")))
+        def attempt(found: Column, t: Column) -> Column:
+            # A when draws a place only while none is found; an array of one holds it, so that it is drawn once.
+            at = F.array(F.struct(_number("x", 200, WIDTH - 1200, p["item"], t).alias("x"), _number("y", 250, HEIGHT - 600, p["item"], t).alias("y")))
+            free = F.filter(at, lambda q: ~F.exists(done, lambda a: near(a, q["x"], q["y"], p["w"], p["h"])))
+            return F.when(F.size(found) > 0, found).otherwise(free)
+
+        free = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.array().cast("array<struct<x: int, y: int>>"), attempt)
+        first = F.transform(free, lambda t: F.struct(p["item"].alias("item"), t["x"].alias("x"), t["y"].alias("y"), p["w"].alias("w"), p["h"].alias("h"), p["c"].alias("c")))
         return F.concat(done, first)
 
     wanted = F.transform(F.sequence(F.lit(1), _number("n", FEWEST, MOST)), component)
-    return seeds.withColumn("parts", F.aggregate(wanted, F.array().cast(f"array<{part}>"), place))
+    return spread(seeds).withColumn("parts", F.aggregate(wanted, F.array().cast(f"array<{part}>"), place))
 
 
 def drawings(seeds: DataFrame, seed: int = 7) -> DataFrame:

@@ -290,6 +290,16 @@ def test_training_set_on_disk(spark, tmp_path):
     assert b["name"] == "default" and b.profile.n_tiles >= 1
 
 
+def test_synthetic_drawings_of_one_small_file_are_drawn_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from sheetweave.sources import synthetic
+
+    seeds = spark.range(0, 40, 1, 1).selectExpr("id AS drawing", "7 AS seed")
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts(synthetic.placed(seeds)) == 4 and parts(synthetic.drawings(seeds)) == 4
+
+
 def test_synthetic_pages_hold_what_their_truth_says(spark):
     from sheetweave.sources import synthetic
 
