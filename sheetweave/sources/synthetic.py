@@ -62,7 +62,8 @@ def drawings(seeds: DataFrame, seed: int = 7) -> DataFrame:
     each with a text above it and a line from its right edge. A drawing's items follow from its number and `seed` alone;
     repeated drawings are equal."""
     rows = placed(seeds.select("drawing").withColumn("seed", F.lit(seed)))
-    rows = rows.select("drawing", "seed", F.explode("parts").alias("p")).select("drawing", "seed", "p.*")
+    # The first component always finds a place. A plain explode is given a filter of the array's size, for which all is drawn twice.
+    rows = rows.select("drawing", "seed", F.explode_outer("parts").alias("p")).select("drawing", "seed", "p.*")
     rows = rows.withColumns({**{c: F.col(c).cast("double") for c in "xywh"}, "l": _number("line", 0, 2, F.col("item")), "d": _number("text", 0, 999, F.col("item"))})
     name = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), F.col(at) + 1)
     end = (F.col("x") + F.col("w"), F.col("y") + F.col("h") / 2)

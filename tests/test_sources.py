@@ -300,6 +300,13 @@ def test_synthetic_drawings_of_one_small_file_are_drawn_by_many_tasks(spark):
     assert parts(synthetic.placed(seeds)) == 4 and parts(synthetic.drawings(seeds)) == 4
 
 
+def test_synthetic_parts_are_drawn_once(spark):
+    from sheetweave.sources import synthetic
+
+    drawn = synthetic.drawings(spark.range(0, 4, 1, 1).withColumnRenamed("id", "drawing"))
+    assert str(drawn._jdf.queryExecution().optimizedPlan()).count("aggregate(") == 2  # components, and tries within
+
+
 def test_synthetic_pages_hold_what_their_truth_says(spark):
     from sheetweave.sources import synthetic
 
