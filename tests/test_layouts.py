@@ -107,3 +107,11 @@ def test_annotations_with_tile_boxes_merge_over_their_own_seams(spark):
         assert "tile box must have 4 values" in str(e)
     else:
         raise AssertionError("a box of three numbers passed")
+
+
+def test_pairs_of_few_sheets_with_many_tiles_are_never_sent_whole(spark):
+    sheets = spark.range(0, 20, 1, 1).selectExpr("id AS page", "5000 AS width", "4000 AS height")
+    found = layouts.pairs(tiling.page_grid(sheets, Settings()), 48)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert found.groupBy("page").count().select("count").distinct().count() == 1
