@@ -108,6 +108,13 @@ def test_nothing_moves_after_the_tiles_are_placed(spark):
     assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange hashpartitioning(key") == 1
 
 
+def test_votes_are_no_rows(spark):
+    runs = lines.runs_of(spark.createDataFrame(stroke("a", 0, 0, 0, 80), POINTS), ("tile",))
+    for found in (lines.peaks(runs, ("tile",)), lines.lines(runs, ("tile",))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning(key") == 1
+
+
 def test_a_job_with_lines_by_votes(spark, tmp_path):
     page = drawing()
     page[600:800, 600:602] = 0  # crosses the long line
