@@ -115,6 +115,16 @@ def test_votes_are_no_rows(spark):
         assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning(key") == 1
 
 
+def test_votes_of_wide_tiles_are_those_of_a_table(monkeypatch):
+    rng = np.random.default_rng(3)
+    y, x0 = rng.integers(0, 300, 400), rng.integers(-200, 300, 400)
+    ink = y, x0, x0 + rng.integers(0, 9, 400)
+    dense = lines._voted(ink, 9)
+    monkeypatch.setattr(lines, "DENSE", 0)
+    monkeypatch.setattr(lines, "STEP", 5_000)
+    assert len(dense[0]) > 50 and all((a == b).all() for a, b in zip(dense, lines._voted(ink, 9)))
+
+
 def test_a_job_with_lines_by_votes(spark, tmp_path):
     page = drawing()
     page[600:800, 600:602] = 0  # crosses the long line
