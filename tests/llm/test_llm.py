@@ -166,6 +166,20 @@ def test_parity_bitmaps_bound_the_difference():
 # --- PII
 
 
+def test_a_key_of_near_duplicates_makes_no_more_rows_than_it_has():
+    def made(rows, sizes):
+        columns = [np.zeros(rows, np.int64), np.zeros(rows, np.int32), np.arange(rows), sizes, np.arange(rows)]
+        batch = pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["h", "place", "row", "n", "label"])
+        return pa.Table.from_batches(list(jaccard._pairs(80)(iter([batch])))).to_pylist()
+
+    for rows in (4, 20, 32, 33):
+        got = made(rows, np.full(rows, 100))
+        assert sorted(r["row"] for r in got) == list(range(rows)) and {r["h"] for r in got} == {0}
+    # Of sizes that only let two of them match it is one pair, and of three that match three, no rows.
+    assert [(r["row"], r["b"], r["h"]) for r in made(3, np.array([10, 100, 101]))] == [(2, 1, None)]
+    assert sorted((r["row"], r["b"]) for r in made(3, np.full(3, 100))) == [(1, 0), (2, 0), (2, 1)]
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 10, 97, 1000):
         assert sorted(pii.permute(b"k", "t", x, n) for x in range(n)) == list(range(n))
