@@ -115,3 +115,12 @@ def test_pairs_of_few_sheets_with_many_tiles_are_never_sent_whole(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert found.groupBy("page").count().select("count").distinct().count() == 1
+
+
+def test_a_segment_meets_its_tile_once(spark):
+    from sheetweave.operators import slicing
+
+    items = spark.createDataFrame([(1, 10.0, 10.0, 2000.0, 900.0)], "page int, g0 double, g1 double, g2 double, g3 double")
+    cut = slicing.slice_segments(items, Settings())
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("1.0E-12") == 10  # of both axes, in one place
+    assert cut.count() == 3
