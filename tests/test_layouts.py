@@ -124,3 +124,10 @@ def test_a_segment_meets_its_tile_once(spark):
     cut = slicing.slice_segments(items, Settings())
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("1.0E-12") == 10  # of both axes, in one place
     assert cut.count() == 3
+
+
+def test_tiles_of_pages_are_never_sent_whole(spark):
+    items = spark.createDataFrame([(1, 10.0, 10.0, 2000.0, 900.0)], "page int, g0 double, g1 double, g2 double, g3 double")
+    tiles = tiling.page_grid(spark.createDataFrame([(1, 4096, 2896)], "page int, width int, height int"), Settings())
+    for cut in (layouts.cut_boxes(items, tiles, 0.1), layouts.cut_segments(items, tiles, 10.0)):
+        assert "Broadcast" not in cut._jdf.queryExecution().executedPlan().toString() and cut.count() > 1
