@@ -115,3 +115,15 @@ def test_training_set_as_files(spark, tmp_path):
     (crop,) = [v for k, v in got.items() if "crops" in k]
     assert len(got) == 3 and got[f"split={split}/images/{name}.png"][:8] == b"\x89PNG\r\n\x1a\n"
     assert [int.from_bytes(crop[a : a + 4], "big") for a in (16, 20)] == [26, 16]
+
+
+def test_a_class_is_no_task_of_its_own(spark):
+    items = spark.createDataFrame([("a", 0.0, 0.0, 9.0, 9.0, 64.0, 64.0)], "label string, g0 double, g1 double, g2 double, g3 double, tw double, th double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for rows in (datasets.yolo_rows(items, datasets.class_index(items)), datasets.coco_rows(items, datasets.class_index(items))):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
