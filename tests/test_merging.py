@@ -158,3 +158,23 @@ def test_bands_lose_no_match_on_a_crowded_page(spark):
     rule = (G.angle_difference(G.angle(p), G.angle(q)) <= 5) & (F.greatest(G.line_distance(q[0], q[1], p), G.line_distance(q[2], q[3], p)) <= 6) & (G.segment_gap(p, q) <= 24)
     want |= {(r.src, r.dst) for r in lines.where(rule).collect()}
     assert got == want and {s.split(":")[1] for s, _ in want} == {"object", "ocr", "arrow"}
+
+
+@pytest.mark.parametrize("kind", merging.KINDS)
+def test_matching_is_compiled_and_its_rules_stay_out_of_the_join_with_tiles(spark, kind):
+    rows = [(1, 0, "Tile_001", kind, 0, 430.0, 40.0, 590.0, 40.0, "l", 0.9), (1, 0, "Tile_002", kind, 0, 0.0, 40.0, 90.0, 40.0, "l", 0.9)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = merging.match_edges(merging.seam_candidates(merging.candidates(spark.createDataFrame(rows, SCHEMA), S), S), S, kinds=(kind,))
+        plan = edges._jdf.queryExecution()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        code = plan.explainString(mode)
+        met = [x for x in plan.executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = [int(part.split(";")[0]) for part in code.split("maxMethodCodeSize:")[1:]]
+    assert sizes and max(sizes) < 8_000  # the JVM compiles no longer method
+    assert met and not any("struct(" in x for x in met)
