@@ -117,3 +117,18 @@ def test_replies_of_every_shape(spark):
         except Exception:
             want = [("object", "a", "b", None, True), ("call", None, None, None, True)]
         assert sorted(got[n], key=str) == sorted(want, key=str), reply
+
+
+def test_levels_are_those_of_plain_python_and_no_python_of_the_query(spark):
+    rng = random.Random(5)
+    rows = [(page, rng.randrange(1, 4 + page), f"u{rng.randrange(9)}") for page in range(12) for _ in range(rng.randrange(1, 30))]
+    want = {}
+    for page in range(12):
+        behind = {}
+        for pair in sorted({p for g, p, _ in rows if g == page}):
+            uids = {u for g, p, u in rows if (g, p) == (page, pair)}
+            want[page, pair] = 1 + max(behind.get(u, 0) for u in uids)
+            behind.update(dict.fromkeys(uids, want[page, pair]))
+    got = decisions._levels(spark.createDataFrame(rows, "page int, pair_ord int, uid string"), ("page",))
+    assert {(r.page, r.pair_ord): r.level for r in got.collect()} == want and max(want.values()) > 5
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
