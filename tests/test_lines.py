@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sheetweave.operators import lines, prediction, predictors
@@ -115,6 +116,33 @@ def test_votes_are_no_rows(spark):
         assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning(key") == 1
 
 
+def test_pixels_move_twice_and_no_group_is_opened_for_a_tile(spark):
+    runs = lines.runs_of(spark.createDataFrame(stroke("a", 0, 0, 0, 80), POINTS), ("tile",))
+    for found in (lines.peaks(runs, ("tile",)), lines.lines(runs, ("tile",))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2 and "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_a_tile_goes_on_over_batches(size):
+    keys = [("a", 1.0)] * 3 + [("a", 2.0)] + [("a", None)] * 2 + [(None, float("nan"))] * 5 + [(None, None)] * 2
+    t = pa.table({"key": pa.array([{"p": p, "q": q} for p, q in keys]), "y": range(13), "x0": range(13), "x1": range(13)})
+    got = [(k, ink) for held in lines._tiles(t.to_batches(max_chunksize=size)) for k, ink in zip(*held)]
+    assert [list(ink[0]) for _, ink in got] == [[0, 1, 2], [3], [4, 5], [6, 7, 8, 9, 10], [11, 12]]
+    assert [k.to_pylist()[0]["p"] for k, _ in got] == ["a", "a", "a", None, None] and list(lines._tiles(iter([]))) == []
+
+
+def test_peaks_are_those_of_each_place(monkeypatch):
+    rng = np.random.default_rng(4)
+    code = np.sort(rng.choice(180 * 61, 2_000, replace=False))
+    angle, rho, n = code // 61, code % 61 - 30, rng.integers(1, 5, 2_000)
+    held = {(a, r): (v, -a, -r) for a, r, v in zip(angle.tolist(), rho.tolist(), n.tolist())}
+    around = lambda a, r: ((((a + i) % 180), (r if 0 <= a + i < 180 else -r) + j) for i in range(-2, 3) for j in range(-2, 3))
+    want = [not any(held.get(o, rank) > rank for o in around(*at)) for at, rank in held.items()]
+    monkeypatch.setattr(lines, "STEP", 300)
+    assert lines._peaks(angle, rho, n).tolist() == want and 0 < sum(want) < 2_000
+
+
 def test_votes_of_wide_tiles_are_those_of_a_table(monkeypatch):
     rng = np.random.default_rng(3)
     y, x0 = rng.integers(0, 300, 400), rng.integers(-200, 300, 400)
