@@ -1,12 +1,13 @@
 """Documents by pages, and files out of tables: what does not decode, long documents, tasks that fail."""
 
 import pathlib
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheetweave.operators import datasets, tiling
+from sheetweave.operators import datasets, running, tiling
 from sheetweave.settings import Settings
 from sheetweave.sources import documents
 
@@ -127,3 +128,39 @@ def test_a_class_is_no_task_of_its_own(spark):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _training_set(spark):
+    s = Settings(canvas_width=960, canvas_height=960, tile_size=512, tile_overlap=64)
+    rng = random.Random(5)
+    rows = []
+    for i in range(23):
+        for t in rng.sample(["Tile_001", "Tile_002", "Tile_004", "Tile_009"], rng.randrange(1, 4)):  # the grid has four
+            for kind in ("object", "ocr", "arrow"):
+                rows += [(f"I{i}", t, kind, n, 10.0, 20.0, 90.0, 20.0, rng.choice(["b", "a", None])) for n in rng.sample(range(30), rng.randrange(5))]
+    rows += [(None, "Tile_001", "arrow", 0, 1.0, 2.0, 90.0, 2.0, "lost"), ("other", "Tile_001", "arrow", 0, 1.0, 2.0, 90.0, 2.0, "lost"), ("I0", "Tile_009", "arrow", 90, 1.0, 2.0, 90.0, 2.0, "off")]
+    found = spark.createDataFrame(rows, "image_id string, tile_id string, kind string, item_idx int, g0 double, g1 double, g2 double, g3 double, label string")
+    images = spark.createDataFrame([(f"I{i}",) for i in range(30)], "image_id string")  # 7 of them without annotation
+    return rows, datasets.build(images, found, tiling.tile_grid(spark, s))
+
+
+def test_ids_are_counted_over_images(spark, monkeypatch):
+    ran = []
+    monkeypatch.setattr(datasets, "running", lambda df, *a, **k: ran.append(df.columns) or running.running(df, *a, **k))
+    rows, built = _training_set(spark)
+    tiles = {}
+    for r in sorted(built.tiles.collect(), key=lambda r: (r.image_id, r.tile_id)):
+        tiles.setdefault(r.split, []).append(r)
+    assert len(tiles) == 3 and {r.image_id for t in tiles.values() for r in t} <= {r[0] for r in rows} - {None, "other"}
+    want, files = set(), {}
+    for split, all_ in tiles.items():
+        n = 0
+        for place, t in enumerate(all_):
+            files[split, place] = f"{t.name}.png"
+            for r in sorted(r for r in rows if r[:3] == (t.image_id, t.tile_id, "arrow") and r[8]):
+                want.add((split, n, place, "ab".index(r[8]) + 2))
+                n += 1
+    got = built.coco_annotations.collect()
+    assert {(r.split, r.id, r.image_id, r.category_id) for r in got} == want and len(got) == len(want) > 20
+    assert {(r.split, r.id): r.file_name for r in built.coco_images.collect()} == files
+    assert all("item_idx" not in c and "tile_id" not in c for c in ran) and len(ran) == 1
