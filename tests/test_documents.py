@@ -144,6 +144,14 @@ def _training_set(spark):
     return rows, datasets.build(images, found, tiling.tile_grid(spark, s))
 
 
+def test_categories_write_no_table_of_items(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(datasets, "kept", lambda df: written.append(df.columns) or df)
+    _, built = _training_set(spark)
+    assert [(r.id, r.name) for r in built.coco_categories.orderBy("id").collect()] == [(0, "annotation-lines"), (1, None), (2, "a"), (3, "b")]
+    assert written and all(set(c) <= {"image_id", "kind", "label"} for c in written)
+
+
 def test_ids_are_counted_over_images(spark, monkeypatch):
     ran = []
     monkeypatch.setattr(datasets, "running", lambda df, *a, **k: ran.append(df.columns) or running.running(df, *a, **k))
