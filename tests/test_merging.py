@@ -178,3 +178,23 @@ def test_matching_is_compiled_and_its_rules_stay_out_of_the_join_with_tiles(spar
     sizes = [int(part.split(";")[0]) for part in code.split("maxMethodCodeSize:")[1:]]
     assert sizes and max(sizes) < 8_000  # the JVM compiles no longer method
     assert met and not any("struct(" in x for x in met)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.3, 0.9])
+def test_crowded_seams_match_the_same_objects(spark, least):
+    """Boxes of all sizes, near twins, whole and broken coordinates; the overlap of pair 2 is shorter than the boxes, so cut and whole stretches differ."""
+    rng = random.Random(least)
+    rows = []
+    for n in range(900):
+        x, y, w, h = rng.choice([(rng.randrange(60), rng.randrange(200), rng.choice([1, 8, 16, 40]), rng.choice([2, 16, 32, 64])), (rng.random() * 60, rng.random() * 200, rng.random() * 70, rng.random() * 99)])
+        pair, orientation, over = rng.choice([(1, "vertical", (20, 0, 40, 300)), (2, "vertical", (20, 60, 40, 50)), (3, "horizontal", (0, 90, 300, 40))])
+        g = [float(v) for v in (x, y, w, h)]
+        for side in "ab" if rng.random() < 0.5 else rng.choice("ab"):
+            rows.append((n % 2, "object", pair, side, f"{side}{n}", *g, *g, *map(float, over), orientation))
+            g[1] += rng.choice([0, 1, h / 3])
+            g[3] *= rng.choice([1, 0.5, 0.9])
+    names = ", ".join(f"{p}{i} double" for p in "gbo" for i in range(4))
+    near = spark.createDataFrame(rows, f"page int, kind string, pair_ord int, side string, uid string, {names}, orientation string")
+    s = Settings(overlap_iou=least)
+    want, got = (sorted(map(tuple, merging.match_edges(near, s, kinds=("object",), crowded=c).collect())) for c in (False, True))
+    assert got == want and len(want) > 20
