@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetweave.operators import datasets, running, tiling
+from sheetweave.plans import queries
 from sheetweave.settings import Settings
 from sheetweave.sources import documents
+from tests.conftest import data
 
 
 class Stub:
@@ -152,6 +154,19 @@ def test_categories_write_no_table_of_items(spark, monkeypatch):
     assert written and all(set(c) <= {"image_id", "kind", "label"} for c in written)
 
 
+def test_categories_cut_arrows_once_and_send_no_images_whole(spark, monkeypatch):
+    plans = []
+    keep = datasets.kept
+    monkeypatch.setattr(datasets, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    rows = queries.dataset_categories(spark, data()).collect()
+    assert sorted(map(tuple, rows)) == [
+        (0, "annotation-lines", "none"), (1, "dimension_line", "annotation-lines"), (2, "leader_line", "annotation-lines")
+    ]
+    images, labels = sorted(plans, key=len)
+    assert "Generate" not in images and labels.count("Scan parquet") == 2
+    assert labels.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in labels  # the grid, and the images
+
+
 def test_ids_are_counted_over_images(spark, monkeypatch):
     ran = []
     monkeypatch.setattr(datasets, "running", lambda df, *a, **k: ran.append(df.columns) or running.running(df, *a, **k))

@@ -1,5 +1,6 @@
 """Tiles of each page: pairs and cuts against plain loops over all tiles, and merging over seams that the grid does not have."""
 
+import itertools
 import json
 import random
 
@@ -126,6 +127,29 @@ def test_a_segment_meets_its_tile_once(spark):
     assert cut.count() == 3
 
 
+def test_tiles_are_found_in_compiled_code(spark):
+    """Neither a filter of arrays nor a formatted name, with boxes that begin and end at the edges of tiles."""
+    from sheetweave.functions import geometry as G
+    from sheetweave.operators import slicing
+
+    s = Settings(canvas_width=960, canvas_height=700, tile_size=512, tile_overlap=64)
+    boxes = list(itertools.product((0.0, 448.0, 512.0, 960.0), (0.0, 188.0, 512.0, 700.0), (0.0, 64.0, 500.0), (0.0, 64.0, 500.0)))
+    items = spark.createDataFrame([*[(i, *b) for i, b in enumerate(boxes)], (-1, None, 1.0, 9.0, 9.0)], "id int, g0 double, g1 double, g2 double, g3 double")
+    tiles = tiling.tile_grid(spark, s).collect()
+    for inclusive in (False, True):
+        cut = slicing._over_tiles(items, G.quad("g"), s, inclusive)
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and "format_string" not in plan
+        less = float.__le__ if inclusive else float.__lt__
+        meets = lambda at, n, start, size: less(float(at), start + size) and less(start, float(at + n))
+        want = {
+            (i, t.idx, t.tile_id, t.tx, t.ty, t.tw, t.th) for i, (x, y, w, h) in enumerate(boxes) for t in tiles
+            if meets(t.tx, s.tile_size, x, w) and meets(t.ty, s.tile_size, y, h)
+        }
+        got = [(r.id, r.tile_idx, r.tile_id, r.t0, r.t1, r.t2, r.t3) for r in cut.collect()]
+        assert len(got) == len(want) > 100 and set(got) == want
+
+
 def test_tiles_of_pages_are_never_sent_whole(spark):
     items = spark.createDataFrame([(1, 10.0, 10.0, 2000.0, 900.0)], "page int, g0 double, g1 double, g2 double, g3 double")
     tiles = tiling.page_grid(spark.createDataFrame([(1, 4096, 2896)], "page int, width int, height int"), Settings())
