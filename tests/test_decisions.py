@@ -98,6 +98,27 @@ def test_a_relabel_reaches_later_seams_of_the_item(spark, tmp_path):
     assert {(r.src, r.dst, r.label) for r in got.where("src = dst").collect()} == {("Tile_001:object:0", "Tile_001:object:0", "new")}
 
 
+def test_rounds_put_answers_beside_those_of_earlier_rounds(spark, tmp_path):
+    """One bucket, so a round that rewrote what it touches would write the answers of the rounds before again."""
+    (tmp_path / "calls").mkdir()
+    rows = some(7, 4)
+    # A page whose second seam is told what the only seam of another page is told: asked in the first round, looked up in the second.
+    three = [(n, t, "object", 0, x, y, 60.0, 60.0, "old", 0.9) for n, t, x, y in ((0, "Tile_001", 930.0, 930.0), (1, "Tile_002", 34.0, 930.0), (5, "Tile_006", 930.0, 34.0))]
+    rows += [(50, *r) for r in three] + [(51, *three[0]), (51, *three[2])]
+    near, hints = near_and_hints(spark, rows)
+    levels = decisions._levels(decisions._active(near, ("page",)), ("page",))
+    assert {(r.page, r.level) for r in levels.where("page > 49").collect()} >= {(50, 1), (50, 2), (51, 1)}
+    memory = StateTable(spark, f"{tmp_path}/memory", ["key"], 1)
+    got = decisions.decide_once(near, hints, Model(tmp_path / "calls"), memory)
+    asked = calls(tmp_path / "calls")
+    written = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/memory/data").count()
+    assert len({json.dumps(a, sort_keys=True) for a in asked}) == len(asked) == memory.read().count() == written
+    assert len(memory.versions()) > 1 and got.where("kind = 'call'").count() == merging.active_pairs(near).count() > len(asked)
+    want = prediction.decide_pairs(near, hints, Model(tmp_path / "calls"))
+    key = lambda df: {(r.page, r.pair_ord, *sorted((r.src, r.dst))) for r in df.where("kind <> 'call'").collect()}
+    assert key(got) == key(want)
+
+
 def test_replies_of_every_shape(spark):
     kinds = {"a": "object", "b": "object", "c": "ocr", "d": "object"}
     replies = [

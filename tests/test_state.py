@@ -49,6 +49,27 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert as_dict(table.read()) == last and table.versions() == [4] and len(list((tmp_path / "t/data").iterdir())) <= 4
 
 
+def test_rows_put_in_beside_others_leave_their_files(spark, tmp_path, monkeypatch):
+    from sheetweave.sources import state
+
+    monkeypatch.setattr(state, "FOLDERS", 3)
+    table, n = StateTable(spark, f"{tmp_path}/t", ["job_id"], buckets=2), 0
+    rows = lambda lo: spark.range(lo, lo + 20).selectExpr("'new' AS status", "id AS job_id") if lo else spark.range(20).selectExpr("id AS job_id", "'new' AS status")
+    for version in (1, 2, 3):
+        before = files(tmp_path / "t")
+        assert table.append(rows(n)) == version and before.items() <= files(tmp_path / "t").items()
+        n += 20
+        written = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/t/data").count()
+        assert table.read().count() == written == n and table.read().columns == ["job_id", "status"]
+    assert table.append(rows(0).limit(0)) == 3 and table.get(job_id=45).count() == 1 and table.read(1).count() == 20
+    assert table.append(rows(n)) == 4 and table.read().count() == 80  # each bucket lies in one folder again
+    assert {len(state._listed(f)) for f in table.manifest()["folders"].values()} == {1}
+    table.append(rows(80))
+    assert table.upsert(spark.createDataFrame([(5, "old")], "job_id long, status string")) == 6 and as_dict(table.read())[5]["status"] == "old"
+    table.vacuum(1)
+    assert table.read().count() == 100 and table.get(job_id=99).count() == 1 and table.delete(spark.range(50).selectExpr("id AS job_id")) == 7 and table.read().count() == 50
+
+
 def test_a_point_read_opens_one_bucket(spark, tmp_path):
     table = StateTable(spark, f"{tmp_path}/t", ["job_id"], buckets=16)
     table.upsert(spark.range(500).selectExpr("id AS job_id", "id * 2 AS x"))
