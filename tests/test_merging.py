@@ -198,3 +198,24 @@ def test_crowded_seams_match_the_same_objects(spark, least):
     s = Settings(overlap_iou=least)
     want, got = (sorted(map(tuple, merging.match_edges(near, s, kinds=("object",), crowded=c).collect())) for c in (False, True))
     assert got == want and len(want) > 20
+
+
+def test_components_of_many_pages_are_found_at_once(spark):
+    rng, rows, want = random.Random(9), [], {}
+    for page in [*range(40), None]:
+        for part in ("x", None):
+            root = {}
+            for _ in range(rng.choice((1, 2, 5, 30))):
+                a, b = (f"u{rng.randrange(rng.choice((1, 3, 12, 40)))}é" for _ in range(2))
+                rows.append((page, part, a, b))
+                x, y = root.setdefault(a, a), root.setdefault(b, b)
+                root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+            want |= {(page, part, k): r for k, r in root.items()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")  # pages go on from batch to batch
+    try:
+        got = merging.components(spark.createDataFrame(rows, "page int, part string, src string, dst string"), ("page", "part"))
+    finally:
+        spark.conf.set(key, before)
+    assert {(r.page, r.part, r.uid): r.root for r in got.collect()} == want
