@@ -163,6 +163,17 @@ def test_parity_bitmaps_bound_the_difference():
         assert jaccard.parity_difference(jaccard.parity(a), jaccard.parity(a)) == 0
 
 
+@pytest.mark.parametrize("percent", [10, 20, 50, 80])
+def test_chunks_drop_no_pair_whose_sizes_the_bound_allows(percent):
+    for n in (1, 31, 32, 33, 64, 65, 129):
+        for m in {n, n * 100 // percent, *range(n, n * 100 // percent, 13)}:
+            every = np.unique(np.random.default_rng(6).integers(0, 2**64, m, dtype=np.uint64))
+            whole = [[0, 0], [0, 0], [0, 0], [0, 0], [0, 1], [0, 0], [0, 1], [n, m]]
+            bits = pa.array([jaccard.parity(every[:n]).tobytes(), jaccard.parity(every).tobytes()], pa.binary())
+            batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in whole), bits], ["h", "i", "j", "own", "row", "place", "label", "n", "bits"])
+            assert [tuple(r.values()) for b in jaccard._cells(percent)(iter([batch])) for r in b.to_pylist()] == [(1, 0)], (n, m)
+
+
 # --- PII
 
 
